@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from veilspan.llm import bpe_monoid, secret_scan, simhash_mih
+from veilspan.llm import bpe_monoid, pii, secret_scan, simhash_mih, substring_dedup
 from veilspan.sources.tables import read_table
 
 
@@ -14,6 +14,14 @@ def op1_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secret_scan.secret_digests(read_table(spark, sf_dir, "documents"))
 
 
+def op2_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.pii_digests(read_table(spark, sf_dir, "documents"))
+
+
+def op5_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring_dedup.remove_repeats(read_table(spark, sf_dir, "documents"), window=20)
+
+
 def op6_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe_monoid.round_trip_digests(
         read_table(spark, sf_dir, "documents"), "doc_id", "text", *bpe_monoid.public_tokenizer()
@@ -27,7 +35,7 @@ def op9_simhash_mih(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_secret_scan, op6_byte_bpe, op9_simhash_mih)}
+    return {f.__name__: f for f in (op1_secret_scan, op2_pii, op5_substring_dedup, op6_byte_bpe, op9_simhash_mih)}
 
 
 def oracle_sql() -> dict[str, str]:
