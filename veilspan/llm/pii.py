@@ -39,7 +39,7 @@ class Kind:
 LOCAL = "A-Za-z0-9._%+-"
 KINDS = (
     Kind("email", rf"(?:\G|(?<![{LOCAL}]))[{LOCAL}]++@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)++", "@", "mail|contact|write|send|correo|courriel", 0.75),
-    Kind("ip", r"[0-9]++\.[0-9]++\.[0-9]++\.[0-9]++", r"re:[0-9]\.[0-9]++\.[0-9]++\.[0-9]", "host|server|addr|client|ip", 0.6),
+    Kind("ip", r"(?<![0-9])[0-9]++\.[0-9]++\.[0-9]++\.[0-9]++", r"re:[0-9]\.[0-9]++\.[0-9]++\.[0-9]", "host|server|addr|client|ip", 0.6),
     Kind("card", r"[0-9](?:[\x20-]?[0-9])++", r"re:[0-9](?:[\x20-]?[0-9]){13}", "card|credit|visa|master|amex|karte|tarjeta|carte", 0.6),
     Kind("phone", r"\+[0-9][\x20().0-9-]+[0-9]", "+", "phone|call|tel|mobil|cell|fax", 0.6),
     Kind("iban", r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?:\x20?[A-Z0-9]){11,30}+(?![A-Za-z0-9])", r"re:[A-Z]{2}[0-9]{2}\x20?[A-Z0-9]", "iban|account|konto|compte|cuenta|bank", 0.7, least=0.6),
