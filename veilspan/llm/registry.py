@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from veilspan.llm import bpe_monoid, pii, secret_scan, simhash_mih, substring_dedup
+from veilspan.llm import bpe_monoid, pii, pu_quality, secret_scan, simhash_mih, substring_dedup, toxic_cnn
 from veilspan.sources.tables import read_table
 
 
@@ -18,6 +18,12 @@ def op2_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.pii_digests(read_table(spark, sf_dir, "documents"))
 
 
+def op4_toxic_cnn(spark: SparkSession, sf_dir: str) -> DataFrame:
+    documents = read_table(spark, sf_dir, "documents")
+    model = toxic_cnn.fit(documents, read_table(spark, sf_dir, "labels"))
+    return toxic_cnn.score(documents, model, threshold=0.5)
+
+
 def op5_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring_dedup.remove_repeats(read_table(spark, sf_dir, "documents"), window=20)
 
@@ -28,6 +34,12 @@ def op6_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op7_pu_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    documents = read_table(spark, sf_dir, "documents")
+    network, _ = pu_quality.fit(documents, read_table(spark, sf_dir, "labels"))
+    return pu_quality.score(documents, network, threshold=0.3)
+
+
 def op9_simhash_mih(spark: SparkSession, sf_dir: str) -> DataFrame:
     documents = read_table(spark, sf_dir, "documents")
     found = simhash_mih.near_duplicates(documents, shingle=4, bits=64, segments=2, radius=4, seed=42)
@@ -35,7 +47,7 @@ def op9_simhash_mih(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_secret_scan, op2_pii, op5_substring_dedup, op6_byte_bpe, op9_simhash_mih)}
+    return {f.__name__: f for f in (op1_secret_scan, op2_pii, op4_toxic_cnn, op5_substring_dedup, op6_byte_bpe, op7_pu_quality, op9_simhash_mih)}
 
 
 def oracle_sql() -> dict[str, str]:
