@@ -21,7 +21,7 @@ from itertools import accumulate, compress
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from veilspan.llm.arrow import arrow_schema, slices
@@ -30,6 +30,8 @@ from veilspan.llm.arrow import arrow_schema, slices
 SEGMENT = 19
 #: Bytes of text that are hashed together, and windows that are grouped together before the shuffle.
 STRETCH_BYTES, STRETCH_WINDOWS = 4 << 20, 1 << 18
+#: Bytes of text for each part of the windows: some two million windows, if all of them were sent.
+PART_BYTES = 12 << 20
 #: Words whose hashes are remembered in a task.
 REMEMBERED = 300_000
 
@@ -180,13 +182,14 @@ def merged_sketch(texts: DataFrame, width: int, rows: int, window: int, gram: in
     return found
 
 
-def repeated_starts(texts: DataFrame, sketch: list[np.ndarray], width: int, window: int, gram: int) -> DataFrame:
+def repeated_starts(texts: DataFrame, sketch: list[np.ndarray], width: int, window: int, gram: int, parts: int) -> DataFrame:
     """(doc_id, text_key, runs array<long>): runs of window starts whose words also start earlier.
 
-    A run is start << 32 | how many starts follow one another."""
+    A run is start << 32 | how many starts follow one another. Windows are dealt by hash to ``parts``
+    parts as blocks of columns, which are a third of the size of rows; a part is grouped at once."""
     shared = texts.sparkSession.sparkContext.broadcast(sketch)
-    schema = "hi long, lo long, doc_id long, text_key long, run long, known boolean"
-    out = arrow_schema(schema)
+    dealt = "part int, known boolean, n int, hashes binary, docs binary, keys binary, runs binary"
+    dealt_out = arrow_schema(dealt)
 
     def candidates(batches):
         find = Minimizers(window, gram)
@@ -201,29 +204,32 @@ def repeated_starts(texts: DataFrame, sketch: list[np.ndarray], width: int, wind
 
         held: list[tuple] = []
 
+        def block(part, known, hashes, doc, key, run):
+            columns = [[part], [known], [len(doc)], [hashes.tobytes()], [doc.tobytes()], [key.tobytes()], [run.tobytes()]]
+            return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, dealt_out)], schema=dealt_out)
+
         def flush():
-            hi, lo, doc, key, start = (np.concatenate(c) for c in zip(*held))
+            """The earliest of each window of this stretch goes on; later ones are known to repeat."""
+            hashes, doc, key, start = (np.concatenate(c) for c in zip(*held))
             held.clear()
-            order = np.lexsort((start, doc, lo, hi))
-            hi, lo, doc, key, start = (c[order] for c in (hi, lo, doc, key, start))
-            new = np.r_[True, (hi[1:] != hi[:-1]) | (lo[1:] != lo[:-1])]
-            head = np.maximum.accumulate(np.where(new, np.arange(len(hi)), 0))
-            later = (doc != doc[head]) | (start != start[head])
-            yield pack(hi[new], lo[new], doc[new], key[new], start[new] << 32 | 1, False)
+            order = np.lexsort((start, doc, hashes[:, 1], hashes[:, 0]))
+            hashes, doc, key, start = (c[order] for c in (hashes, doc, key, start))
+            new, later = _heads(hashes, doc, start)
+            part = (hashes[new, 0].astype(np.uint64) % np.uint64(parts)).astype(np.int64)
+            order = np.lexsort((start[new], doc[new], part))
+            first = np.flatnonzero(new)[order]
+            cuts = np.searchsorted(part[order], np.arange(parts + 1))
+            for k in np.flatnonzero(np.diff(cuts)).tolist():
+                own = first[cuts[k] : cuts[k + 1]]
+                yield block(k, False, hashes[own], doc[own], key[own], start[own] << 32 | 1)
             if later.any():
-                # equal places (a repeated row) are told apart by their text alone and are no earlier than themselves
                 doc, key, start = doc[later], key[later], start[later]
                 order = np.lexsort((start, key, doc))
                 doc, key, start = doc[order], key[order], start[order]
                 fresh = np.r_[True, (doc[1:] != doc[:-1]) | (key[1:] != key[:-1]) | (start[1:] > start[:-1] + 1)]
                 at = np.flatnonzero(fresh)
                 last = np.r_[at[1:], len(start)] - 1
-                yield pack(doc[at], start[at], doc[at], key[at], start[at] << 32 | (start[last] - start[at] + 1), True)
-
-        def pack(hi, lo, doc, key, run, known):
-            return pa.RecordBatch.from_arrays(
-                [pa.array(c.astype(np.int64)) for c in (hi, lo, doc, key, run)] + [pa.array(np.full(len(hi), known))], schema=out
-            )
+                yield block(int(doc[0] % parts), True, hashes[:0], doc[at], key[at], start[at] << 32 | (start[last] - start[at] + 1))
 
         waiting = 0
         for batch in _stretches(batches):
@@ -246,7 +252,7 @@ def repeated_starts(texts: DataFrame, sketch: list[np.ndarray], width: int, wind
                 digest = xxhash.xxh3_128_digest
                 found = np.frombuffer(b"".join([digest(line[ends[s] : ends[s + window] - 1]) for s in local.tolist()]), "<i8").reshape(-1, 2)
                 n = len(local)
-                held.append((found[:, 0], found[:, 1], np.full(n, docs[k].as_py()), np.full(n, keys[k].as_py()), local))
+                held.append((found, np.full(n, docs[k].as_py()), np.full(n, keys[k].as_py()), local))
                 waiting += n
                 if waiting >= STRETCH_WINDOWS:
                     waiting = 0
@@ -254,10 +260,48 @@ def repeated_starts(texts: DataFrame, sketch: list[np.ndarray], width: int, wind
         if held:
             yield from flush()
 
-    found = texts.select("doc_id", "text_key", "text").mapInArrow(candidates, schema)
-    first = Window.partitionBy("known", "hi", "lo").orderBy("doc_id", F.shiftright("run", 32))
-    late = found.withColumn("nth", F.rank().over(first)).where("known or nth > 1")
-    return late.groupBy("doc_id", "text_key").agg(F.collect_list("run").alias("runs"))
+    late = "doc_id long, text_key long, run long"
+    late_out = arrow_schema(late)
+
+    def group(batches):
+        """Blocks arrive by part; one part's windows are held at a time, known runs pass through."""
+        now, held = None, []
+
+        def out(doc, key, run):
+            return pa.RecordBatch.from_arrays([pa.array(doc), pa.array(key), pa.array(run)], schema=late_out)
+
+        def done():
+            hashes, doc, key, run = (np.concatenate(c) for c in zip(*held))
+            held.clear()
+            order = np.lexsort((run, doc, hashes[:, 1], hashes[:, 0]))
+            hashes, doc, key, run = (c[order] for c in (hashes, doc, key, run))
+            _, later = _heads(hashes, doc, run)
+            return out(doc[later], key[later], run[later])
+
+        for batch in batches:
+            for part, known, *columns in zip(*(batch.column(k) for k in (0, 1, 3, 4, 5, 6))):
+                hashes, doc, key, run = (np.frombuffer(c.as_buffer(), "<i8") for c in columns)
+                if known.as_py():
+                    yield out(doc, key, run)
+                    continue
+                if part.as_py() != now and held:
+                    yield done()
+                now = part.as_py()
+                held.append((hashes.reshape(-1, 2), doc, key, run))
+        if held:
+            yield done()
+
+    blocks = texts.select("doc_id", "text_key", "text").mapInArrow(candidates, dealt)
+    found = blocks.repartition("part").sortWithinPartitions("part").mapInArrow(group, late)
+    return found.groupBy("doc_id", "text_key").agg(F.collect_list("run").alias("runs"))
+
+
+def _heads(hashes: np.ndarray, doc: np.ndarray, place: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Of rows sorted by hash, document and place: which come first of their hash, and which come later
+    than that. A repeated row is no earlier than itself, so it is neither."""
+    new = np.r_[True, (hashes[1:] != hashes[:-1]).any(1)]
+    head = np.maximum.accumulate(np.where(new, np.arange(len(doc)), 0))
+    return new, (doc != doc[head]) | (place != place[head])
 
 
 def remove_repeats(
@@ -279,7 +323,8 @@ def remove_repeats(
     n_bytes = texts.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
     width = size.width(int(n_bytes) // 7)
     sketch = merged_sketch(texts, width, size.rows, window, gram)
-    runs = repeated_starts(texts, sketch, width, window, gram)
+    parts = 1 + int(n_bytes) // PART_BYTES
+    runs = repeated_starts(texts, sketch, width, window, gram, parts)
     joined = texts.join(runs, ["doc_id", "text_key"], "left").select("doc_id", "text", "runs")
     schema = "doc_id long, n_words long, n_removed long, kept_sha256 string" + ", kept string" * keep_text
     out = arrow_schema(schema)
