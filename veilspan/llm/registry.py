@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from veilspan.llm import bpe_monoid, pii, pu_quality, secret_scan, simhash_mih, substring_dedup, toxic_cnn
+from veilspan.llm import bpe_monoid, norm_topk, pii, pu_quality, secret_scan, simhash_mih, substring_dedup, toxic_cnn, vp_tree
 from veilspan.sources.tables import read_table
 
 
@@ -18,6 +18,10 @@ def op2_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.pii_digests(read_table(spark, sf_dir, "documents"))
 
 
+def op3_vp_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vp_tree.nearest_neighbours(read_table(spark, sf_dir, "embeddings"), step=50, k=5)
+
+
 def op4_toxic_cnn(spark: SparkSession, sf_dir: str) -> DataFrame:
     documents = read_table(spark, sf_dir, "documents")
     model = toxic_cnn.fit(documents, read_table(spark, sf_dir, "labels"))
@@ -46,8 +50,12 @@ def op9_simhash_mih(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", simhash_mih.fingerprint_hex().alias("fingerprint"), "component_id")
 
 
+def op10_norm_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return norm_topk.top_products(read_table(spark, sf_dir, "embeddings"), step=100, k=10)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_secret_scan, op2_pii, op4_toxic_cnn, op5_substring_dedup, op6_byte_bpe, op7_pu_quality, op9_simhash_mih)}
+    return {f.__name__: f for f in (op1_secret_scan, op2_pii, op3_vp_tree, op4_toxic_cnn, op5_substring_dedup, op6_byte_bpe, op7_pu_quality, op9_simhash_mih, op10_norm_topk)}
 
 
 def oracle_sql() -> dict[str, str]:
