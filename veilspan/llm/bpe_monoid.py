@@ -173,6 +173,26 @@ def round_trip_digests(
     return map_columns(df, _pair(df, id_col, text_col), schema, make)
 
 
+def encoded_documents(
+    df: DataFrame, id_col: str | Column, text_col: str | Column, path: str, pattern: str, leaf_chars: int = LEAF_CHARS
+) -> DataFrame:
+    """(doc_id, n_tokens, ids, ids_sha256, decoded_sha256): ids and their digests at one pass; odd rows as in encode_texts."""
+
+    def make():
+        codec = TreeCodec(path, pattern, leaf_chars)
+
+        def apply(keys, texts):
+            ids = [codec.encode(t or "") for t in texts]
+            sums = [hashlib.sha256(x.tobytes()).hexdigest() for x in ids]
+            back = [hashlib.sha256(codec.decode(x)).hexdigest() for x in ids]
+            return keys, list(map(len, ids)), [x.astype(np.int32) for x in ids], sums, back
+
+        return apply
+
+    schema = "doc_id long, n_tokens long, ids array<int>, ids_sha256 string, decoded_sha256 string"
+    return map_columns(df, _pair(df, id_col, text_col), schema, make)
+
+
 def _pair(df: DataFrame, key: str | Column, value: str | Column) -> list[Column]:
     return [
         (df[key] if isinstance(key, str) else key).cast("long").alias("doc_id"),
@@ -187,4 +207,4 @@ def public_tokenizer() -> tuple[str, str]:
     return public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN
 
 
-__all__ = ["TreeCodec", "decode_ids", "encode_texts", "public_tokenizer", "round_trip_digests"]
+__all__ = ["TreeCodec", "decode_ids", "encoded_documents", "encode_texts", "public_tokenizer", "round_trip_digests"]

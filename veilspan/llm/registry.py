@@ -6,7 +6,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from veilspan.llm import bpe_monoid, norm_topk, pii, pu_quality, secret_scan, simhash_mih, substring_dedup, toxic_cnn, vp_tree
+import corpus_pipeline
+from veilspan.llm import bpe_monoid, norm_topk, pii, pu_quality, secret_scan, simhash_mih, source_mix, substring_dedup, toxic_cnn, vp_tree
 from veilspan.sources.tables import read_table
 
 
@@ -44,6 +45,10 @@ def op7_pu_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pu_quality.score(documents, network, threshold=0.3)
 
 
+def op8_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return source_mix.calibrated(read_table(spark, sf_dir, "documents"))
+
+
 def op9_simhash_mih(spark: SparkSession, sf_dir: str) -> DataFrame:
     documents = read_table(spark, sf_dir, "documents")
     found = simhash_mih.near_duplicates(documents, shingle=4, bits=64, segments=2, radius=4, seed=42)
@@ -54,9 +59,19 @@ def op10_norm_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return norm_topk.top_products(read_table(spark, sf_dir, "embeddings"), step=100, k=10)
 
 
+QUERIES = (
+    op1_secret_scan, op2_pii, op3_vp_tree, op4_toxic_cnn, op5_substring_dedup,
+    op6_byte_bpe, op7_pu_quality, op8_source_mix, op9_simhash_mih, op10_norm_topk,
+)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_secret_scan, op2_pii, op3_vp_tree, op4_toxic_cnn, op5_substring_dedup, op6_byte_bpe, op7_pu_quality, op9_simhash_mih, op10_norm_topk)}
+    return {f.__name__: f for f in QUERIES} | {"pipeline": corpus_pipeline.run}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    """SQL where it can say the same over whole tables; the other queries have brute-force tests."""
+    found = {"op8_source_mix": source_mix.oracle()}
+    if corpus_pipeline.ORACLE_SQL:
+        found["pipeline"] = corpus_pipeline.ORACLE_SQL
+    return found

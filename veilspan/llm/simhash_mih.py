@@ -27,7 +27,7 @@ from veilspan.session import materialize
 #: Nodes that one part of the index holds on average.
 PART_NODES = 1 << 15
 #: Members of a key up to which all pairs are verified at once; larger ones are searched breadth first.
-SMALL = 24
+SMALL = 64
 
 
 def shingle_hashes(text: bytes, size: int, seed: int) -> np.ndarray:
@@ -79,15 +79,24 @@ def fingerprints(df: DataFrame, shingle: int, bits: int, seed: int) -> DataFrame
     return map_columns(df, columns, "doc_id long, fp binary", make)
 
 
+def segments_for(bits: int, n_nodes: int) -> int:
+    """As many segments as keep a key's random members few: a segment is about as wide as the number of nodes in bits."""
+    return bits // min(bits, max(12, int(n_nodes).bit_length()))
+
+
 def _segments(bits: int, count: int) -> list[tuple[int, int]]:
-    """(first bit, width) of each segment; a segment lies within one 64-bit word."""
-    per_word = max(1, round(count * 64 / bits))
-    cuts = [64 * k // per_word for k in range(per_word + 1)]
-    return [(64 * w + a, b - a) for w in range(bits // 64) for a, b in zip(cuts, cuts[1:])]
+    """(first bit, width) of each segment; widths of 63 bits at most."""
+    cuts = [bits * k // count for k in range(count + 1)]
+    return [(a, b - a) for a, b in zip(cuts, cuts[1:])]
 
 
 def _values(words: np.ndarray, first: int, width: int) -> np.ndarray:
-    return (words[:, first // 64] >> np.uint64(first % 64)) & np.uint64((1 << width) - 1)
+    """The segment as numbers; a segment may span two words."""
+    word, shift = divmod(first, 64)
+    value = words[:, word] >> np.uint64(shift)
+    if shift + width > 64:
+        value = value | (words[:, word + 1] << np.uint64(64 - shift))
+    return value & np.uint64((1 << width) - 1)
 
 
 def _forest(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -209,15 +218,16 @@ def link_nodes(nodes: DataFrame, n_nodes: int, bits: int, segments: int, radius:
 
 
 def near_duplicates(
-    df: DataFrame, shingle: int = 5, bits: int = 128, segments: int = 6, radius: int | None = None, seed: int = 42
+    df: DataFrame, shingle: int = 5, bits: int = 128, segments: int | None = None, radius: int | None = None, seed: int = 42
 ) -> DataFrame:
     """(doc_id, fp binary, component_id): the class of each document under chains of near fingerprints.
 
     component_id is the smallest doc_id reachable, the document's own included. The default radius
     links estimated cosine similarities of the shingle counts of 0.8 or more; a Jaccard similarity j
     of sets is a cosine of about 2j / (1 + j), so 0.8 by Jaccard lies well inside. The search is
-    lossless where radius < 3 * segments; beyond, pairs can be missed whose bits differ in three or
-    more places of every segment.
+    lossless where radius < 3 * segments; beyond, pairs are missed whose bits differ in three or more
+    places of every segment. By default there are as many segments as the number of distinct
+    fingerprints allows (see segments_for); the README has the recall.
 
     Null texts and texts without words have fingerprint zero and are linked like any other. Rows with
     a null doc_id keep their fingerprint, join no class and get a null component. Repeated rows give
@@ -228,7 +238,8 @@ def near_duplicates(
         radius = int(bits * np.arccos(0.8) / np.pi)
     prints = materialize(fingerprints(df, shingle, bits, seed))
     classes = materialize(prints.where("doc_id is not null").groupBy("fp").agg(F.min("doc_id").alias("node")))
-    links = link_nodes(classes, classes.count(), bits, segments, radius)
+    n_nodes = classes.count()
+    links = link_nodes(classes, n_nodes, bits, segments or segments_for(bits, n_nodes), radius)
     found = connected_components(links)
     named = classes.join(found, classes["node"] == found["node"], "left").select(
         "fp", F.coalesce("component", classes["node"]).alias("component_id")
