@@ -1,4 +1,4 @@
-"""The registered queries of the engine's own operators."""
+"""The registered queries of the engine's own operators, and the same in SQL."""
 
 from __future__ import annotations
 
@@ -7,16 +7,492 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from veilspan.functions import plugins
+from veilspan.functions import spans as S
+from veilspan.operators import chunk, egress, jsonwalk, report, rules, vault
+from veilspan.operators.detect import Detector, detect, detect_routed, exploded, raw_spans
+from veilspan.plans import duck, fixtures
 from veilspan.sources.tables import read_table
+from veilspan.streaming import rehydrate
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+ORACLES: dict[str, str] = {}
+
+
+def query(oracle: str | None = None):
+    """Registers a query under its function's name."""
+
+    def add(f):
+        QUERIES[f.__name__] = f
+        if oracle:
+            ORACLES[f.__name__] = oracle
+        return f
+
+    return add
+
+
+BY = {r.entity: r for r in rules.DEFAULT_RULES}
+PHONE = tuple(r for r in rules.DEFAULT_RULES if r.entity == "PHONE_NUMBER")
+CORE = (*PHONE, BY["EMAIL_ADDRESS"], BY["GENERIC_SECRET"], BY["CREDIT_CARD"], BY["IP_ADDRESS"])
+OUT = "start_pos, end_pos, type, score"
+
+
+def _documents(spark, sf_dir):
+    return read_table(spark, sf_dir, "documents")
+
+
+def _rows(df: DataFrame, *keys: str) -> DataFrame:
+    return df.select(*keys, F.col("start").alias("start_pos"), F.col("end").alias("end_pos"), "type", "score")
+
+
+def _duck_rows(found: str, key: str = "doc_id") -> str:
+    return f"SELECT {key}, s::INT AS start_pos, e::INT AS end_pos, type, score FROM ({found})"
+
+
+def _detect_rules(spark, sf_dir, which):
+    found = raw_spans(_documents(spark, sf_dir).select("doc_id", "text"), "text", Detector(rules=which), "spans")
+    return _rows(exploded(found, "doc_id"), "doc_id")
+
+
+def _single(name: str, which) -> None:
+    def run(spark, sf_dir):
+        return _detect_rules(spark, sf_dir, which)
+
+    run.__name__ = name
+    query(_duck_rows(duck.rules("documents", "doc_id", "text", which)))(run)
+
+
+for _name, _which in (
+    ("detect_email", (BY["EMAIL_ADDRESS"],)), ("detect_phone", PHONE), ("detect_card_luhn", (BY["CREDIT_CARD"],)),
+    ("detect_ipv4", (BY["IP_ADDRESS"],)), ("detect_generic_secret", (BY["GENERIC_SECRET"],)), ("detect_iban", (BY["IBAN_CODE"],)),
+    ("detect_entropy", (rules.Rule("HIGH_ENTROPY_SECRET", rules.ENTROPY_RULES[0].pattern, 0.70, rules.ENTROPY, group=1, check="entropy"),)),
+    ("custom_vocab", rules.custom_rules([{"name": "licence line", "regex": "Released under the [A-Za-z]+"}, {"name": "", "regex": "(?i)unsubscribe"}, {"regex": ""}], ["the", "C++", ""])),
+):
+    _single(_name, _which)
 
 
 def entry(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return read_table(spark, sf_dir, "documents").groupBy("lang").agg(F.count("*").alias("n_docs"))
+    """Merged spans of the core rules over documents, counted by type."""
+    found = detect(_documents(spark, sf_dir).select("doc_id", "text"), "text", Detector(rules=CORE))
+    return report.metrics_by_type(exploded(found, "doc_id")).orderBy("type")
+
+
+MERGED_CORE = duck.merged(duck.rules("documents", "doc_id", "text", CORE), "doc_id")
+MERGED_ALL = duck.merged(duck.rules("documents", "doc_id", "text", rules.DEFAULT_RULES), "doc_id")
+
+
+@query(_duck_rows(MERGED_ALL))
+def detect_documents(spark, sf_dir):
+    """All rules, suppression and merging over whole documents."""
+    return _rows(exploded(detect(_documents(spark, sf_dir).select("doc_id", "text")), "doc_id"), "doc_id")
+
+
+@query(f"SELECT type, count(*) AS n_spans, count(DISTINCT doc_id) AS n_docs FROM ({MERGED_CORE}) GROUP BY type")
+def metrics_by_type(spark, sf_dir):
+    return entry(spark, sf_dir)
+
+
+@query(
+    f"""SELECT source, string_agg(type || '=' || n, ',' ORDER BY type) AS categories, sum(n)::BIGINT AS total_spans
+    FROM (SELECT source, type, count(*) AS n FROM ({MERGED_CORE}) JOIN documents USING (doc_id) GROUP BY ALL) GROUP BY source"""
+)
+def audit_events(spark, sf_dir):
+    found = detect(_documents(spark, sf_dir).select("doc_id", "source", "text"), "text", Detector(rules=CORE))
+    return report.audit_events(exploded(found, "doc_id", "source"), "source")
+
+
+PLANTED = f"(VALUES {', '.join(f'({i}, {duck.quoted(t)})' for i, t in fixtures.PLANTED)}) AS t(id, text)"
+
+
+@query(_duck_rows(duck.rules(f"(SELECT * FROM {PLANTED})", "id", "text", rules.DEFAULT_RULES), "id"))
+def detect_planted_secrets(spark, sf_dir):
+    """Every rule on planted positives and near misses."""
+    df = spark.createDataFrame(fixtures.PLANTED, "id int, text string")
+    return _rows(exploded(raw_spans(df, "text", Detector(), "spans"), "id"), "id")
+
+
+def _planted_items(spark):
+    df = spark.createDataFrame(fixtures.RECALL, "category string, item_no int, grp string, text string, value string")
+    found = detect(df, "text")
+    caught = F.exists("spans", lambda s: S.value_of(F.col("text"), s).contains(F.col("value")))
+    return found.select("category", "item_no", "grp", "value", caught.alias("caught"))
+
+
+RECALL_VALUES = ", ".join(f"({duck.quoted(c)}, {n}, {duck.quoted(g)}, {duck.quoted(t)}, {duck.quoted(v)})" for c, n, g, t, v in fixtures.RECALL)
+RECALL_ITEMS = f"""items AS (SELECT *, category || item_no AS id FROM (VALUES {RECALL_VALUES}) AS t(category, item_no, grp, text, value)),
+  spans AS ({duck.merged(duck.rules('items', 'id', 'text', rules.DEFAULT_RULES), 'id')}),
+  marked AS (SELECT category, item_no, grp, value, EXISTS (SELECT 1 FROM spans WHERE spans.id = items.id AND contains(substr(items.text, (s + 1)::INT, (e - s)::INT), items.value)) AS caught FROM items)"""
+
+
+@query(
+    f"""WITH {RECALL_ITEMS}
+    SELECT category, arg_min(grp, item_no) AS grp, count(*) AS n, sum(caught::INT)::BIGINT AS caught, avg(caught::INT) AS recall,
+      avg(caught::INT) >= CASE arg_min(grp, item_no) WHEN 'pii' THEN 0.95 ELSE 1.0 END AS passed FROM marked GROUP BY category"""
+)
+def recall_by_category(spark, sf_dir):
+    return report.recall(_planted_items(spark))
+
+
+@query(
+    f"""WITH {RECALL_ITEMS} SELECT category, list(left(value, 60) ORDER BY item_no)[1:5] AS missed FROM marked WHERE NOT caught GROUP BY category"""
+)
+def recall_misses(spark, sf_dir):
+    return report.missed_samples(_planted_items(spark))
+
+
+# ---- merging -----------------------------------------------------------------------------------
+
+SYNTH = """SELECT doc_id, i AS ord, 0 AS nth, ((doc_id * 7 + i * 13) % 97)::INT AS s, ((doc_id * 7 + i * 13) % 97 + (doc_id + i * 5) % 11 + 1)::INT AS e,
+  'T' || ((doc_id + i) % 4) AS type, ((doc_id * 3 + i) % 5) / 10.0::DOUBLE + 0.3::DOUBLE AS score, 'synthetic' AS detector FROM documents, range(10) AS r(i)"""
+
+
+def _synthetic(spark, sf_dir) -> DataFrame:
+    d, i = F.col("doc_id"), F.col("i")
+    start = ((d * 7 + i * 13) % 97).cast("int")
+    s = F.struct(
+        start.alias("start"), (start + (d + i * 5) % 11 + 1).cast("int").alias("end"), F.concat(F.lit("T"), ((d + i) % 4).cast("string")).alias("type"),
+        ((d * 3 + i) % 5 / F.lit(10.0) + F.lit(0.3)).alias("score"), F.lit("synthetic").alias("detector"),
+    )
+    rows = _documents(spark, sf_dir).select("doc_id", F.explode(F.sequence(F.lit(0), F.lit(9))).alias("i")).select("doc_id", "i", s.alias("s"))
+    ordered = F.array_sort(F.collect_list(F.struct("i", "s")))
+    return rows.groupBy("doc_id").agg(F.transform(ordered, lambda x: x["s"]).alias("spans"))
+
+
+@query(_duck_rows(duck.merged(SYNTH, "doc_id", True)))
+def merge_spans_py(spark, sf_dir):
+    return _rows(exploded(_synthetic(spark, sf_dir).withColumn("spans", S.merge_extending(F.col("spans"))), "doc_id"), "doc_id")
+
+
+@query(_duck_rows(duck.merged(SYNTH, "doc_id", False)))
+def merge_spans_ts(spark, sf_dir):
+    return _rows(exploded(_synthetic(spark, sf_dir).withColumn("spans", S.merge_replacing(F.col("spans"))), "doc_id"), "doc_id")
+
+
+@query(
+    f"""WITH base AS ({duck.merged(SYNTH, 'doc_id', True)}), more AS (SELECT doc_id, (s * 3 % 120)::INT AS s, (s * 3 % 120 + 4)::INT AS e, 'LLM' AS type, 0.5::DOUBLE AS score FROM ({SYNTH}) WHERE ord < 3)
+    SELECT doc_id, s AS start_pos, e AS end_pos, type, score FROM base UNION ALL
+    SELECT doc_id, s, e, type, score FROM more m WHERE NOT EXISTS (SELECT 1 FROM base b WHERE b.doc_id = m.doc_id AND m.s < b.e AND m.e > b.s)"""
+)
+def additive_llm_merge(spark, sf_dir):
+    """A model layer adds spans that overlap nothing, and changes none."""
+    raw = _synthetic(spark, sf_dir)
+
+    def late(s):
+        start = (s["start"] * 3 % 120).cast("int")
+        return F.struct(start.alias("start"), (start + 4).cast("int").alias("end"), F.lit("LLM").alias("type"), F.lit(0.5).alias("score"), F.lit("llm").alias("detector"))
+
+    more = raw.select("doc_id", S.merge_extending(F.col("spans")).alias("spans"), F.transform(F.slice("spans", 1, 3), late).alias("more"))
+    return _rows(exploded(more.withColumn("spans", S.add_only(F.col("spans"), F.col("more"))), "doc_id"), "doc_id")
+
+
+# ---- suppression -------------------------------------------------------------------------------
+
+MARKED = "(SELECT doc_id, replace(text, ' the ', ' [[PERSON_1]] ') AS text FROM documents)"
+WORDS = rules.Rule("WORD", r"[A-Z]+_?[0-9]|\bth[a-z]+|token", 0.6, rules.CUSTOM)
+
+
+@query(
+    f"""WITH found AS ({duck.rule(MARKED, 'doc_id', 'text', WORDS)}), safe AS ({duck.matches(MARKED, 'doc_id', 'text', rules.PLACEHOLDER)})
+    SELECT doc_id, count(*) AS n FROM found f WHERE NOT EXISTS (SELECT 1 FROM safe z WHERE z.doc_id = f.doc_id AND f.s < z.e AND f.e > z.s) GROUP BY doc_id"""
+)
+def suppress_placeholders(spark, sf_dir):
+    df = _documents(spark, sf_dir).select("doc_id", F.replace("text", F.lit(" the "), F.lit(" [[PERSON_1]] ")).alias("text"))
+    found = raw_spans(df, "text", Detector(rules=(WORDS,)), "spans")
+    kept = S.let(Detector().safe("text"), lambda safe: S.without_overlaps(F.col("spans"), safe))
+    return found.select("doc_id", F.size(kept).cast("long").alias("n")).where("n > 0")
+
+
+@query(f"SELECT doc_id, count(*) AS n FROM ({duck.rule('documents', 'doc_id', 'text', WORDS)}) WHERE value NOT IN ('the', 'that', 'token') GROUP BY doc_id")
+def suppress_allowlist(spark, sf_dir):
+    found = raw_spans(_documents(spark, sf_dir).select("doc_id", "text"), "text", Detector(rules=(WORDS,)), "spans")
+    return found.select("doc_id", F.size(S.without_values(F.col("spans"), F.col("text"), ["the", "that", "token"])).cast("long").alias("n")).where("n > 0")
+
+
+# ---- chunks ------------------------------------------------------------------------------------
+
+CHUNKS = f"WITH RECURSIVE {duck.newline_chunks(chunk.TARGET)}"
+
+
+def _chunks(spark, sf_dir, make=chunk.newline_chunks):
+    return _documents(spark, sf_dir).select("doc_id", F.posexplode(make(F.col("text"))).alias("no", "c")).select("doc_id", "no", "c.offset", "c.chunk")
+
+
+@query(f"{CHUNKS} SELECT doc_id, no, off AS chunk_offset, width AS n_chars, md5(substr(text, off + 1, width)) AS md5 FROM chunks")
+def chunk_newline(spark, sf_dir):
+    return _chunks(spark, sf_dir).select("doc_id", "no", F.col("offset").alias("chunk_offset"), F.length("chunk").alias("n_chars"), F.md5(F.col("chunk").cast("binary")).alias("md5"))
+
+
+STRIDE = chunk.WINDOW - chunk.OVERLAP
+WINDOWS = f"""SELECT doc_id, (o / {STRIDE})::INT AS no, o::INT AS off, substr(text, (o + 1)::INT, {chunk.WINDOW}) AS chunk FROM documents,
+  unnest(CASE WHEN length(text) <= {chunk.WINDOW} THEN [0::BIGINT] ELSE range(0, length(text), {STRIDE}) END) AS u(o)"""
+
+
+@query(f"SELECT doc_id, no, off AS chunk_offset, length(chunk)::INT AS n_chars, md5(chunk) AS md5 FROM ({WINDOWS})")
+def chunk_overlap(spark, sf_dir):
+    rows = _chunks(spark, sf_dir, chunk.overlapping_windows)
+    return rows.select("doc_id", "no", F.col("offset").alias("chunk_offset"), F.length("chunk").alias("n_chars"), F.md5(F.col("chunk").cast("binary")).alias("md5"))
+
+
+@query(f"{CHUNKS} SELECT doc_id, count(*) AS n_chunks, sum(regexp_matches(substr(text, off + 1, width), {duck.quoted(rules.PREFILTER)})::INT)::BIGINT AS n_kept FROM chunks GROUP BY doc_id")
+def chunk_prefilter(spark, sf_dir):
+    keep = F.col("chunk").rlike(rules.PREFILTER).cast("int")
+    return _chunks(spark, sf_dir).groupBy("doc_id").agg(F.count("*").alias("n_chunks"), F.sum(keep).alias("n_kept"))
+
+
+@query(f"{CHUNKS} SELECT sha256('policy-1' || substr(text, off + 1, width)) AS key, count(*) AS n, min(doc_id) AS first_doc FROM chunks GROUP BY 1")
+def clean_chunk_dedupe(spark, sf_dir):
+    return report.distinct_chunks(_chunks(spark, sf_dir), "policy-1")
+
+
+WINDOW_RULES = duck.rules(f"(SELECT *, doc_id || ':' || no AS id FROM ({WINDOWS}))", "id, doc_id, off", "chunk", CORE)
+
+
+@query(f"SELECT DISTINCT doc_id, (s + off)::INT AS start_pos, (e + off)::INT AS end_pos, type, score FROM ({WINDOW_RULES})")
+def detect_chunked(spark, sf_dir):
+    """Overlapping windows scanned one by one, spans re-based; a span in two windows counts once."""
+    found = raw_spans(_chunks(spark, sf_dir, chunk.overlapping_windows), "chunk", Detector(rules=CORE), "spans")
+    rows = exploded(found, "doc_id", "offset")
+    return rows.select("doc_id", (F.col("start") + F.col("offset")).alias("start_pos"), (F.col("end") + F.col("offset")).alias("end_pos"), "type", "score").distinct()
+
+
+ROUTED = f"""WITH RECURSIVE {duck.newline_chunks(chunk.TARGET)},
+  parts AS (SELECT doc_id, 0 AS off, text AS body, doc_id || ':s' AS id FROM documents WHERE length(text) <= 4096
+    UNION ALL SELECT doc_id, off, substr(text, off + 1, width), doc_id || ':' || no FROM chunks WHERE size > 4096),
+  pieces AS ({duck.merged(duck.rules('parts', 'id', 'body', CORE), 'id')}),
+  moved AS (SELECT doc_id, 0 AS ord, 0 AS nth, s + off AS s, e + off AS e, type, score, detector FROM pieces JOIN parts USING (id))"""
+
+
+@query(f"{ROUTED} {_duck_rows(duck.merged('SELECT * FROM moved', 'doc_id'))}")
+def detect_routed_documents(spark, sf_dir):
+    return _rows(exploded(detect_routed(_documents(spark, sf_dir), detector=Detector(rules=CORE)), "doc_id"), "doc_id")
+
+
+# ---- vault -------------------------------------------------------------------------------------
+
+
+def _found(spark, sf_dir):
+    docs = _documents(spark, sf_dir).select("doc_id", "source", "text")
+    return detect(docs, "text", Detector(rules=CORE))
+
+
+VAULT = f"""found AS (SELECT source AS session, doc_id AS turn, s, type, substr(text, (s + 1)::INT, (e - s)::INT) AS value FROM ({MERGED_CORE}) JOIN documents USING (doc_id)),
+  firsts AS (SELECT session, value, arg_min({{'type': type, 'turn': turn, 'back': -s}}, (turn, -s, type)) AS f FROM found WHERE value <> '' GROUP BY ALL),
+  vault AS (SELECT session, value, f.type AS type, row_number() OVER (PARTITION BY session, f.type ORDER BY f.turn, f.back, value)::INT AS n FROM firsts),
+  named AS (SELECT *, '[[' || type || '_' || n || ']]' AS placeholder FROM vault)"""
+
+
+@query(f"WITH {VAULT} SELECT session, value, type, n, placeholder FROM named")
+def vault_mint(spark, sf_dir):
+    """Sessions are sources, turns are documents."""
+    return vault.mint(vault.found_values(_found(spark, sf_dir), "source", "doc_id"))
+
+
+@query(f"WITH {VAULT} SELECT session, type, max(n) AS last_n, count(DISTINCT value) AS n_values FROM named GROUP BY ALL")
+def vault_counters(spark, sf_dir):
+    minted = vault.mint(vault.found_values(_found(spark, sf_dir), "source", "doc_id"))
+    return minted.groupBy("session", "type").agg(F.max("n").alias("last_n"), F.countDistinct("value").alias("n_values"))
+
+
+SCRUBBED = f"""WITH {VAULT}, spans AS (SELECT doc_id, s, e FROM ({MERGED_CORE})),
+  cuts AS (SELECT d.doc_id, d.source, d.text, list(s.s ORDER BY s.s) AS ss, list(s.e ORDER BY s.s) AS es FROM documents d LEFT JOIN spans s USING (doc_id) GROUP BY ALL),
+  pieces AS (SELECT doc_id, source, text, i, CASE WHEN i = 0 THEN '' ELSE substr(text, (ss[i] + 1)::INT, (es[i] - ss[i])::INT) END AS value,
+    CASE WHEN ss[1] IS NULL THEN text WHEN i = 0 THEN substr(text, 1, ss[1]::INT) WHEN i = len(ss) THEN substr(text, (es[i] + 1)::INT) ELSE substr(text, (es[i] + 1)::INT, (ss[i + 1] - es[i])::INT) END AS gap
+    FROM cuts, unnest(range(0, CASE WHEN ss[1] IS NULL THEN 1 ELSE len(ss) + 1 END)) AS u(i)),
+  scrubbed AS (SELECT doc_id, string_agg(coalesce(v.placeholder, '') || gap, '' ORDER BY i) AS scrubbed FROM pieces p LEFT JOIN named v ON v.session = p.source AND v.value = p.value AND i > 0 GROUP BY doc_id)"""
+
+
+def _scrubbed(spark, sf_dir):
+    found = _found(spark, sf_dir)
+    minted = vault.mint(vault.found_values(found, "source", "doc_id"))
+    return minted, vault.substitute(found, minted, "source", "doc_id")
+
+
+@query(f"{SCRUBBED} SELECT doc_id, length(scrubbed)::INT AS n_chars, md5(scrubbed) AS md5 FROM scrubbed")
+def scrub_documents(spark, sf_dir):
+    _, rows = _scrubbed(spark, sf_dir)
+    return rows.select(F.col("turn").alias("doc_id"), F.length("scrubbed").alias("n_chars"), F.md5(F.col("scrubbed").cast("binary")).alias("md5"))
+
+
+@query("SELECT doc_id, md5(text) AS md5 FROM documents")
+def rehydrate_roundtrip(spark, sf_dir):
+    """Scrubbing and restoring gives each document back."""
+    minted, rows = _scrubbed(spark, sf_dir)
+    marks = rows.select("session", "turn", F.explode(F.array_distinct(vault.placeholders(F.col("scrubbed")))["placeholder"]).alias("placeholder"))
+    names = marks.join(minted.select("session", "placeholder", "value"), ["session", "placeholder"])
+    names = names.groupBy("session", "turn").agg(F.map_from_entries(F.collect_list(F.struct("placeholder", "value"))).alias("names"))
+    empty = F.from_json(F.lit("{}"), "map<string,string>")
+    back = rows.join(names, ["session", "turn"], "left").select(F.col("turn").alias("doc_id"), vault.rehydrate(F.col("scrubbed"), F.coalesce("names", empty)).alias("text"))
+    return back.select("doc_id", F.md5(F.col("text").cast("binary")).alias("md5"))
+
+
+@query(
+    f"""{SCRUBBED} SELECT doc_id, regexp_extract(p, '\\[\\[(.*)_[0-9]+\\]\\]', 1) AS type, count(*) AS n, max(regexp_extract(p, '_([0-9]+)\\]\\]', 1)::INT) AS last_n
+    FROM (SELECT doc_id, unnest(regexp_extract_all(scrubbed, {duck.PLACEHOLDER_SQL})) AS p FROM scrubbed) GROUP BY ALL"""
+)
+def placeholder_listing(spark, sf_dir):
+    _, rows = _scrubbed(spark, sf_dir)
+    marks = rows.select(F.col("turn").alias("doc_id"), F.explode(vault.placeholders(F.col("scrubbed"))).alias("p"))
+    return marks.groupBy("doc_id", "p.type").agg(F.count("*").alias("n"), F.max("p.n").alias("last_n"))
+
+
+TYPES = ("AWS_ACCESS_KEY", "EMAIL", "PHONE_NUMBER", "IP_ADDRESS", "PERSON", "ORGANIZATION", "GITHUB_TOKEN", "CREDIT_CARD", "US_SSN", "EMAIL_ADDRESS")
+
+
+@query(
+    f"""SELECT type, n, CASE type WHEN 'AWS_ACCESS_KEY' THEN 'AKIA0000000000000' || lpad(n::VARCHAR, 3, '0') WHEN 'EMAIL' THEN 'user_' || n || '@example.com'
+      WHEN 'PHONE_NUMBER' THEN '(555) 555-' || lpad(n::VARCHAR, 4, '0') WHEN 'IP_ADDRESS' THEN '10.0.' || ((n // 256) % 256) || '.' || (n % 256)
+      WHEN 'PERSON' THEN 'Person_' || n WHEN 'ORGANIZATION' THEN 'Org_' || n WHEN 'GITHUB_TOKEN' THEN 'ghp_' || repeat('0', 32) || lpad(n::VARCHAR, 4, '0')
+      WHEN 'CREDIT_CARD' THEN '4000-0000-0000-' || lpad(n::VARCHAR, 4, '0') WHEN 'US_SSN' THEN '000-00-' || lpad(n::VARCHAR, 4, '0')
+      ELSE '[[' || type || '_' || n || ']]' END AS fake
+    FROM (SELECT unnest({list(TYPES)}) AS type), (SELECT unnest([1, 7, 12, 255, 256, 999])::INT AS n)"""
+)
+def format_preserving(spark, sf_dir):
+    kinds = spark.createDataFrame([(t, n) for t in TYPES for n in (1, 7, 12, 255, 256, 999)], "type string, n int")
+    return kinds.select("type", "n", vault.format_preserving(F.col("type"), F.col("n")).alias("fake"))
+
+
+# ---- egress ------------------------------------------------------------------------------------
+
+PAYLOADS = f"(SELECT * FROM {PLANTED})"
+_HITS = ", ".join(
+    f"CASE WHEN regexp_matches(text, {duck.quoted(p)}) AND NOT regexp_matches(regexp_extract(text, {duck.quoted(p)}), {duck.quoted(egress.FAKE_FIRST)}) THEN {duck.quoted(n)} END"
+    for n, p in egress.EGRESS_RULES
+)
+
+
+@query(f"SELECT id, array_to_string(list_filter([{_HITS}], lambda x: x IS NOT NULL), ',') AS violations, len(list_filter([{_HITS}], lambda x: x IS NOT NULL)) = 0 AS safe FROM {PAYLOADS}")
+def egress_verify(spark, sf_dir):
+    df = spark.createDataFrame(fixtures.PLANTED, "id int, payload string")
+    return egress.verify(df).select("id", F.array_join("violations", ",").alias("violations"), "safe")
+
+
+@query(
+    f"""WITH {VAULT} SELECT d.source AS session, d.doc_id AS turn, count(DISTINCT v.value) AS n_leaks FROM documents d JOIN named v ON v.session = d.source
+    WHERE length(v.value) >= 8 AND contains(d.text, v.value) GROUP BY ALL"""
+)
+def raw_value_leak(spark, sf_dir):
+    """Unscrubbed documents as payloads against their session's vault."""
+    minted = vault.mint(vault.found_values(_found(spark, sf_dir), "source", "doc_id"))
+    payloads = _documents(spark, sf_dir).select(F.col("source").alias("session"), F.col("doc_id").alias("turn"), F.col("text").alias("payload"))
+    return egress.raw_value_leaks(payloads, minted)
+
+
+PATHS = f"(VALUES {', '.join(f'({i}, {duck.quoted(p)})' for i, p in enumerate(fixtures.PATHS))}) AS t(id, path)"
+
+
+def _denied_sql() -> str:
+    tests = []
+    full = f"regexp_replace(path, '^~(/|$)', '{fixtures.HOME}\\1')"
+    for entry_ in (*egress.DENIED, "/srv/keys"):
+        e = fixtures.HOME + entry_[1:] if entry_.startswith("~/") else entry_
+        tests.append(f"regexp_matches({full}, {duck.quoted(egress.glob_regex(e))})" if "*" in e else f"({full} = '{e}' OR starts_with({full}, '{e}/'))")
+    return " OR ".join(tests)
+
+
+@query(f"SELECT id, path, ({_denied_sql()}) AS denied FROM {PATHS}")
+def path_denylist(spark, sf_dir):
+    df = spark.createDataFrame(list(enumerate(fixtures.PATHS)), "id int, path string")
+    return df.withColumn("denied", egress.is_denied(F.col("path"), fixtures.HOME, ("/srv/keys",)))
+
+
+@query(
+    f"""{SCRUBBED} SELECT d.doc_id, md5(CASE WHEN d.doc_id % 5 = 0 THEN '{egress.POLICY_WITHHELD}' WHEN d.doc_id % 7 = 0 THEN '{egress.WITHHELD}' ELSE s.scrubbed END) AS md5
+    FROM documents d JOIN scrubbed s USING (doc_id)"""
+)
+def fail_closed(spark, sf_dir):
+    """Every fifth document has an invalid policy, every seventh a detector that failed."""
+    found = _found(spark, sf_dir)
+    broken = found.withColumn("spans", F.when(F.col("doc_id") % 7 != 0, F.col("spans")))
+    minted = vault.mint(vault.found_values(found, "source", "doc_id"))
+    rows = vault.substitute(broken, minted, "source", "doc_id").join(broken.select(F.col("doc_id").alias("turn"), "text", "spans"), "turn")
+    out = egress.fail_closed(F.col("text"), F.col("spans"), F.col("turn") % 5 != 0, F.col("scrubbed"))
+    return rows.select(F.col("turn").alias("doc_id"), F.md5(out.cast("binary")).alias("md5"))
+
+
+# ---- reports -----------------------------------------------------------------------------------
+
+
+@query(
+    """SELECT event_type, round(quantile_cont(value, 0.5), 4) AS p50, round(quantile_cont(value, 0.95), 4) AS p95, round(quantile_cont(value, 0.99), 4) AS p99,
+    round(avg(value), 4) AS mean_ms, max(value) AS max_ms FROM events GROUP BY event_type"""
+)
+def latency_percentiles(spark, sf_dir):
+    """Event values as latencies."""
+    return report.latency(read_table(spark, sf_dir, "events"), "event_type", "value")
+
+
+@query(
+    """SELECT user_id, event_id, sum(fresh) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING)::INT AS session_no FROM (
+    SELECT *, (coalesce(epoch_us(ts) - epoch_us(lag(ts) OVER (PARTITION BY user_id ORDER BY ts, event_id)), 0) > 3600000000)::INT AS fresh FROM events)"""
+)
+def session_ttl(spark, sf_dir):
+    rows = report.sessions(read_table(spark, sf_dir, "events"), "user_id", "ts", "event_id")
+    return rows.select("user_id", "event_id", "session_no")
+
+
+_TURNS = "SELECT conv_id, turn, row_number() OVER (PARTITION BY conv_id ORDER BY turn) - 1 AS k, role, text FROM conversations"
+
+
+@query(
+    f"""SELECT conv_id, '$.model' AS path, 'm' || conv_id AS value FROM conversations GROUP BY conv_id
+    UNION ALL SELECT conv_id, '$.messages[' || k || '].role', role FROM ({_TURNS})
+    UNION ALL SELECT conv_id, '$.messages[' || k || '].content[0].text', text FROM ({_TURNS})"""
+)
+def json_leaf_walk(spark, sf_dir):
+    """String leaves of chat request bodies, one body for each conversation."""
+    rows = read_table(spark, sf_dir, "conversations")
+    content = F.array(F.struct(F.col("turn").alias("n"), F.col("text").alias("text")))
+    message = F.struct("turn", F.struct(F.col("role").alias("role"), content.alias("content"), F.col("turn").alias("n")).alias("m"))
+    turns = F.transform(F.array_sort(F.collect_list(message), lambda a, b: (a["turn"] - b["turn"]).cast("int")), lambda x: x["m"])
+    bodies = rows.groupBy("conv_id").agg(turns.alias("messages"))
+    body = F.to_json(F.struct(F.concat(F.lit("m"), F.col("conv_id").cast("string")).alias("model"), "messages"))
+    return jsonwalk.string_leaves(bodies.select("conv_id", body.alias("body")), "conv_id", "body", depth=5)
+
+
+@query(f"{SCRUBBED} SELECT string_agg(md5(scrubbed), '' ORDER BY doc_id) IS NOT NULL AS restored, count(*) AS n_streams FROM scrubbed")
+def stream_rehydrate(spark, sf_dir):
+    """Scrubbed documents of one session cut into deltas of eleven signs, streamed, restored and compared."""
+    minted, rows = _scrubbed(spark, sf_dir)
+    whole = rehydrate.replay(rows.select(F.col("turn").cast("string").alias("stream_id"), F.col("scrubbed").alias("text"), "session"), minted, width=11)
+    docs = _documents(spark, sf_dir).select(F.col("doc_id").cast("string").alias("stream_id"), "text")
+    same = docs.join(whole, "stream_id", "left").select((F.coalesce("restored", F.lit("")) == F.col("text")).alias("same"))
+    return same.agg(F.min("same").alias("restored"), F.count("*").alias("n_streams"))
+
+
+@query(
+    """SELECT label, CASE lower(label) WHEN 'person' THEN 'PERSON' WHEN 'company' THEN 'ORGANIZATION' WHEN 'date of birth' THEN 'DATE_OF_BIRTH' WHEN 'api key' THEN 'GENERIC_SECRET'
+    ELSE upper(regexp_replace(label, '[ -]', '_', 'g')) END AS entity, least(round(score * 0.8, 4), 0.79)::DOUBLE AS capped
+    FROM (VALUES ('person', 0.5::DOUBLE), ('Company', 0.99::DOUBLE), ('date of birth', 0.9::DOUBLE), ('api key', 1.0::DOUBLE), ('tax-file no', 0.31::DOUBLE)) AS t(label, score)"""
+)
+def label_map(spark, sf_dir):
+    df = spark.createDataFrame([("person", 0.5), ("Company", 0.99), ("date of birth", 0.9), ("api key", 1.0), ("tax-file no", 0.31)], "label string, score double")
+    return df.select("label", plugins.entity_of_label(F.col("label")).alias("entity"), plugins.capped(F.col("score")).alias("capped"))
+
+
+@query(
+    """SELECT source, list_sort(list_intersect(central, mine)) AS allow, list_distinct(list_concat(central, mine)).list_sort() AS deny, least(4.0, threshold)::DOUBLE AS threshold
+    FROM (SELECT source, ['en', 'fr', 'localhost'] AS central, list_sort(list_distinct(list(lang))) AS mine, 3.0 + count(*) % 3 AS threshold FROM documents GROUP BY source)"""
+)
+def policy_tighten(spark, sf_dir):
+    """The tightening merge in table form: sources' languages against a central list."""
+    rows = _documents(spark, sf_dir).groupBy("source").agg(F.array_sort(F.collect_set("lang")).alias("mine"), (F.lit(3.0) + F.count("*") % 3).alias("threshold"))
+    central = F.array(F.lit("en"), F.lit("fr"), F.lit("localhost"))
+    return rows.select("source", F.array_sort(F.array_intersect(central, "mine")).alias("allow"), F.array_sort(F.array_union(central, "mine")).alias("deny"), F.least(F.lit(4.0), "threshold").alias("threshold"))
+
+
+@query("SELECT conv_id, string_agg(text, '' ORDER BY turn) AS joined FROM conversations GROUP BY conv_id")
+def sse_delta_concat(spark, sf_dir):
+    """Turns as streamed events of two provider shapes; their texts are put together again."""
+    rows = read_table(spark, sf_dir, "conversations")
+    one = F.to_json(F.struct(F.array(F.struct(F.struct(F.col("text").alias("content")).alias("delta"))).alias("choices")))
+    two = F.to_json(F.struct(F.struct("text").alias("delta")))
+    events = rows.select("conv_id", "turn", jsonwalk.delta_text(F.when(F.col("turn") % 2 == 0, one).otherwise(two)).alias("t"))
+    return events.groupBy("conv_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("turn", "t"))), lambda x: x["t"]), "").alias("joined"))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {}
+    return dict(QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return dict(ORACLES)
