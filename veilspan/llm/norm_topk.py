@@ -116,3 +116,13 @@ def top_products(df: DataFrame, step: int = 100, k: int = 10, id_col: str = "vec
         return row, vec, score
 
     return V.search(index, queries, rows, -(-rows // step), k, "long", find)
+
+
+def oracle(step: int = 100, k: int = 10) -> str:
+    """DuckDB SQL for top_products() over embeddings: every query against every row."""
+    return f"""WITH ints AS (SELECT vec_id, list_transform(embedding, lambda x: floor({SCALE} * x::DOUBLE)::BIGINT) AS v FROM embeddings
+        WHERE vec_id IS NOT NULL AND len(embedding) > 0 AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+      scored AS (SELECT q.vec_id AS query_id, c.vec_id AS vec_id, list_sum(list_transform(q.v, lambda x, i: x * c.v[i]))::BIGINT AS score
+        FROM ints q JOIN ints c ON q.vec_id <> c.vec_id AND len(q.v) = len(c.v) WHERE q.vec_id % {step} = 0)
+      SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id)::INT AS rank, vec_id, score FROM scored
+      QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) <= {k}"""

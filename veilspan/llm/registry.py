@@ -71,7 +71,12 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 def oracle_sql() -> dict[str, str]:
     """SQL where it can say the same over whole tables; the other queries have brute-force tests."""
-    found = {"op8_source_mix": source_mix.oracle()}
+    found = {
+        "op2_pii": pii.oracle(),
+        "op5_substring_dedup": substring_dedup.oracle(20),
+        "op8_source_mix": source_mix.oracle(),
+        "op10_norm_topk": norm_topk.oracle(100, 10),
+    }
     if corpus_pipeline.ORACLE_SQL:
         found["pipeline"] = corpus_pipeline.ORACLE_SQL
     return found

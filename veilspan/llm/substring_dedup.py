@@ -355,3 +355,14 @@ def remove_repeats(
             yield pa.RecordBatch.from_arrays(columns + [pa.array(kept, pa.string())] * keep_text, schema=out)
 
     return joined.mapInArrow(cut, schema)
+
+
+def oracle(window: int = 20) -> str:
+    """DuckDB SQL for remove_repeats() over documents: a table of all windows."""
+    return f"""WITH texts AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+') AS words FROM documents),
+      windows AS (SELECT doc_id, s, array_to_string(words[s + 1:s + {window}], ' ') AS k FROM texts, unnest(range(0, len(words) - {window - 1})) AS u(s)),
+      firsts AS (SELECT k, min(struct_pack(d := doc_id, s := s)) AS f FROM windows GROUP BY k),
+      gone AS (SELECT DISTINCT w.doc_id, w.s + j + 1 AS p FROM windows w JOIN firsts USING (k), range({window}) AS r(j) WHERE w.doc_id > f.d OR (w.doc_id = f.d AND w.s > f.s)),
+      lists AS (SELECT doc_id, list(p) AS ps FROM gone GROUP BY doc_id),
+      cut AS (SELECT doc_id, words, list_select(words, list_filter(range(1, len(words) + 1), lambda i: ps IS NULL OR NOT list_contains(ps, i))) AS kept FROM texts LEFT JOIN lists USING (doc_id))
+      SELECT doc_id, len(words)::BIGINT AS n_words, (len(words) - len(kept))::BIGINT AS n_removed, sha256(array_to_string(kept, ' ')) AS kept_sha256 FROM cut"""
