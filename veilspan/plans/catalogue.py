@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -12,8 +13,11 @@ from veilspan.functions import spans as S
 from veilspan.operators import chunk, egress, jsonwalk, report, rules, vault
 from veilspan.operators.detect import Detector, detect, detect_routed, exploded, raw_spans
 from veilspan.plans import duck, fixtures
+from veilspan.session import checkpoint_dir
+from veilspan.sources import corpus, events
 from veilspan.sources.tables import read_table
 from veilspan.streaming import rehydrate
+from veilspan.streaming.vault import mint_stream
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -490,6 +494,68 @@ def sse_delta_concat(spark, sf_dir):
     return events.groupBy("conv_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("turn", "t"))), lambda x: x["t"]), "").alias("joined"))
 
 
+# ---- sources -----------------------------------------------------------------------------------
+
+GENERATED = f"items AS (SELECT *, category || ':' || item_no AS id FROM ({corpus.generate_sql()}))"
+
+
+@query(f"SELECT category, item_no::INT AS item_no, grp, text, value FROM ({corpus.generate_sql()})")
+def eval_corpus(spark, sf_dir):
+    return corpus.generate(spark)
+
+
+@query(
+    f"""WITH {GENERATED}, spans AS ({duck.merged(duck.rules('items', 'id', 'text', rules.DEFAULT_RULES), 'id')}),
+    marked AS (SELECT category, item_no, grp, EXISTS (SELECT 1 FROM spans WHERE spans.id = items.id AND contains(substr(text, (s + 1)::INT, (e - s)::INT), value)) AS caught FROM items)
+    SELECT category, arg_min(grp, item_no) AS grp, count(*) AS n, sum(caught::INT)::BIGINT AS caught, avg(caught::INT) AS recall,
+      avg(caught::INT) >= CASE arg_min(grp, item_no) WHEN 'pii' THEN 0.95 ELSE 1.0 END AS passed FROM marked GROUP BY category"""
+)
+def recall_generated(spark, sf_dir):
+    found = detect(corpus.generate(spark), "text")
+    caught = F.exists("spans", lambda s: S.value_of(F.col("text"), s).contains(F.col("value")))
+    return report.recall(found.select("category", "item_no", "grp", caught.alias("caught")))
+
+
+@query(
+    f"""SELECT n // 8 AS bucket, kind, count(*) AS n_lines, coalesce(sum(length(delta)), 0)::BIGINT AS n_chars FROM (
+      SELECT conv_id AS n, CASE turn % 4 WHEN 0 THEN 'delta' WHEN 1 THEN 'json' WHEN 2 THEN 'raw' ELSE 'other' END AS kind, CASE WHEN turn % 4 = 0 THEN text END AS delta FROM conversations
+      UNION ALL SELECT DISTINCT conv_id, 'done', NULL FROM conversations) GROUP BY ALL"""
+)
+def sse_lines(spark, sf_dir):
+    """Turns as lines of an event stream: texts, other JSON, broken JSON, comments, and end marks."""
+    rows = read_table(spark, sf_dir, "conversations")
+    body = F.to_json(F.struct(F.struct("text").alias("delta")))
+    k = F.col("turn") % 4
+    line = F.when(k == 0, F.concat(F.lit("data: "), body)).when(k == 1, F.lit('data: {"id": 1}')).when(k == 2, F.lit("data: {broken")).otherwise(F.lit(": ping"))
+    lines = rows.select("conv_id", line.alias("line")).unionByName(rows.select("conv_id", F.lit("data: [DONE]").alias("line")).distinct())
+    parsed = events.parse_sse(lines)
+    return parsed.groupBy(F.floor(F.col("conv_id") / 8).alias("bucket"), "kind").agg(F.count("*").alias("n_lines"), F.coalesce(F.sum(F.length("delta")), F.lit(0)).cast("long").alias("n_chars"))
+
+
+@query(
+    """SELECT user_id, max(ts) AS at FROM events GROUP BY user_id HAVING epoch_us((SELECT max(ts) FROM events)) - epoch_us(max(ts)) <= 86400000000
+    ORDER BY max(ts) DESC, user_id LIMIT 256"""
+)
+def clean_cache_lru(spark, sf_dir):
+    """Users as cache keys: what a cache of 256 entries and a day would hold at the last event."""
+    rows = read_table(spark, sf_dir, "events")
+    now = rows.agg(F.max("ts").cast("string")).first()[0]
+    return events.recent(rows, "user_id", "ts", now, age=86_400)
+
+
+@query(f"WITH {VAULT} SELECT session, type, count(*) AS n_values, max(n) AS last_n FROM named GROUP BY ALL")
+def stream_vault(spark, sf_dir):
+    """The vault of vault_mint, minted from a stream of found values."""
+    found = vault.found_values(_found(spark, sf_dir), "source", "doc_id").select("session", "turn", "start", "type", "value")
+    folder = f"{checkpoint_dir(spark).rstrip('/')}/stream-vault-{uuid.uuid4().hex}"
+    found.coalesce(1).write.parquet(f"{folder}/found")
+    stream = spark.readStream.schema(found.schema).parquet(f"{folder}/found")
+    sink = mint_stream(stream).writeStream.format("parquet").option("checkpointLocation", f"{folder}/state")
+    sink.trigger(availableNow=True).start(f"{folder}/out").awaitTermination()
+    out = spark.read.schema("session string, value string, type string, n int, placeholder string").parquet(f"{folder}/out")
+    return out.groupBy("session", "type").agg(F.count("*").alias("n_values"), F.max("n").alias("last_n"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return dict(QUERIES)
 

@@ -1,0 +1,82 @@
+"""Evaluation corpora and payloads: readers of item files, and seeded generators in DataFrame expressions."""
+
+from __future__ import annotations
+
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+ITEM = "array<struct<text:string,planted:array<struct<value:string,type:string,category_group:string>>>>"
+
+# Category, group, items, head of the planted value, kind and length of its token, text before and after.
+CATEGORIES = (
+    ("aws_access_key", "secrets", 18, "AKIA", "base32", 16, "key id ", " in use"),
+    ("github_token", "secrets", 12, "ghp_", "hex", 36, "export GH=", ""),
+    ("gitlab_token", "secrets", 10, "glpat-", "hex", 20, "use ", " now"),
+    ("npm_token", "secrets", 8, "npm_", "hex", 36, "//registry/:_authToken=", ""),
+    ("pypi_token", "secrets", 8, "pypi-", "hex", 56, "upload with ", ""),
+    ("google_api_key", "secrets", 8, "AIza", "hex", 35, "maps?key=", "&v=3"),
+    ("stripe_key", "secrets", 10, "sk_live_", "hex", 24, "stripe ", ""),
+    ("openai_key", "secrets", 10, "sk-", "hex", 24, "key ", ""),
+    ("sendgrid_key", "secrets", 8, "SG.aaaaaaaaaaaaaaaaaaaaaa.", "hex", 43, "mail ", ""),
+    ("telegram_bot_token", "secrets", 8, "123456789:", "hex", 35, "bot ", ""),
+    ("generic_password", "secrets", 18, "", "hex", 14, "password = ", ""),
+    ("db_connection_url", "secrets", 18, "", "hex", 12, "postgres://app:", "@db.example.com/x"),
+    ("url_with_creds", "secrets", 10, "", "hex", 10, "https://joe:", "@example.com/a"),
+    ("heroku_api_key", "secrets", 8, "01234567-89ab-cdef-0123-", "hex", 12, "heroku_key: ", ""),
+    ("jwt", "secrets", 12, "eyJhbGciOiJIUzI1NiJ9.eyJzdWIiOiIxIn0abc.", "hex", 30, "auth ", ""),
+    ("email_address", "pii", 18, "u", "hex", 8, "write to ", "@example.org today"),
+    ("phone_number", "pii", 15, "(212) 555-", "digits", 4, "call ", " now"),
+    ("ip_address", "pii", 18, "192.168.10.", "octet", 1, "host ", " up"),
+)
+
+
+def _token(name: Column, kind: Column, length: Column) -> Column:
+    """Letters and digits that depend on the name alone."""
+    digits = F.concat(F.md5(name.cast("binary")), F.md5(F.concat(name, F.lit("+")).cast("binary")))
+    plain = F.substring(digits, F.lit(1), length)
+    return (
+        F.when(kind == "base32", F.substring(F.upper(F.translate(digits, "0189", "ghij")), F.lit(1), length))
+        .when(kind == "digits", F.substring(F.translate(digits, "abcdef", "123456"), F.lit(1), length))
+        .when(kind == "octet", (F.conv(F.substring(digits, 1, 4), 16, 10).cast("int") % 256).cast("string"))
+        .otherwise(plain)
+    )
+
+
+def generate(spark: SparkSession, seed: int = 42) -> DataFrame:
+    """(category, item_no, grp, text, value): the planted corpus; the same for the same seed."""
+    names = ("category", "grp", "n", "head", "kind", "length", "before", "after")
+    table = spark.createDataFrame(list(CATEGORIES), ", ".join(f"{n} {'int' if n in ('n', 'length') else 'string'}" for n in names))
+    rows = table.withColumn("item_no", F.explode(F.sequence(F.lit(0), F.col("n") - 1)))
+    name = F.concat_ws("-", "category", F.col("item_no").cast("string"), F.lit(str(seed)))
+    rows = rows.withColumn("value", F.concat("head", _token(name, F.col("kind"), F.col("length"))))
+    filler = F.concat(F.lit("Note "), F.col("item_no").cast("string"), F.lit(".\n"))
+    return rows.select("category", "item_no", "grp", F.concat(filler, "before", "value", "after").alias("text"), "value")
+
+
+def generate_sql(seed: int = 42) -> str:
+    values = ", ".join("(" + ", ".join(str(v) if isinstance(v, int) else "'" + v + "'" for v in c) + ")" for c in CATEGORIES)
+    return f"""SELECT category, item_no, grp, 'Note ' || item_no || '.' || chr(10) || before || value || after AS text, value FROM (
+      SELECT *, head || CASE kind WHEN 'base32' THEN left(upper(translate(h, '0189', 'ghij')), length) WHEN 'digits' THEN left(translate(h, 'abcdef', '123456'), length)
+        WHEN 'octet' THEN (('0x' || left(h, 4))::INT % 256)::VARCHAR ELSE left(h, length) END AS value FROM (
+      SELECT *, md5(category || '-' || item_no || '-{seed}') || md5(category || '-' || item_no || '-{seed}+') AS h
+        FROM (VALUES {values}) AS t(category, grp, n, head, kind, length, before, after), unnest(range(0, n)) AS u(item_no)))"""
+
+
+def read_items(spark: SparkSession, folder: str) -> DataFrame:
+    """(category, item_no, grp, text, value) from ``*.json`` item files; the category is the file's name and
+    an item with several planted values has a row for each."""
+    raw = spark.read.text(f"{folder.rstrip('/')}/*.json", wholetext=True).select(F.col("_metadata.file_name").alias("file"), "value")
+    items = raw.select(F.regexp_replace("file", r"\.json$", "").alias("category"), F.posexplode(F.from_json("value", ITEM)).alias("item_no", "i"))
+    planted = items.select("category", "item_no", "i.text", F.explode("i.planted").alias("p"))
+    return planted.select("category", "item_no", F.col("p.category_group").alias("grp"), "text", F.col("p.value").alias("value"))
+
+
+def payloads(spark: SparkSession, sizes: tuple[int, ...] = (1024, 10_240, 51_200, 102_400), seed: int = 0) -> DataFrame:
+    """(size_bytes, text): log-like lines of an exact size with a planted secret about every two kilobytes."""
+    sizes_df = spark.createDataFrame([(s,) for s in sizes], "size_bytes int")
+    line = lambda i: F.concat(
+        F.lit("2024-01-02T03:04:05 INFO worker="), F.substring(F.md5((i + seed).cast("string").cast("binary")), 1, 8),
+        F.when(i % 32 == 31, F.concat(F.lit(" token="), F.md5((i + seed).cast("string").cast("binary")))).otherwise(F.lit(" request served in 12 ms")), F.lit("\n"),
+    )
+    lines = F.transform(F.sequence(F.lit(0), F.ceil(F.col("size_bytes") / 40).cast("int")), line)
+    return sizes_df.select("size_bytes", F.left(F.array_join(lines, ""), F.col("size_bytes")).alias("text"))
