@@ -63,8 +63,8 @@ def rule_sql(text: str, low: str, rule: Rule, entropy: float) -> str:
     made = f"""struct(m.start AS start, m.end AS end, {S.quoted(rule.entity)} AS type,
       {float(rule.score)}D AS score, {S.quoted(rule.layer)} AS detector)"""
     tests = [" OR ".join(f"contains({low if rule.fold else text}, {S.quoted(g)})" for g in rule.guard)] if rule.guard else []
-    if rule.check in ("luhn", "iban", "ip"):
-        tests.append("digits")
+    if rule.digits:
+        tests.insert(0, "digits")
     tests.append(f"{text} RLIKE {S.quoted(rule.pattern)}")  # one search; offsets are only made where it holds
     return f"CASE WHEN {' AND '.join(f'({t})' for t in tests)} THEN transform({found}, m -> {made}) ELSE CAST(array() AS {S.SPANS}) END"
 
@@ -107,12 +107,12 @@ def detect_routed(
     if lossy:
         chunks = chunks.where(F.col("chunk").rlike(PREFILTER))
     scanned = detect(chunks.select("id", "offset", "chunk"), "chunk", detector)
-    scanned = scanned.where(F.size("spans") > 0).select("id", F.explode("spans").alias("s"), "offset")
+    scanned = each_span(scanned, "id", "offset")
     moved = F.struct((F.col("s.start") + F.col("offset")).alias("start"), (F.col("s.end") + F.col("offset")).alias("end"), "s.type", "s.score", "s.detector")
     scanned = scanned.select("id", moved.alias("s"))
     if whole:
-        blocks = raw_spans(long, "text", Detector(rules=tuple(whole)), "spans").select("id", F.explode("spans").alias("s"))
-        scanned = scanned.unionByName(blocks)
+        blocks = raw_spans(long, "text", Detector(rules=tuple(whole)), "spans")
+        scanned = scanned.unionByName(each_span(blocks, "id"))
     merged = scanned.groupBy("id").agg(F.array_sort(F.collect_list("s")).alias("spans")).select("id", S.merge_extending(F.col("spans")).alias("spans"))
     none = long.select("id").join(merged, "id", "left").select("id", F.coalesce("spans", S.no_spans()).alias("spans"))
     return short.unionByName(none).withColumnRenamed("id", id_col)
@@ -120,4 +120,10 @@ def detect_routed(
 
 def exploded(df: DataFrame, *keys: str, spans: str = "spans") -> DataFrame:
     """One row for each span."""
-    return df.select(*keys, F.explode(spans).alias("s")).select(*keys, "s.start", "s.end", "s.type", "s.score", "s.detector")
+    return each_span(df, *keys, spans=spans).select(*keys, "s.start", "s.end", "s.type", "s.score", "s.detector")
+
+
+def each_span(df: DataFrame, *keys: str, spans: str = "spans") -> DataFrame:
+    """(keys, s). An inner explode would let the optimiser test the spans' size in a filter below, and so
+    compute them twice; an outer one followed by a filter computes them once."""
+    return df.select(*keys, F.explode_outer(spans).alias("s")).where("s IS NOT NULL")

@@ -25,6 +25,7 @@ class Rule:
     fold: bool = False
     group: int = 0
     check: str = ""
+    digits: bool = False
 
 
 ASSIGN = r"""["']?\s{0,8}(?:=>|[:=])\s{0,8}["']?"""
@@ -43,7 +44,7 @@ SECRET_RULES = (
     Rule("SLACK_TOKEN", r"\bxoxb-[0-9]{10,13}-[0-9]{10,13}-[A-Za-z0-9]{24,}", 0.95, guard=("xoxb-",)),
     Rule("SLACK_TOKEN", r"\bxoxp-[0-9]{10,13}-[0-9]{10,13}-[A-Za-z0-9-]{24,}", 0.95, guard=("xoxp-",)),
     Rule("SLACK_TOKEN", r"\bxapp-[0-9]-[A-Za-z0-9]+-[0-9]+-[A-Za-z0-9]+", 0.95, guard=("xapp-",)),
-    Rule("TELEGRAM_BOT_TOKEN", r"[0-9]{8,10}:[A-Za-z0-9_-]{35}", 0.85, guard=(":",)),
+    Rule("TELEGRAM_BOT_TOKEN", r"[0-9]{8,10}:[A-Za-z0-9_-]{35}", 0.85, guard=(":",), digits=True),
     Rule("STRIPE_KEY", r"\bsk_live_[A-Za-z0-9]{24,}", 0.95, guard=("sk_live_",)),
     Rule("STRIPE_KEY", r"\bsk_test_[A-Za-z0-9]{24,}", 0.90, guard=("sk_test_",)),
     Rule("STRIPE_KEY", r"\brk_live_[A-Za-z0-9]{24,}", 0.95, guard=("rk_live_",)),
@@ -62,22 +63,23 @@ SECRET_RULES = (
          guard=("passw", "pwd", "secret", "token", "api"), fold=True),
     Rule("DB_CONNECTION_URL", r"""(?i)(?:postgres|postgresql|mysql|mongodb|mongodb\+srv|redis|amqp)://[^\s:@/"']+:[^\s@"']+@[^\s"'<>]+""", 1.0, guard=("://",)),
     Rule("URL_WITH_CREDENTIALS", r"""(?i)https?://[^\s:@/"']+:[^\s@/"']+@[^\s"'<>]+""", 1.0, guard=("://",)),
-    Rule("PHONE_NUMBER", r"(?:\+1[ .-]?)?\([0-9]{3}\)[ .-]?[0-9]{3}[ .-]?[0-9]{4}", 0.90, guard=("(",)),
-    Rule("PHONE_NUMBER", r"(?:\+1[ .-]?)?\b[0-9]{3}[.-][0-9]{3}[.-][0-9]{4}\b", 0.80, guard=("-", ".")),
+    Rule("PHONE_NUMBER", r"(?:\+1[ .-]?)?\([0-9]{3}\)[ .-]?[0-9]{3}[ .-]?[0-9]{4}", 0.90, guard=("(",), digits=True),
+    Rule("PHONE_NUMBER", r"(?:\+1[ .-]?)?\b[0-9]{3}[.-][0-9]{3}[.-][0-9]{4}\b", 0.80, guard=("-", "."), digits=True),
     Rule("EMAIL_ADDRESS", r"\b[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)*\.[A-Za-z]{2,}\b", 0.60, guard=("@",)),
     Rule("PRIVATE_KEY", r"(?s)-----BEGIN [A-Z ]{0,30}PRIVATE KEY-----.*?-----END [A-Z ]{0,30}PRIVATE KEY-----", 0.99, guard=("PRIVATE KEY-----",)),
 )
 
 ENTROPY_RULES = (
-    Rule("HIGH_ENTROPY_SECRET", r"""(?:[=:]|Bearer|Authorization|key|token|secret)["'\s]{0,4}([A-Za-z0-9+/=_-]{20,})""", 0.70, ENTROPY, group=1, check="entropy"),
+    Rule("HIGH_ENTROPY_SECRET", r"""(?:[=:]|Bearer|Authorization|key|token|secret)["'\s]{0,4}([A-Za-z0-9+/=_-]{20,})""", 0.70, ENTROPY,
+         guard=("=", ":", "Bearer", "Authorization", "key", "token", "secret"), group=1, check="entropy"),
 )
 
 STRUCTURED_RULES = (
-    Rule("CREDIT_CARD", r"\b[0-9](?:[ -]?[0-9]){12,18}\b", 0.80, STRUCTURED, check="luhn"),
-    Rule("IBAN_CODE", r"\b[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]){11,30}\b", 0.80, STRUCTURED, check="iban"),
-    Rule("IP_ADDRESS", r"\b[0-9]{1,3}(?:\.[0-9]{1,3}){3}\b", 0.60, STRUCTURED, guard=(".",), check="ip"),
-    Rule("US_SSN", r"\b[0-9]{3}-[0-9]{2}-[0-9]{4}\b", 0.50, STRUCTURED, guard=("-",)),
-    Rule("DATE_TIME", r"\b(?:19|20)[0-9]{2}-(?:0[1-9]|1[0-2])-(?:0[1-9]|[12][0-9]|3[01])\b", 0.40, STRUCTURED, guard=("-",)),
+    Rule("CREDIT_CARD", r"\b[0-9](?:[ -]?[0-9]){12,18}\b", 0.80, STRUCTURED, check="luhn", digits=True),
+    Rule("IBAN_CODE", r"\b[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]){11,30}\b", 0.80, STRUCTURED, check="iban", digits=True),
+    Rule("IP_ADDRESS", r"\b[0-9]{1,3}(?:\.[0-9]{1,3}){3}\b", 0.60, STRUCTURED, guard=(".",), check="ip", digits=True),
+    Rule("US_SSN", r"\b[0-9]{3}-[0-9]{2}-[0-9]{4}\b", 0.50, STRUCTURED, guard=("-",), digits=True),
+    Rule("DATE_TIME", r"\b(?:19|20)[0-9]{2}-(?:0[1-9]|1[0-2])-(?:0[1-9]|[12][0-9]|3[01])\b", 0.40, STRUCTURED, guard=("-",), digits=True),
     Rule("URL", r"""\bhttps?://[^\s"'<>]+""", 0.30, STRUCTURED, guard=("://",)),
 )
 

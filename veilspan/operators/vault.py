@@ -16,9 +16,9 @@ from veilspan.operators.rules import PLACEHOLDER
 
 def found_values(detected: DataFrame, session: str, turn: str, text: str = "text", spans: str = "spans") -> DataFrame:
     """(session, turn, start, end, type, value) for each span with a value that isn't empty."""
-    rows = detected.select(F.col(session).alias("session"), F.col(turn).alias("turn"), F.col(text).alias("text"), F.explode(spans).alias("s"))
+    rows = detected.select(F.col(session).alias("session"), F.col(turn).alias("turn"), F.col(text).alias("text"), F.explode_outer(spans).alias("s"))
     out = rows.select("session", "turn", "s.start", "s.end", "s.type", S.value_of(F.col("text"), F.col("s")).alias("value"))
-    return out.where("value <> ''")
+    return out.where("value <> ''")  # the outer explode keeps the spans from being computed twice, for a filter below
 
 
 def mint(found: DataFrame, prior: DataFrame | None = None) -> DataFrame:

@@ -15,7 +15,7 @@ from veilspan.operators.detect import Detector, detect, detect_routed, exploded,
 from veilspan.plans import duck, fixtures
 from veilspan.session import checkpoint_dir
 from veilspan.sources import corpus, events
-from veilspan.sources.tables import read_table
+from veilspan.sources.tables import read_table, spread
 from veilspan.streaming import rehydrate
 from veilspan.streaming.vault import mint_stream
 
@@ -42,7 +42,7 @@ OUT = "start_pos, end_pos, type, score"
 
 
 def _documents(spark, sf_dir):
-    return read_table(spark, sf_dir, "documents")
+    return spread(read_table(spark, sf_dir, "documents"))
 
 
 def _rows(df: DataFrame, *keys: str) -> DataFrame:
