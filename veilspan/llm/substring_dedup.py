@@ -29,11 +29,11 @@ from veilspan.llm.arrow import arrow_schema, slices
 #: Cells of one segment of the sketch, as a power of two.
 SEGMENT = 19
 #: Bytes of text that are hashed together, and windows that are grouped together before the shuffle.
-STRETCH_BYTES, STRETCH_WINDOWS = 4 << 20, 1 << 18
-#: Bytes of text for each part of the windows: some two million windows, if all of them were sent.
-PART_BYTES = 12 << 20
+STRETCH_BYTES, STRETCH_WINDOWS = 2 << 20, 1 << 17
+#: Bytes of text for each part of the windows: some million windows, if all of them were sent.
+PART_BYTES = 6 << 20
 #: Words whose hashes are remembered in a task.
-REMEMBERED = 300_000
+REMEMBERED = 150_000
 
 
 @dataclass(frozen=True)
