@@ -11,8 +11,9 @@ def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def spread(df: DataFrame) -> DataFrame:
-    """Deals the rows of a table of fewer files than cores to all cores; larger tables stay as they lie.
+    """Deals the rows of a table that has fewer splits than the session has cores to all cores.
 
-    Worth a shuffle only for work that is heavy on the processor, such as pattern scans."""
+    Splits are cut by size, so only small tables are dealt: a large one has more splits than cores and
+    stays as it lies. Worth the shuffle for work that is heavy on the processor, such as pattern scans."""
     cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores) if len(df._jdf.inputFiles()) < cores else df
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
