@@ -8,15 +8,19 @@ from pyspark.sql import DataFrame, SparkSession
 
 import corpus_pipeline
 from veilspan.llm import bpe_monoid, norm_topk, pii, pu_quality, secret_scan, simhash_mih, source_mix, substring_dedup, toxic_cnn, vp_tree
-from veilspan.sources.tables import read_table
+from veilspan.sources.tables import read_table, spread
+
+
+def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spread(read_table(spark, sf_dir, "documents"))
 
 
 def op1_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return secret_scan.secret_digests(read_table(spark, sf_dir, "documents"))
+    return secret_scan.secret_digests(_documents(spark, sf_dir))
 
 
 def op2_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return pii.pii_digests(read_table(spark, sf_dir, "documents"))
+    return pii.pii_digests(_documents(spark, sf_dir))
 
 
 def op3_vp_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -24,33 +28,33 @@ def op3_vp_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_toxic_cnn(spark: SparkSession, sf_dir: str) -> DataFrame:
-    documents = read_table(spark, sf_dir, "documents")
+    documents = _documents(spark, sf_dir)
     model = toxic_cnn.fit(documents, read_table(spark, sf_dir, "labels"))
     return toxic_cnn.score(documents, model, threshold=0.5)
 
 
 def op5_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return substring_dedup.remove_repeats(read_table(spark, sf_dir, "documents"), window=20)
+    return substring_dedup.remove_repeats(_documents(spark, sf_dir), window=20)
 
 
 def op6_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe_monoid.round_trip_digests(
-        read_table(spark, sf_dir, "documents"), "doc_id", "text", *bpe_monoid.public_tokenizer()
+        _documents(spark, sf_dir), "doc_id", "text", *bpe_monoid.public_tokenizer()
     )
 
 
 def op7_pu_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
-    documents = read_table(spark, sf_dir, "documents")
+    documents = _documents(spark, sf_dir)
     network, _ = pu_quality.fit(documents, read_table(spark, sf_dir, "labels"))
     return pu_quality.score(documents, network, threshold=0.3)
 
 
 def op8_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return source_mix.calibrated(read_table(spark, sf_dir, "documents"))
+    return source_mix.calibrated(_documents(spark, sf_dir))
 
 
 def op9_simhash_mih(spark: SparkSession, sf_dir: str) -> DataFrame:
-    documents = read_table(spark, sf_dir, "documents")
+    documents = _documents(spark, sf_dir)
     found = simhash_mih.near_duplicates(documents, shingle=4, bits=64, segments=2, radius=4, seed=42)
     return found.select("doc_id", simhash_mih.fingerprint_hex().alias("fingerprint"), "component_id")
 
