@@ -18,13 +18,20 @@ Scanner = Callable[[Sequence[str]], list[list[tuple[int, int, str, float]]]]
 
 # A model's labels and their entities; others become upper case with underscores.
 NER_LABELS = {
-    "person": "PERSON", "full name": "PERSON", "organization": "ORGANIZATION", "company": "ORGANIZATION", "email": "EMAIL_ADDRESS",
-    "phone number": "PHONE_NUMBER", "address": "LOCATION", "date of birth": "DATE_OF_BIRTH", "credit card number": "CREDIT_CARD",
-    "social security number": "US_SSN", "passport number": "US_PASSPORT", "iban": "IBAN_CODE", "ip address": "IP_ADDRESS",
-    "username": "USERNAME", "password": "GENERIC_SECRET", "api key": "GENERIC_SECRET",
+    "person": "PERSON", "full_name": "PERSON", "first_name": "PERSON", "last_name": "PERSON", "email": "EMAIL_ADDRESS", "phone_number": "PHONE_NUMBER",
+    "address": "ADDRESS", "street_address": "ADDRESS", "city": "ADDRESS", "state_or_region": "ADDRESS", "postal_code": "ADDRESS", "country": "ADDRESS",
+    "organization": "ORGANIZATION", "government_id": "GOVERNMENT_ID", "national_id_number": "GOVERNMENT_ID", "passport_number": "PASSPORT_NUMBER",
+    "drivers_license_number": "DRIVERS_LICENSE", "tax_id": "TAX_ID", "tax_number": "TAX_ID", "bank_account": "BANK_ACCOUNT", "account_number": "BANK_ACCOUNT",
+    "routing_number": "ROUTING_NUMBER", "iban": "IBAN", "payment_card": "PAYMENT_CARD", "card_number": "PAYMENT_CARD", "card_expiry": "PAYMENT_CARD_EXPIRY",
+    "card_cvv": "PAYMENT_CARD_CVV", "username": "USERNAME", "ip_address": "IP_ADDRESS", "password": "PASSWORD", "secret": "GENERIC_SECRET",
+    "api_key": "API_KEY", "access_token": "ACCESS_TOKEN", "recovery_code": "RECOVERY_CODE", "date_of_birth": "DATE_OF_BIRTH",
+    "internal hostname": "INTERNAL_HOSTNAME", "project codename": "PROJECT_CODENAME",
+}
+# A language model's types and their entities; others are GENERIC_SECRET.
+LLM_TYPES = {
+    "CREDENTIAL": "GENERIC_SECRET", "SECRET": "GENERIC_SECRET", "PERSONAL_INFO": "PERSON", "API_KEY": "GENERIC_SECRET",
+    "PASSWORD": "GENERIC_SECRET", "PRIVATE_KEY": "PRIVATE_KEY", "TOKEN": "GENERIC_SECRET",
 }
-LLM_TYPES = {"password": "GENERIC_SECRET", "secret": "GENERIC_SECRET", "credential": "GENERIC_SECRET", "token": "GENERIC_SECRET",
-             "api_key": "GENERIC_SECRET", "person": "PERSON", "private_key": "PRIVATE_KEY"}
 
 
 def _table(pairs: dict[str, str]) -> Column:
@@ -32,11 +39,11 @@ def _table(pairs: dict[str, str]) -> Column:
 
 
 def entity_of_label(label: Column) -> Column:
-    return F.coalesce(F.try_element_at(_table(NER_LABELS), F.lower(label)), F.upper(F.regexp_replace(label, "[ -]", "_")))
+    return F.coalesce(F.try_element_at(_table(NER_LABELS), label), F.upper(F.regexp_replace(label, "[ -]", "_")))
 
 
 def entity_of_llm_type(kind: Column) -> Column:
-    return F.coalesce(F.try_element_at(_table(LLM_TYPES), F.lower(kind)), F.lit("GENERIC_SECRET"))
+    return F.coalesce(F.try_element_at(_table(LLM_TYPES), kind), F.lit("GENERIC_SECRET"))
 
 
 def capped(score: Column) -> Column:

@@ -86,13 +86,19 @@ STRUCTURED_RULES = (
 DEFAULT_RULES = SECRET_RULES + ENTROPY_RULES + STRUCTURED_RULES
 
 PLACEHOLDER = r"\[\[[A-Z][A-Z0-9_]*_[0-9]+\]\]"
-#: Shapes of format-preserving fakes; only such mode exempts them.
+# Shapes of format-preserving fakes; only such a mode exempts them.
 FAKES = (
-    r"AKIA0{13}[0-9]{3}", r"user_[0-9]+@example\.com", r"\(555\) 555-[0-9]{4}", r"10\.0\.[0-9]{1,3}\.[0-9]{1,3}",
-    r"Person_[0-9]+", r"Org_[0-9]+", r"ghp_0{32}[0-9]{4}", r"4000-0000-0000-[0-9]{4}", r"000-00-[0-9]{4}",
+    r"user[0-9]+@redacted\.example", r"10\.0\.[0-9]{1,3}\.[0-9]{1,3}", r"555-000-[0-9]{4}", r"4000-0000-0000-[0-9]{4}", r"AKIA0+[0-9]+", r"Person_[0-9]+", r"Org_[0-9]+",
+    r"[0-9]+ Redacted St, Anytown, XX 00000", r"https://redacted\.example/path/[0-9]+", r"postgres://user[0-9]+:pass@redacted\.example:5432/db[0-9]+",
+    r"\[PRIVATE_KEY_[0-9]+_REDACTED\]", r"REDACTED_SECRET_[0-9]+", r"ghp_0+[0-9]+", r"eyJ_REDACTED_[0-9]+", r"sk_test_0+[0-9]+", r"host[0-9]+\.redacted\.internal", r"Project_[0-9]+",
 )
-#: The cheap, lossy test of the compatibility mode: chunks without any of these are passed over.
-PREFILTER = r"(?:password|passwd|secret|token|api_key|AKIA|ghp_|sk[-_]|xox|eyJ|-----BEGIN|@|://)"
+# The cheap, lossy, case-sensitive test of the compatibility mode; chunks without any of these are passed over.
+PREFILTER = "|".join((
+    r"[a-zA-Z0-9._%+-]+@[a-zA-Z0-9.-]+\.[a-zA-Z]{2,}", r"(?:^|[^0-9])(?:10|172|192)\.[0-9]{1,3}\.[0-9]{1,3}\.[0-9]{1,3}(?:[^0-9]|$)",
+    r"(?:AKIA|ASIA|ABIA|ACCA)[A-Z0-9]{16}", r"-----BEGIN", r"gh[pousr]_[A-Za-z0-9_]{20,}", r"eyJ[A-Za-z0-9_-]{10,}\.eyJ",
+    r"(?:postgres|mysql|mongodb|redis|amqp)://\S+:\S+@", r"(?:password|passwd|secret|token|api_key|apikey|api-key|secret_access_key)\s*[=:]",
+    r"sk_(?:live|test)_[A-Za-z0-9]{20,}", r"xox[bpoas]-", r"sk-ant-",
+))
 
 
 def custom_rules(patterns: list[dict] = (), literals: list[str] = ()) -> tuple[Rule, ...]:

@@ -44,21 +44,25 @@ def bracketed(kind: Column, n: Column) -> Column:
     return F.concat(F.lit("[["), kind, F.lit("_"), n.cast("string"), F.lit("]]"))
 
 
+# By type, the text before the number, the width to which zeros fill it, and the text after it.
+SHAPES = {
+    "EMAIL": ("user", 0, "@redacted.example"), "PHONE_NUMBER": ("555-000-", 4, ""), "CREDIT_CARD": ("4000-0000-0000-", 4, ""), "AWS_ACCESS_KEY": ("AKIA", 16, ""),
+    "PERSON": ("Person_", 0, ""), "ORGANIZATION": ("Org_", 0, ""), "ADDRESS": ("", 0, " Redacted St, Anytown, XX 00000"), "URL": ("https://redacted.example/path/", 0, ""),
+    "PRIVATE_KEY": ("[PRIVATE_KEY_", 0, "_REDACTED]"), "GENERIC_SECRET": ("REDACTED_SECRET_", 0, ""), "GITHUB_TOKEN": ("ghp_", 36, ""), "JWT": ("eyJ_REDACTED_", 0, ""),
+    "STRIPE_KEY": ("sk_test_", 24, ""), "INTERNAL_HOSTNAME": ("host", 0, ".redacted.internal"), "PROJECT_CODENAME": ("Project_", 0, ""),
+}
+
+
 def format_preserving(kind: Column, n: Column) -> Column:
-    """A fake of the value's own shape, numbered; types without a shape get brackets."""
-    wide = lambda width: F.lpad(n.cast("string"), width, "0")
-    return (
-        F.when(kind == "AWS_ACCESS_KEY", F.concat(F.lit("AKIA" + "0" * 13), wide(3)))
-        .when(kind == "EMAIL", F.concat(F.lit("user_"), n.cast("string"), F.lit("@example.com")))
-        .when(kind == "PHONE_NUMBER", F.concat(F.lit("(555) 555-"), wide(4)))
-        .when(kind == "IP_ADDRESS", F.concat_ws(".", F.lit("10.0"), (F.floor(n / 256) % 256).cast("string"), (n % 256).cast("string")))
-        .when(kind == "PERSON", F.concat(F.lit("Person_"), n.cast("string")))
-        .when(kind == "ORGANIZATION", F.concat(F.lit("Org_"), n.cast("string")))
-        .when(kind == "GITHUB_TOKEN", F.concat(F.lit("ghp_" + "0" * 32), wide(4)))
-        .when(kind == "CREDIT_CARD", F.concat(F.lit("4000-0000-0000-"), wide(4)))
-        .when(kind == "US_SSN", F.concat(F.lit("000-00-"), wide(4)))
-        .otherwise(bracketed(kind, n))
-    )
+    """A fake of the value's own shape, numbered; types without a shape get brackets. Numbers longer than a
+    width keep all their digits."""
+    number = n.cast("string")
+    out = F.when(kind == "IP_ADDRESS", F.concat_ws(".", F.lit("10.0"), (F.floor(n / 256) % 256).cast("string"), (n % 256).cast("string")))
+    out = out.when(kind == "DB_CONNECTION_URL", F.concat(F.lit("postgres://user"), number, F.lit(":pass@redacted.example:5432/db"), number))
+    for name, (before, width, after) in SHAPES.items():
+        filled = F.when(F.length(number) < width, F.lpad(number, width, "0")).otherwise(number) if width else number
+        out = out.when(kind == name, F.concat(F.lit(before), filled, F.lit(after)))
+    return out.otherwise(bracketed(kind, n))
 
 
 def substitute(detected: DataFrame, vault: DataFrame, session: str, turn: str, text: str = "text", spans: str = "spans") -> DataFrame:
