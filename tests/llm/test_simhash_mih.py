@@ -2,7 +2,8 @@ import numpy as np
 import xxhash
 
 from veilspan.llm.components import connected_components
-from veilspan.llm.simhash_mih import _forest, fingerprint_hex, link_nodes, near_duplicates
+from veilspan.llm import simhash_mih
+from veilspan.llm.simhash_mih import _forest, fingerprint_hex, link_nodes, near_duplicates, segments_for
 from veilspan.sources.tables import read_table
 
 SF = "/root/testdata/sf0.001"
@@ -81,6 +82,48 @@ def test_links_are_lossless_within_the_pigeonhole_bound(spark):
         assert {i: got.get(i, i) for i in prints} == classes(prints)
 
 
+def within_radius_26(rng, families, members):
+    """Node to fingerprint of 128 bits: families whose members lie 0 to 26 bits from a centre, centres 52 or so apart."""
+    prints = set()
+    for _ in range(families):
+        centre = int.from_bytes(rng.bytes(16), "big")
+        prints |= {centre ^ sum(1 << int(b) for b in rng.choice(128, rng.integers(0, 27), replace=False)) for _ in range(members)}
+    return dict(enumerate(sorted(prints)))
+
+
+def test_wide_radius_is_lossless_at_every_size(spark, monkeypatch):
+    """Plain distance is the measure, whatever the number of nodes says and however parts are cut."""
+    rng = np.random.default_rng(11)
+    prints = within_radius_26(rng, 150, 2) | {10_000 + i: p for i, p in within_radius_26(rng, 1, 400).items()}
+    want = classes(prints, 26)
+    df = spark.createDataFrame([(i, bytearray(p.to_bytes(16, "big"))) for i, p in prints.items()], "node long, fp binary")
+
+    def found(claimed):
+        edges = link_nodes(df, claimed, 128, segments_for(128, claimed), 26)
+        got = {r.node: r.component for r in connected_components(edges).collect()}
+        return {i: got.get(i, i) for i in prints}
+
+    for claimed in (len(prints), 1 << 18, 1 << 24):
+        assert found(claimed) == want
+    monkeypatch.setattr(simhash_mih, "NARROW_ROWS", 150)
+    monkeypatch.setattr(simhash_mih, "THICK", 50)
+    monkeypatch.setattr(simhash_mih, "HELD", 20)
+    assert found(1 << 18) == want
+
+
+def test_large_parts_are_cut_into_chunks_without_loss(spark, monkeypatch):
+    rng = np.random.default_rng(6)
+    prints = set()
+    for c in rng.integers(0, 2**63, 5, dtype=np.uint64).tolist():
+        prints |= {c ^ sum(1 << int(b) for b in rng.choice(64, rng.integers(0, 5), replace=False)) for _ in range(60)}
+    prints = dict(enumerate(sorted(prints)))
+    df = spark.createDataFrame([(i, bytearray(p.to_bytes(8, "big"))) for i, p in prints.items()], "node long, fp binary")
+    monkeypatch.setattr(simhash_mih, "PART_KEYS", 1500)
+    edges = link_nodes(df, len(prints), 64, 2, 4)
+    got = {r.node: r.component for r in connected_components(edges).collect()}
+    assert {i: got.get(i, i) for i in prints} == classes(prints)
+
+
 def test_components_of_a_long_chain_and_a_hub(spark):
     edges = [(i, i + 1) for i in range(60)] + [(1000, 1000 + i) for i in range(1, 200)] + [(2000, 2000), (None, 3)]
     df = spark.createDataFrame(edges, "a long, b long")

@@ -7,7 +7,9 @@ distances are then verified among those that meet. With s segments all pairs wit
 
 Distinct texts with equal fingerprints are one node, so copies cost one row. A table of the index
 is dealt by segment and by the segment's leading bits; the ball's flips of trailing bits stay in the
-same part and are made there, only flips of leading bits are sent to other parts.
+same part and are made there, only flips of leading bits are sent to other parts. A part above a
+bound is cut into chunks, and each pair of chunks is a task. Wide segments are searched by sorted
+keys, narrow ones, whose values nearly all occur, by comparing the groups of near values as blocks.
 """
 
 from __future__ import annotations
@@ -24,8 +26,14 @@ from veilspan.llm.arrow import arrow_schema, map_columns
 from veilspan.llm.components import connected_components
 from veilspan.session import materialize
 
-#: Nodes that one part of the index holds on average.
-PART_NODES = 1 << 15
+#: Nodes that one part of the index holds on average; and of narrow segments.
+PART_NODES, NARROW_NODES = 1 << 15, 1 << 16
+#: Keys of wide segments, or rows of narrow ones, above which a part is cut into chunks.
+PART_KEYS, NARROW_ROWS = 1 << 22, 1 << 20
+#: Bits of the widest segment that counts as narrow.
+NARROW = 16
+#: Pairs compared at once, pairs above which a block is first thinned by pivots, and links held before they are joined.
+BLOCK, THICK, HELD = 1 << 17, 1 << 22, 1 << 21
 #: Members of a key up to which all pairs are verified at once; larger ones are searched breadth first.
 SMALL = 64
 
@@ -79,9 +87,14 @@ def fingerprints(df: DataFrame, shingle: int, bits: int, seed: int) -> DataFrame
     return map_columns(df, columns, "doc_id long, fp binary", make)
 
 
-def segments_for(bits: int, n_nodes: int) -> int:
-    """As many segments as keep a key's random members few: a segment is about as wide as the number of nodes in bits."""
-    return bits // min(bits, max(12, int(n_nodes).bit_length()))
+def default_radius(bits: int) -> int:
+    """The distance of an estimated cosine similarity of 0.8."""
+    return int(bits * np.arccos(0.8) / np.pi)
+
+
+def segments_for(bits: int, n_nodes: int | None = None, radius: int | None = None) -> int:
+    """The fewest segments that are lossless up to the radius; the number of nodes plays no part."""
+    return (default_radius(bits) if radius is None else radius) // 3 + 1
 
 
 def _segments(bits: int, count: int) -> list[tuple[int, int]]:
@@ -164,45 +177,159 @@ def _part_links(words: np.ndarray, keys: np.ndarray, who: np.ndarray, radius: in
     return _forest(np.concatenate([none, *a]), np.concatenate([none, *b]))
 
 
+def _ranges(starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """All numbers of the half-open ranges, one range after the other."""
+    sizes = ends - starts
+    return np.repeat(starts - np.cumsum(sizes) + sizes, sizes) + np.arange(sizes.sum())
+
+
+class _Blocks:
+    """Links among blocks of rows; ``words`` has a contiguous row for each word."""
+
+    def __init__(self, words: np.ndarray, radius: int):
+        self.words, self.radius, self.a, self.b, self.held = words, radius, [], [], 0
+
+    def add(self, a: np.ndarray, b: np.ndarray) -> None:
+        self.a.append(a)
+        self.b.append(b)
+        self.held += len(a)
+        if self.held > HELD:
+            a, b = self.forest()
+            self.a, self.b, self.held = [a], [b], 0
+
+    def forest(self) -> tuple[np.ndarray, np.ndarray]:
+        none = np.empty(0, np.int64)
+        return _forest(np.concatenate([none, *self.a]), np.concatenate([none, *self.b]))
+
+    def near(self, g: np.ndarray, c: np.ndarray) -> np.ndarray:
+        far = np.zeros((len(g), len(c)), np.uint8)
+        for w in self.words:
+            far += np.bitwise_count(w[g][:, None] ^ w[c][None, :])
+        return far <= self.radius
+
+    def compare(self, g: np.ndarray, c: np.ndarray) -> None:
+        """Connects all within the radius between ``g`` and ``c``.
+
+        A thick block is thinned first: rows near one pivot are joined to it and need no comparison
+        with each other, which leaves (near of g, rest of c) and (rest of g, c)."""
+        stack = [(g, c)]
+        while stack:
+            g, c = stack.pop()
+            if len(g) * len(c) > THICK:
+                pivot = g[len(g) // 2 : len(g) // 2 + 1]
+                ng, nc = self.near(pivot, g)[0], self.near(pivot, c)[0]
+                if 10 * int(ng.sum()) * int(nc.sum()) > len(g) * len(c):
+                    for hit in (g[ng], c[nc]):
+                        self.add(np.full(len(hit), pivot[0]), hit)
+                    stack += [(g[ng], c[~nc]), (g[~ng], c)]
+                    continue
+            wide = max(1, min(len(c), BLOCK // 16))
+            tall = max(1, BLOCK // wide)
+            for i in range(0, len(g), tall):
+                for j in range(0, len(c), wide):
+                    x, y = np.nonzero(self.near(g[i : i + tall], c[j : j + wide]))
+                    x, y = g[i + x], c[j + y]
+                    if (x != y).any():
+                        self.add(x[x != y], y[x != y])
+
+
+def _narrow_links(words: np.ndarray, trail: np.ndarray, flip: np.ndarray, top: int, lead: int, width: int, radius: int):
+    """Links in a part of narrow segments, as _part_links. trail has ``width`` bits below the ``lead`` bits.
+
+    Two rows of which flips of leading bits brought one or both here meet in another part as well;
+    the part whose lower flipped bit is 0 compares them."""
+    code = (flip.astype(np.int64) + 1 << width) | trail.astype(np.int64)
+    order = np.argsort(code, kind="stable")
+    at = np.searchsorted(code[order], np.arange((lead + 1 << width) + 1))
+    ones = [0, *(1 << k for k in range(width))]
+    twos = np.array(ones + [1 << i | 1 << j for i in range(width) for j in range(i)])
+    ones = np.array(ones)
+    here = [i for i in range(lead) if not top >> i & 1]
+    blocks = _Blocks(np.ascontiguousarray(words[order].T), radius)
+    for t in np.flatnonzero(np.diff(at[: (1 << width) + 1])):
+        own = t ^ twos
+        codes = np.concatenate([own[own >= t], *((i + 1 << width) | (t ^ ones) for i in here)])
+        blocks.compare(np.arange(at[t], at[t + 1]), _ranges(at[codes], at[codes + 1]))
+    for i in here:
+        for t in np.flatnonzero(np.diff(at[i + 1 << width : (i + 2 << width) + 1])):
+            codes = (np.arange(i + 2, lead + 1) << width) | t
+            blocks.compare(np.arange(at[(i + 1 << width) | t], at[((i + 1 << width) | t) + 1]), _ranges(at[codes], at[codes + 1]))
+    a, b = blocks.forest()
+    return order[a], order[b]
+
+
 def link_nodes(nodes: DataFrame, n_nodes: int, bits: int, segments: int, radius: int) -> DataFrame:
     """Edges (a, b) that connect all of ``nodes`` (node long, fp binary) that meet and lie within ``radius``.
 
-    fp must differ from row to row. Edges form star forests within each part, so their number is at
-    most the nodes' times the parts a node is in; two nodes are connected by edges if and only if a
-    chain of verified links connects them."""
+    fp must differ from row to row. Edges form star forests within each task, so their number is at
+    most the nodes' times the tasks a node is in; two nodes are connected by edges if and only if a
+    chain of verified links connects them. Parts are counted first, and large ones cut into chunks
+    by the node's hash."""
     cuts = _segments(bits, segments)
-    lead = min(max(0, (max(1, n_nodes) // PART_NODES).bit_length()), min(w for _, w in cuts) - 1)
+    narrow = max(w for _, w in cuts) <= NARROW
+    mean, most = (NARROW_NODES, NARROW_ROWS) if narrow else (PART_NODES, PART_KEYS)
+    lead = min(max(0, (max(1, n_nodes) // mean).bit_length()), min(w for _, w in cuts) - 1)
     size = bits // 64
+    names = [f"w{k}" for k in range(size)]
+
+    def parts_of(words):
+        """(part, row, flip) of each row's places in the index, flip -1 for its own part."""
+        parts, rows, flipped = [], [], []
+        for s, (first, width) in enumerate(cuts):
+            top = (_values(words, first, width) >> np.uint64(width - lead)).astype(np.int64)
+            for flip in range(-1, lead):
+                parts.append((s << lead) | (top ^ (1 << flip if flip >= 0 else 0)))
+                rows.append(np.arange(len(words)))
+                flipped.append(np.full(len(words), flip))
+        return np.concatenate(parts), np.concatenate(rows), np.concatenate(flipped)
+
+    def unpack(fp):
+        return np.frombuffer(b"".join(fp), ">u8").astype(np.uint64).reshape(-1, size)
+
+    def count():
+        def apply(fp):
+            part, _, flip = parts_of(unpack(fp))
+            keys = np.where((flip < 0) & (not narrow), 1 - lead + np.array([w for _, w in cuts])[part >> lead], 1)
+            found, at = np.unique(part, return_inverse=True)
+            return found, np.bincount(at, keys, len(found)).astype(np.int64)
+
+        return apply
+
+    counts = map_columns(nodes, [nodes["fp"]], "part int, n long", count).groupBy("part").agg(F.sum("n").alias("n"))
+    chunks = {r.part: -(-2 * r.n // most) for r in counts.where(F.col("n") > most).collect()}
 
     def deal():
         def apply(node, fp):
-            words = np.frombuffer(b"".join(fp), ">u8").astype(np.uint64).reshape(-1, size)
-            parts, rows, flipped = [], [], []
-            for s, (first, width) in enumerate(cuts):
-                top = (_values(words, first, width) >> np.uint64(width - lead)).astype(np.int64)
-                for flip in range(-1, lead):
-                    parts.append((s << lead) | (top ^ (1 << flip if flip >= 0 else 0)))
-                    rows.append(np.arange(len(node)))
-                    flipped.append(np.full(len(node), flip))
-            pick = np.concatenate(rows) if rows else np.empty(0, int)
-            return (
-                pa.array(np.concatenate(parts).astype(np.int32), pa.int32()),
-                pa.array(np.array(node, np.int64)[pick], pa.int64()),
-                pa.array(fp, pa.binary()).take(pa.array(pick)),
-                pa.array(np.concatenate(flipped).astype(np.int32), pa.int32()),
-            )
+            words, node = unpack(fp), np.array(node, np.int64)
+            part, row, flip = parts_of(words)
+            tile = np.zeros(len(part), np.int64)
+            if chunks:
+                k = np.array([chunks.get(p, 1) for p in range(segments << lead)])[part]
+                mixed = (node.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(33)
+                mine = (mixed[row] % k.astype(np.uint64)).astype(np.int64)
+                again = np.repeat(np.arange(len(part)), k)
+                other = _ranges(np.zeros(len(k), np.int64), k)
+                part, row, flip, mine = part[again], row[again], flip[again], mine[again]
+                tile = np.minimum(mine, other) << 31 | np.maximum(mine, other)
+            return part.astype(np.int32), tile, node[row], flip.astype(np.int32), *words[row].view(np.int64).T
 
         return apply
 
-    dealt = map_columns(nodes, [nodes["node"], nodes["fp"]], "part int, node long, fp binary, flip int", deal)
+    columns = "".join(f", {n} long" for n in names)
+    dealt = map_columns(nodes, [nodes["node"], nodes["fp"]], f"part int, tile long, node long, flip int{columns}", deal)
     out = arrow_schema("a long, b long")
 
     def link(table: pa.Table) -> pa.Table:
         node = table["node"].to_numpy()
-        words = np.frombuffer(b"".join(table["fp"].to_pylist()), ">u8").astype(np.uint64).reshape(-1, size)
+        words = np.stack([table[n].to_numpy() for n in names], 1).view(np.uint64)
         flip = table["flip"].to_numpy()
-        first, width = cuts[table["part"][0].as_py() >> lead]
+        part = table["part"][0].as_py()
+        first, width = cuts[part >> lead]
         value = _values(words, first, width)
+        if narrow:
+            trail = value & np.uint64((1 << width - lead) - 1)
+            a, b = _narrow_links(words, trail, flip, part & (1 << lead) - 1, lead, width - lead, radius)
+            return pa.table([node[a], node[b]], schema=out)
         own = np.flatnonzero(flip < 0)
         keys, who = [value[own]], [own]
         for bit in range(width - lead):
@@ -214,7 +341,7 @@ def link_nodes(nodes: DataFrame, n_nodes: int, bits: int, segments: int, radius:
         a, b = _part_links(words, np.concatenate(keys), np.concatenate(who), radius)
         return pa.table([node[a], node[b]], schema=out)
 
-    return dealt.groupBy("part").applyInArrow(link, "a long, b long")
+    return dealt.groupBy("part", "tile").applyInArrow(link, "a long, b long")
 
 
 def near_duplicates(
@@ -225,9 +352,8 @@ def near_duplicates(
     component_id is the smallest doc_id reachable, the document's own included. The default radius
     links estimated cosine similarities of the shingle counts of 0.8 or more; a Jaccard similarity j
     of sets is a cosine of about 2j / (1 + j), so 0.8 by Jaccard lies well inside. The search is
-    lossless where radius < 3 * segments; beyond, pairs are missed whose bits differ in three or more
-    places of every segment. By default there are as many segments as the number of distinct
-    fingerprints allows (see segments_for); the README has the recall.
+    lossless where radius < 3 * segments, as it is by default at every size; with fewer segments,
+    pairs are missed whose bits differ in three or more places of every segment.
 
     Null texts and texts without words have fingerprint zero and are linked like any other. Rows with
     a null doc_id keep their fingerprint, join no class and get a null component. Repeated rows give
@@ -235,11 +361,11 @@ def near_duplicates(
     several texts, count as one. An empty table gives an empty table; columns other
     than doc_id and text aren't read."""
     if radius is None:
-        radius = int(bits * np.arccos(0.8) / np.pi)
+        radius = default_radius(bits)
     prints = materialize(fingerprints(df, shingle, bits, seed))
     classes = materialize(prints.where("doc_id is not null").groupBy("fp").agg(F.min("doc_id").alias("node")))
     n_nodes = classes.count()
-    links = link_nodes(classes, n_nodes, bits, segments or segments_for(bits, n_nodes), radius)
+    links = link_nodes(classes, n_nodes, bits, segments or segments_for(bits, n_nodes, radius), radius)
     found = connected_components(links)
     named = classes.join(found, classes["node"] == found["node"], "left").select(
         "fp", F.coalesce("component", classes["node"]).alias("component_id")
