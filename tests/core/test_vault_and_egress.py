@@ -95,6 +95,20 @@ def test_json_rewriting(spark):
     assert sorted((r.path, r.value) for r in leaves) == [("$.a", "x"), ("$.d.e[0]", "x"), ("$.l[0]", "x"), ("$.l[1].b", "x")]
 
 
+def test_json_leaves_of_any_depth(spark):
+    def nested(levels):
+        body, path = "x", ""
+        for k in range(levels):
+            body, path = ({"a": body}, f".a{path}") if k % 2 else ([body], f"[0]{path}")
+        return json.dumps(body), f"${path}"
+
+    rows = [(n, *nested(n)) for n in (0, 7, 8, 9, 10, 19, 40)]
+    df = spark.createDataFrame(rows, "id int, b string, path string")
+    for depth in (5, 8):
+        leaves = jsonwalk.string_leaves(df, "id", "b", depth=depth).collect()
+        assert sorted((r.id, r.path, r.value) for r in leaves) == [(n, path, "x") for n, _, path in rows]
+
+
 def test_policies(tmp_path):
     base = {"allow": ["a", "b"], "deny_paths": ["x"], "detectors": {"entropy": {"threshold": 4.0}}}
     assert policy.merge_personal(base, {"allow": ["a"], "deny_paths": ["x"]})["allow"] == ["a", "b", "a"]
