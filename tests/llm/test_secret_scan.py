@@ -3,6 +3,10 @@ import itertools
 import re
 from math import log10
 
+import duckdb
+from hypothesis import example, given, settings
+from hypothesis import strategies as st
+
 from veilspan.llm import secret_scan as S
 
 
@@ -43,7 +47,7 @@ def test_base_spans_equal_the_plain_patterns(spark):
 
 def cheapest(value):
     """Every segmentation, tried one by one."""
-    found, best = S._matches(value), float("inf")
+    found, best = S._matches(value, S.lexicon(S.VOCABULARY)), float("inf")
     for cuts in itertools.product((0, 1), repeat=len(value) - 1):
         ends = [i + 1 for i, c in enumerate(cuts) if c] + [len(value)]
         cost, start, last_brute = -log10(2), 0, False
@@ -70,3 +74,54 @@ def test_redaction_takes_every_span(spark):
     one, two = S.redact_secrets(df).orderBy("doc_id").collect()
     assert one.text == 'a [SECRET:assign]" b' and one.n_chars == len(one.text) and two.text is None
     assert S.scan_secrets(df).orderBy("doc_id").first().spans[0].kind == "assign"
+
+
+ANY = st.lists(st.one_of(st.text(max_size=12), st.sampled_from(["password", "İ", "ß", "K", "ſ", " is ", "=", ": ", "'", "token", "AKIA", "0" * 31, "Zx9#kQ2!"])), max_size=12).map("".join)
+
+
+@settings(max_examples=300, deadline=None)
+@given(ANY)
+@example("password=İqwerty")
+@example("password=K" + "İ" * 20 + "12-12-1999qwertyuiop")
+def test_any_signs(text):
+    found = S.find_secrets(text)
+    assert all(0 <= a < b <= len(text) for _, a, b, _ in found)
+    assert S.joined([f for f in found if f[0] in S.BASE]) == plain(text)
+    S.redact(text, found)
+    assert S.guess_cost("x" + text) >= 0
+
+
+def test_prose_after_a_credential_word_is_no_secret():
+    for text in (
+        "password is required", "token is necessary", "secret is understanding", "compass is wonderfully", "auth is mandatory", "the bypass: Zx9#kQ2!vLp0@w",
+        "api key = see_documentation", "password: unwahrscheinlich", "secret: https://example.com/docs/Zx9kQ2vLp0", "pass: ${DB_PASSWORD_9x}", "pwd: $(cat /run/secret7)",
+    ):
+        assert not [s for s in S.find_secrets(text) if s[0] == "guess"], text
+    for text in ("dbPassword: Zx9#kQ2!vLp0@w", "the password is Zx9#kQ2!vLp0@w", "db_pass => q8Zr2Lm9Xv", "PWD=Tr0ub4dor&3xQ!"):
+        assert [s for s in S.find_secrets(text) if s[0] == "guess"], text
+
+
+def test_no_known_word_is_taken_for_a_secret():
+    for head in ("the password is ", "password: "):
+        for word in list(S.lexicon(S.VOCABULARY))[::20]:
+            assert not [s for s in S.find_secrets(head + word) if s[0] == "guess"], word
+
+
+def test_base_columns_equal_sql(spark):
+    """The base spans as DuckDB finds them in whole documents."""
+    path = "/root/testdata/sf0.001/documents.parquet"
+    kinds = (
+        ("assign", r"""(?i)(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", 2, 8),
+        ("access", "AKIA[A-Z0-9]+", 0, 16), ("hex", "[0-9a-f]+", 0, 32),
+    )
+    parts = []
+    for n, (kind, pattern, group, least) in enumerate(kinds):
+        p = "'" + pattern.replace("'", "''") + "'"
+        parts.append(f"""SELECT doc_id, {n} AS ord, '{kind}' AS kind, e - length(vals[k]) AS s, e FROM (SELECT doc_id, k, vals, own,
+          (list_sum(list_transform(gaps[1:k], lambda g: length(g))) + list_sum(list_transform(vals[1:k], lambda v: length(v))))::BIGINT AS e FROM (
+          SELECT doc_id, string_split_regex(text, {p}) AS gaps, regexp_extract_all(text, {p}) AS vals, regexp_extract_all(text, {p}, {group}) AS own FROM '{path}' WHERE regexp_matches(text, {p})),
+          unnest(range(1, len(vals) + 1)) AS u(k)) WHERE length(own[k]) >= {least}""")
+    sql = f"""SELECT d.doc_id, count(*) FILTER (kind = 'assign'), count(*) FILTER (kind = 'access'), count(*) FILTER (kind = 'hex'),
+      sha256(coalesce(string_agg(kind || ':' || s || ':' || e, ',' ORDER BY s, ord), '')) FROM '{path}' d LEFT JOIN ({' UNION ALL '.join(parts)}) f USING (doc_id) GROUP BY d.doc_id"""
+    got = S.secret_digests(spark.read.parquet(path)).select("doc_id", "n_assign", "n_access", "n_hex", "base_sha256").collect()
+    assert sorted(map(tuple, got)) == sorted(duckdb.sql(sql).fetchall())

@@ -4,13 +4,19 @@ stand in a credential context.
 The dynamic programme segments a value into words, dates, repeats, keyboard walks and brute-force
 spans so that the product of their guess counts is least. A value whose least cost reaches the
 threshold could hardly be guessed, so it is taken for a secret.
+
+Words are of two kinds: a short list of password words, and the letter pieces of a public tokenizer's
+vocabulary, whose merge order ranks the words and syllables of many languages by how common they are.
+So prose after a credential word ("the password is required") costs little and isn't a secret.
 """
 
 from __future__ import annotations
 
+import base64
 import hashlib
 import re
 from dataclasses import dataclass
+from functools import lru_cache
 from math import log10
 
 from pyspark.sql import Column, DataFrame
@@ -25,13 +31,17 @@ ACCESS = re.compile(r"AKIA[A-Z0-9]{12,}")
 HEX = re.compile(r"[0-9a-f]{32,}")
 ASSIGN_WORDS = ("password", "passwd", "secret", "token", "apikey", "api_key")
 
-# The contexts of the method, wider than the base patterns.
+# The contexts of the method, wider than the base patterns. A credential word begins where
+# no letter stands before it, or at a capital after a small letter ("dbPassword"); group 1 is set in prose.
 CONTEXT = re.compile(
+    r"""(?:(?<![A-Za-z])|(?-i:(?<=[a-z])(?=[A-Z])))"""
     r"""(?:pass(?:word|wd|phrase|code)?|pwd|secret|token|api[_-]?key|access[_-]?key|private[_-]?key|credentials?|bearer|auth)"""
-    r"""["']?(?:\x20*(?:=>|:=|[:=])\x20*|\x20+is\x20+)["']?([^\s"'<>,;]{6,})""",
+    r"""["']?(?:\x20*(?:=>|:=|[:=])\x20*|(\x20+is\x20+))["']?([^\s"'<>,;]{6,})""",
     re.IGNORECASE | re.ASCII,
 )
 CONTEXT_WORDS = ("pass", "pwd", "secret", "token", "key", "credential", "bearer", "auth")
+#: Values that only point to a secret: addresses without credentials, and variables of templates and shells.
+REFERENCE = re.compile(r"https?://[^@]*\Z|\$\{|\$\(|\{\{|\$[A-Za-z_]\w*\Z|%[sd(]|\w+\(\)\Z", re.IGNORECASE | re.ASCII)
 
 # Frequent words of passwords, most frequent first; a word's rank is its guess count.
 WORDS = """password qwerty admin welcome login letmein dragon monkey master sunshine princess football baseball shadow
@@ -46,8 +56,34 @@ LEET = str.maketrans({"@": "a", "4": "a", "8": "b", "3": "e", "1": "l", "!": "i"
 KEY_ROWS = ("`1234567890-=", "qwertyuiop[]\\", "asdfghjkl;'", "zxcvbnm,./")
 DATE = re.compile(r"(?:\d{4}([-/._]?)\d{1,2}\1\d{1,2}|\d{1,2}([-/._]?)\d{1,2}\2(?:\d{4}|\d{2})|(?:19|20)\d\d)", re.ASCII)
 
-RANKS = {word: rank for rank, word in reversed(list(enumerate(WORDS, 1)))}
-LONGEST = max(map(len, WORDS))
+SMALL_LETTERS = {a: a + 32 for a in range(65, 91)}
+#: Letters of the longest word that is looked up.
+LONGEST = 16
+VOCABULARY = "byte_bpe_multi_50k.tiktoken"
+
+
+def folded(text: str) -> str:
+    """A-Z in lower case and nothing else, so that every sign keeps its place."""
+    return text.translate(SMALL_LETTERS)
+
+
+@lru_cache(maxsize=2)
+def lexicon(vocabulary: str | None) -> dict[str, float]:
+    """log10 of the rank of each known word.
+
+    ``vocabulary`` is the path of a public tokenizer's rank file, or its name alone for an installed
+    one; its pieces of three letters and more follow the password words in their order. None leaves
+    the password words."""
+    words = dict.fromkeys(WORDS)
+    if vocabulary:
+        if "/" not in vocabulary:
+            import public_tokenizers
+
+            vocabulary = public_tokenizers.path(vocabulary)
+        with open(vocabulary, "rb") as lines:
+            pieces = [base64.b64decode(line.split()[0]).decode("utf-8", "ignore").strip() for line in lines if line.strip()]
+        words.update(dict.fromkeys(folded(p) for p in pieces if p.isalpha() and 3 <= len(p) <= LONGEST))
+    return {word: log10(rank) for rank, word in enumerate(words, 1)}
 
 
 def _neighbours() -> set[tuple[str, str]]:
@@ -81,20 +117,20 @@ def _run_ends(value: str, linked) -> list[int]:
     return ends
 
 
-def _matches(value: str) -> list[list[tuple[int, float]]]:
+def _matches(value: str, words: dict[str, float]) -> list[list[tuple[int, float]]]:
     """For each start, (end, log10 of guesses) of what can be guessed as one thing."""
-    n, low = len(value), value.lower()
+    n, low = len(value), folded(value)
     plain = low.translate(LEET)
     found: list[list[tuple[int, float]]] = [[] for _ in range(n)]
     walks = _run_ends(low, lambda a, b: (a, b) in NEIGHBOURS)
     for i in range(n):
         for end in range(i + 3, min(n, i + LONGEST) + 1):
             for form in {low[i:end], plain[i:end]}:
-                if form in RANKS:
+                if form in words:
                     upper = sum(c.isupper() for c in value[i:end])
                     leet = sum(a != b for a, b in zip(low[i:end], form, strict=True))
                     extra = (0.3 if upper in (1, end - i) else 0.3 * upper) + 0.3 * leet
-                    found[i].append((end, log10(RANKS[form]) + extra))
+                    found[i].append((end, words[form] + extra))
         date = DATE.match(value, i)
         if date:
             found[i].append((date.end(), log10(365 * 120 if date.end() - i > 4 else 120)))
@@ -113,8 +149,8 @@ def _matches(value: str) -> list[list[tuple[int, float]]]:
     return found
 
 
-def guess_cost(value: str) -> float:
-    """log10 of the guesses of the cheapest segmentation; 0 for an empty value.
+def guess_cost(value: str, vocabulary: str | None = VOCABULARY) -> float:
+    """log10 of the guesses of the cheapest segmentation; 0 for an empty value. See lexicon() for vocabulary.
 
     Every part after the first costs another factor of two, as the guesser must also find the cut.
     Time is linear in the length of the value."""
@@ -124,7 +160,7 @@ def guess_cost(value: str) -> float:
     far = float("inf")
     brute, matched = [far] * (n + 1), [far] * (n + 1)
     matched[0] = -cut
-    found = _matches(value)
+    found = _matches(value, lexicon(vocabulary))
     for i in range(n):
         best = min(brute[i], matched[i])
         brute[i + 1] = min(brute[i + 1], min(brute[i], matched[i] + cut) + _brute(value[i]))
@@ -136,9 +172,12 @@ def guess_cost(value: str) -> float:
 
 @dataclass(frozen=True)
 class SecretRules:
-    """least: log10 of guesses from which a value in a credential context is a secret."""
+    """least: log10 of guesses from which an assigned value is a secret. prose: the same for values after
+    "is", where words follow more often than secrets do. vocabulary: see lexicon()."""
 
     least: float = 9.0
+    prose: float = 11.0
+    vocabulary: str | None = VOCABULARY
 
 
 def find_secrets(text: str, rules: SecretRules = SecretRules()) -> list[tuple[str, int, int, float]]:
@@ -147,7 +186,7 @@ def find_secrets(text: str, rules: SecretRules = SecretRules()) -> list[tuple[st
     Offsets count code points and ends are exclusive. The first three kinds are the base patterns and
     span the whole match, their cost is 0; ``guess`` spans the value found by the method."""
     spans = []
-    low = text.lower()
+    low = folded(text)
     if any(w in low for w in ASSIGN_WORDS):
         spans += [(m.start(), 0, m.end(), 0.0) for m in ASSIGN.finditer(text) if m.end(2) - m.start(2) >= 8]
     if "AKIA" in text:
@@ -155,9 +194,12 @@ def find_secrets(text: str, rules: SecretRules = SecretRules()) -> list[tuple[st
     spans += [(m.start(), 2, m.end(), 0.0) for m in HEX.finditer(text)]
     if any(w in low for w in CONTEXT_WORDS):
         for m in CONTEXT.finditer(text):
-            value = m[1].rstrip(".:!?)]}")
-            if len(value) >= 6 and (cost := guess_cost(value)) >= rules.least:
-                spans.append((m.start(1), 3, m.start(1) + len(value), cost))
+            value = m[2].rstrip(".:!?)]}")
+            if len(value) < 6 or REFERENCE.search(m[2]):
+                continue
+            cost = guess_cost(value, rules.vocabulary)
+            if cost >= (rules.prose if m[1] else rules.least):
+                spans.append((m.start(2), 3, m.start(2) + len(value), cost))
     return [(KINDS[kind], start, end, cost) for start, kind, end, cost in sorted(spans)]
 
 
@@ -185,7 +227,8 @@ def scan_secrets(
     """(doc_id, spans array<struct<kind, start, end, log10_guesses>>, redacted): one row for each row.
 
     A null text counts as empty and has no spans; its redacted text stays null. Texts of any length
-    are scanned whole. Null ids stay null, repeated rows give repeated rows, an empty table gives an
+    and of any signs are scanned whole. The vocabulary is opened on the executors, so it must lie where
+    every machine has it, as installed packages do. Null ids stay null, repeated rows give repeated rows, an empty table gives an
     empty table, and other columns aren't read."""
     schema = "doc_id long, spans array<struct<kind:string,start:int,end:int,log10_guesses:double>>, redacted string"
 
