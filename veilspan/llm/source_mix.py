@@ -1,14 +1,17 @@
 """Mixing sources to target weights by iterative proportional fitting, in DataFrame expressions alone.
 
-Token counts are summed over cells of source, language and topic. Raking scales the cells' weights to
-each target marginal in turn, again and again, until all hold together. A cell's sampling factor is
-its raked weight over its tokens; one scale for all factors, capped at certainty, meets the token
-budget in expectation. Each document is then kept with its cell's probability, by a number that
-depends on its id alone.
+Token counts are summed over cells of source, language and topic. A cell keeps min(tokens, w) tokens in
+expectation; raking scales the cells' w to each target marginal in turn, again and again, until the
+*kept* tokens of all marginals hold together. So a cell that can't give more than it has is filled by
+the others of its marginals, and what is sampled meets the targets, not only the weights. Each document
+is kept with its cell's probability, by a number that depends on its id alone.
+
+A budget may ask for more of a value than there is. Then the budget is lowered step by step until the
+targets can be met; values that no step meets are named in a column.
 
 Only values named in the targets have cells of their own, all others (and nulls) share one, so the
 number of cells is bounded by the targets, whatever the number of sources; the bound is checked. The
-fit runs over one row that holds all cells, and the cells' probabilities are broadcast.
+fit runs over one row that holds the grid of all cells, and the cells' probabilities are broadcast.
 """
 
 from __future__ import annotations
@@ -19,38 +22,48 @@ from math import prod
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from veilspan.session import materialize, written
+
 #: Cells that a fit may have.
 MOST_CELLS = 20_000
 OTHER = "(other)"
 WORD = "[^\\x20\\x09-\\x0D]+"
-# Signs of a topic in a text, the first that holds decides.
-TOPICS = (("legal", "(?i)licen[cs]e|copyright|released under"), ("reference", "[0-9]{3}|@"), ("general", ""))
+#: Words to a hit above which a text isn't of a topic; steps of the budget and their factor; how near a share must be.
+RARE, STEPS, SHRINK, NEAR = 200, 12, 0.85, 0.0005
+# The beginnings of words, and the signs, that speak for a topic.
+TOPICS = {
+    "legal": "licen[cs]|lizen[zs]|licenci|copyright|urheber|derechos|droits|warrant|liabilit|haftung|gew[äa]hr|responsab|patent|redistribut|released under|terms of|all rights",
+    "commerce": "subscri|abonn|suscri|discount|rabatt|descuento|promo|buy now|add to cart|warenkorb|panier|carrito|shipping|versand|free trial|special offer|click here",
+}
+REFERENCE, GENERAL = "[0-9]{3}|@", "general"
+
 
+def _stems(stems: str) -> str:
+    return f"(?i)(?:^|[^A-Za-z])(?:{stems})"
 
-def topic_of(text: Column) -> Column:
-    """The topic of a text by the first sign that it holds; null and empty texts are general."""
-    body, found = F.coalesce(text, F.lit("")), None
-    for name, sign in TOPICS:
-        if found is None:
-            found = F.when(body.rlike(sign), name)
-        elif sign:
-            found = found.when(body.rlike(sign), name)
-        else:
-            found = found.otherwise(name)
-    return found
+
+def topic_of(text: Column, tokens: Column) -> Column:
+    """The topic whose signs occur most often in a text, with RARE words to a hit at most; ties go to the
+    first in order, texts without enough signs, null and empty ones are general."""
+    body = F.coalesce(text, F.lit(""))
+    hits = [(name, F.regexp_count(body, F.lit(_stems(stems)))) for name, stems in TOPICS.items()]
+    hits.append(("reference", F.regexp_count(body, F.lit(REFERENCE))))
+    order = F.array(*[F.struct(n.alias("hits"), F.lit(-k).alias("by"), F.lit(name).alias("topic")) for k, (name, n) in enumerate(hits)])
+    return _let(F.array_max(order), lambda best: F.when((best["hits"] > 0) & (best["hits"] * RARE >= tokens), best["topic"]).otherwise(GENERAL))
 
 
 @dataclass(frozen=True)
 class Targets:
     """Weights by value for each marginal; values that aren't named share one cell and keep their natural
     weight, and named values without any tokens leave theirs to the others. budget: the share of all
-    tokens to keep, in expectation. rounds: of raking. seed: of the documents' numbers."""
+    tokens to keep, in expectation; less where the targets can't be met with so many. rounds: of
+    raking. seed: of the documents' numbers."""
 
     source: dict[str, float] = field(default_factory=lambda: {f"src{i}": 1.0 for i in range(20)})
     lang: dict[str, float] = field(default_factory=lambda: {"en": 0.55, "de": 0.15, "fr": 0.15, "es": 0.15})
-    topic: dict[str, float] = field(default_factory=lambda: {"general": 0.85, "reference": 0.1, "legal": 0.05})
+    topic: dict[str, float] = field(default_factory=lambda: {"general": 0.85, "reference": 0.1, "legal": 0.04, "commerce": 0.01})
     budget: float = 0.7
-    rounds: int = 50
+    rounds: int = 100
     seed: int = 8
 
     def marginals(self) -> dict[str, dict[str, float]]:
@@ -62,6 +75,10 @@ class Targets:
             raise ValueError("target weights must be positive")
         return found
 
+    def budgets(self) -> list[float]:
+        """The budgets that are tried, in turn."""
+        return [self.budget * SHRINK**k for k in range(STEPS)]
+
 
 def _index(value: Column, names: list[str]) -> Column:
     """1 and up for named values, 0 for all others."""
@@ -76,93 +93,95 @@ def _let(value: Column, body) -> Column:
     return F.element_at(F.transform(F.array(value), body), 1)
 
 
-def _rake(cells: Column, dim: str, goals: Column, size: int) -> Column:
-    """One scaling of the cells' weights to the goals (array by index) of one dimension."""
-
-    def totals(cells):
-        return F.transform(
-            F.sequence(F.lit(0), F.lit(size - 1)),
-            lambda i: F.aggregate(F.filter(cells, lambda c: c[dim] == i), F.lit(0.0), lambda a, c: a + c["w"]),
-        )
-
-    def scaled(c, ratio):
-        return F.struct(*[c[x].alias(x) for x in ("source", "lang", "topic", "tokens")], (c["w"] * F.get(ratio, c[dim])).alias("w"))
-
-    def ratios(sums):
-        return F.zip_with(goals, sums, lambda g, s: F.when(s > 0, g / s).otherwise(0.0))
-
-    return _let(ratios(totals(cells)), lambda ratio: F.transform(cells, lambda c: scaled(c, ratio)))
-
-
-def _goals(cells: Column, dim: str, weights: dict[str, float]) -> Column:
-    """The tokens that each index of a dimension should have; they sum to all tokens."""
-
-    def present(i):
-        return F.aggregate(F.filter(cells, lambda c: c[dim] == i), F.lit(0.0), lambda a, c: a + c["tokens"])
-
-    natural = F.transform(F.sequence(F.lit(0), F.lit(len(weights))), present)
-    wanted = F.array(F.lit(0.0), *[F.lit(float(w)) for w in weights.values()])
-
-    def spread(natural):
-        total = F.aggregate(natural, F.lit(0.0), lambda a, x: a + x)
-        live = F.zip_with(wanted, natural, lambda w, n: F.when(n > 0, w).otherwise(0.0))
-        of_all = F.aggregate(live, F.lit(0.0), lambda a, x: a + x)
-        rest = total - F.get(natural, F.lit(0))
-        return F.transform(live, lambda w, i: F.when(i == 0, F.get(natural, F.lit(0))).otherwise(F.when(of_all > 0, w / of_all * rest).otherwise(0.0)))
-
-    return _let(natural, spread)
+class Grid:
+    """SQL over arrays of the whole grid of cells, source-major: ``t`` has the tokens, ``w`` the weights."""
+
+    def __init__(self, targets: Targets):
+        self.targets, self.dims = targets, targets.marginals()
+        self.sizes = {d: len(m) + 1 for d, m in self.dims.items()}
+        self.cells = prod(self.sizes.values())
+        names = list(self.sizes)
+        self.inner = {d: prod(self.sizes[x] for x in names[k + 1 :]) for k, d in enumerate(names)}
+
+    def place(self, dim: str, i: str, n: str) -> str:
+        """The place of the n-th cell of a dimension's index i."""
+        inner = self.inner[dim]
+        return f"(CAST({n} DIV {inner} AS int) * {inner * self.sizes[dim]} + {i} * {inner} + {n} % {inner})"
+
+    def index(self, dim: str, place: str) -> str:
+        return f"(CAST({place} DIV {self.inner[dim]} AS int) % {self.sizes[dim]})"
+
+    def sums(self, dim: str, value: str) -> str:
+        """array<double>: for each index of a dimension the sum of ``value``, SQL over the place ``p``."""
+        return f"""transform(sequence(0, {self.sizes[dim] - 1}), i -> aggregate(transform(sequence(0, {self.cells // self.sizes[dim] - 1}), n -> {self.place(dim, 'i', 'n')}),
+          0D, (a, p) -> a + {value}))"""
+
+    def goals(self, dim: str) -> str:
+        """array<double>: the share of the kept tokens that each index should have; all sum to one."""
+        wanted = ", ".join(["0D", *(f"{float(w)!r}D" for w in self.dims[dim].values())])
+        return f"""transform(array({self.sums(dim, 'get(t, p)')}), own -> transform(array(aggregate(zip_with(own, array({wanted}), (o, g) -> if(o > 0, g, 0D)), 0D, (a, g) -> a + g)),
+          live -> zip_with(own, transform(array({wanted}), (g, i) -> if(i = 0, -1D, g)), (o, g) -> CASE WHEN total <= 0 THEN 0D WHEN g < 0 THEN o / total
+            WHEN o > 0 AND live > 0 THEN g / live * (total - get(own, 0)) / total ELSE 0D END))[0])[0]"""
+
+    def rake(self, dim: str, w: str) -> str:
+        """The weights after one scaling of a dimension. Of an index's kept tokens those of full cells are
+        given, so the others are scaled to the rest; where no rest is left, all are scaled alike."""
+        full, free = (self.sums(dim, f"if(get(w, p) {sign} get(t, p), get({what}, p), 0D)") for sign, what in ((">=", "t"), ("<", "w")))
+        ratio = f"""zip_with(zip_with({full}, {free}, (c, f) -> struct(c, f)), goal_{dim}, (x, g) -> CASE WHEN x.c + x.f <= 0 THEN 0D
+          WHEN x.f > 0 AND b * total * g > x.c THEN (b * total * g - x.c) / x.f ELSE b * total * g / (x.c + x.f) END)"""
+        scaled = f"transform(w, (v, p) -> least(get(t, p) * 1e9D, v * get(ratio, {self.index(dim, 'p')})))"
+        return f"transform(array({w}), w -> transform(array({ratio}), ratio -> {scaled})[0])[0]"
+
+    def off(self, dim: str) -> str:
+        """array<double>: how far each index's share of the kept tokens lies from its goal."""
+        return f"zip_with({self.sums(dim, 'least(get(t, p), get(w, p))')}, goal_{dim}, (k, g) -> abs(k / kept - g))"
+
+    def offs(self) -> str:
+        kept = "aggregate(zip_with(t, w, (x, y) -> least(x, y)), 0D, (a, x) -> a + x)"
+        return f"transform(array({kept}), kept -> if(kept > 0, concat({', '.join(self.off(d) for d in self.dims)}), array(0D)))[0]"
+
+    def fitted(self) -> str:
+        """struct<w, b, ok>: the weights of the first budget with which all shares come near their goals, else of the last."""
+        once = "w"
+        for d in self.dims:
+            once = self.rake(d, once)
+        raked = f"aggregate(sequence(1, {self.targets.rounds}), transform(t, x -> x * b), (w, r) -> {once})"
+        ok = f"forall({self.offs()}, x -> x <= {NEAR}D)"
+        tried = f"transform(array({raked}), w -> struct(w AS w, b AS b, {ok} AS ok))[0]"
+        budgets = ", ".join(f"{b!r}D" for b in self.targets.budgets())
+        return f"""aggregate(array({budgets}), struct(CAST(NULL AS array<double>) AS w, 0D AS b, false AS ok), (best, b) -> if(best.ok, best, {tried}))"""
+
+    def missed(self) -> str:
+        """The names of the values whose shares stay off their goals, by comma."""
+        names = [f"'{d}={v}'" for d, m in self.dims.items() for v in (OTHER, *(x.replace("'", "\\'") for x in m))]
+        return f"array_join(filter(zip_with({self.offs()}, array({', '.join(names)}), (x, n) -> if(x > {2 * NEAR}D, n, NULL)), n -> n IS NOT NULL), ',')"
 
 
 def cell_probabilities(cells: DataFrame, targets: Targets) -> DataFrame:
-    """(source_no, lang_no, topic_no, weight, probability) from (source_no, lang_no, topic_no, tokens).
-
-    weight is the cell's share of tokens in the target mix. Cells without tokens cost nothing and are
-    kept for certain."""
-    dims = targets.marginals()
-    packed = F.struct(
-        F.col("source_no").alias("source"), F.col("lang_no").alias("lang"), F.col("topic_no").alias("topic"),
-        F.col("tokens").cast("double").alias("tokens"), F.col("tokens").cast("double").alias("w"),
-    )
-    one = cells.agg(F.array_sort(F.collect_list(packed)).alias("cells"))
-    one = one.select("cells", *[_goals(F.col("cells"), d, w).alias(f"goal_{d}") for d, w in dims.items()])
-
-    def raked(dim: str, size: int):
-        return lambda cells: _rake(cells, dim, F.col(f"goal_{dim}"), size)
-
-    def step(cells, _):
-        for d, w in dims.items():
-            cells = _let(cells, raked(d, len(w) + 1))
-        return cells
-
-    one = one.select(F.aggregate(F.sequence(F.lit(1), F.lit(targets.rounds)), F.col("cells"), step).alias("cells"))
-    one = one.select("cells", F.aggregate("cells", F.lit(0.0), lambda a, c: a + c["tokens"]).alias("total"))
-    factor = lambda c: F.when(c["tokens"] > 0, c["w"] / c["tokens"]).otherwise(0.0)
-    kept = lambda scale: F.aggregate("cells", F.lit(0.0), lambda a, c: a + c["tokens"] * F.least(F.lit(1.0), scale * factor(c)))
-    least = F.array_min(F.filter(F.transform("cells", factor), lambda f: f > 0))
-    one = one.select("cells", "total", (1.0 / least).alias("top"))
-
-    def halve(ends, _):
-        mid = (ends["low"] + ends["high"]) / 2
-        return _let(
-            F.struct(mid.alias("mid"), (kept(mid) >= F.col("total") * targets.budget).alias("enough")),
-            lambda x: F.struct(
-                F.when(x["enough"], ends["low"]).otherwise(x["mid"]).alias("low"),
-                F.when(x["enough"], x["mid"]).otherwise(ends["high"]).alias("high"),
-            ),
-        )
-
-    ends = F.aggregate(
-        F.sequence(F.lit(1), F.lit(100)),
-        F.struct(F.lit(0.0).alias("low"), F.coalesce("top", F.lit(1.0)).alias("high")),
-        halve,
-        lambda e: e["high"],
+    """(source_no, lang_no, topic_no, weight, probability, budget, missed) from (source_no, lang_no, topic_no, tokens).
+
+    weight is the cell's share of the kept tokens in expectation, budget the share of all tokens that is
+    kept, missed the values whose share of the kept tokens lies more than 0.001 off its target. Cells
+    without tokens cost nothing and are kept for certain."""
+    grid = Grid(targets)
+    at = F.col("source_no") * grid.inner["source"] + F.col("lang_no") * grid.inner["lang"] + F.col("topic_no")
+    known = cells.select(at.cast("long").alias("id"), F.col("tokens").cast("double").alias("tokens"))
+    whole = cells.sparkSession.range(grid.cells).join(known, "id", "left")
+    one = whole.agg(F.array_sort(F.collect_list(F.struct("id", F.coalesce("tokens", F.lit(0.0)).alias("tokens")))).alias("c"))
+    one = one.selectExpr("transform(c, x -> x.tokens) AS t").selectExpr("t", "aggregate(t, 0D, (a, x) -> a + x) AS total")
+    one = one.selectExpr("t", "total", *[f"{grid.goals(d)} AS goal_{d}" for d in grid.dims])
+    one = one.selectExpr("*", f"{grid.fitted()} AS fit").selectExpr("*", "fit.w AS w", "fit.b AS b")
+    one = one.selectExpr("t", "w", f"{grid.missed()} AS missed", "aggregate(zip_with(t, w, (x, y) -> least(x, y)), 0D, (a, x) -> a + x) AS kept", "total")
+    one = materialize(one)  # one row; keeps the fit from being computed again for each column
+    rows = one.selectExpr("posexplode(arrays_zip(t, w)) AS (p, c)", "kept", "total", "missed")
+    share = F.when(F.col("c.t") > 0, F.least("c.t", "c.w"))
+    return rows.select(
+        *[F.expr(grid.index(d, "p")).alias(f"{d}_no") for d in grid.dims],
+        F.round(F.coalesce(share / F.nullif("kept", F.lit(0.0)), F.lit(0.0)), 9).alias("weight"),
+        F.round(F.coalesce(share / F.col("c.t"), F.lit(1.0)), 9).alias("probability"),
+        F.round(F.coalesce(F.col("kept") / F.nullif("total", F.lit(0.0)), F.lit(1.0)), 9).alias("budget"),
+        "missed",
     )
-    one = one.select("cells", "total", ends.alias("scale")).select("total", "scale", F.explode("cells").alias("c"))
-    return one.select(
-        F.col("c.source").alias("source_no"), F.col("c.lang").alias("lang_no"), F.col("c.topic").alias("topic_no"),
-        F.round(F.when(F.col("total") > 0, F.col("c.w") / F.col("total")).otherwise(0.0), 9).alias("weight"),
-        F.round(F.when(F.col("c.tokens") > 0, F.least(F.lit(1.0), F.col("scale") * factor(F.col("c")))).otherwise(1.0), 9).alias("probability"),
-    )
 
 
 def draw_number(doc_id: Column, seed: int) -> Column:
@@ -172,18 +191,24 @@ def draw_number(doc_id: Column, seed: int) -> Column:
 
 
 def calibrated(df: DataFrame, targets: Targets = Targets(), keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
-    """The columns of ``keep`` and (mix_source, mix_lang, mix_topic, tokens, weight, probability, selected), a row for each row.
+    """The columns of ``keep`` and (mix_source, mix_lang, mix_topic, tokens, weight, probability, budget, missed, selected),
+    a row for each row.
 
     Tokens are words between ASCII white space; a null text has none. Unnamed and null values show as
-    ``(other)``. Null ids share one number. An empty table gives an empty table."""
+    ``(other)``. Null ids share one number. An empty table gives an empty table. The texts are read once:
+    what the fit needs of them is written to the shared folder with the columns of ``keep``."""
     dims = targets.marginals()
-    values = {"source": df["source"], "lang": df["lang"], "topic": topic_of(df["text"])}
     rows = df.select(
         *[df[c].alias(f"keep_{c}") for c in keep],
         F.coalesce(F.regexp_count(df["text"], F.lit(WORD)), F.lit(0)).cast("long").alias("tokens"),
         draw_number(df["doc_id"], targets.seed).alias("number"),
-        *[_index(values[d], list(w)).alias(f"{d}_no") for d, w in dims.items()],
+        df["source"].alias("__source"), df["lang"].alias("__lang"), df["text"].alias("__text"),
+    )
+    values = {"source": F.col("__source"), "lang": F.col("__lang"), "topic": topic_of(F.col("__text"), F.col("tokens"))}
+    rows = rows.select(
+        *[f"keep_{c}" for c in keep], "tokens", "number", *[_index(values[d], list(w)).alias(f"{d}_no") for d, w in dims.items()]
     )
+    rows = written(rows, "source-mix")
     keys = [f"{d}_no" for d in dims]
     cells = cell_probabilities(rows.groupBy(*keys).agg(F.sum("tokens").alias("tokens")), targets)
     joined = rows.join(F.broadcast(cells), keys, "left")
@@ -196,6 +221,8 @@ def calibrated(df: DataFrame, targets: Targets = Targets(), keep: tuple[str, ...
         "tokens",
         "weight",
         "probability",
+        "budget",
+        "missed",
         (F.col("number") < F.col("probability")).alias("selected"),
     )
 
@@ -207,51 +234,60 @@ def sample_mix(df: DataFrame, targets: Targets = Targets()) -> DataFrame:
 
 
 def oracle(targets: Targets = Targets()) -> str:
-    """DuckDB SQL for calibrated() over documents: raking in a recursive query, the scale in closed form."""
+    """DuckDB SQL for calibrated() over documents: raking of all budgets in a recursive query."""
+    dims = targets.marginals()
+
     def number(d, value):
-        return "CASE " + " ".join(f"WHEN {value} = '{n}' THEN {i}" for i, n in enumerate(targets.marginals()[d], 1)) + " ELSE 0 END"
+        return "CASE " + " ".join(f"WHEN {value} = '{n}' THEN {i}" for i, n in enumerate(dims[d], 1)) + " ELSE 0 END"
 
     def named(d):
-        return f"CASE {d}_no WHEN 0 THEN '{OTHER}' " + " ".join(f"WHEN {i} THEN '{n}'" for i, n in enumerate(targets.marginals()[d], 1)) + " END"
+        return f"CASE {d}_no WHEN 0 THEN '{OTHER}' " + " ".join(f"WHEN {i} THEN '{n}'" for i, n in enumerate(dims[d], 1)) + " END"
 
     def goal(d):
-        weights = " ".join(f"WHEN {i} THEN {float(w)!r}" for i, w in enumerate(targets.marginals()[d].values(), 1))
+        weights = " ".join(f"WHEN {i} THEN {float(w)!r}" for i, w in enumerate(dims[d].values(), 1))
         return f"""goal_{d} AS (
-      SELECT k, CASE WHEN k = 0 THEN n ELSE coalesce(w / nullif(sum(w) OVER (), 0), 0) * (sum(n) OVER () - sum(CASE WHEN k = 0 THEN n ELSE 0 END) OVER ()) END AS goal
+      SELECT k, coalesce(CASE WHEN k = 0 THEN n / sum(n) OVER () ELSE w / nullif(sum(w) OVER (), 0) * (1 - sum(CASE WHEN k = 0 THEN n ELSE 0 END) OVER () / sum(n) OVER ()) END, 0) AS goal
       FROM (SELECT {d}_no AS k, sum(tokens)::DOUBLE AS n, CASE WHEN sum(tokens) > 0 THEN (CASE {d}_no {weights} ELSE 0 END)::DOUBLE ELSE 0 END AS w FROM cells GROUP BY 1))"""
 
     def rake(d, inner):
-        return f"""SELECT r.* REPLACE (coalesce(r.w * g.goal / nullif(sum(r.w) OVER (PARTITION BY r.{d}_no), 0), 0) AS w)
-          FROM ({inner}) r JOIN goal_{d} g ON g.k = r.{d}_no"""
-
-    topics = " ".join(
-        f"WHEN regexp_matches(coalesce(text, ''), '{sign.removeprefix('(?i)')}', '{'i' if sign.startswith('(?i)') else 'c'}') THEN '{name}'" if sign else f"ELSE '{name}'"
-        for name, sign in TOPICS
+        return f"""SELECT * EXCLUDE (c, f, goal) REPLACE (least(t * 1e9, w * CASE WHEN c + f <= 0 THEN 0 WHEN f > 0 AND b * total * goal > c THEN (b * total * goal - c) / f
+            ELSE b * total * goal / (c + f) END) AS w) FROM (
+          SELECT r.*, g.goal, sum(CASE WHEN r.w >= r.t THEN r.t ELSE 0 END) OVER same AS c, sum(CASE WHEN r.w < r.t THEN r.w ELSE 0 END) OVER same AS f
+          FROM ({inner}) r JOIN goal_{d} g ON g.k = r.{d}_no WINDOW same AS (PARTITION BY r.b, r.{d}_no))"""
+
+    hits = [*((n, "regexp_extract_all(body, '" + _stems(s) + "')") for n, s in TOPICS.items()), ("reference", f"regexp_extract_all(body, '{REFERENCE}')")]
+    topic = "CASE " + " ".join(
+        f"WHEN n_{a} > 0 AND n_{a} * {RARE} >= tokens AND " + " AND ".join(f"n_{a} {'>' if j < i else '>='} n_{b}" for j, (b, _) in enumerate(hits) if j != i) + f" THEN '{a}'"
+        for i, (a, _) in enumerate(hits)
+    ) + f" ELSE '{GENERAL}' END"
+    off = " UNION ALL ".join(
+        f"SELECT b, {i} AS dim, '{d}=' || {named(d)} AS name, k, abs(coalesce(sum(least(t, w)) / nullif(any_value(kept), 0), any_value(goal)) - any_value(goal)) AS far FROM final JOIN goal_{d} ON k = {d}_no GROUP BY b, k, {d}_no"
+        for i, d in enumerate(dims)
     )
+    budgets = ", ".join(f"{b!r}::DOUBLE" for b in targets.budgets())
     return f"""
-    WITH RECURSIVE rows AS (
-      SELECT doc_id, len(regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+'))::BIGINT AS tokens,
-        ('0x' || substr(md5(coalesce(doc_id::VARCHAR, 'null') || '-{targets.seed}'), 1, 8))::BIGINT / 4294967296.0::DOUBLE AS number,
-        {number('source', 'source')} AS source_no, {number('lang', 'lang')} AS lang_no, {number('topic', f'(CASE {topics} END)')} AS topic_no
-      FROM documents),
+    WITH RECURSIVE texts AS (
+      SELECT doc_id, source, lang, coalesce(text, '') AS body, len(regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+'))::BIGINT AS tokens FROM documents),
+    counted AS (SELECT doc_id, source, lang, tokens, {', '.join(f'len({h}) AS n_{n}' for n, h in hits)} FROM texts),
+    rows AS (
+      SELECT doc_id, tokens, ('0x' || substr(md5(coalesce(doc_id::VARCHAR, 'null') || '-{targets.seed}'), 1, 8))::BIGINT / 4294967296.0::DOUBLE AS number,
+        {number('source', 'source')} AS source_no, {number('lang', 'lang')} AS lang_no, {number('topic', f'({topic})')} AS topic_no
+      FROM counted),
     cells AS (SELECT source_no, lang_no, topic_no, sum(tokens)::DOUBLE AS tokens FROM rows GROUP BY ALL),
     {goal('source')}, {goal('lang')}, {goal('topic')},
     raked AS (
-      SELECT 0 AS round, source_no, lang_no, topic_no, tokens, tokens AS w FROM cells
+      SELECT 0 AS round, b, source_no, lang_no, topic_no, tokens AS t, tokens * b AS w, (SELECT sum(tokens) FROM cells) AS total FROM cells, (SELECT unnest([{budgets}]) AS b)
       UNION ALL
-      SELECT round + 1, source_no, lang_no, topic_no, tokens, w FROM (
+      SELECT round + 1, b, source_no, lang_no, topic_no, t, w, total FROM (
         {rake('topic', rake('lang', rake('source', 'SELECT * FROM raked')))}) WHERE round < {targets.rounds}),
-    fitted AS (SELECT *, CASE WHEN tokens > 0 THEN w / tokens ELSE 0 END AS f FROM raked WHERE round = {targets.rounds}),
-    capped AS (
-      -- with the cells of the k greatest factors certain, the scale that meets the budget on the rest
-      SELECT f, source_no, lang_no, topic_no, ({targets.budget} * sum(tokens) OVER () - coalesce(sum(tokens) OVER before, 0))
-        / nullif(sum(tokens * f) OVER () - coalesce(sum(tokens * f) OVER before, 0), 0) AS scale
-      FROM fitted WHERE f > 0 WINDOW before AS (ORDER BY f DESC, source_no, lang_no, topic_no ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
-    chosen AS (SELECT coalesce(first(scale ORDER BY f DESC, source_no, lang_no, topic_no) FILTER (scale * f <= 1 + 1e-12), 1 / min(f)) AS scale FROM capped),
+    final AS (SELECT *, sum(least(t, w)) OVER (PARTITION BY b) AS kept FROM raked WHERE round = {targets.rounds}),
+    offs AS ({off}),
+    chosen AS (SELECT coalesce(max(b) FILTER (worst <= {NEAR}), min(b)) AS b FROM (SELECT b, max(far) AS worst FROM offs GROUP BY b)),
+    named AS (SELECT coalesce(string_agg(name, ',' ORDER BY dim, k) FILTER (far > {2 * NEAR}), '') AS missed FROM offs JOIN chosen USING (b)),
     mixed AS (
-      SELECT source_no, lang_no, topic_no, round(w / nullif(sum(w) OVER (), 0), 9) AS weight,
-        round(CASE WHEN tokens > 0 THEN least(1.0, chosen.scale * f) ELSE 1.0 END, 9) AS probability
-      FROM fitted, chosen)
+      SELECT source_no, lang_no, topic_no, round(CASE WHEN t > 0 THEN coalesce(least(t, w) / nullif(kept, 0), 0) ELSE 0 END, 9) AS weight,
+        round(CASE WHEN t > 0 THEN least(t, w) / t ELSE 1.0 END, 9) AS probability, round(coalesce(kept / nullif(total, 0), 1), 9) AS budget, missed
+      FROM final JOIN chosen USING (b), named)
     SELECT doc_id, {named('source')} AS mix_source, {named('lang')} AS mix_lang, {named('topic')} AS mix_topic, tokens,
-      weight::DOUBLE AS weight, probability::DOUBLE AS probability, number < probability AS selected
+      weight::DOUBLE AS weight, probability::DOUBLE AS probability, budget::DOUBLE AS budget, missed, number < probability AS selected
     FROM rows JOIN mixed USING (source_no, lang_no, topic_no)"""
