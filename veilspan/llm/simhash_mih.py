@@ -26,14 +26,14 @@ from veilspan.llm.arrow import arrow_schema, map_columns
 from veilspan.llm.components import connected_components
 from veilspan.session import materialize
 
-#: Nodes that one part of the index holds on average; and of narrow segments.
-PART_NODES, NARROW_NODES = 1 << 15, 1 << 16
+#: Nodes that one part of the index holds on average; and of narrow segments. Leading bits that a part has at least.
+PART_NODES, NARROW_NODES, LEAST_LEAD = 1 << 15, 1 << 16, 3
 #: Keys of wide segments, or rows of narrow ones, above which a part is cut into chunks.
 PART_KEYS, NARROW_ROWS = 1 << 22, 1 << 20
 #: Bits of the widest segment that counts as narrow.
 NARROW = 16
 #: Pairs compared at once, pairs above which a block is first thinned by pivots, and links held before they are joined.
-BLOCK, THICK, HELD = 1 << 17, 1 << 22, 1 << 21
+BLOCK, THICK, HELD = 1 << 17, 1 << 22, 1 << 19
 #: Members of a key up to which all pairs are verified at once; larger ones are searched breadth first.
 SMALL = 64
 
@@ -268,7 +268,7 @@ def link_nodes(nodes: DataFrame, n_nodes: int, bits: int, segments: int, radius:
     cuts = _segments(bits, segments)
     narrow = max(w for _, w in cuts) <= NARROW
     mean, most = (NARROW_NODES, NARROW_ROWS) if narrow else (PART_NODES, PART_KEYS)
-    lead = min(max(0, (max(1, n_nodes) // mean).bit_length()), min(w for _, w in cuts) - 1)
+    lead = min(max(LEAST_LEAD, (max(1, n_nodes) // mean).bit_length()), min(w for _, w in cuts) - 1)
     size = bits // 64
     names = [f"w{k}" for k in range(size)]
 
