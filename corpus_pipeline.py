@@ -7,16 +7,14 @@ documents; the last returns token ids. Each stage works on all that its predeces
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from veilspan.llm import bpe_monoid, pu_quality, secret_scan, simhash_mih, source_mix
-from veilspan.session import checkpoint_dir
+from veilspan.session import dropped, shared_folder
 from veilspan.sources.tables import read_table, spread
 
-#: Token mix of the corpus: even sources, four languages, four fifths of all tokens.
+#: Token mix of the corpus: even sources, four languages, four fifths of all tokens or as many as the targets allow.
 MIX = source_mix.Targets(budget=0.8)
 
 
@@ -32,11 +30,14 @@ def simhash_near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
     """Keeps the document with the smallest id of each class of near copies.
 
     Five-word shingles; near are estimated similarities of 0.8 or more. Rows with a null id stay;
-    of rows that repeat an id one stays."""
+    of rows that repeat an id one stays, the least by a hash of its columns and then by the columns."""
+    columns = ("text", "lang", "source", "n_chars")
     found = simhash_mih.near_duplicates(docs)
     first = found.where(F.col("doc_id") == F.col("component_id")).select("doc_id").distinct()
-    kept = docs.join(first, "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    return kept.unionByName(docs.where("doc_id is null")).select("doc_id", "text", "lang", "source", "n_chars")
+    kept = docs.join(first, "doc_id", "left_semi")
+    least = F.min(F.struct(F.xxhash64(*columns).alias("by"), *columns))  # the join has dealt the rows by id already
+    kept = kept.groupBy("doc_id").agg(least.alias("row")).select("doc_id", *[f"row.{c}" for c in columns])
+    return kept.unionByName(docs.where("doc_id is null").select("doc_id", *columns))
 
 
 def secret_scan_redaction(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -67,10 +68,15 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over the documents of ``sf_dir``; each stage's rows go through the shared folder."""
+    """All stages over the documents of ``sf_dir``; each stage's rows go through the shared folder, where
+    they are dropped once the next stage's rows are written."""
     docs = spread(read_table(spark, sf_dir, "documents")).select("doc_id", "text", "lang", "source", "n_chars")
-    folder = f"{checkpoint_dir(spark).rstrip('/')}/corpus-pipeline-{uuid.uuid4().hex}"
-    for k, (_, stage) in enumerate(STAGES[:-1]):
-        stage(spark, docs, sf_dir).write.parquet(f"{folder}/{k}")
-        docs = spark.read.parquet(f"{folder}/{k}")
+    before = None
+    for name, stage in STAGES[:-1]:
+        folder = shared_folder(spark, f"corpus-pipeline-{name}")
+        stage(spark, docs, sf_dir).write.parquet(folder)
+        docs = spark.read.parquet(folder)
+        if before:
+            dropped(spark, before)
+        before = folder
     return STAGES[-1][1](spark, docs, sf_dir)
