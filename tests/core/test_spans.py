@@ -1,13 +1,15 @@
 import random
 import re
+import time
 
+import duckdb
 import pytest
 from pyspark.sql import functions as F
 
 from veilspan.functions import spans as S
 from veilspan.operators import chunk, rules
 from veilspan.operators.detect import Detector, detect, detect_routed, exploded, raw_spans
-from veilspan.plans import fixtures
+from veilspan.plans import duck, fixtures
 
 
 def fold(spans, extend):
@@ -133,3 +135,49 @@ def test_routing_finds_the_same_across_the_size_limit(spark):
     lossy = {r.doc_id: r.spans for r in detect_routed(df, lossy=True).collect()}
     assert len(lossy[1]) == len(got[1])
     assert exploded(detect_routed(df.limit(0)), "doc_id").count() == 0
+
+
+def test_long_and_hostile_texts_take_time_in_proportion(spark):
+    """Each repeats what some rule might begin with; quadratic rules or folds would take minutes, recursive ones overflow."""
+    parts = ["a.", "eyJ-", "redis://a:", "-----BEGIN PRIVATE KEY-----", "1 ", "a@", "password=", "https://", "AB12 ", "xapp-1-", "key-", "::1:", "[[A_1]] ", "(212) ", "aws secret ", "=", "machine "]
+    rows = [(p, p * (60_000 // len(p))) for p in parts] + [("host", "a@b" + ".c" * 20_000), ("hosts", "a@b" + ".co" * 20_000 + ".c"), ("mails", "joe.doe@ex.co " * 20_000)]
+    rows += [("mixed", "[[A_1]] joe@ex.co password=hunter2x https://u:p@ex.co " * 1_000)]
+    df = spark.createDataFrame(rows, "k string, t string").repartition(4)
+    detect(df.limit(1), "t").count()
+    began = time.perf_counter()
+    found = {r.k: r.n for r in detect(df, "t").select("k", F.size("spans").alias("n")).collect()}
+    assert time.perf_counter() - began < 60
+    assert found["host"] == 0 and found["hosts"] == 1 and found["mails"] == 20_000 and found["mixed"] == 3_000
+
+
+def test_patterns_equal_their_plain_forms(spark):
+    """Rules with possessive quantifiers and look-arounds find what their plain forms find, as an engine of the plain kind has it."""
+    pools = {
+        "EMAIL_ADDRESS": ["a", "Z9", "_", ".", "..", "-", "+", "@", "co", "com", " ", "1", "x@y.zz"],
+        "JWT": ["eyJ", "eyJabcdefghij", ".", ".eyJabcdefghij.abcdefghijk", "eyJabcdefghij.eyJabcdefghij.abcdefghijk", "-", " ", "x", "_"],
+        "DB_CONNECTION_URL": ["redis://", "mysql://u:", "postgresql://a:b", "@", ":", "/", "x", " ", '"', "u:p@h", "MongoDB+srv://"],
+    }
+    rng = random.Random(4)
+    con = duckdb.connect()
+    for rule in rules.DEFAULT_RULES:
+        if rule.entity in pools:
+            texts = ["".join(rng.choices(pools[rule.entity], k=rng.randrange(1, 14))) for _ in range(3000)]
+            df = spark.createDataFrame(list(enumerate(texts)), "id int, text string")
+            con.register("texts", df.toPandas())
+            got = df.select("id", F.explode(S.match_offsets("text", rule.pattern, rule.group)).alias("m")).select("id", "m.start", "m.value").collect()
+            want = con.execute(f"SELECT id, s, value FROM ({duck.matches('texts', 'id', 'text', rule.plain)})").fetchall()
+            assert len(want) > 100 and sorted(map(tuple, got)) == sorted(want), rule.entity
+
+
+def test_routed_equals_whole_at_every_offset_of_a_cut(spark):
+    token = "ghp_" + "Ab3dEf7hJk" * 4
+    texts = ["x" * (2048 - k) + " " + token + " " + "y " * 1500 for k in range(0, 48)]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    found = {r.doc_id: [tuple(s) for s in r.spans] for r in detect_routed(df).collect()}
+    assert all(s[0] == 2048 - k + 1 and s[1] - s[0] == len(token) for k, (s,) in found.items()) and len(found) == len(texts)
+
+
+def test_ipv6(spark):
+    df = spark.createDataFrame([("fe80::1 2001:db8:0:0:0:0:0:1 1:2:3:4:5:6:7:8:9 12:30:45 a::b::c ::1",)], "text string")
+    got = [r.text[r.start : r.end] for r in exploded(raw_spans(df, "text", Detector(), "spans"), "text").collect() if r.type == "IP_ADDRESS"]
+    assert got == ["fe80::1", "2001:db8:0:0:0:0:0:1", "::1"]

@@ -33,6 +33,28 @@ def quoted(value: str) -> str:
     return "'" + value.replace("\\", "\\\\").replace("'", "\\'") + "'"
 
 
+#: Spans that a fold holds at hand before it sets them aside, which keeps long folds linear.
+HELD = 64
+
+
+def running_totals_sql(values: str) -> str:
+    """SQL for the sums of an int array up to each place, by doubling: n log n, whatever the length."""
+    steps = "sequence(0, CAST(greatest(0, ceil(log2(size(a))) - 1) AS int))"
+    shifted = "slice(concat(array_repeat(0, shiftleft(1, k)), acc), 1, size(acc))"
+    return f"transform(array({values}), a -> aggregate({steps}, a, (acc, k) -> zip_with(acc, {shifted}, (x, y) -> x + y)))[0]"
+
+
+def running_totals(values: Column) -> Column:
+    """As running_totals_sql, of a column."""
+
+    def double(acc, k):
+        gap = F.array_repeat(F.lit(0), F.call_function("shiftleft", F.lit(1), k))
+        return F.zip_with(acc, F.slice(F.concat(gap, acc), F.lit(1), F.size(acc)), lambda x, y: x + y)
+
+    steps = lambda a: F.sequence(F.lit(0), F.greatest(F.lit(0), F.ceil(F.log2(F.size(a))) - 1).cast("int"))
+    return let(values, lambda a: F.aggregate(steps(a), a, double))
+
+
 def match_offsets_sql(text: str, pattern: str, group: int = 0) -> str:
     """SQL for array<struct<start, end, value>> of the leftmost non-overlapping matches in the SQL value ``text``.
 
@@ -42,13 +64,10 @@ def match_offsets_sql(text: str, pattern: str, group: int = 0) -> str:
     p = quoted(pattern)
     whole = f"regexp_extract_all({text}, {p}, 0)"
     value = f"regexp_extract_all({text}, {p}, {group})" if group else whole
-    return f"""aggregate(
-      filter(zip_with(split({text}, {p}, -1), zip_with({whole}, {value}, (w, v) -> struct(length(w) AS long, v AS value)),
-        (g, s) -> struct(length(g) AS skip, s.long AS long, s.value AS value)), s -> s.long IS NOT NULL),
-      struct(0 AS at, CAST(array() AS array<struct<start:int,end:int,value:string>>) AS out),
-      (acc, s) -> struct(acc.at + s.skip + s.long AS at, concat(acc.out, array(struct(
-        acc.at + s.skip + s.long - length(s.value) AS start, acc.at + s.skip + s.long AS end, s.value AS value))) AS out),
-      acc -> acc.out)"""
+    steps = f"""filter(zip_with(split({text}, {p}, -1), zip_with({whole}, {value}, (w, v) -> struct(length(w) AS long, v AS value)),
+        (g, s) -> struct(length(g) + s.long AS long, s.value AS value)), s -> s.long IS NOT NULL)"""
+    return f"""transform(array({steps}), steps -> zip_with(steps, {running_totals_sql('transform(steps, s -> s.long)')},
+      (s, e) -> struct(e - length(s.value) AS start, e AS end, s.value AS value)))[0]"""
 
 
 def match_offsets(text: str, pattern: str, group: int = 0) -> Column:
@@ -60,8 +79,23 @@ def overlaps(a: Column, b: Column) -> Column:
 
 
 def without_overlaps(spans: Column, safe: Column) -> Column:
-    """Spans that overlap none of ``safe``: the interval anti join, within the row."""
-    return F.filter(spans, lambda s: ~F.exists(safe, lambda z: overlaps(s, z)))
+    """Spans that overlap none of ``safe``, which are disjoint and in order: the interval anti join, within the row.
+
+    Few safe stretches are tried one by one, many by bisection for the first that ends after the span's start."""
+
+    def first_after(s):
+        def halve(ends, _):
+            mid = F.call_function("div", ends["low"] + ends["high"], F.lit(2)).cast("int")
+            later = F.get(safe, mid)["end"] > s["start"]
+            closer = F.struct(F.when(later, ends["low"]).otherwise(mid + 1).alias("low"), F.when(later, mid).otherwise(ends["high"]).alias("high"))
+            return F.when(ends["low"] < ends["high"], closer).otherwise(ends)
+
+        zero = F.struct(F.lit(0).alias("low"), F.size(safe).alias("high"))
+        return F.aggregate(F.sequence(F.lit(1), F.ceil(F.log2(F.size(safe) + 1)).cast("int") + 1), zero, halve, lambda e: F.get(safe, e["low"]))
+
+    few = F.filter(spans, lambda s: ~F.exists(safe, lambda z: overlaps(s, z)))
+    many = F.filter(spans, lambda s: ~F.coalesce(let(first_after(s), lambda z: overlaps(s, z)), F.lit(False)))
+    return F.when(F.size(safe) > HELD, many).otherwise(few)
 
 
 def without_values(spans: Column, text: Column, allowed: list[str]) -> Column:
@@ -98,7 +132,21 @@ def _fold(spans: Column, keys: tuple[str, ...], extend: bool) -> Column:
             .otherwise(kept)
         )
 
-    return F.aggregate(ordered, no_spans(), step)
+    def held(acc, x):
+        """As step, over the spans at hand; all but the last are set aside first when there are many."""
+        now, many = acc["now"], F.size(acc["now"]) > HELD
+        done = F.when(many, F.concat(acc["done"], F.array(F.slice(now, F.lit(1), F.size(now) - 1)))).otherwise(acc["done"])
+        return F.struct(done.alias("done"), step(F.when(many, F.slice(now, -1, 1)).otherwise(now), x).alias("now"))
+
+    zero = F.struct(F.array().cast(f"array<{SPANS}>").alias("done"), no_spans().alias("now"))
+    def apart(spans):
+        """Whether no span begins before the one before it ends: then there is nothing to merge."""
+        n = F.size(spans) - 1
+        gaps = F.zip_with(F.slice(spans, F.lit(1), n), F.slice(spans, F.lit(2), n), lambda a, b: b["s"]["start"] >= a["s"]["end"])
+        return (n < 1) | F.forall(gaps, lambda g: g)
+
+    folded = lambda spans: F.aggregate(spans, zero, held, lambda acc: F.concat(F.flatten(acc["done"]), acc["now"]))
+    return let(ordered, lambda spans: F.when(apart(spans), F.transform(spans, lambda x: x["s"])).otherwise(folded(spans)))
 
 
 def merge_extending(spans: Column) -> Column:
@@ -120,14 +168,14 @@ def add_only(spans: Column, more: Column) -> Column:
 
 def splice(text: Column, spans: Column, replacement) -> Column:
     """The text with each of the disjoint, ordered spans replaced by replacement(span)."""
-    zero = F.struct(F.lit(0).alias("at"), F.array().cast("array<string>").alias("out"))
+    ends = F.transform(spans, lambda s: s["end"])
 
-    def step(acc, s):
-        gap = F.substring(text, acc["at"] + 1, s["start"] - acc["at"])
-        return F.struct(s["end"].alias("at"), F.concat(acc["out"], F.array(gap, replacement(s))).alias("out"))
+    def piece(s, i):
+        at = F.when(i > 0, F.get(ends, i - 1)).otherwise(F.lit(0))
+        return F.concat(F.substring(text, at + 1, s["start"] - at), replacement(s))
 
-    rest = lambda acc: F.concat(F.array_join(acc["out"], ""), F.substring(text, acc["at"] + 1, F.length(text)))
-    return F.aggregate(spans, zero, step, rest)
+    rest = F.substring(text, F.coalesce(F.get(ends, F.size(ends) - 1), F.lit(0)) + 1, F.length(text))
+    return F.concat(F.array_join(F.transform(spans, piece), ""), rest)
 
 
 def shannon_entropy(value: Column) -> Column:

@@ -57,7 +57,10 @@ def confirmed_sql(check: str, value: str, entropy: float) -> str:
 
 def rule_sql(text: str, low: str, rule: Rule, entropy: float) -> str:
     """SQL for the spans of one rule; ``low`` is the text in lower case."""
-    found = S.match_offsets_sql(text, rule.pattern, rule.group)
+    searched = text
+    if rule.tail:  # no start is searched for an end that isn't there
+        searched = f"left({text}, length({text}) - length(element_at(split({text}, {S.quoted(rule.tail)}, -1), -1)))"
+    found = S.match_offsets_sql(searched, rule.pattern, rule.group)
     if rule.check:
         found = f"filter({found}, m -> {confirmed_sql(rule.check, 'm.value', entropy)})"
     made = f"""struct(m.start AS start, m.end AS end, {S.quoted(rule.entity)} AS type,
@@ -65,7 +68,7 @@ def rule_sql(text: str, low: str, rule: Rule, entropy: float) -> str:
     tests = [" OR ".join(f"contains({low if rule.fold else text}, {S.quoted(g)})" for g in rule.guard)] if rule.guard else []
     if rule.digits:
         tests.insert(0, "digits")
-    tests.append(f"{text} RLIKE {S.quoted(rule.pattern)}")  # one search; offsets are only made where it holds
+    tests.append(f"{text} RLIKE {S.quoted(rule.tail or rule.pattern)}")  # one search; offsets are only made where it holds
     return f"CASE WHEN {' AND '.join(f'({t})' for t in tests)} THEN transform({found}, m -> {made}) ELSE CAST(array() AS {S.SPANS}) END"
 
 
@@ -94,25 +97,31 @@ def detect(df: DataFrame, text_col: str = "text", detector: Detector = Detector(
 def detect_routed(
     df: DataFrame, id_col: str = "doc_id", text_col: str = "text", detector: Detector = Detector(), lossy: bool = False
 ) -> DataFrame:
-    """(id, spans): short texts at once, long ones by newline chunks whose spans are re-based and merged.
-
-    Multi-line key blocks are sought in the whole text. ``lossy`` passes over chunks that fail the cheap
-    prefilter, as a compatibility mode; by default every chunk is scanned. Equal chunks are scanned once."""
-    body = F.col(text_col)
-    rows = df.select(F.col(id_col).alias("id"), body.alias("text"))
+    """(id, spans): texts up to LONG_TEXT signs at once, longer ones by size.
+
+    Cutting a text loses what lies across a cut, and all rules take time in proportion to the text, so
+    long texts are scanned whole too: the result is that of detect(). ``lossy`` is the compatibility
+    mode: long texts are cut into newline chunks, chunks that fail the cheap prefilter are passed over,
+    equal chunks of one text are scanned once, and spans are re-based and merged; only multi-line key
+    blocks are sought in the whole text."""
+    rows = df.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
+    if not lossy:
+        return detect(rows, "text", detector).select(F.col("id").alias(id_col), "spans")
     short = detect(rows.where(F.length("text") <= LONG_TEXT), "text", detector).select("id", "spans")
     long = rows.where(F.length("text") > LONG_TEXT)
-    whole = [r for r in detector.rules if r.entity == "PRIVATE_KEY"]
-    chunks = long.select("id", F.posexplode(newline_chunks(F.col("text"))).alias("no", "chunk")).select("id", "no", "chunk.*")
-    if lossy:
-        chunks = chunks.where(F.col("chunk").rlike(PREFILTER))
-    scanned = detect(chunks.select("id", "offset", "chunk"), "chunk", detector)
-    scanned = each_span(scanned, "id", "offset")
+    blocks = tuple(r for r in detector.rules if r.tail)
+    chunks = F.filter(newline_chunks(F.col("text")), lambda c: c["chunk"].rlike(PREFILTER))
+    places = F.transform(
+        F.array_distinct(F.transform(chunks, lambda c: c["chunk"])),
+        lambda t: F.struct(t.alias("chunk"), F.transform(F.filter(chunks, lambda c: c["chunk"] == t), lambda c: c["offset"]).alias("offsets")),
+    )
+    each = long.select("id", F.explode(places).alias("c")).select("id", "c.chunk", "c.offsets")
+    scanned = each_span(detect(each, "chunk", detector), "id", "offsets").select("id", F.explode("offsets").alias("offset"), "s")
     moved = F.struct((F.col("s.start") + F.col("offset")).alias("start"), (F.col("s.end") + F.col("offset")).alias("end"), "s.type", "s.score", "s.detector")
     scanned = scanned.select("id", moved.alias("s"))
-    if whole:
-        blocks = raw_spans(long, "text", Detector(rules=tuple(whole)), "spans")
-        scanned = scanned.unionByName(each_span(blocks, "id"))
+    if blocks:
+        whole = raw_spans(long, "text", Detector(rules=blocks), "spans")
+        scanned = scanned.unionByName(each_span(whole, "id"))
     merged = scanned.groupBy("id").agg(F.array_sort(F.collect_list("s")).alias("spans")).select("id", S.merge_extending(F.col("spans")).alias("spans"))
     none = long.select("id").join(merged, "id", "left").select("id", F.coalesce("spans", S.no_spans()).alias("spans"))
     return short.unionByName(none).withColumnRenamed("id", id_col)

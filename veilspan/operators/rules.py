@@ -1,7 +1,10 @@
 """Detection rules as data: entity, pattern, score, layer, and a literal that any match must contain.
 
-Patterns follow the providers' public token formats and run alike under Java's engine and RE2; a rule
-without ``(?i)`` is case-sensitive. Scores are fixed values.
+Patterns follow the providers' public token formats; a rule without ``(?i)`` is case-sensitive. Scores
+are fixed values. All patterns take time in proportion to the text: repeated groups are possessive (or
+bounded), which Java runs without recursion, and where a long run of signs may turn out not to match,
+a match may only begin at the run's own beginning or where the last match ended. A rule's ``plain``
+says the same without these means, for engines that don't need them.
 """
 
 from __future__ import annotations
@@ -15,7 +18,9 @@ SECRETS, ENTROPY, STRUCTURED, CUSTOM = "regex:secrets", "entropy", "structured",
 @dataclass(frozen=True)
 class Rule:
     """group: the trailing group that is the span, 0 for the whole match. guard: literals of which a text
-    must hold one, in any case if ``fold``. check: luhn, iban, ip or entropy, on the span's text."""
+    must hold one, in any case if ``fold``. check: luhn, iban, ip or entropy, on the span's text. tail: a
+    pattern that any match ends with; texts are searched up to its last place. plain: the pattern without
+    possessive quantifiers and look-arounds, its whole match the span."""
 
     entity: str
     pattern: str
@@ -26,10 +31,23 @@ class Rule:
     group: int = 0
     check: str = ""
     digits: bool = False
+    tail: str = ""
+    plain: str = ""
 
 
 ASSIGN = r"""["']?\s{0,8}(?:=>|[:=])\s{0,8}["']?"""
 UUID = "[0-9a-fA-F]{8}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{12}"
+_LOCAL, _LABEL = "[A-Za-z0-9._%+-]", "[A-Za-z0-9-]"
+_TOP = r"[A-Za-z]{2,}+(?![A-Za-z0-9_])"
+_NOT_TOP = rf"(?:\.(?!{_TOP}){_LABEL}++)*+"
+# labels up to the last one that may end a host name: a top label is passed only where another follows
+HOST = rf"{_LABEL}++(?:{_NOT_TOP}\.(?={_TOP}){_LABEL}++(?={_NOT_TOP}\.{_TOP}))*+{_NOT_TOP}\.{_TOP}"
+EMAIL = rf"(?:\G(?<=[A-Za-z0-9_])|(?:\G|(?<!{_LOCAL}))[.%+-]*+(?=[A-Za-z0-9_]))({_LOCAL}++@{HOST})"
+_SIGN = "[A-Za-z0-9_-]"
+JWT = rf"(?:\G|(?<!{_SIGN}))(?:(?!(?<![A-Za-z0-9_])eyJ){_SIGN})*+(eyJ{_SIGN}{{10,}}+\.eyJ{_SIGN}{{10,}}+\.{_SIGN}{{10,}}+)"
+_SCHEME = r"(?:postgres|postgresql|mysql|mongodb|mongodb\+srv|redis|amqp)://[^\s:@/\"']"
+DB_URL = rf"""(?i)(?:\G|(?<![^\s@"']))(?:(?!{_SCHEME}++:[^\s@"'])[^\s@"'])*+({_SCHEME}++:[^\s@"']++@[^\s"'<>]++)"""
+END_KEY = "-----END [A-Z ]{0,30}PRIVATE KEY-----"
 
 SECRET_RULES = (
     Rule("AWS_ACCESS_KEY", r"\b(?:A3T[A-Z0-9]|AKIA|ASIA|ABIA|ACCA)[A-Z2-7]{16}\b", 0.95, guard=("A3T", "AKIA", "ASIA", "ABIA", "ACCA")),
@@ -58,26 +76,32 @@ SECRET_RULES = (
     Rule("DIGITALOCEAN_TOKEN", r"\bdop_v1_[a-f0-9]{64}", 0.95, guard=("dop_v1_",)),
     Rule("DIGITALOCEAN_TOKEN", r"\bdoo_v1_[a-f0-9]{64}", 0.95, guard=("doo_v1_",)),
     Rule("DATADOG_KEY", rf"(?i)datadog.{{0,20}}{ASSIGN}[0-9a-z]{{32,40}}", 0.85, guard=("datadog",), fold=True),
-    Rule("JWT", r"\beyJ[A-Za-z0-9_-]{10,}\.eyJ[A-Za-z0-9_-]{10,}\.[A-Za-z0-9_-]{10,}", 0.90, guard=("eyJ",)),
+    Rule("JWT", JWT, 0.90, guard=("eyJ",), group=1, plain=r"\beyJ[A-Za-z0-9_-]{10,}\.eyJ[A-Za-z0-9_-]{10,}\.[A-Za-z0-9_-]{10,}"),
     Rule("GENERIC_SECRET", rf"""(?i)(?:password|passwd|pwd|secret|token|api[_-]?key){ASSIGN}[^\s"']{{8,}}""", 0.85,
          guard=("passw", "pwd", "secret", "token", "api"), fold=True),
-    Rule("DB_CONNECTION_URL", r"""(?i)(?:postgres|postgresql|mysql|mongodb|mongodb\+srv|redis|amqp)://[^\s:@/"']+:[^\s@"']+@[^\s"'<>]+""", 1.0, guard=("://",)),
+    Rule("DB_CONNECTION_URL", DB_URL, 1.0, guard=("://",), group=1,
+         plain=r"""(?i)(?:postgres|postgresql|mysql|mongodb|mongodb\+srv|redis|amqp)://[^\s:@/"']+:[^\s@"']+@[^\s"'<>]+"""),
     Rule("URL_WITH_CREDENTIALS", r"""(?i)https?://[^\s:@/"']+:[^\s@/"']+@[^\s"'<>]+""", 1.0, guard=("://",)),
     Rule("PHONE_NUMBER", r"(?:\+1[ .-]?)?\([0-9]{3}\)[ .-]?[0-9]{3}[ .-]?[0-9]{4}", 0.90, guard=("(",), digits=True),
     Rule("PHONE_NUMBER", r"(?:\+1[ .-]?)?\b[0-9]{3}[.-][0-9]{3}[.-][0-9]{4}\b", 0.80, guard=("-", "."), digits=True),
-    Rule("EMAIL_ADDRESS", r"\b[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)*\.[A-Za-z]{2,}\b", 0.60, guard=("@",)),
-    Rule("PRIVATE_KEY", r"(?s)-----BEGIN [A-Z ]{0,30}PRIVATE KEY-----.*?-----END [A-Z ]{0,30}PRIVATE KEY-----", 0.99, guard=("PRIVATE KEY-----",)),
+    Rule("EMAIL_ADDRESS", EMAIL, 0.60, guard=("@",), group=1, plain=r"\b[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)*\.[A-Za-z]{2,}\b"),
+    Rule("PRIVATE_KEY", rf"(?s)-----BEGIN [A-Z ]{{0,30}}PRIVATE KEY-----.*?{END_KEY}", 0.99, guard=("PRIVATE KEY-----",), tail=END_KEY),
 )
 
 ENTROPY_RULES = (
     Rule("HIGH_ENTROPY_SECRET", r"""(?:[=:]|Bearer|Authorization|key|token|secret)["'\s]{0,4}([A-Za-z0-9+/=_-]{20,})""", 0.70, ENTROPY,
          guard=("=", ":", "Bearer", "Authorization", "key", "token", "secret"), group=1, check="entropy"),
 )
+_HEX = "[0-9A-Fa-f]{1,4}"
+# eight groups, or fewer around one "::"; not within longer runs of hexadecimal digits and colons
+_V6 = rf"(?:(?:{_HEX}:){{7}}{_HEX}|(?:{_HEX}:){{1,6}}(?::{_HEX}){{1,6}}|(?:{_HEX}:){{2,7}}:|::(?:{_HEX}:){{0,6}}{_HEX})"
+IPV6, IPV6_PLAIN = rf"(?<![0-9A-Za-z_:.])({_V6})(?![0-9A-Za-z_:])", rf"(?:^|[^0-9A-Za-z_:.])({_V6})(?:$|[^0-9A-Za-z_:])"
 
 STRUCTURED_RULES = (
     Rule("CREDIT_CARD", r"\b[0-9](?:[ -]?[0-9]){12,18}\b", 0.80, STRUCTURED, check="luhn", digits=True),
     Rule("IBAN_CODE", r"\b[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]){11,30}\b", 0.80, STRUCTURED, check="iban", digits=True),
     Rule("IP_ADDRESS", r"\b[0-9]{1,3}(?:\.[0-9]{1,3}){3}\b", 0.60, STRUCTURED, guard=(".",), check="ip", digits=True),
+    Rule("IP_ADDRESS", IPV6, 0.60, STRUCTURED, guard=("::", ":"), digits=True, group=1, plain=IPV6_PLAIN),
     Rule("US_SSN", r"\b[0-9]{3}-[0-9]{2}-[0-9]{4}\b", 0.50, STRUCTURED, guard=("-",), digits=True),
     Rule("DATE_TIME", r"\b(?:19|20)[0-9]{2}-(?:0[1-9]|1[0-2])-(?:0[1-9]|[12][0-9]|3[01])\b", 0.40, STRUCTURED, guard=("-",), digits=True),
     Rule("URL", r"""\bhttps?://[^\s"'<>]+""", 0.30, STRUCTURED, guard=("://",)),

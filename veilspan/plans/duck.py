@@ -47,8 +47,20 @@ def check(rule: Rule, value: str = "value", least: float = 4.0) -> str:
 
 def rule(source: str, key: str, text: str, r: Rule, ord: int = 0) -> str:
     """(key, ord, nth, s, e, value, type, score, detector) of one rule."""
+    found = around(source, key, text, r.plain) if r.plain.startswith("(?:^") else matches(source, key, text, r.plain or r.pattern, 0 if r.plain else r.group)
     return f"""SELECT {key}, {ord} AS ord, nth, s, e, value, {quoted(r.entity)} AS type, {r.score}::DOUBLE AS score, {quoted(r.layer)} AS detector
-      FROM ({matches(source, key, text, r.pattern, r.group)}) WHERE {check(r)}"""
+      FROM ({found}) WHERE {check(r)}"""
+
+
+def around(source: str, key: str, text: str, pattern: str) -> str:
+    """As matches(), of group 1 of a pattern that takes one sign on either side, where there is one."""
+    p = quoted(pattern)
+    return f"""SELECT {key}, nth, e - length(value) - (whole[nth] <> value AND NOT ends_with(whole[nth], value))::INT AS s,
+        e - (whole[nth] <> value AND NOT ends_with(whole[nth], value))::INT AS e, value FROM (
+      SELECT {key}, nth, vals[nth] AS value, whole,
+        coalesce(list_sum(list_transform(gaps[1:nth], lambda g: length(g))), 0)::INT + coalesce(list_sum(list_transform(whole[1:nth], lambda g: length(g))), 0)::INT AS e
+      FROM (SELECT {key}, string_split_regex({text}, {p}) AS gaps, regexp_extract_all({text}, {p}) AS whole, regexp_extract_all({text}, {p}, 1) AS vals
+        FROM {source} WHERE regexp_matches({text}, {p})) g, unnest(generate_series(1, len(whole))) AS u(nth))"""
 
 
 def rules(source: str, key: str, text: str, which) -> str:
