@@ -21,7 +21,8 @@ def plain(rows, t):
         natural = {k: sum(n for c, n in cells.items() if c[i] == k) for k in range(len(m) + 1)}
         live = {k: v for k, v in enumerate(m.values(), 1) if natural[k] > 0}
         goals.append({k: 0.0 for k in natural} | {k: v / sum(live.values()) * (1 - natural[0] / total) for k, v in live.items()} | {0: natural[0] / total})
-    for b in t.budgets():
+    room = [sum(n for c, n in cells.items() if c[i] == k) / total / share for i, goal in enumerate(goals) for k, share in goal.items() if share > 0]
+    for b in t.budgets(min(t.budget, M.ROOM * min(room))):
         w = {c: n * b for c, n in cells.items()}
         for _ in range(t.rounds):
             for i, goal in enumerate(goals):

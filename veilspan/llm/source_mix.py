@@ -6,8 +6,8 @@ expectation; raking scales the cells' w to each target marginal in turn, again a
 the others of its marginals, and what is sampled meets the targets, not only the weights. Each document
 is kept with its cell's probability, by a number that depends on its id alone.
 
-A budget may ask for more of a value than there is. Then the budget is lowered step by step until the
-targets can be met; values that no step meets are named in a column.
+A budget may ask for more of a value than there is. Then it is lowered to what the scarcest value allows,
+and further step by step until all targets are met at once; values that no step meets are named in a column.
 
 Only values named in the targets have cells of their own, all others (and nulls) share one, so the
 number of cells is bounded by the targets, whatever the number of sources; the bound is checked. The
@@ -28,8 +28,9 @@ from veilspan.session import materialize, written
 MOST_CELLS = 20_000
 OTHER = "(other)"
 WORD = "[^\\x20\\x09-\\x0D]+"
-#: Words to a hit above which a text isn't of a topic; steps of the budget and their factor; how near a share must be.
-RARE, STEPS, SHRINK, NEAR = 200, 12, 0.85, 0.0005
+#: Words to a hit above which a text isn't of a topic; budgets tried and their factor; how near a share must be, and
+#: the part of the scarcest value that the first budget may need.
+RARE, STEPS, SHRINK, NEAR, ROOM = 200, 12, 0.9, 0.0005, 0.97
 # The beginnings of words, and the signs, that speak for a topic.
 TOPICS = {
     "legal": "licen[cs]|lizen[zs]|licenci|copyright|urheber|derechos|droits|warrant|liabilit|haftung|gew[äa]hr|responsab|patent|redistribut|released under|terms of|all rights",
@@ -61,7 +62,7 @@ class Targets:
 
     source: dict[str, float] = field(default_factory=lambda: {f"src{i}": 1.0 for i in range(20)})
     lang: dict[str, float] = field(default_factory=lambda: {"en": 0.55, "de": 0.15, "fr": 0.15, "es": 0.15})
-    topic: dict[str, float] = field(default_factory=lambda: {"general": 0.85, "reference": 0.1, "legal": 0.04, "commerce": 0.01})
+    topic: dict[str, float] = field(default_factory=lambda: {"general": 0.94, "reference": 0.045, "legal": 0.01, "commerce": 0.005})
     budget: float = 0.7
     rounds: int = 100
     seed: int = 8
@@ -75,9 +76,9 @@ class Targets:
             raise ValueError("target weights must be positive")
         return found
 
-    def budgets(self) -> list[float]:
-        """The budgets that are tried, in turn."""
-        return [self.budget * SHRINK**k for k in range(STEPS)]
+    def budgets(self, top: float | None = None) -> list[float]:
+        """The budgets that are tried, in turn, from the first one on; without it their factors."""
+        return [(1.0 if top is None else top) * SHRINK**k for k in range(STEPS)]
 
 
 def _index(value: Column, names: list[str]) -> Column:
@@ -148,8 +149,10 @@ class Grid:
         raked = f"aggregate(sequence(1, {self.targets.rounds}), transform(t, x -> x * b), (w, r) -> {once})"
         ok = f"forall({self.offs()}, x -> x <= {NEAR}D)"
         tried = f"transform(array({raked}), w -> struct(w AS w, b AS b, {ok} AS ok))[0]"
-        budgets = ", ".join(f"{b!r}D" for b in self.targets.budgets())
-        return f"""aggregate(array({budgets}), struct(CAST(NULL AS array<double>) AS w, 0D AS b, false AS ok), (best, b) -> if(best.ok, best, {tried}))"""
+        factors = ", ".join(f"{b!r}D" for b in self.targets.budgets())
+        room = ", ".join(f"array_min(zip_with({self.sums(d, 'get(t, p)')}, goal_{d}, (n, g) -> if(g > 0, n / total / g, NULL)))" for d in self.dims)
+        budgets = f"transform(array(least({self.targets.budget!r}D, {ROOM}D * least({room}))), top -> transform(array({factors}), f -> top * f))[0]"
+        return f"""aggregate({budgets}, struct(CAST(NULL AS array<double>) AS w, 0D AS b, false AS ok), (best, b) -> if(best.ok, best, {tried}))"""
 
     def missed(self) -> str:
         """The names of the values whose shares stay off their goals, by comma."""
@@ -246,7 +249,7 @@ def oracle(targets: Targets = Targets()) -> str:
     def goal(d):
         weights = " ".join(f"WHEN {i} THEN {float(w)!r}" for i, w in enumerate(dims[d].values(), 1))
         return f"""goal_{d} AS (
-      SELECT k, coalesce(CASE WHEN k = 0 THEN n / sum(n) OVER () ELSE w / nullif(sum(w) OVER (), 0) * (1 - sum(CASE WHEN k = 0 THEN n ELSE 0 END) OVER () / sum(n) OVER ()) END, 0) AS goal
+      SELECT k, n, sum(n) OVER () AS total, coalesce(CASE WHEN k = 0 THEN n / sum(n) OVER () ELSE w / nullif(sum(w) OVER (), 0) * (1 - sum(CASE WHEN k = 0 THEN n ELSE 0 END) OVER () / sum(n) OVER ()) END, 0) AS goal
       FROM (SELECT {d}_no AS k, sum(tokens)::DOUBLE AS n, CASE WHEN sum(tokens) > 0 THEN (CASE {d}_no {weights} ELSE 0 END)::DOUBLE ELSE 0 END AS w FROM cells GROUP BY 1))"""
 
     def rake(d, inner):
@@ -264,7 +267,8 @@ def oracle(targets: Targets = Targets()) -> str:
         f"SELECT b, {i} AS dim, '{d}=' || {named(d)} AS name, k, abs(coalesce(sum(least(t, w)) / nullif(any_value(kept), 0), any_value(goal)) - any_value(goal)) AS far FROM final JOIN goal_{d} ON k = {d}_no GROUP BY b, k, {d}_no"
         for i, d in enumerate(dims)
     )
-    budgets = ", ".join(f"{b!r}::DOUBLE" for b in targets.budgets())
+    factors = ", ".join(f"{b!r}::DOUBLE" for b in targets.budgets())
+    room = " UNION ALL ".join(f"SELECT min(n / total / goal) AS r FROM goal_{d} WHERE goal > 0" for d in dims)
     return f"""
     WITH RECURSIVE texts AS (
       SELECT doc_id, source, lang, coalesce(text, '') AS body, len(regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+'))::BIGINT AS tokens FROM documents),
@@ -275,8 +279,9 @@ def oracle(targets: Targets = Targets()) -> str:
       FROM counted),
     cells AS (SELECT source_no, lang_no, topic_no, sum(tokens)::DOUBLE AS tokens FROM rows GROUP BY ALL),
     {goal('source')}, {goal('lang')}, {goal('topic')},
+    budgets AS (SELECT top * f AS b FROM (SELECT least({targets.budget!r}::DOUBLE, {ROOM} * min(r)) AS top FROM ({room})), (SELECT unnest([{factors}]) AS f)),
     raked AS (
-      SELECT 0 AS round, b, source_no, lang_no, topic_no, tokens AS t, tokens * b AS w, (SELECT sum(tokens) FROM cells) AS total FROM cells, (SELECT unnest([{budgets}]) AS b)
+      SELECT 0 AS round, b, source_no, lang_no, topic_no, tokens AS t, tokens * b AS w, (SELECT sum(tokens) FROM cells) AS total FROM cells, budgets
       UNION ALL
       SELECT round + 1, b, source_no, lang_no, topic_no, t, w, total FROM (
         {rake('topic', rake('lang', rake('source', 'SELECT * FROM raked')))}) WHERE round < {targets.rounds}),
