@@ -14,8 +14,11 @@ from veilspan.llm import bpe_monoid, pu_quality, secret_scan, simhash_mih, sourc
 from veilspan.session import dropped, shared_folder
 from veilspan.sources.tables import read_table, spread
 
-#: Token mix of the corpus: even sources, four languages, four fifths of all tokens or as many as the targets allow.
-MIX = source_mix.Targets(budget=0.8)
+#: Token mix of the corpus: even sources, languages and topics near their natural shares; four fifths of all
+#: tokens, or as many as the targets allow.
+MIX = source_mix.Targets(
+    lang={"en": 0.58, "de": 0.155, "fr": 0.155, "es": 0.11}, topic={"general": 0.955, "reference": 0.035, "legal": 0.0075, "commerce": 0.0025}, budget=0.8
+)
 
 
 def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
