@@ -3,13 +3,15 @@ import random
 
 import numpy as np
 import pytest
+import tiktoken
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
-from veilspan.llm.bpe_monoid import TreeCodec, decode_ids, encode_texts, public_tokenizer, round_trip_digests
+from veilspan.llm.bpe_monoid import TreeCodec, decode_ids, encode_texts, load_ranks, merged_ids, public_tokenizer, round_trip_digests
 
 CODEC = TreeCodec(*public_tokenizer(), leaf_chars=7)
-WHOLE = CODEC.encoding.encode_ordinary
+PATH, PATTERN = public_tokenizer()
+WHOLE = tiktoken.Encoding("ranks", pat_str=PATTERN, mergeable_ranks=load_ranks(PATH)[0], special_tokens={}).encode_ordinary
 PIECES = ["'s", "'ll", "'", " ", "  ", "\n", "\t", "a", "the", "Été", "ß", "12", "3", "!", "$$$", " ", " ", "中文", "🙂", "é", "\x1c", "\x85", "ǅ", "१२", "²"]
 
 
@@ -36,6 +38,26 @@ def test_long_runs(text):
     same(text)
 
 
+def test_merging_by_rank_equals_the_plain_rule():
+    """The least pair, found anew each time."""
+    ranks = {bytes([b]): b for b in range(97, 123)} | {b"ab": 200, b"bc": 150, b"abc": 300, b"aa": 210, b"aaa": 205, b"bcd": 120}
+    rng = random.Random(2)
+    for _ in range(3000):
+        piece = bytes(rng.choices(b"abcd", k=rng.randrange(1, 12)))
+        parts = [piece[i : i + 1] for i in range(len(piece))] if piece not in ranks else [piece]
+        while True:
+            best = min(((ranks[a + b], i) for i, (a, b) in enumerate(zip(parts, parts[1:])) if a + b in ranks), default=None)
+            if best is None:
+                break
+            parts[best[1] : best[1] + 2] = [parts[best[1]] + parts[best[1] + 1]]
+        assert merged_ids(piece, ranks) == [ranks[p] for p in parts]
+
+
+def test_other_patterns_are_refused():
+    with pytest.raises(ValueError):
+        TreeCodec(PATH, r"\S+|\s+")
+
+
 def test_operator_on_odd_rows(spark):
     rng = random.Random(1)
     long = "".join(rng.choice(PIECES) for _ in range(20000))

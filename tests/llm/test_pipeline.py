@@ -1,6 +1,7 @@
 import hashlib
 
 import numpy as np
+import tiktoken
 
 import corpus_pipeline as P
 from veilspan.llm import bpe_monoid, pu_quality, secret_scan, simhash_mih, source_mix
@@ -25,23 +26,17 @@ def test_run_equals_brute_force_stage_by_stage(spark):
         h = simhash_mih.shingle_hashes_wide(rows[i].text.encode(), 5, 42)
         prints[i] = int.from_bytes(simhash_mih.majority_bits(h), "big") if len(h) else 0
     label = {i: i for i in good}
-    cuts = simhash_mih._segments(128, simhash_mih.segments_for(128, len(set(prints.values()))))
-
-    def linked(x):
-        """Within the radius, and two bits apart at most in some segment (words stand in big-endian order)."""
-        x = (x >> 64) | (x & (2**64 - 1)) << 64
-        return x.bit_count() <= 26 and any((x >> first & (1 << width) - 1).bit_count() <= 2 for first, width in cuts)
-
     for i in good:
         for j in good:
-            if j < i and linked(prints[i] ^ prints[j]):
+            if j < i and (prints[i] ^ prints[j]).bit_count() <= 26:
                 a, b = sorted((top(label, i), top(label, j)))
                 label[b] = a
     first = [i for i in good if top(label, i) == i]
     clean = {i: secret_scan.redact(rows[i].text, secret_scan.find_secrets(rows[i].text)) for i in first}
     frame = spark.createDataFrame([(i, clean[i], rows[i].lang, rows[i].source, len(clean[i])) for i in first], docs.schema)
     mixed = {r.doc_id for r in source_mix.calibrated(frame, P.MIX).collect() if r.selected}
-    encode = bpe_monoid.load_encoding(*bpe_monoid.public_tokenizer())[0].encode_ordinary
+    path, pattern = bpe_monoid.public_tokenizer()
+    encode = tiktoken.Encoding("ranks", pat_str=pattern, mergeable_ranks=bpe_monoid.load_ranks(path)[0], special_tokens={}).encode_ordinary
     want = {i: (encode(clean[i]), hashlib.sha256(clean[i].encode()).hexdigest()) for i in mixed}
     got = {r.doc_id: (r.ids, r.decoded_sha256) for r in P.run(spark, SF).collect()}
     assert got == want and len(first) < len(good) < len(rows)
