@@ -1,5 +1,6 @@
 import hashlib
 import re
+import time
 
 from veilspan.llm.pii import find_pii, mod97, pii_digests
 from veilspan.sources.tables import read_table
@@ -46,7 +47,7 @@ def test_base_spans_equal_the_plain_patterns(spark):
     assert sorted((str(r.doc_id), r.base_sha256) for r in got) == want
     by = {r.doc_id: r for r in got}
     assert "iban:5:32" in by[7].spans and "GB82" not in by[7].spans and by[7].n_more == 3
-    assert by[7].max_score > 1 and by[5].n_card == 1 and by[3].max_score == 0
+    assert by[7].max_score == 1 and by[5].n_card == 1 and by[3].max_score == 0
     assert pii_digests(df.limit(0)).count() == 0
     assert find_pii(df).where("doc_id = 5").first().spans[0].score == 0.95
 
@@ -65,3 +66,11 @@ def test_mod97(spark):
 def test_no_python_in_the_plan(spark):
     plan = pii_digests(read_table(spark, "/root/testdata/sf0.001", "documents"))._jdf.queryExecution().executedPlan().toString()
     assert "Python" not in plan and "Arrow" not in plan and "Exchange" not in plan
+
+
+def test_twenty_thousand_matches_in_one_text(spark):
+    df = spark.createDataFrame([(1, "mail joe.doe@ex.co " * 20000)], "doc_id long, text string")
+    pii_digests(df.limit(0)).collect()
+    began = time.perf_counter()
+    row = pii_digests(df).first()
+    assert row.n_email == 20000 and row.max_score <= 1.0 and row.spans.endswith("email:379986:379999") and time.perf_counter() - began < 20

@@ -15,6 +15,8 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from veilspan.functions.spans import let, running_totals
+
 #: Code points on each side of a span that are searched for context words.
 CONTEXT_CHARS = 48
 
@@ -23,7 +25,7 @@ CONTEXT_CHARS = 48
 class Kind:
     """pattern: proposes spans (Java regular expression). guard: necessary for a match, cheaper; a
     literal that the text must contain, or a pattern if it starts with a caret mark ``re:``. score: of
-    a confirmed span. boost: added where a context word stands near. least: score to be kept."""
+    a confirmed span. boost: added where a context word stands near, up to one. least: score to be kept."""
 
     name: str
     pattern: str
@@ -100,15 +102,9 @@ def _proposals(text: Column, kind: Kind) -> Column:
         ),
     )
     steps = F.filter(steps, lambda s: s["value"].isNotNull())
-    start = F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<start:int,end:int,value:string,near:string>>").alias("out"))
-
-    def step(acc, s):
-        first = acc["at"] + s["skip"]
-        last = first + F.length(s["value"])
-        here = F.struct(first.alias("start"), last.alias("end"), s["value"].alias("value"), s["near"].alias("near"))
-        return F.struct(last.alias("at"), F.concat(acc["out"], F.array(here)).alias("out"))
-
-    spans = F.aggregate(steps, start, step, lambda acc: acc["out"])
+    ends = lambda steps: running_totals(F.transform(steps, lambda s: (s["skip"] + F.length(s["value"])).cast("int")))
+    place = lambda s, end: F.struct((end - F.length(s["value"])).alias("start"), end.alias("end"), s["value"].alias("value"), s["near"].alias("near"))
+    spans = let(steps, lambda steps: F.zip_with(steps, ends(steps), place))
     spans = F.filter(spans, lambda s: confirmed(kind.name, s["value"]))
     spans = F.transform(
         spans,
@@ -117,7 +113,7 @@ def _proposals(text: Column, kind: Kind) -> Column:
             F.lit(order).alias("order"),
             s["end"].alias("end"),
             F.lit(kind.name).alias("kind"),
-            F.round(F.lit(kind.score) + F.when(s["near"].rlike(f"(?i){kind.context}"), kind.boost).otherwise(0.0), 4).alias("score"),
+            F.least(F.lit(1.0), F.round(F.lit(kind.score) + F.when(s["near"].rlike(f"(?i){kind.context}"), kind.boost).otherwise(0.0), 4)).alias("score"),
         ),
     )
     if kind.least:
@@ -200,7 +196,7 @@ def oracle() -> str:
         p = "'" + plain[k.name] + "'"
         parts.append(f"""SELECT * FROM (SELECT doc_id, {order} AS ord, '{k.name}' AS kind, vals[n] AS value,
           (list_sum(list_transform(gaps[1:n], lambda g: length(g))) + coalesce(list_sum(list_transform(vals[1:n - 1], lambda g: length(g))), 0))::INT AS s,
-          round({k.score} + CASE WHEN regexp_matches(right(gaps[n], {CONTEXT_CHARS}) || chr(10) || left(gaps[n + 1], {CONTEXT_CHARS}), '(?i){k.context}') THEN {k.boost} ELSE 0 END, 4)::DOUBLE AS score
+          least(1.0, round({k.score} + CASE WHEN regexp_matches(right(gaps[n], {CONTEXT_CHARS}) || chr(10) || left(gaps[n + 1], {CONTEXT_CHARS}), '(?i){k.context}') THEN {k.boost} ELSE 0 END, 4))::DOUBLE AS score
           FROM (SELECT doc_id, string_split_regex(text, {p}) AS gaps, regexp_extract_all(text, {p}) AS vals FROM documents WHERE regexp_matches(text, {p})) t, unnest(range(1, len(vals) + 1)) AS u(n))
           WHERE score >= {k.least} AND {checks.get(k.name, 'true')}""")
     base = ", ".join(f"'{k}'" for k in BASE)
