@@ -83,3 +83,106 @@ def test_convolution_equals_a_plain_loop():
             r = [sum(e[i + j] @ f[j] for j in range(w)) + b for i in range(max(1, len(x)))]
             want.append(np.max(r, 0))
         assert np.allclose(got[k], np.concatenate(want), atol=1e-5)
+
+
+def test_a_training_step_follows_the_numeric_gradient():
+    """Each kind of parameter, by differences of the weighted log loss."""
+    s = T.CnnSettings(words=6, prefixes=5, size=3, filters=2, widths=(1, 2))
+    rng = np.random.default_rng(3)
+    model = T.Cnn(s)
+    for name in ("word", "start", "out"):
+        setattr(model, name, rng.normal(0, 1, getattr(model, name).shape))
+    model.word[0] = model.start[0] = 0
+    model.filters, model.bias, model.base = [rng.normal(0, 1, f.shape) for f in model.filters], [rng.normal(0, 0.1, b.shape) for b in model.bias], 0.1
+    ids, _ = T._packed(["one two three four five", "six seven", "a b c d e f"], T.Vocabulary(s))
+    y, weight = np.array([1.0, 0.0, 1.0]), np.array([0.5, 0.3, 0.2])
+
+    def loss():
+        z = model.logits(ids)
+        return float((np.logaddexp(0, np.where(y == 1, -z, z)) * weight).sum())
+
+    places = [(model.filters[1], (1, 0, 1)), (model.filters[0], (0, 2, 0)), (model.bias[1], (1,)), (model.out, (2,)), (model.out, (0,))]
+    for x in ids:
+        places += [(model.word, (int(x[0] >> 16), 1)), (model.start, (int(x[-1] & 0xFFFF), 2))]
+    slopes = []
+    for array, at in places:
+        kept, h = array[at], 1e-5
+        array[at] = kept + h
+        up = loss()
+        array[at] = kept - h
+        slopes.append((up - loss()) / (2 * h))
+        array[at] = kept
+    before = [a[at] for a, at in places]
+    model.step(ids, y, weight, 1e-6)
+    assert max(map(abs, slopes)) > 0.01
+    for (array, at), slope, old in zip(places, slopes, before):
+        scale = 0.5 if array is model.word or array is model.start else 1.0  # embeddings move at half the rate
+        extra = 1e-4 * old if array is model.out else 0.0  # the last layer decays
+        assert abs((old - array[at]) / (1e-6 * scale) - (slope + extra)) < 1e-3 * max(1, abs(slope)), at
+
+
+def test_toxicity_scores_equal_a_plain_pass(spark):
+    """Every document, word by word, by the fitted parameters."""
+    sf = "/root/testdata/sf0.001"
+    docs, labels = read_table(spark, sf, "documents"), read_table(spark, sf, "labels")
+    model = T.fit(docs, labels)
+    got = {r.doc_id: r.score for r in T.score(docs, model).collect()}
+    for r in docs.limit(60).collect():
+        words = T.WORD.findall((r.text or "").lower())
+        looked = [model.word[x >> 16] + model.start[x & 0xFFFF] for x in T._packed([r.text], T.Vocabulary(model.s))[0][0]]
+        padded = looked + [np.zeros(model.s.size)] * model.pad
+        z, k = float(model.base), 0
+        for w, f, b in zip(model.s.widths, model.filters, model.bias):
+            for c in range(model.s.filters):
+                top = max(sum(float(padded[i + j] @ f[j][:, c]) for j in range(w)) for i in range(max(1, len(words)))) + float(b[c])
+                z, k = z + max(0.0, top) * float(model.out[k]), k + 1
+        z -= model.shift[T.language_of(words)]
+        assert abs(got[r.doc_id] - 1 / (1 + np.exp(-z))) < 1e-3
+    assert len(got) == docs.count()
+
+
+def test_the_sample_is_bounded_by_bytes(spark):
+    rows = [(i, f"word{i} " * (2000 if i % 7 == 0 else 3)) for i in range(400)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    labels = spark.createDataFrame([(i, 0, i % 2) for i in range(400)], "doc_id long, quality int, toxic int")
+    seen = []
+    whole = T.train
+    try:
+        T.train = lambda ids, y, tongues, s: seen.append((len(ids), sum(map(len, ids)), max(map(len, ids)))) or whole(ids, y, tongues, s)
+        T.fit(docs, labels, T.CnnSettings(bytes=100_000, epochs=1))
+    finally:
+        T.train = whole
+    n, words, longest = seen[0]
+    assert n > 20 and words * 8 < 2 * 2 * 100_000 and longest == 2000  # long texts take part
+
+
+def test_quality_scores_equal_a_plain_pass(spark):
+    sf = "/root/testdata/sf0.001"
+    docs = read_table(spark, sf, "documents")
+    network, _ = Q.fit(docs, read_table(spark, sf, "labels"))
+    got = {r.doc_id: r.score for r in Q.score(docs, network).collect()}
+    w1, b1, w2, b2 = network.w
+    for r in docs.limit(60).collect():
+        x = [min(8.0, max(-8.0, (v - m) / s)) for v, m, s in zip(Q.features((r.text or "").encode()).tolist(), network.mean, network.scale)]
+        h = [np.tanh(sum(x[i] * w1[i, j] for i in range(len(x))) + b1[j]) for j in range(len(b1))]
+        z = sum(a * b for a, b in zip(h, w2)) + b2[0]
+        assert abs(got[r.doc_id] - 1 / (1 + np.exp(-z))) < 1e-6
+
+
+def test_non_negative_risk_by_brute_force():
+    """The best threshold of one feature under the risk, over all thresholds, cuts where the classes part."""
+    rng = np.random.default_rng(1)
+    p, good = rng.normal(2, 1, 1500), rng.random(4000) < 0.6
+    u = rng.normal(np.where(good, 2, -2), 1)
+    loss = lambda f: np.logaddexp(0, -f)
+
+    def risk(cut, prior=0.6):
+        fp, fu = 2 * (p - cut), 2 * (u - cut)
+        return prior * loss(fp).mean() + max(0.0, loss(-fu).mean() - prior * loss(-fp).mean())
+
+    best = min(np.linspace(-4, 4, 161), key=risk)
+    x = lambda v: np.c_[v, np.zeros((len(v), Q.N_FEATURES - 1))]
+    network, prior = Q.train(x(p), x(u), Q.PuSettings())
+    grid = np.linspace(-4, 4, 161)
+    cut = grid[np.argmin(np.abs(network.logit(x(grid))))]
+    assert abs(prior - 0.6) < 0.1 and abs(cut - best) < 0.7
