@@ -29,10 +29,10 @@ from pyspark.sql import Column, DataFrame
 
 from veilspan.llm.arrow import map_columns
 
-LEAF_CHARS = 256
+LEAF_CHARS = 512
 FIRST_REACH = 16
 #: Matches whose ids a task remembers, and the longest of them.
-REMEMBERED, SHORT = 200_000, 32
+REMEMBERED, SHORT = 300_000, 32
 # Splitting patterns for which is_seam() holds.
 SEAM_PATTERNS = (r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+",)
 
