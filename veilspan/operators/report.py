@@ -33,6 +33,41 @@ def recall(items: DataFrame) -> DataFrame:
     return out.withColumn("passed", F.col("recall") >= F.coalesce(F.try_element_at(gate, F.col("grp")), F.lit(1.0)))
 
 
+def request_metrics(detected: DataFrame, spans: str = "spans") -> DataFrame:
+    """(requests, withheld, total_spans, categories map<type, count>): one row over all detected texts."""
+    total = detected.agg(F.count("*").alias("requests"), F.count(F.when(F.col(spans).isNull(), 1)).alias("withheld"), F.coalesce(F.sum(F.when(F.col(spans).isNotNull(), F.size(spans))), F.lit(0)).alias("total_spans"))
+    each = detected.select(F.explode_outer(spans).alias("s")).where("s IS NOT NULL").groupBy("s.type").agg(F.count("*").alias("n"))
+    table = each.agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("type", "n")))).alias("categories"))
+    return total.join(table, F.lit(True))
+
+
+def overall_recall(items: DataFrame) -> DataFrame:
+    """(n, caught, recall, passed): one row over all items of (category, item_no, grp, caught); it passes if every
+    category passes its gate, and without items recall is zero and nothing passes."""
+    of = recall(items)
+    out = of.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n"), F.coalesce(F.sum("caught"), F.lit(0)).alias("caught"), F.coalesce(F.bool_and("passed"), F.lit(False)).alias("passed"))
+    return out.select("n", "caught", F.coalesce(F.col("caught") / F.nullif("n", F.lit(0)), F.lit(0.0)).alias("recall"), "passed")
+
+
+def rescan_hits(detected: DataFrame, by: str, spans: str = "spans") -> DataFrame:
+    """(by, n_texts, n_hits, withheld): what a second scan of texts that were scrubbed still finds; texts whose scan failed are withheld."""
+    hits = F.when(F.size(spans) > 0, F.size(spans)).otherwise(0)
+    return detected.groupBy(by).agg(F.count("*").alias("n_texts"), F.sum(hits).cast("long").alias("n_hits"), F.count(F.when(F.col(spans).isNull(), 1)).alias("withheld"))
+
+
+def unknown_chunks(chunks: DataFrame, clean: DataFrame, policy: str) -> DataFrame:
+    """Chunks whose key isn't in the table of clean ones (key), which the same policy made: what must be scanned."""
+    return chunks.withColumn("key", chunk_key(F.col("chunk"), policy)).join(clean.select("key"), "key", "left_anti")
+
+
+def last_access(store: DataFrame, seen: DataFrame, now: str, ttl: int = TTL) -> DataFrame:
+    """(session, at): a store of sessions with their last access brought up to date by newer ones; those whose
+    last access lies more than ``ttl`` seconds before ``now`` are gone."""
+    latest = store.select("session", "at").unionByName(seen.select("session", "at")).groupBy("session").agg(F.max("at").alias("at"))
+    age = F.unix_micros(F.lit(now).cast("timestamp")) - F.unix_micros(F.col("at").cast("timestamp"))
+    return latest.where(age <= ttl * 1_000_000)
+
+
 def precision(spans: DataFrame, planted: DataFrame) -> DataFrame:
     """(type, n, hits, precision): spans that overlap a planted one of the same document."""
     marks = planted.select("doc_id", F.struct("start", "end").alias("p")).groupBy("doc_id").agg(F.collect_list("p").alias("ps"))
@@ -69,8 +104,9 @@ def chunk_key(chunk: Column, policy: str) -> Column:
 
 
 def missed_samples(items: DataFrame, most: int = 5) -> DataFrame:
-    """(category, missed): up to five missed values of each category, 60 signs of each, in item order."""
-    missed = items.where(~F.col("caught")).select("category", "item_no", F.left("value", F.lit(60)).alias("v"))
+    """(category, missed): up to five missed items of each category in item order, 120 signs of the text and 60 of the value."""
+    shown = F.concat_ws(" | ", F.left("text", F.lit(120)), F.left("value", F.lit(60)))
+    missed = items.where(~F.col("caught")).select("category", "item_no", shown.alias("v"))
     first = Window.partitionBy("category").orderBy("item_no")
     few = missed.withColumn("nth", F.row_number().over(first)).where(F.col("nth") <= most)
     return few.groupBy("category").agg(F.transform(F.array_sort(F.collect_list(F.struct("nth", "v"))), lambda x: x["v"]).alias("missed"))

@@ -7,11 +7,15 @@ text), never from the order in which tasks run.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.errors import AnalysisException
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from veilspan.functions import spans as S
+from veilspan.operators import jsonwalk
+from veilspan.operators.detect import Detector, detect
 from veilspan.operators.rules import PLACEHOLDER
+from veilspan.session import dropped, written
 
 
 def found_values(detected: DataFrame, session: str, turn: str, text: str = "text", spans: str = "spans") -> DataFrame:
@@ -26,12 +30,10 @@ def mint(found: DataFrame, prior: DataFrame | None = None) -> DataFrame:
 
     The last span of a text is minted first. ``prior`` is a vault to go on from: its values keep their
     placeholders and numbering continues after its greatest number per type."""
-    first = found.groupBy("session", "value").agg(F.min(F.struct("turn", (-F.col("start")).alias("back"), "type")).alias("f"))
-    first = first.select("session", "value", "f.type", "f.turn", "f.back")
+    first = first_sights(found)
     if prior is not None:
         first = first.join(prior.select("session", "value"), ["session", "value"], "left_anti")
-    order = Window.partitionBy("session", "type").orderBy("turn", "back", "value")
-    new = first.withColumn("n", F.row_number().over(order))
+    new = numbered(first, ("session", "type"), ("turn", "back", "value"))
     if prior is not None:
         last = prior.groupBy("session", "type").agg(F.max("n").alias("last"))
         new = new.join(last, ["session", "type"], "left").withColumn("n", F.col("n") + F.coalesce("last", F.lit(0)))
@@ -40,6 +42,68 @@ def mint(found: DataFrame, prior: DataFrame | None = None) -> DataFrame:
     return new if prior is None else prior.select(*new.columns).unionByName(new)
 
 
+def first_sights(found: DataFrame) -> DataFrame:
+    """(session, value, type, turn, back): where each value of a session was seen first."""
+    first = found.groupBy("session", "value").agg(F.min(F.struct("turn", (-F.col("start")).alias("back"), "type")).alias("f"))
+    return first.select("session", "value", "f.type", "f.turn", "f.back")
+
+
+def numbered(rows: DataFrame, keys: tuple[str, ...], order: tuple[str, ...]) -> DataFrame:
+    """Adds n: the rows of each key numbered from 1 in an order that tells them apart.
+
+    The rows are dealt by ranges of key and order, so a key with a third of all rows lies in many parts;
+    each part numbers its own, and the parts before it add their counts."""
+    ranged = rows.repartitionByRange(*keys, *order).withColumn("__part", F.spark_partition_id())
+    ranged = written(ranged, "numbered")  # the ranges are drawn from a sample, so they must stay as they are
+    own = ranged.withColumn("n", F.row_number().over(Window.partitionBy("__part", *keys).orderBy(*order)))
+    counts = ranged.groupBy(*keys, "__part").agg(F.count("*").alias("__n"))
+    earlier = Window.partitionBy(*keys).orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)
+    starts = counts.select(*keys, "__part", F.coalesce(F.sum("__n").over(earlier), F.lit(0)).alias("__before"))
+    return own.join(starts, [*keys, "__part"]).withColumn("n", F.col("n") + F.col("__before")).drop("__part", "__before")
+
+
+def closed(vault: DataFrame, folder: str, key: bytes | None) -> str:
+    """The end of a session: with a key the vault is sealed and written to the folder, or the folder is removed
+    if the vault is empty; without one nothing is kept. Returns ``saved``, ``removed`` or ``dropped``."""
+    if key is None:
+        return "dropped"
+    if vault.isEmpty():
+        dropped(vault.sparkSession, folder)
+        return "removed"
+    sealed(vault, key).write.mode("overwrite").parquet(folder)
+    return "saved"
+
+
+def restored(spark: SparkSession, folder: str, key: bytes) -> DataFrame | None:
+    """The vault that closed() saved; None where there is none or the key doesn't open it."""
+    try:
+        found = unsealed(spark.read.parquet(folder), key)
+    except AnalysisException:
+        return None
+    return None if not found.where("value IS NULL").isEmpty() else found
+
+
+def raw_values(vault: DataFrame) -> DataFrame:
+    """(session, values): each session's raw values, in order."""
+    return vault.groupBy("session").agg(F.array_sort(F.collect_set("value")).alias("values"))
+
+
+def status(vault: DataFrame, healthy: bool) -> DataFrame:
+    """(session, reachable, redacted, fail_closed): what the status command shows."""
+    return vault.groupBy("session").agg(F.countDistinct("value").alias("redacted")).select("session", F.lit(healthy).alias("reachable"), "redacted", F.lit(True).alias("fail_closed"))
+
+
+def show(vault: DataFrame) -> DataFrame:
+    """(session, line): each placeholder and its type, never a value."""
+    return vault.select("session", F.concat(F.col("placeholder"), F.lit(" -> ["), F.col("type"), F.lit("]")).alias("line"))
+
+
+def shown_spans(detected: DataFrame, *keys: str, spans: str = "spans") -> DataFrame:
+    """(keys, line): what the test command shows of each span of a text, or that there is none."""
+    line = F.transform(spans, lambda s: F.format_string("[%d:%d] %s (%.2f, %s)", s["start"], s["end"], s["type"], s["score"], s["detector"]))
+    return detected.select(*keys, F.explode(F.when(F.size(spans) > 0, line).otherwise(F.array(F.lit("no sensitive data")))).alias("line"))
+
+
 def bracketed(kind: Column, n: Column) -> Column:
     return F.concat(F.lit("[["), kind, F.lit("_"), n.cast("string"), F.lit("]]"))
 
@@ -88,6 +152,32 @@ def rehydrate(text: Column, names: Column) -> Column:
     return F.array_join(F.zip_with(gaps, values, lambda g, v: F.concat(g, F.coalesce(v, F.lit("")))), "")
 
 
+def scrub_bodies(bodies: DataFrame, session: str, turn: str, body: str = "body", detector=None, prior: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
+    """(vault, bodies): the strings of JSON bodies (session, turn, body) scrubbed by the session's vault, which
+    goes on from ``prior``. Strings are seen in document order, and within one from right to left."""
+    texts = jsonwalk.body_texts(bodies, session, turn, body)
+    found = written(detect(texts, "text", detector or Detector()), "bodies")
+    vault = mint(found_values(found, "session", "turn"), prior)
+    vault = written(vault, "vault")
+    clean = substitute(found, vault, "session", "turn").select("session", "turn", F.col("scrubbed").alias("text"))
+    return vault, jsonwalk.rebuilt(bodies, clean, session, turn, body)
+
+
+def rehydrate_bodies(bodies: DataFrame, vault: DataFrame, session: str, turn: str, body: str = "body") -> DataFrame:
+    """(session, turn, body): the strings of JSON bodies with their placeholders restored from the session's vault."""
+    texts = jsonwalk.body_texts(bodies, session, turn, body)
+    restored_texts = texts.join(names_of(texts, vault), ["session", "turn"], "left")
+    back = restored_texts.select("session", "turn", rehydrate(F.col("text"), F.coalesce("names", F.from_json(F.lit("{}"), "map<string,string>"))).alias("text"))
+    return jsonwalk.rebuilt(bodies, back, session, turn, body)
+
+
+def names_of(texts: DataFrame, vault: DataFrame) -> DataFrame:
+    """(session, turn, names map): for texts (session, turn, text) the values of the placeholders in them."""
+    marks = texts.select("session", "turn", F.explode(F.array_distinct(placeholders(F.col("text")))["placeholder"]).alias("placeholder"))
+    own = marks.join(vault.select("session", "placeholder", "value"), ["session", "placeholder"])
+    return own.groupBy("session", "turn").agg(F.map_from_entries(F.collect_list(F.struct("placeholder", "value"))).alias("names"))
+
+
 def rehydrate_formats(text: Column, entries: Column) -> Column:
     """Literal replacement of fakes, the longest first, so that Org_11 isn't taken for Org_1.
     entries: array<struct<placeholder, value>>."""

@@ -2,22 +2,21 @@
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from veilspan.functions import plugins
+from veilspan.functions import plugins, policy
 from veilspan.functions import spans as S
 from veilspan.operators import chunk, egress, jsonwalk, report, rules, vault
 from veilspan.operators.detect import Detector, detect, detect_routed, exploded, raw_spans
 from veilspan.plans import duck, fixtures
-from veilspan.session import checkpoint_dir
+from veilspan.session import shared_folder, written
 from veilspan.sources import corpus, events
 from veilspan.sources.tables import read_table, spread
 from veilspan.streaming import rehydrate
-from veilspan.streaming.vault import mint_stream
+from veilspan.streaming.vault import STORE, mint_stream
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -35,9 +34,9 @@ def query(oracle: str | None = None):
     return add
 
 
-BY = {r.entity: r for r in rules.DEFAULT_RULES}
+BY = {r.entity: r for r in reversed(rules.DEFAULT_RULES)}
 PHONE = tuple(r for r in rules.DEFAULT_RULES if r.entity == "PHONE_NUMBER")
-CORE = (*PHONE, BY["EMAIL_ADDRESS"], BY["GENERIC_SECRET"], BY["CREDIT_CARD"], BY["IP_ADDRESS"])
+ALL = rules.DEFAULT_RULES
 OUT = "start_pos, end_pos, type, score"
 
 
@@ -53,22 +52,32 @@ def _duck_rows(found: str, key: str = "doc_id") -> str:
     return f"SELECT {key}, s::INT AS start_pos, e::INT AS end_pos, type, score FROM ({found})"
 
 
-def _detect_rules(spark, sf_dir, which):
-    found = raw_spans(_documents(spark, sf_dir).select("doc_id", "text"), "text", Detector(rules=which), "spans")
-    return _rows(exploded(found, "doc_id"), "doc_id")
+PLANTED = f"(VALUES {', '.join(f'({i}, {duck.quoted(t)})' for i, t in fixtures.PLANTED)}) AS t(id, text)"
+#: Documents, and texts with planted values of kinds that documents may lack, under ids below zero.
+WITH_PLANTED = f"""(SELECT doc_id, text FROM documents UNION ALL SELECT -1 - id, text FROM {PLANTED}
+  UNION ALL SELECT -1000 - row_number() OVER (ORDER BY category, item_no), text FROM ({corpus.generate_sql()}))"""
+
+
+def _with_planted(spark, sf_dir):
+    planted = spark.createDataFrame(fixtures.PLANTED, "id long, text string").select((-1 - F.col("id")).alias("doc_id"), "text")
+    items = corpus.generate(spark)
+    order = Window.orderBy("category", "item_no")  # a few hundred generated items
+    made = items.select((-1000 - F.row_number().over(order)).cast("long").alias("doc_id"), "text")
+    return _documents(spark, sf_dir).select("doc_id", "text").unionByName(planted).unionByName(made)
 
 
 def _single(name: str, which) -> None:
     def run(spark, sf_dir):
-        return _detect_rules(spark, sf_dir, which)
+        found = raw_spans(_with_planted(spark, sf_dir), "text", Detector(rules=which), "spans")
+        return _rows(exploded(found, "doc_id"), "doc_id")
 
     run.__name__ = name
-    query(_duck_rows(duck.rules("documents", "doc_id", "text", which)))(run)
+    query(_duck_rows(duck.rules(WITH_PLANTED, "doc_id", "text", which)))(run)
 
 
 for _name, _which in (
     ("detect_email", (BY["EMAIL_ADDRESS"],)), ("detect_phone", PHONE), ("detect_card_luhn", (BY["CREDIT_CARD"],)),
-    ("detect_ipv4", (BY["IP_ADDRESS"],)), ("detect_generic_secret", (BY["GENERIC_SECRET"],)), ("detect_iban", (BY["IBAN_CODE"],)),
+    ("detect_ipv4", (BY["IP_ADDRESS"],)), ("detect_ipv6", tuple(r for r in ALL if r.pattern == rules.IPV6)), ("detect_generic_secret", (BY["GENERIC_SECRET"],)), ("detect_iban", (BY["IBAN_CODE"],)),
     ("detect_entropy", (rules.Rule("HIGH_ENTROPY_SECRET", rules.ENTROPY_RULES[0].pattern, 0.70, rules.ENTROPY, group=1, check="entropy"),)),
     ("custom_vocab", rules.custom_rules([{"name": "licence line", "regex": "Released under the [A-Za-z]+"}, {"name": "", "regex": "(?i)unsubscribe"}, {"regex": ""}], ["the", "C++", ""])),
 ):
@@ -77,12 +86,11 @@ for _name, _which in (
 
 def entry(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Merged spans of the core rules over documents, counted by type."""
-    found = detect(_documents(spark, sf_dir).select("doc_id", "text"), "text", Detector(rules=CORE))
+    found = detect(_documents(spark, sf_dir).select("doc_id", "text"), "text", Detector(rules=ALL))
     return report.metrics_by_type(exploded(found, "doc_id")).orderBy("type")
 
 
-MERGED_CORE = duck.merged(duck.rules("documents", "doc_id", "text", CORE), "doc_id")
-MERGED_ALL = duck.merged(duck.rules("documents", "doc_id", "text", rules.DEFAULT_RULES), "doc_id")
+MERGED_ALL = duck.merged(duck.rules("documents", "doc_id", "text", ALL), "doc_id")
 
 
 @query(_duck_rows(MERGED_ALL))
@@ -91,23 +99,20 @@ def detect_documents(spark, sf_dir):
     return _rows(exploded(detect(_documents(spark, sf_dir).select("doc_id", "text")), "doc_id"), "doc_id")
 
 
-@query(f"SELECT type, count(*) AS n_spans, count(DISTINCT doc_id) AS n_docs FROM ({MERGED_CORE}) GROUP BY type")
+@query(f"SELECT type, count(*) AS n_spans, count(DISTINCT doc_id) AS n_docs FROM ({MERGED_ALL}) GROUP BY type")
 def metrics_by_type(spark, sf_dir):
     return entry(spark, sf_dir)
 
 
 @query(
     f"""SELECT source, string_agg(type || '=' || n, ',' ORDER BY type) AS categories, sum(n)::BIGINT AS total_spans
-    FROM (SELECT source, type, count(*) AS n FROM ({MERGED_CORE}) JOIN documents USING (doc_id) GROUP BY ALL) GROUP BY source"""
+    FROM (SELECT source, type, count(*) AS n FROM ({MERGED_ALL}) JOIN documents USING (doc_id) GROUP BY ALL) GROUP BY source"""
 )
 def audit_events(spark, sf_dir):
-    found = detect(_documents(spark, sf_dir).select("doc_id", "source", "text"), "text", Detector(rules=CORE))
+    found = detect(_documents(spark, sf_dir).select("doc_id", "source", "text"), "text", Detector(rules=ALL))
     return report.audit_events(exploded(found, "doc_id", "source"), "source")
 
 
-PLANTED = f"(VALUES {', '.join(f'({i}, {duck.quoted(t)})' for i, t in fixtures.PLANTED)}) AS t(id, text)"
-
-
 @query(_duck_rows(duck.rules(f"(SELECT * FROM {PLANTED})", "id", "text", rules.DEFAULT_RULES), "id"))
 def detect_planted_secrets(spark, sf_dir):
     """Every rule on planted positives and near misses."""
@@ -115,17 +120,28 @@ def detect_planted_secrets(spark, sf_dir):
     return _rows(exploded(raw_spans(df, "text", Detector(), "spans"), "id"), "id")
 
 
+@query(
+    f"""SELECT (SELECT count(*) FROM documents) AS requests, (SELECT count(*) FROM documents WHERE text IS NULL) AS withheld, sum(n)::BIGINT AS total_spans,
+    string_agg(type || '=' || n, ',' ORDER BY type) AS categories FROM (SELECT type, count(*) AS n FROM ({MERGED_ALL}) GROUP BY type)"""
+)
+def request_metrics(spark, sf_dir):
+    """Requests, spans and counts by type; a document is a request."""
+    row = report.request_metrics(_found(spark, sf_dir))
+    pairs = F.array_sort(F.transform(F.map_entries("categories"), lambda e: F.concat_ws("=", e["key"], e["value"].cast("string"))))
+    return row.select("requests", "withheld", "total_spans", F.array_join(pairs, ",").alias("categories"))
+
+
 def _planted_items(spark):
     df = spark.createDataFrame(fixtures.RECALL, "category string, item_no int, grp string, text string, value string")
     found = detect(df, "text")
     caught = F.exists("spans", lambda s: S.value_of(F.col("text"), s).contains(F.col("value")))
-    return found.select("category", "item_no", "grp", "value", caught.alias("caught"))
+    return found.select("category", "item_no", "grp", "text", "value", caught.alias("caught"))
 
 
 RECALL_VALUES = ", ".join(f"({duck.quoted(c)}, {n}, {duck.quoted(g)}, {duck.quoted(t)}, {duck.quoted(v)})" for c, n, g, t, v in fixtures.RECALL)
 RECALL_ITEMS = f"""items AS (SELECT *, category || item_no AS id FROM (VALUES {RECALL_VALUES}) AS t(category, item_no, grp, text, value)),
   spans AS ({duck.merged(duck.rules('items', 'id', 'text', rules.DEFAULT_RULES), 'id')}),
-  marked AS (SELECT category, item_no, grp, value, EXISTS (SELECT 1 FROM spans WHERE spans.id = items.id AND contains(substr(items.text, (s + 1)::INT, (e - s)::INT), items.value)) AS caught FROM items)"""
+  marked AS (SELECT category, item_no, grp, text, value, EXISTS (SELECT 1 FROM spans WHERE spans.id = items.id AND contains(substr(items.text, (s + 1)::INT, (e - s)::INT), items.value)) AS caught FROM items)"""
 
 
 @query(
@@ -138,7 +154,15 @@ def recall_by_category(spark, sf_dir):
 
 
 @query(
-    f"""WITH {RECALL_ITEMS} SELECT category, list(left(value, 60) ORDER BY item_no)[1:5] AS missed FROM marked WHERE NOT caught GROUP BY category"""
+    f"""WITH {RECALL_ITEMS}, gates AS (SELECT avg(caught::INT) >= CASE arg_min(grp, item_no) WHEN 'pii' THEN 0.95 ELSE 1.0 END AS passed FROM marked GROUP BY category)
+    SELECT count(*) AS n, sum(caught::INT)::BIGINT AS caught, avg(caught::INT) AS recall, (SELECT bool_and(passed) FROM gates) AS passed FROM marked"""
+)
+def recall_overall(spark, sf_dir):
+    return report.overall_recall(_planted_items(spark))
+
+
+@query(
+    f"""WITH {RECALL_ITEMS} SELECT category, list(left(text, 120) || ' | ' || left(value, 60) ORDER BY item_no)[1:5] AS missed FROM marked WHERE NOT caught GROUP BY category"""
 )
 def recall_misses(spark, sf_dir):
     return report.missed_samples(_planted_items(spark))
@@ -248,38 +272,61 @@ def clean_chunk_dedupe(spark, sf_dir):
     return report.distinct_chunks(_chunks(spark, sf_dir), "policy-1")
 
 
-WINDOW_RULES = duck.rules(f"(SELECT *, doc_id || ':' || no AS id FROM ({WINDOWS}))", "id, doc_id, off", "chunk", CORE)
+WINDOW_RULES = duck.rules(f"(SELECT *, doc_id || ':' || no AS id FROM ({WINDOWS}))", "id, doc_id, off", "chunk", ALL)
 
 
 @query(f"SELECT DISTINCT doc_id, (s + off)::INT AS start_pos, (e + off)::INT AS end_pos, type, score FROM ({WINDOW_RULES})")
 def detect_chunked(spark, sf_dir):
     """Overlapping windows scanned one by one, spans re-based; a span in two windows counts once."""
-    found = raw_spans(_chunks(spark, sf_dir, chunk.overlapping_windows), "chunk", Detector(rules=CORE), "spans")
+    found = raw_spans(_chunks(spark, sf_dir, chunk.overlapping_windows), "chunk", Detector(rules=ALL), "spans")
     rows = exploded(found, "doc_id", "offset")
     return rows.select("doc_id", (F.col("start") + F.col("offset")).alias("start_pos"), (F.col("end") + F.col("offset")).alias("end_pos"), "type", "score").distinct()
 
 
+@query(_duck_rows(MERGED_ALL))
+def detect_routed_documents(spark, sf_dir):
+    """By size, long texts whole: the same spans as detect_documents."""
+    return _rows(exploded(detect_routed(_documents(spark, sf_dir)), "doc_id"), "doc_id")
+
+
+CUT = tuple(r for r in ALL if r.tail)
 ROUTED = f"""WITH RECURSIVE {duck.newline_chunks(chunk.TARGET)},
   parts AS (SELECT doc_id, 0 AS off, text AS body, doc_id || ':s' AS id FROM documents WHERE length(text) <= 4096
-    UNION ALL SELECT doc_id, off, substr(text, off + 1, width), doc_id || ':' || no FROM chunks WHERE size > 4096),
-  pieces AS ({duck.merged(duck.rules('parts', 'id', 'body', CORE), 'id')}),
-  moved AS (SELECT doc_id, 0 AS ord, 0 AS nth, s + off AS s, e + off AS e, type, score, detector FROM pieces JOIN parts USING (id))"""
+    UNION ALL SELECT doc_id, off, substr(text, off + 1, width), doc_id || ':' || no FROM chunks
+      WHERE size > 4096 AND regexp_matches(substr(text, off + 1, width), {duck.quoted(rules.PREFILTER)})),
+  pieces AS ({duck.merged(duck.rules('parts', 'id', 'body', ALL), 'id')}),
+  blocks AS ({duck.rules("(SELECT * FROM documents WHERE length(text) > 4096)", "doc_id", "text", CUT)}),
+  moved AS (SELECT doc_id, s + off AS s, e + off AS e, type, score, detector FROM pieces JOIN parts USING (id)
+    UNION ALL SELECT doc_id, s, e, type, score, detector FROM blocks),
+  sorted AS (SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY s, e, type, score, detector) AS ord, 0 AS nth, s, e, type, score, detector FROM moved)"""
 
 
-@query(f"{ROUTED} {_duck_rows(duck.merged('SELECT * FROM moved', 'doc_id'))}")
-def detect_routed_documents(spark, sf_dir):
-    return _rows(exploded(detect_routed(_documents(spark, sf_dir), detector=Detector(rules=CORE)), "doc_id"), "doc_id")
+@query(f"{ROUTED} {_duck_rows(duck.merged('SELECT * FROM sorted', 'doc_id'))}")
+def detect_routed_compat(spark, sf_dir):
+    """The compatibility mode: newline chunks of long texts behind the cheap prefilter, key blocks in the whole text."""
+    return _rows(exploded(detect_routed(_documents(spark, sf_dir), lossy=True), "doc_id"), "doc_id")
+
+
+CLEAN = "SELECT sha256('policy-1' || substr(text, off + 1, width)) AS key FROM chunks WHERE doc_id % 3 = 0"
+
+
+@query(f"""{CHUNKS}, clean AS ({CLEAN}) SELECT doc_id, no FROM (SELECT doc_id, no, sha256('policy-1' || substr(text, off + 1, width)) AS key FROM chunks) WHERE key NOT IN (SELECT key FROM clean)""")
+def known_clean_chunks(spark, sf_dir):
+    """Chunks left to scan when those of every third document are known to be clean; the known ones depend on the policy."""
+    chunks = _chunks(spark, sf_dir)
+    clean = chunks.where("doc_id % 3 = 0").select(report.chunk_key(F.col("chunk"), "policy-1").alias("key")).distinct()
+    return report.unknown_chunks(chunks, clean, "policy-1").select("doc_id", "no")
 
 
 # ---- vault -------------------------------------------------------------------------------------
 
 
 def _found(spark, sf_dir):
-    docs = _documents(spark, sf_dir).select("doc_id", "source", "text")
-    return detect(docs, "text", Detector(rules=CORE))
+    """Documents with their spans, written once: all that follows reads them instead of scanning again."""
+    return written(detect(_documents(spark, sf_dir).select("doc_id", "source", "text")), "found")
 
 
-VAULT = f"""found AS (SELECT source AS session, doc_id AS turn, s, type, substr(text, (s + 1)::INT, (e - s)::INT) AS value FROM ({MERGED_CORE}) JOIN documents USING (doc_id)),
+VAULT = f"""found AS (SELECT source AS session, doc_id AS turn, s, type, substr(text, (s + 1)::INT, (e - s)::INT) AS value FROM ({MERGED_ALL}) JOIN documents USING (doc_id)),
   firsts AS (SELECT session, value, arg_min({{'type': type, 'turn': turn, 'back': -s}}, (turn, -s, type)) AS f FROM found WHERE value <> '' GROUP BY ALL),
   vault AS (SELECT session, value, f.type AS type, row_number() OVER (PARTITION BY session, f.type ORDER BY f.turn, f.back, value)::INT AS n FROM firsts),
   named AS (SELECT *, '[[' || type || '_' || n || ']]' AS placeholder FROM vault)"""
@@ -297,7 +344,7 @@ def vault_counters(spark, sf_dir):
     return minted.groupBy("session", "type").agg(F.max("n").alias("last_n"), F.countDistinct("value").alias("n_values"))
 
 
-SCRUBBED = f"""WITH {VAULT}, spans AS (SELECT doc_id, s, e FROM ({MERGED_CORE})),
+SCRUBBED = f"""WITH {VAULT}, spans AS (SELECT doc_id, s, e FROM ({MERGED_ALL})),
   cuts AS (SELECT d.doc_id, d.source, d.text, list(s.s ORDER BY s.s) AS ss, list(s.e ORDER BY s.s) AS es FROM documents d LEFT JOIN spans s USING (doc_id) GROUP BY ALL),
   pieces AS (SELECT doc_id, source, text, i, CASE WHEN i = 0 THEN '' ELSE substr(text, (ss[i] + 1)::INT, (es[i] - ss[i])::INT) END AS value,
     CASE WHEN ss[1] IS NULL THEN text WHEN i = 0 THEN substr(text, 1, ss[1]::INT) WHEN i = len(ss) THEN substr(text, (es[i] + 1)::INT) ELSE substr(text, (es[i] + 1)::INT, (ss[i + 1] - es[i])::INT) END AS gap
@@ -307,8 +354,8 @@ SCRUBBED = f"""WITH {VAULT}, spans AS (SELECT doc_id, s, e FROM ({MERGED_CORE}))
 
 def _scrubbed(spark, sf_dir):
     found = _found(spark, sf_dir)
-    minted = vault.mint(vault.found_values(found, "source", "doc_id"))
-    return minted, vault.substitute(found, minted, "source", "doc_id")
+    minted = written(vault.mint(vault.found_values(found, "source", "doc_id")), "vault")
+    return minted, written(vault.substitute(found, minted, "source", "doc_id"), "scrubbed")
 
 
 @query(f"{SCRUBBED} SELECT doc_id, length(scrubbed)::INT AS n_chars, md5(scrubbed) AS md5 FROM scrubbed")
@@ -321,14 +368,19 @@ def scrub_documents(spark, sf_dir):
 def rehydrate_roundtrip(spark, sf_dir):
     """Scrubbing and restoring gives each document back."""
     minted, rows = _scrubbed(spark, sf_dir)
-    marks = rows.select("session", "turn", F.explode(F.array_distinct(vault.placeholders(F.col("scrubbed")))["placeholder"]).alias("placeholder"))
-    names = marks.join(minted.select("session", "placeholder", "value"), ["session", "placeholder"])
-    names = names.groupBy("session", "turn").agg(F.map_from_entries(F.collect_list(F.struct("placeholder", "value"))).alias("names"))
+    names = vault.names_of(rows.select("session", "turn", F.col("scrubbed").alias("text")), minted)
     empty = F.from_json(F.lit("{}"), "map<string,string>")
     back = rows.join(names, ["session", "turn"], "left").select(F.col("turn").alias("doc_id"), vault.rehydrate(F.col("scrubbed"), F.coalesce("names", empty)).alias("text"))
     return back.select("doc_id", F.md5(F.col("text").cast("binary")).alias("md5"))
 
 
+@query("SELECT source, count(*) AS n_texts, 0::BIGINT AS n_hits, 0::BIGINT AS withheld FROM documents GROUP BY source")
+def rescan_hits(spark, sf_dir):
+    """Scrubbed documents scanned again: nothing is found any more."""
+    _, rows = _scrubbed(spark, sf_dir)
+    return report.rescan_hits(detect(rows.select(F.col("session").alias("source"), F.col("scrubbed").alias("text"))), "source")
+
+
 @query(
     f"""{SCRUBBED} SELECT doc_id, regexp_extract(p, '\\[\\[(.*)_[0-9]+\\]\\]', 1) AS type, count(*) AS n, max(regexp_extract(p, '_([0-9]+)\\]\\]', 1)::INT) AS last_n
     FROM (SELECT doc_id, unnest(regexp_extract_all(scrubbed, {duck.PLACEHOLDER_SQL})) AS p FROM scrubbed) GROUP BY ALL"""
@@ -355,8 +407,8 @@ def format_preserving(spark, sf_dir):
 
 # ---- egress ------------------------------------------------------------------------------------
 
-PAYLOADS = f"(SELECT * FROM {PLANTED})"
-# the planted texts hold no placeholders, so the look-arounds for them, which RE2 lacks, are left out
+PAYLOADS = WITH_PLANTED
+# none of these texts holds a placeholder, so the look-arounds for them, which RE2 lacks, are left out; a test has texts with them
 _PLAIN = [(n, p.replace(r"(?<!\[\[)", "").replace(r"(?!\w*\]\])", "")) for n, p in egress.EGRESS_RULES]
 _HITS = ", ".join(
     f"CASE WHEN regexp_matches(text, {duck.quoted(p)}) AND NOT regexp_matches(regexp_extract(text, {duck.quoted(p)}), {duck.quoted(egress.FAKE_FIRST)}) THEN {duck.quoted(n)} END"
@@ -364,10 +416,10 @@ _HITS = ", ".join(
 )
 
 
-@query(f"SELECT id, array_to_string(list_filter([{_HITS}], lambda x: x IS NOT NULL), ',') AS violations, len(list_filter([{_HITS}], lambda x: x IS NOT NULL)) = 0 AS safe FROM {PAYLOADS}")
+@query(f"SELECT doc_id, array_to_string(list_filter([{_HITS}], lambda x: x IS NOT NULL), ',') AS violations, len(list_filter([{_HITS}], lambda x: x IS NOT NULL)) = 0 AS safe FROM {PAYLOADS}")
 def egress_verify(spark, sf_dir):
-    df = spark.createDataFrame(fixtures.PLANTED, "id int, payload string")
-    return egress.verify(df).select("id", F.array_join("violations", ",").alias("violations"), "safe")
+    """Documents and planted texts as payloads."""
+    return egress.verify(_with_planted(spark, sf_dir), "text").select("doc_id", F.array_join("violations", ",").alias("violations"), "safe")
 
 
 @query(
@@ -376,11 +428,45 @@ def egress_verify(spark, sf_dir):
 )
 def raw_value_leak(spark, sf_dir):
     """Unscrubbed documents as payloads against their session's vault."""
-    minted = vault.mint(vault.found_values(_found(spark, sf_dir), "source", "doc_id"))
-    payloads = _documents(spark, sf_dir).select(F.col("source").alias("session"), F.col("doc_id").alias("turn"), F.col("text").alias("payload"))
+    found = _found(spark, sf_dir)
+    minted = vault.mint(vault.found_values(found, "source", "doc_id"))
+    payloads = found.select(F.col("source").alias("session"), F.col("doc_id").alias("turn"), F.col("text").alias("payload"))
     return egress.raw_value_leaks(payloads, minted)
 
 
+@query(
+    f"""WITH {VAULT} SELECT d.source AS session, d.doc_id AS turn, count(DISTINCT v.value) AS n_leaks FROM documents d JOIN named v ON v.session = d.source
+    WHERE d.doc_id % 4 = 1 AND length(v.value) >= 8 AND contains(d.text, v.value) GROUP BY ALL"""
+)
+def assistant_echoes(spark, sf_dir):
+    """Every fourth document is the assistant's; only those are looked through for raw values."""
+    found = _found(spark, sf_dir)
+    minted = vault.mint(vault.found_values(found, "source", "doc_id"))
+    role = F.when(F.col("doc_id") % 4 == 1, "assistant").otherwise("user")
+    return egress.assistant_echoes(found.select(F.col("source").alias("session"), F.col("doc_id").alias("turn"), "text", role.alias("role")), minted)
+
+
+@query("SELECT conv_id, list(text ORDER BY turn) FILTER (turn % 3 <> 1 AND text IS NOT NULL) AS texts FROM conversations GROUP BY conv_id HAVING count(*) FILTER (turn % 3 <> 1 AND text IS NOT NULL) > 0")
+def block_filter(spark, sf_dir):
+    """Turns as the blocks of one message, every third an image: the text blocks alone are scanned."""
+    rows = read_table(spark, sf_dir, "conversations")
+    block = F.struct("turn", F.when(F.col("turn") % 3 == 1, "image").otherwise("text").alias("type"), "text")
+    blocks = rows.groupBy("conv_id").agg(F.array_sort(F.collect_list(block)).alias("blocks"))
+    texts = F.transform(egress.text_blocks(F.col("blocks")), lambda b: b["text"])
+    return blocks.select("conv_id", texts.alias("texts")).where(F.size("texts") > 0)
+
+
+@query(
+    "SELECT event_type, CASE event_type " + " ".join(f"WHEN '{k}' THEN '{v}'" for k, v in egress.ACTIONS.items()) + """ ELSE 'pass' END AS action, count(*) AS n
+    FROM (SELECT CASE event_id % 3 WHEN 0 THEN 'input' WHEN 1 THEN 'tool_call' ELSE event_type END AS event_type FROM events) GROUP BY ALL"""
+)
+def hook_actions(spark, sf_dir):
+    """Events of an agent's life and the steps that handle them."""
+    k = F.col("event_id") % 3
+    rows = read_table(spark, sf_dir, "events").select(F.when(k == 0, "input").when(k == 1, "tool_call").otherwise(F.col("event_type")).alias("event_type"))
+    return rows.groupBy("event_type", egress.action_of(F.col("event_type")).alias("action")).agg(F.count("*").alias("n"))
+
+
 PATHS = f"(VALUES {', '.join(f'({i}, {duck.quoted(p)})' for i, p in enumerate(fixtures.PATHS))}) AS t(id, path)"
 
 
@@ -407,7 +493,7 @@ def fail_closed(spark, sf_dir):
     """Every fifth document has an invalid policy, every seventh a detector that failed."""
     found = _found(spark, sf_dir)
     broken = found.withColumn("spans", F.when(F.col("doc_id") % 7 != 0, F.col("spans")))
-    minted = vault.mint(vault.found_values(found, "source", "doc_id"))
+    minted = written(vault.mint(vault.found_values(found, "source", "doc_id")), "vault")
     rows = vault.substitute(broken, minted, "source", "doc_id").join(broken.select(F.col("doc_id").alias("turn"), "text", "spans"), "turn")
     out = egress.fail_closed(F.col("text"), F.col("spans"), F.col("turn") % 5 != 0, F.col("scrubbed"))
     return rows.select(F.col("turn").alias("doc_id"), F.md5(out.cast("binary")).alias("md5"))
@@ -453,14 +539,56 @@ def json_leaf_walk(spark, sf_dir):
     return jsonwalk.string_leaves(bodies.select("conv_id", body.alias("body")), "conv_id", "body", depth=5)
 
 
-@query(f"{SCRUBBED} SELECT string_agg(md5(scrubbed), '' ORDER BY doc_id) IS NOT NULL AS restored, count(*) AS n_streams FROM scrubbed")
+TALKS = """(SELECT conv_id AS session, turn, conv_id || ':' || turn AS id,
+  text || CASE WHEN turn % 2 = 0 THEN ' write to u' || (conv_id % 5) || '.' || (turn % 3) || '@ex.org, password: hunter' || turn || '#Zx9k' ELSE ' host 192.168.10.' || turn END AS text FROM conversations WHERE text IS NOT NULL)"""
+BODIES = f"""WITH talks AS {TALKS}, merged AS ({duck.merged(duck.rules('talks', 'id', 'text', ALL), 'id')}),
+  found AS (SELECT session, turn, s, type, substr(text, (s + 1)::INT, (e - s)::INT) AS value FROM merged JOIN talks USING (id)),
+  firsts AS (SELECT session, value, arg_min({{'type': type, 'turn': turn, 'back': -s}}, (turn, -s, type)) AS f FROM found WHERE value <> '' GROUP BY ALL),
+  named AS (SELECT session, value, '[[' || f.type || '_' || row_number() OVER (PARTITION BY session, f.type ORDER BY f.turn, f.back, value)::INT || ']]' AS placeholder FROM firsts),
+  cuts AS (SELECT t.id, t.session, t.turn, t.text, list(m.s ORDER BY m.s) AS ss, list(m.e ORDER BY m.s) AS es FROM talks t LEFT JOIN merged m USING (id) GROUP BY ALL),
+  pieces AS (SELECT id, session, turn, text, i, CASE WHEN i = 0 THEN '' ELSE substr(text, (ss[i] + 1)::INT, (es[i] - ss[i])::INT) END AS value,
+    CASE WHEN ss[1] IS NULL THEN text WHEN i = 0 THEN substr(text, 1, ss[1]::INT) WHEN i = len(ss) THEN substr(text, (es[i] + 1)::INT) ELSE substr(text, (es[i] + 1)::INT, (ss[i + 1] - es[i])::INT) END AS gap
+    FROM cuts, unnest(range(0, CASE WHEN ss[1] IS NULL THEN 1 ELSE len(ss) + 1 END)) AS u(i)),
+  scrubbed AS (SELECT id, session, turn, string_agg(coalesce(v.placeholder, '') || gap, '' ORDER BY i) AS scrubbed FROM pieces p LEFT JOIN named v USING (session, value) GROUP BY id, session, turn)"""
+BODY = "model string, messages array<struct<role:string,content:array<struct<type:string,text:string>>>>"
+
+
+def _bodies(spark, sf_dir):
+    """One request body of a conversation: a model's name and messages with text blocks."""
+    k, c = F.col("turn"), F.col("conv_id")
+    even = F.concat(F.lit(" write to u"), c % 5, F.lit("."), k % 3, F.lit("@ex.org, password: hunter"), k, F.lit("#Zx9k"))
+    text = F.concat("text", F.when(k % 2 == 0, even).otherwise(F.concat(F.lit(" host 192.168.10."), k)))
+    message = F.struct("turn", F.struct("role", F.array(F.struct(F.lit("text").alias("type"), text.alias("text"))).alias("content")).alias("m"))
+    rows = read_table(spark, sf_dir, "conversations").where("text IS NOT NULL").groupBy("conv_id").agg(F.array_sort(F.collect_list(message), lambda a, b: (a["turn"] - b["turn"]).cast("int")).alias("t"))
+    body = F.struct(F.concat(F.lit("m"), F.col("conv_id").cast("string")).alias("model"), F.transform("t", lambda x: x["m"]).alias("messages"))
+    return rows.select(F.col("conv_id").alias("session"), F.lit(0).alias("turn"), F.to_json(body).alias("body"))
+
+
+def _joined_texts(rows: DataFrame) -> DataFrame:
+    parsed = F.from_json("body", BODY)
+    texts = F.flatten(F.transform(parsed["messages"], lambda m: F.transform(m["content"], lambda b: b["text"])))
+    return rows.select(F.col("session").alias("conv_id"), parsed["model"].alias("model"), F.size(texts).cast("long").alias("n_texts"), F.md5(F.array_join(texts, "|").cast("binary")).alias("md5"))
+
+
+@query(f"{BODIES} SELECT session AS conv_id, 'm' || session AS model, count(*) AS n_texts, md5(string_agg(scrubbed, '|' ORDER BY turn)) AS md5 FROM scrubbed GROUP BY session")
+def scrub_bodies(spark, sf_dir):
+    """Whole request bodies scrubbed by their conversation's vault."""
+    return _joined_texts(vault.scrub_bodies(_bodies(spark, sf_dir), "session", "turn")[1])
+
+
+@query(f"WITH talks AS {TALKS} SELECT session AS conv_id, 'm' || session AS model, count(*) AS n_texts, md5(string_agg(text, '|' ORDER BY turn)) AS md5 FROM talks GROUP BY session")
+def rehydrate_bodies(spark, sf_dir):
+    """Scrubbed bodies restored from the vault."""
+    names, rows = vault.scrub_bodies(_bodies(spark, sf_dir), "session", "turn")
+    return _joined_texts(vault.rehydrate_bodies(rows, names, "session", "turn"))
+
+
+@query("SELECT doc_id::VARCHAR AS stream_id, md5(text) AS md5 FROM documents WHERE text <> ''")
 def stream_rehydrate(spark, sf_dir):
-    """Scrubbed documents of one session cut into deltas of eleven signs, streamed, restored and compared."""
+    """Scrubbed documents cut into deltas of eleven signs, streamed and restored: each gives its document back."""
     minted, rows = _scrubbed(spark, sf_dir)
-    whole = rehydrate.replay(rows.select(F.col("turn").cast("string").alias("stream_id"), F.col("scrubbed").alias("text"), "session"), minted, width=11)
-    docs = _documents(spark, sf_dir).select(F.col("doc_id").cast("string").alias("stream_id"), "text")
-    same = docs.join(whole, "stream_id", "left").select((F.coalesce("restored", F.lit("")) == F.col("text")).alias("same"))
-    return same.agg(F.min("same").alias("restored"), F.count("*").alias("n_streams"))
+    whole = rehydrate.replay(rows.where("scrubbed <> ''").select(F.col("turn").cast("string").alias("stream_id"), F.col("scrubbed").alias("text"), "session"), minted, width=11)
+    return whole.select("stream_id", F.md5(F.col("restored").cast("binary")).alias("md5"))
 
 
 LABELS = (("person", 0.5), ("full_name", 0.99), ("internal hostname", 0.9), ("api_key", 1.0), ("tax-file no", 0.31))
@@ -476,15 +604,39 @@ def label_map(spark, sf_dir):
     return df.select("label", plugins.entity_of_label(F.col("label")).alias("entity"), plugins.capped(F.col("score")).alias("capped"))
 
 
+# central and local deny-list, allow-list, entropy threshold, model threshold, labels; None where a policy lacks them
+POLICIES = (
+    (["x"], ["y", "x"], ["a", "b"], ["b", "c"], 4.0, 3.0, 0.5, 0.9, ["person"], ["iban", "person"]), (["x"], None, ["a"], None, 4.0, 5.0, 0.5, 0.2, ["person"], None),
+    (None, ["z"], None, ["a"], None, 3.0, None, 0.1, None, ["iban"]), (["p", "q"], ["q", "r", "s"], ["a", "b", "c"], [], 3.5, None, 0.7, 0.7, ["a", "b"], ["c", "b", "d"]),
+)
+
+
+def _policy_of(deny, allow, entropy, model, labels) -> dict:
+    leaves = {("deny_paths",): deny, ("allow",): allow, ("detectors", "entropy", "threshold"): entropy, ("detectors", "gliner", "threshold"): model, ("detectors", "gliner", "labels"): labels}
+    return policy.tree({p: v for p, v in leaves.items() if v is not None} | {("service", "fail_open"): True})
+
+
+def _policy_values() -> str:
+    text = lambda v: "NULL" if v is None else str(v) if isinstance(v, float) else f"{v}::VARCHAR[]"
+    return ", ".join(f"({k}, {', '.join(map(text, p))})" for k, p in enumerate(POLICIES))
+
+
 @query(
-    """SELECT source, list_sort(list_intersect(central, mine)) AS allow, list_distinct(list_concat(central, mine)).list_sort() AS deny, least(4.0, threshold)::DOUBLE AS threshold
-    FROM (SELECT source, ['en', 'fr', 'localhost'] AS central, list_sort(list_distinct(list(lang))) AS mine, 3.0 + count(*) % 3 AS threshold FROM documents GROUP BY source)"""
+    f"""SELECT n, array_to_string(coalesce(cd, []) || list_filter(coalesce(ld, []), lambda x: NOT list_contains(coalesce(cd, []), x)), ',') AS deny,
+      array_to_string(CASE WHEN la IS NULL THEN coalesce(ca, []) ELSE list_sort(list_intersect(coalesce(ca, []), la)) END, ',') AS allow,
+      CASE WHEN ce IS NOT NULL THEN least(ce, coalesce(le, ce)) ELSE -1 END::DOUBLE AS entropy, CASE WHEN cm IS NOT NULL THEN least(cm, coalesce(lm, cm)) ELSE -1 END::DOUBLE AS model,
+      array_to_string(coalesce(cl, []) || list_filter(coalesce(ll, []), lambda x: NOT list_contains(coalesce(cl, []), x)), ',') AS labels, false AS fail_open
+    FROM (VALUES {_policy_values()}) AS t(n, cd, ld, ca, la, ce, le, cm, lm, cl, ll)"""
 )
 def policy_tighten(spark, sf_dir):
-    """The tightening merge in table form: sources' languages against a central list."""
-    rows = _documents(spark, sf_dir).groupBy("source").agg(F.array_sort(F.collect_set("lang")).alias("mine"), (F.lit(3.0) + F.count("*") % 3).alias("threshold"))
-    central = F.array(F.lit("en"), F.lit("fr"), F.lit("localhost"))
-    return rows.select("source", F.array_sort(F.array_intersect(central, "mine")).alias("allow"), F.array_sort(F.array_union(central, "mine")).alias("deny"), F.least(F.lit(4.0), "threshold").alias("threshold"))
+    """Local policies over central ones, which they may only tighten."""
+    rows = []
+    for n, values in enumerate(POLICIES):
+        leaves = policy.flat(policy.tighten(_policy_of(*values[0::2]), _policy_of(*values[1::2])))
+        joined = lambda *path: ",".join(leaves.get(path) or [])
+        threshold = lambda name: leaves.get(("detectors", name, "threshold"), -1.0)
+        rows.append((n, joined("deny_paths"), joined("allow"), threshold("entropy"), threshold("gliner"), joined("detectors", "gliner", "labels"), leaves["service", "fail_open"]))
+    return spark.createDataFrame(rows, "n int, deny string, allow string, entropy double, model double, labels string, fail_open boolean")
 
 
 @query("SELECT conv_id, string_agg(text, '' ORDER BY turn) AS joined FROM conversations GROUP BY conv_id")
@@ -546,17 +698,45 @@ def clean_cache_lru(spark, sf_dir):
     return events.recent(rows, "user_id", "ts", now, age=86_400)
 
 
-@query(f"WITH {VAULT} SELECT session, type, count(*) AS n_values, max(n) AS last_n FROM named GROUP BY ALL")
+@query(f"WITH {VAULT} SELECT session, value, type, n, placeholder FROM named")
 def stream_vault(spark, sf_dir):
     """The vault of vault_mint, minted from a stream of found values."""
-    found = vault.found_values(_found(spark, sf_dir), "source", "doc_id").select("session", "turn", "start", "type", "value")
-    folder = f"{checkpoint_dir(spark).rstrip('/')}/stream-vault-{uuid.uuid4().hex}"
-    found.coalesce(1).write.parquet(f"{folder}/found")
+    first = vault.first_sights(vault.found_values(_found(spark, sf_dir), "source", "doc_id"))
+    found = first.select("session", "turn", (-F.col("back")).alias("start"), "type", "value")
+    folder = shared_folder(spark, "stream-vault")
+    found.write.parquet(f"{folder}/found")
+    spark.conf.set("spark.sql.streaming.stateStore.providerClass", STORE)
     stream = spark.readStream.schema(found.schema).parquet(f"{folder}/found")
     sink = mint_stream(stream).writeStream.format("parquet").option("checkpointLocation", f"{folder}/state")
     sink.trigger(availableNow=True).start(f"{folder}/out").awaitTermination()
     out = spark.read.schema("session string, value string, type string, n int, placeholder string").parquet(f"{folder}/out")
-    return out.groupBy("session", "type").agg(F.count("*").alias("n_values"), F.max("n").alias("last_n"))
+    return out.select("session", "value", "type", "n", "placeholder")
+
+
+@query(
+    """SELECT user_id AS session, epoch_us(max(ts)) AS at FROM events GROUP BY user_id
+    HAVING epoch_us((SELECT max(ts) FROM events)) - epoch_us(max(ts)) <= 3600000000 * 6"""
+)
+def session_store(spark, sf_dir):
+    """A store of sessions from the odd events, brought up to date by the even ones; idle for six hours is gone."""
+    rows = read_table(spark, sf_dir, "events")
+    now = rows.agg(F.max("ts").cast("string")).first()[0]
+    sides = [rows.where(F.col("event_id") % 2 == k).groupBy(F.col("user_id").alias("session")).agg(F.max("ts").alias("at")) for k in (1, 0)]
+    kept = report.last_access(*sides, now, ttl=3600 * 6)
+    return kept.select("session", F.unix_micros(F.col("at").cast("timestamp")).alias("at"))
+
+
+@query("SELECT conv_id, count(*) AS n_lines, md5(string_agg('> ' || text, '|' ORDER BY turn)) AS md5 FROM conversations WHERE text IS NOT NULL GROUP BY conv_id")
+def sse_rewrite(spark, sf_dir):
+    """Turns as events whose texts are changed and written out as lines again, then read back."""
+    rows = read_table(spark, sf_dir, "conversations").where("text IS NOT NULL")
+    body = F.when(F.col("turn") % 2 == 0, F.to_json(F.struct(F.struct("text").alias("delta")))).otherwise(
+        F.to_json(F.struct(F.array(F.struct(F.struct(F.col("text").alias("content")).alias("delta"))).alias("choices")))
+    )
+    parsed = events.parse_sse(rows.select("conv_id", "turn", F.concat(F.lit("data: "), body).alias("line"))).withColumn("delta", F.concat(F.lit("> "), "delta"))
+    again = events.parse_sse(events.written_sse(parsed).select("conv_id", "turn", F.col("out").alias("line")))
+    texts = F.transform(F.array_sort(F.collect_list(F.struct("turn", "delta"))), lambda x: x["delta"])
+    return again.groupBy("conv_id").agg(F.count("*").alias("n_lines"), F.md5(F.array_join(texts, "|").cast("binary")).alias("md5"))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
