@@ -94,3 +94,28 @@ def test_recall_of_a_large_tree(factor, least):
         mine = sorted(((-s[v], v) for v in vec[row == q]))[:5]
         hits += len(want & {v for _, v in mine})
     assert hits >= least * 600
+
+
+def test_later_cells_are_visited_only_where_they_may_help(spark, monkeypatch):
+    """Clusters far apart: a query stays within its own; lengths far apart: with the longest."""
+    monkeypatch.setattr(V, "SHARD", 100)
+    seen = []
+    whole = V.visit
+
+    def counted(index, visits, *rest):
+        seen.append(visits.select("vec_id", "shard").distinct().count())
+        return whole(index, visits, *rest)
+
+    monkeypatch.setattr(V, "visit", counted)
+    rng = np.random.default_rng(6)
+    centres = rng.normal(0, 1, (8, 16))
+    rows = [(i, (centres[i % 8] + rng.normal(0, 0.02, 16)).tolist(), "") for i in range(1600)]
+    got = sorted(map(tuple, T.nearest_neighbours(frame(spark, rows), 50, 5, factor=1.0).collect()))
+    assert got == brute(usable(rows, True), 50, 5, cosine)
+    n_queries, n_shards = 32, sum(1 for _ in range(16))
+    assert seen[0] + seen[1] < n_queries * n_shards
+    del seen[:]
+    rows = [(i, (rng.normal(0, 1, 16) * 2.0 ** (i % 16)).tolist(), "") for i in range(1600)]
+    got = sorted(map(tuple, N.top_products(frame(spark, rows), 100, 10).collect()))
+    assert got == brute(usable(rows, False), 100, 10, product)
+    assert seen[0] + seen[1] < 16 * 16 / 2

@@ -6,6 +6,9 @@ vectors in that order. Once its length times a block's greatest length is below
 done. Within a block, the sum over the leading components plus the product of the residual lengths
 bounds each score from above; only vectors whose bound reaches the k-th score get exact scores,
 which are integers.
+
+Shards are ranges of length, too: a query visits the longest vectors first, and after that only ranges
+whose greatest length times its own reaches the k-th score it has found.
 """
 
 from __future__ import annotations
@@ -99,8 +102,20 @@ def top_products(df: DataFrame, step: int = 100, k: int = 10, id_col: str = "vec
     of a long are its ends; those beyond 2**53 are exact but told apart as doubles. An empty table gives an empty table; other columns aren't read."""
     vectors = V.valid_vectors(df, id_col, vector_col, nonzero=False)
     rows = df.count()
-    queries = vectors.where(V.every(vectors, step)).dropDuplicates(["vec_id"])
-    index = V.build(vectors, rows, lambda ids, x: build_index(ids, x, k + 1))
+    length = lambda x: np.sqrt((np.floor(SCALE * x) ** 2).sum(1))
+    n = V.cells_for(rows)
+    cuts = np.empty(0)
+    if n > 1:  # ends of ranges of about equal numbers; the numbers needn't be exact
+        lengths = V.placed(vectors, lambda x, dim: (np.zeros(len(x)), length(x)))
+        cuts = np.unique(lengths.approxQuantile("far", [i / n for i in range(1, n)], 0.1 / n))
+
+    def place(x, dim):
+        far = length(x)
+        return len(cuts) - np.searchsorted(cuts, far, "right"), far
+
+    def reaches(q, least, dim, cells, low, high):
+        ceiling = float(length(q[None])[0]) * high
+        return np.isnan(least) | (ceiling * (1 + 1e-9) + 1e-6 >= least)
 
     def find(index, ids, q):
         q = np.floor(SCALE * q)
@@ -115,7 +130,9 @@ def top_products(df: DataFrame, step: int = 100, k: int = 10, id_col: str = "vec
                 score[a : a + 4096] = [int(_exact(x[None], y[None], index.largest)[0, 0]) for x, y in zip(i, j)]
         return row, vec, score
 
-    return V.search(index, queries, rows, -(-rows // step), k, "long", find)
+    vectors = V.placed(vectors, place)
+    queries = vectors.where(V.every(vectors, step)).dropDuplicates(["vec_id"])
+    return V.search(vectors, queries, -(-rows // step), k, "long", lambda ids, x: build_index(ids, x, k + 1), find, False, reaches)
 
 
 def oracle(step: int = 100, k: int = 10) -> str:

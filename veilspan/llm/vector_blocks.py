@@ -1,9 +1,11 @@
 """Searching a stated query set against all vectors, in blocks.
 
-Vectors are dealt to shards by a hash of their id, and each shard is indexed once. Queries are dealt
-to blocks. Each pair of a shard and a block is one task of bounded size, which returns the block's
-best k within the shard; a top-k per query over the shards ends the search. Neither side is gathered
-or broadcast whole.
+Vectors are dealt to cells by where they lie (near a pivot, or by length), large cells on to shards by a
+hash of their id, and each shard is indexed once. A block of queries and a shard are one task of
+bounded size, which returns the block's best k within the shard. Queries first visit the cells where
+their best ones are likely; what they find bounds how good a vector must be, and only cells whose
+own bounds reach that are visited after. Neither side is gathered or broadcast whole: what is
+broadcast are the cells' bounds, MOST_CELLS at most for each length of vector.
 """
 
 from __future__ import annotations
@@ -17,9 +19,12 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from veilspan.llm.arrow import arrow_schema
+from veilspan.session import materialize
 
 #: Vectors of a shard, on average, and queries of a block.
 SHARD, BLOCK = 16_384, 4_096
+#: Cells of the vectors of one length at most.
+MOST_CELLS = 1024
 
 
 def valid_vectors(df: DataFrame, id_col: str, vector_col: str, nonzero: bool) -> DataFrame:
@@ -109,26 +114,53 @@ def pairs_of(best: Best, owners: np.ndarray, query_ids: np.ndarray) -> tuple[np.
     return q[a], column[a], ids[a, b]
 
 
-def build(vectors: DataFrame, n_rows: int, make_index: Callable[[np.ndarray, np.ndarray], object]) -> DataFrame:
-    """(dim, shard, index binary): make_index(ids, matrix) of each shard, pickled; every vector is in one."""
-    shards = max(1, -(-n_rows // SHARD))
-    schema = arrow_schema("dim int, shard int, index binary")
+def cells_for(n_rows: int) -> int:
+    return max(1, min(MOST_CELLS, -(-n_rows // SHARD)))
+
+
+def placed(vectors: DataFrame, place: Callable[[np.ndarray, int], tuple[np.ndarray, np.ndarray]]) -> DataFrame:
+    """Adds (cell int, far double): place(matrix, dim) gives both for vectors of one length."""
+    schema = "vec_id long, dim int, v binary, cell int, far double"
+    out = arrow_schema(schema)
+
+    def run(batches):
+        for batch in batches:
+            dims = batch.column(1).to_numpy()
+            cell, far = np.zeros(len(dims), np.int32), np.zeros(len(dims))
+            for dim in np.unique(dims).tolist():
+                at = np.flatnonzero(dims == dim)
+                cell[at], far[at] = place(matrix(batch.column(2).take(pa.array(at)), dim), dim)
+            yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(cell), pa.array(far)], schema=out)
+
+    return vectors.select("vec_id", "dim", "v").mapInArrow(run, schema)
+
+
+def cells_of(vectors: DataFrame) -> list:
+    """(dim, cell, low, high, first, k): the ends of ``far`` in each cell, and the cell's shards, numbered on end."""
+    found = vectors.groupBy("dim", "cell").agg(F.count("*").alias("n"), F.min("far").alias("low"), F.max("far").alias("high")).orderBy("dim", "cell").collect()
+    rows, first = [], 0
+    for r in found:
+        k = max(1, -(-r.n // SHARD))
+        rows.append((r.dim, r.cell, r.low, r.high, first, k))
+        first += k
+    return rows
+
+
+def build(vectors: DataFrame, cells: DataFrame, make_index: Callable[[np.ndarray, np.ndarray], object]) -> DataFrame:
+    """(shard, index binary): make_index(ids, matrix) of each shard, pickled; every vector is in one."""
+    schema = arrow_schema("shard int, index binary")
 
     def one(table: pa.Table) -> pa.Table:
-        dim, shard = table["dim"][0].as_py(), table["shard"][0].as_py()
-        index = make_index(table["vec_id"].to_numpy(), matrix(table["v"], dim))
-        return pa.table([[dim], [shard], [pickle.dumps(index, protocol=5)]], schema=schema)
+        index = make_index(table["vec_id"].to_numpy(), matrix(table["v"], table["dim"][0].as_py()))
+        return pa.table([[table["shard"][0].as_py()], [pickle.dumps(index, protocol=5)]], schema=schema)
 
-    dealt = vectors.withColumn("shard", F.pmod(F.xxhash64("vec_id"), F.lit(shards)).cast("int"))
-    return dealt.groupBy("dim", "shard").applyInArrow(one, "dim int, shard int, index binary")
+    dealt = vectors.join(F.broadcast(cells), ["dim", "cell"])
+    dealt = dealt.select("vec_id", "dim", "v", (F.col("first") + F.pmod(F.xxhash64("vec_id"), F.col("k"))).cast("int").alias("shard"))
+    return dealt.groupBy("shard").applyInArrow(one, "shard int, index binary")
 
 
-def search(
-    index: DataFrame, queries: DataFrame, n_rows: int, n_queries: int, k: int, score_type: str,
-    find: Callable[[object, np.ndarray, np.ndarray], tuple[np.ndarray, np.ndarray, np.ndarray]],
-) -> DataFrame:
-    """(query_id, rank, vec_id, score): find(index, query ids, matrix) gives (query row, id, score) within a shard."""
-    shards, blocks = max(1, -(-n_rows // SHARD)), max(1, -(-n_queries // BLOCK))
+def visit(index: DataFrame, visits: DataFrame, blocks: int, k: int, score_type: str, find) -> DataFrame:
+    """(query_id, vec_id, score): each query's best k of every shard it visits (vec_id, dim, v, shard)."""
     schema = f"query_id long, vec_id long, score {score_type}"
     out = arrow_schema(schema)
 
@@ -143,15 +175,56 @@ def search(
         few = nth < k
         return pa.table([ids[row[few]], vec[few], score[few]], schema=out)
 
-    left = index.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
-    right = queries.withColumn("block", F.pmod(F.xxhash64("vec_id", F.lit(1)), F.lit(blocks)).cast("int"))
-    right = right.withColumn("shard", F.explode(F.sequence(F.lit(0), F.lit(shards - 1))))
-    keys = ("dim", "shard", "block")
-    found = left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInArrow(pair, schema)
+    right = visits.withColumn("block", F.pmod(F.xxhash64("vec_id", F.lit(1)), F.lit(blocks)).cast("int"))
+    asked = right.select(F.col("shard").alias("to"), F.col("block").alias("of")).distinct()  # a shard goes to the blocks that visit it
+    left = index.join(asked, F.col("shard") == F.col("to")).select(F.col("to").alias("shard"), F.col("of").alias("block"), "index")
+    return left.groupBy("shard", "block").cogroup(right.groupBy("shard", "block")).applyInArrow(pair, schema)
+
+
+def ranked(found: DataFrame, k: int) -> DataFrame:
     order = Window.partitionBy("query_id").orderBy(F.col("score").desc(), "vec_id")
     return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 
 
+def search(
+    vectors: DataFrame, queries: DataFrame, n_queries: int, k: int, score_type: str, make_index: Callable[[np.ndarray, np.ndarray], object],
+    find: Callable[[object, np.ndarray, np.ndarray], tuple[np.ndarray, np.ndarray, np.ndarray]], own: bool,
+    reaches: Callable[[np.ndarray, float, int, np.ndarray, np.ndarray, np.ndarray], np.ndarray],
+) -> DataFrame:
+    """(query_id, rank, vec_id, score) of placed() vectors and queries: find(index, query ids, matrix) gives (query row, id, score).
+
+    A query visits its own cell first, or without ``own`` the first one of its length. Then it visits each
+    other cell for which reaches(vector, k-th score so far or nan, dim, cells, lows, highs) says that it
+    may hold one as good."""
+    spark, rows = vectors.sparkSession, cells_of(vectors)
+    cells = spark.createDataFrame(rows, "dim int, cell int, low double, high double, first int, k int")
+    index = materialize(build(vectors, cells, make_index))
+    blocks = max(1, -(-n_queries // BLOCK))
+    shards = F.explode(F.sequence(F.col("first"), F.col("first") + F.col("k") - 1)).alias("shard")
+    firsts = cells.groupBy("dim").agg(F.min("cell").alias("start"))
+    queries = queries.join(F.broadcast(firsts), "dim").withColumn("start", F.col("cell") if own else F.col("start"))
+    near = queries.join(F.broadcast(cells.withColumnRenamed("cell", "start").drop("low", "high")), ["dim", "start"]).select("vec_id", "dim", "v", shards)
+    one = materialize(ranked(visit(index, near, blocks, k, score_type, find), k).drop("rank"))
+    least = one.groupBy(F.col("query_id").alias("vec_id")).agg(F.when(F.count("*") >= k, F.min("score")).cast("double").alias("least"))
+    schema = "vec_id long, dim int, v binary, cell int"
+    out, table = arrow_schema(schema), {d: np.array([r[1:4] for r in rows if r[0] == d]) for d in {r[0] for r in rows}}
+
+    def later(batches):
+        for batch in batches:
+            who, to = [], []
+            for n, (dim, v, start, worst) in enumerate(zip(*(c.to_pylist() for c in batch.columns[1:]))):
+                cell, low, high = table[dim].T
+                yes = reaches(np.frombuffer(v, np.float64), np.nan if worst is None else worst, dim, cell.astype(np.int64), low, high) & (cell != start)
+                to += cell[yes].astype(int).tolist()
+                who += [n] * int(yes.sum())
+            picked = [c.take(pa.array(who, pa.int64())) for c in batch.columns[:3]]
+            yield pa.RecordBatch.from_arrays([*picked, pa.array(to, pa.int32())], schema=out)
+
+    far = queries.join(least, "vec_id", "left").select("vec_id", "dim", "v", "start", "least").mapInArrow(later, schema)
+    far = far.join(F.broadcast(cells), ["dim", "cell"]).select("vec_id", "dim", "v", shards)
+    return ranked(one.unionByName(visit(index, far, blocks, k, score_type, find)), k)
+
+
 def every(df: DataFrame, step: int) -> Column:
     """The stated query set: rows whose vec_id is divisible by ``step``."""
     return df["vec_id"] % step == 0

@@ -1,18 +1,24 @@
-"""Approximate nearest neighbours by cosine: a vantage-point tree per shard.
+"""Approximate nearest neighbours by cosine: a vantage-point tree per shard, below a split by pivots.
 
 Unit vectors' chord distance is a metric that orders as the cosine does. A node holds a vantage
 point and halves its vectors by their distance to it; the distance ranges of both halves bound, by
 the triangle inequality, how near any of their vectors can be to a query. A leaf is skipped when
 ``factor`` times its bound exceeds the query's k-th distance so far: factor one is exact search,
 larger factors skip more. A block of queries visits each one's leaves by rising bounds.
+
+The shards are cells of vectors that lie nearest to one pivot of a bounded sample. The least and the
+greatest distance from a cell's pivot bound its vectors in the same way, so a query goes on from its own
+cell to those only that the same relaxed bound doesn't rule out.
 """
 
 from __future__ import annotations
 
 from dataclasses import dataclass
+from functools import cached_property
 
 import numpy as np
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from veilspan.llm import vector_blocks as V
 
@@ -27,18 +33,25 @@ class VpTree:
     the nearer and the farther half. children: inner nodes as numbers, leaves as -1 - number."""
 
     x: np.ndarray
-    unit: np.ndarray
     owners: np.ndarray
     vantage: np.ndarray
     ranges: np.ndarray
     children: np.ndarray
     leaves: list[tuple[int, int]]
 
+    @cached_property
+    def unit(self) -> np.ndarray:
+        return unit_vectors(self.x)
+
+
+def unit_vectors(x: np.ndarray) -> np.ndarray:
+    scaled = x / np.abs(x).max(1, keepdims=True)  # so that no square overflows or vanishes
+    return scaled / np.linalg.norm(scaled, axis=1, keepdims=True)
+
 
 def build_tree(ids: np.ndarray, x: np.ndarray, keep: int, seed: int = 3) -> VpTree:
     x, owners = V.distinct(ids, x, keep)
-    scaled = x / np.abs(x).max(1, keepdims=True)  # so that no square overflows or vanishes
-    unit = scaled / np.linalg.norm(scaled, axis=1, keepdims=True)
+    unit = unit_vectors(x)
     rng = np.random.default_rng(seed)
     place = np.arange(len(x))
     vantage, ranges, children, leaves = [], [], [], []
@@ -65,7 +78,7 @@ def build_tree(ids: np.ndarray, x: np.ndarray, keep: int, seed: int = 3) -> VpTr
         if parent >= 0:
             children[parent][side] = name
     return VpTree(
-        x[place], unit[place], owners[place], np.array(vantage, np.int64), np.array(ranges).reshape(-1, 4),
+        x[place], owners[place], np.array(vantage, np.int64), np.array(ranges).reshape(-1, 4),
         np.array(children, np.int64).reshape(-1, 2), leaves,
     )
 
@@ -76,8 +89,7 @@ def _chord(cosine: np.ndarray) -> np.ndarray:
 
 def search_tree(tree: VpTree, q: np.ndarray, k: int, factor: float) -> V.Best:
     """The best k distinct vectors of each row of ``q``."""
-    scaled = q / np.abs(q).max(1, keepdims=True)
-    unit = scaled / np.linalg.norm(scaled, axis=1, keepdims=True)
+    unit = unit_vectors(q)
     best, everyone = V.Best(len(q), k), np.arange(len(q))
     bound = np.zeros((len(q), len(tree.leaves)))
     if len(tree.vantage):
@@ -127,12 +139,31 @@ def nearest_neighbours(
     empty table; other columns aren't read."""
     vectors = V.valid_vectors(df, id_col, vector_col, nonzero=True)
     rows = df.count()
-    queries = vectors.where(V.every(vectors, step)).dropDuplicates(["vec_id"])
-    index = V.build(vectors, rows, lambda ids, x: build_tree(ids, x, k + 1))
+    pivots: dict[int, np.ndarray] = {}
+    drawn = vectors.orderBy(F.xxhash64("vec_id", F.lit(5)), "vec_id").limit(V.cells_for(rows)).collect()
+    for dim in {r.dim for r in drawn}:
+        own = np.frombuffer(b"".join(bytes(r.v) for r in drawn if r.dim == dim), np.float64).reshape(-1, dim)
+        pivots[dim] = np.unique(unit_vectors(own), axis=0)
+
+    def place(x, dim):
+        if dim not in pivots:
+            return np.full(len(x), -1), np.zeros(len(x))
+        cosine = unit_vectors(x) @ pivots[dim].T
+        return cosine.argmax(1), _chord(cosine.max(1))
+
+    def reaches(q, least, dim, cells, low, high):
+        if dim not in pivots:
+            return np.zeros(len(cells), bool)
+        far = _chord(unit_vectors(q[None]) @ pivots[dim][cells].T)[0]
+        bound = np.maximum(0, np.maximum(far - high, low - far))
+        reach = np.inf if np.isnan(least) else float(_chord(np.maximum(least, -1)))
+        return factor * (bound - 1e-7) <= reach + 1e-7
 
     def find(tree, ids, q):
         best = search_tree(tree, q, k + 3, factor)
         row, column, vec = V.pairs_of(best, tree.owners, ids)
         return row, vec, cosines(q[row], tree.x[column])
 
-    return V.search(index, queries, rows, -(-rows // step), k, "double", find)
+    vectors = V.placed(vectors, place)
+    queries = vectors.where(V.every(vectors, step)).dropDuplicates(["vec_id"])
+    return V.search(vectors, queries, -(-rows // step), k, "double", lambda ids, x: build_tree(ids, x, k + 1), find, True, reaches)
