@@ -7,7 +7,10 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 import corpus_pipeline
-from veilspan.llm import bpe_monoid, norm_topk, pii, pu_quality, secret_scan, simhash_mih, source_mix, substring_dedup, toxic_cnn, vp_tree
+from veilspan.llm import (
+    bpe_monoid, decontaminate, filter_audit, merkle, norm_topk, pii, pu_quality, secret_scan, simhash_mih, source_mix, substring_dedup,
+    toxic_cnn, vp_tree,
+)
 from veilspan.sources.tables import read_table, spread
 
 
@@ -63,9 +66,22 @@ def op10_norm_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return norm_topk.top_products(read_table(spark, sf_dir, "embeddings"), step=100, k=10)
 
 
+def op11_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.digests(decontaminate.contamination(_documents(spark, sf_dir), read_table(spark, sf_dir, "benchmark")))
+
+
+def op12_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return merkle.manifest(_documents(spark, sf_dir))
+
+
+def op13_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return filter_audit.filter_interactions(_documents(spark, sf_dir), read_table(spark, sf_dir, "labels"))
+
+
 QUERIES = (
     op1_secret_scan, op2_pii, op3_vp_tree, op4_toxic_cnn, op5_substring_dedup,
     op6_byte_bpe, op7_pu_quality, op8_source_mix, op9_simhash_mih, op10_norm_topk,
+    op11_decontaminate, op12_merkle_manifest, op13_filter_audit,
 )
 
 
@@ -80,6 +96,9 @@ def oracle_sql() -> dict[str, str]:
         "op5_substring_dedup": substring_dedup.oracle(20),
         "op8_source_mix": source_mix.oracle(),
         "op10_norm_topk": norm_topk.oracle(100, 10),
+        "op11_decontaminate": decontaminate.oracle(),
+        "op12_merkle_manifest": merkle.oracle(),
+        "op13_filter_audit": filter_audit.oracle(),
     }
     if corpus_pipeline.ORACLE_SQL:
         found["pipeline"] = corpus_pipeline.ORACLE_SQL
