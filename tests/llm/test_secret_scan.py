@@ -1,6 +1,7 @@
 import hashlib
 import itertools
 import re
+import time
 from math import log10
 
 import duckdb
@@ -47,7 +48,8 @@ def test_base_spans_equal_the_plain_patterns(spark):
 
 def cheapest(value):
     """Every segmentation, tried one by one."""
-    found, best = S._matches(value, S.lexicon(S.VOCABULARY)), float("inf")
+    parts, best = S._Parts(value, S.lexicon(S.VOCABULARY)), float("inf")
+    found = [parts.at(i) for i in range(len(value))]
     for cuts in itertools.product((0, 1), repeat=len(value) - 1):
         ends = [i + 1 for i, c in enumerate(cuts) if c] + [len(value)]
         cost, start, last_brute = -log10(2), 0, False
@@ -57,7 +59,7 @@ def cheapest(value):
             new += [(c + log10(2) + sum(map(S._brute, value[start:end])), True) for c, b in options if not b]
             options, start = new, end
         best = min([best, *(c for c, _ in options)])
-    return max(0.0, best)
+    return max(0.0, min(best, S.CEILING))
 
 
 def test_guess_cost_is_the_least_over_all_segmentations():
@@ -65,7 +67,57 @@ def test_guess_cost_is_the_least_over_all_segmentations():
         assert abs(S.guess_cost(value) - cheapest(value)) < 1e-9, value
     assert S.guess_cost("") == 0
     assert S.guess_cost("password1") < 5 < 9 < S.guess_cost("Zx9#kQ2!vLp0@w")
-    assert S.guess_cost("ab" * 100000) < 12
+    assert S.guess_cost("ab" * 100000) < 12 and S.guess_cost("passwordpassword" * 3) < 3
+    assert S.guess_cost("Zx9#kQ2!vLp0@w" * 9) == S.CEILING
+
+
+def over_all_places(value):
+    """The same recurrence over every place, without bounds."""
+    words, cut, n, far = S.lexicon(S.VOCABULARY), log10(2), len(value), float("inf")
+    brute, matched, parts = [far] * (n + 1), [far] * (n + 1), S._Parts(value, words)
+    matched[0] = -cut
+    for i in range(n):
+        best = min(brute[i], matched[i])
+        brute[i + 1] = min(brute[i + 1], min(brute[i], matched[i] + cut) + S._brute(value[i]))
+        for end, cost in parts.at(i):
+            matched[end] = min(matched[end], best + cut + cost)
+    return max(0.0, min(brute[n], matched[n], S.CEILING))
+
+
+@settings(max_examples=150, deadline=None)
+@given(st.lists(st.sampled_from(["password", "qwertyuiop", "aaaa", "ababab", "12-12-1999", "x", "Q", "7", "#", "é", "lkjhgf", "p4ss"]), min_size=1, max_size=30).map("".join))
+def test_bounds_lose_no_segmentation(value):
+    assert abs(S.guess_cost(value) - over_all_places(value)) < 1e-9
+
+
+def test_a_million_signs_of_any_kind_take_little_time():
+    S.guess_cost("x")
+    hexes = "".join(hashlib.sha256(str(i).encode()).hexdigest() for i in range(16_000))
+    for text in (
+        *("password=" + c * 1_000_000 for c in "a7$(é@-"), "token=" + hexes, "token=" + hexes.translate({97 + i: 71 + i for i in range(26)}), "secret: " + "http://" * 150_000,
+        "http://" * 150_000, "password=" + "qwertyuiop" * 100_000, "password=" + "password1" * 110_000, "token " * 170_000, "token=" * 170_000, "auth" + " " * 1_000_000,
+        "key is " * 150_000, "secret='" * 125_000, 'auth="' + "ab,c;" * 200_000, "a()" * 330_000, "password=" + "a()" * 330_000, "password=${" * 90_000,
+    ):
+        began = time.perf_counter()
+        S.find_secrets(text)
+        assert time.perf_counter() - began < 4, text[:30]
+
+
+def test_strong_values_with_signs_of_references_are_found():
+    for value in ("X9!kq#Lm7$Abz", "Xk9$(qLm7vR2z!T", "9f%sK2#vQz!81LmW", "9fK#2vQz81Lm${w", "Zq9!xRt7()", "Zx9#kQ2!{{vLp0@w"):
+        (found,) = [s for s in S.find_secrets(f"password: {value} and more") if s[0] == "guess"]
+        assert found[1] == 10
+    for value in ("$DB_PASSWORD_9X", "${VAULT:-none}", "{{vault.Zx9kQ2vLp0}}", "%(db_password9)s", "os.get_secret_9x()", "https://vault.example/Zx9kQ2vLp0"):
+        assert not [s for s in S.find_secrets(f"password: {value}") if s[0] == "guess"], value
+
+
+def test_contexts_with_tabs_line_ends_and_quotes():
+    for text, value in (
+        ("password:\tZx9#kQ2!vLp0@w", "Zx9#kQ2!vLp0@w"), ("password:\n  Zx9#kQ2!vLp0@w\n", "Zx9#kQ2!vLp0@w"), ('password = "Zx9,kQ2;vLp0<w>"', "Zx9,kQ2;vLp0<w>"),
+        ("passwd='Zx9\"kQ2!vLp0@w'", 'Zx9"kQ2!vLp0@w'), ("the password\nis Zx9#kQ2!vLp0@w.", "Zx9#kQ2!vLp0@w"), ('pwd="Zx9#kQ2!vLp0@w and', "Zx9#kQ2!vLp0@w"),
+    ):
+        (found,) = [s for s in S.find_secrets(text) if s[0] == "guess"]
+        assert text[found[1] : found[2]] == value, text
 
 
 def test_redaction_takes_every_span(spark):

@@ -17,6 +17,7 @@ import hashlib
 import re
 from dataclasses import dataclass
 from functools import lru_cache
+from heapq import heappop, heappush
 from math import log10
 
 from pyspark.sql import Column, DataFrame
@@ -33,15 +34,21 @@ ASSIGN_WORDS = ("password", "passwd", "secret", "token", "apikey", "api_key")
 
 # The contexts of the method, wider than the base patterns. A credential word begins where
 # no letter stands before it, or at a capital after a small letter ("dbPassword"); group 1 is set in prose.
+# A value may stand on the next line. In quotes it goes up to the same quote, else up to a blank or a separator.
 CONTEXT = re.compile(
     r"""(?:(?<![A-Za-z])|(?-i:(?<=[a-z])(?=[A-Z])))"""
     r"""(?:pass(?:word|wd|phrase|code)?|pwd|secret|token|api[_-]?key|access[_-]?key|private[_-]?key|credentials?|bearer|auth)"""
-    r"""["']?(?:\x20*(?:=>|:=|[:=])\x20*|(\x20+is\x20+))["']?([^\s"'<>,;]{6,})""",
+    r"""["']?(?:[\x20\t]*+(?:=>|:=|[:=])[\x20\t]*+(?:\r?\n[\x20\t]*+)?+|(\s++is\s++))"""
+    r"""(?:"([^\s"]{6,}+)"|'([^\s']{6,}+)'|["']?([^\s"'<>,;]{6,}))""",
     re.IGNORECASE | re.ASCII,
 )
 CONTEXT_WORDS = ("pass", "pwd", "secret", "token", "key", "credential", "bearer", "auth")
-#: Values that only point to a secret: addresses without credentials, and variables of templates and shells.
-REFERENCE = re.compile(r"https?://[^@]*\Z|\$\{|\$\(|\{\{|\$[A-Za-z_]\w*\Z|%[sd(]|\w+\(\)\Z", re.IGNORECASE | re.ASCII)
+#: Values that are nothing but a pointer to a secret: addresses without credentials, variables of templates and
+#: shells, and calls. It must take the whole value, so a secret that holds such signs is none.
+REFERENCE = re.compile(
+    r"""(?i:https?)://[^@]*|\$\{[^{}]*\}?|\$\([\w./-]*\)?|\{\{[\w.|\[\]-]*\}{0,2}|\$(?:[A-Z_][A-Z0-9_]*|[a-z_][a-z0-9_]*)|%\(\w+\)s?|[A-Za-z_][\w.]*\(\)""",
+    re.ASCII,
+)
 
 # Frequent words of passwords, most frequent first; a word's rank is its guess count.
 WORDS = """password qwerty admin welcome login letmein dragon monkey master sunshine princess football baseball shadow
@@ -57,8 +64,12 @@ KEY_ROWS = ("`1234567890-=", "qwertyuiop[]\\", "asdfghjkl;'", "zxcvbnm,./")
 DATE = re.compile(r"(?:\d{4}([-/._]?)\d{1,2}\1\d{1,2}|\d{1,2}([-/._]?)\d{1,2}\2(?:\d{4}|\d{2})|(?:19|20)\d\d)", re.ASCII)
 
 SMALL_LETTERS = {a: a + 32 for a in range(65, 91)}
-#: Letters of the longest word that is looked up.
-LONGEST = 16
+#: Letters of the longest word that is looked up, and of the longest unit of a repeat.
+LONGEST, UNITS = 16, 4
+#: log10 of guesses from which costs are no longer told apart; no key of 100 bits is told from a longer one.
+CEILING = 30.0
+#: Keys of a walk that costs the ceiling, at a factor of 0.35 for each.
+LONGEST_WALK = 90
 VOCABULARY = "byte_bpe_multi_50k.tiktoken"
 
 
@@ -108,66 +119,106 @@ def _brute(sign: str) -> float:
     return log10(33)
 
 
-def _run_ends(value: str, linked) -> list[int]:
-    """For each place, where the run of signs linked to their successors ends (exclusive)."""
-    n = len(value)
-    ends = [n] * n
-    for i in range(n - 2, -1, -1):
-        ends[i] = ends[i + 1] if linked(value[i], value[i + 1]) else i + 1
-    return ends
-
-
-def _matches(value: str, words: dict[str, float]) -> list[list[tuple[int, float]]]:
-    """For each start, (end, log10 of guesses) of what can be guessed as one thing."""
-    n, low = len(value), folded(value)
-    plain = low.translate(LEET)
-    found: list[list[tuple[int, float]]] = [[] for _ in range(n)]
-    walks = _run_ends(low, lambda a, b: (a, b) in NEIGHBOURS)
-    for i in range(n):
+def _alike(value: str, at: int, unit: int) -> int:
+    """How many signs from ``at`` on equal the sign ``unit`` places later, by comparing growing stretches."""
+    n, done, size = len(value) - unit - at, 0, 16
+    while done < n:
+        size = min(size, n - done)
+        a, b = value[at + done : at + done + size], value[at + unit + done : at + unit + done + size]
+        if a != b:
+            while size > 1:
+                half = size // 2
+                if a[:half] == b[:half]:
+                    done, a, b, size = done + half, a[half:], b[half:], size - half
+                else:
+                    a, b, size = a[:half], b[:half], half
+            return done + (a == b)
+        done, size = done + size, 2 * size
+    return max(0, done)
+
+
+class _Parts:
+    """What can be guessed as one thing from a place of a value on. Runs are found once, from where they are first met."""
+
+    def __init__(self, value: str, words: dict[str, float]):
+        self.value, self.words, self.low = value, words, folded(value)
+        self.plain = self.low.translate(LEET)
+        self.walk_end = 0
+        self.alike_end = [0] * (UNITS + 1)
+
+    def walk(self, at: int) -> int:
+        """Where the walk over touching keys ends; no further than a walk that costs the ceiling."""
+        if at >= self.walk_end:
+            low, end, most = self.low, at + 1, min(len(self.low), at + LONGEST_WALK)
+            while end < most and (low[end - 1], low[end]) in NEIGHBOURS:
+                end += 1
+            if end == at + LONGEST_WALK:
+                return at
+            self.walk_end = end
+        return self.walk_end
+
+    def at(self, i: int) -> list[tuple[int, float]]:
+        """(end, log10 of guesses) of the words, dates, walks and repeats that begin at i."""
+        value, low, plain, n, found = self.value, self.low, self.plain, len(self.value), []
         for end in range(i + 3, min(n, i + LONGEST) + 1):
             for form in {low[i:end], plain[i:end]}:
-                if form in words:
+                if form in self.words:
                     upper = sum(c.isupper() for c in value[i:end])
                     leet = sum(a != b for a, b in zip(low[i:end], form, strict=True))
                     extra = (0.3 if upper in (1, end - i) else 0.3 * upper) + 0.3 * leet
-                    found[i].append((end, words[form] + extra))
+                    found.append((end, self.words[form] + extra))
         date = DATE.match(value, i)
         if date:
-            found[i].append((date.end(), log10(365 * 120 if date.end() - i > 4 else 120)))
-        if walks[i] - i >= 4:
-            length = walks[i] - i
-            found[i].append((walks[i], log10(94) + 0.35 * length))
-    for unit in range(1, 5):
-        # the run of value[k] == value[k + unit] that begins at i gives the longest repeat of value[i : i + unit]
-        same = [0] * (n + 1)
-        for i in range(n - unit - 1, -1, -1):
-            same[i] = same[i + 1] + 1 if value[i] == value[i + unit] else 0
-        for i in range(n - unit):
-            times = same[i] // unit + 1
-            if times >= 2 and times * unit >= 4:
-                found[i].append((i + times * unit, sum(map(_brute, value[i : i + unit])) + log10(times)))
-    return found
+            found.append((date.end(), log10(365 * 120 if date.end() - i > 4 else 120)))
+        length = self.walk(i) - i
+        if length >= 4:
+            found.append((i + length, log10(94) + 0.35 * length))
+        for unit in range(1, UNITS + 1):
+            if i + unit < n and value[i] == value[i + unit]:
+                if i >= self.alike_end[unit]:
+                    self.alike_end[unit] = i + _alike(value, i, unit)
+                times = (self.alike_end[unit] - i) // unit + 1
+                if times >= 2 and times * unit >= 4:
+                    found.append((i + times * unit, sum(map(_brute, value[i : i + unit])) + log10(times)))
+        return found
 
 
 def guess_cost(value: str, vocabulary: str | None = VOCABULARY) -> float:
-    """log10 of the guesses of the cheapest segmentation; 0 for an empty value. See lexicon() for vocabulary.
+    """log10 of the guesses of the cheapest segmentation, CEILING at most; 0 for an empty value. See lexicon() for vocabulary.
 
-    Every part after the first costs another factor of two, as the guesser must also find the cut.
-    Time is linear in the length of the value."""
-    n, cut = len(value), log10(2)
+    Every part after the first costs another factor of two, as the guesser must also find the cut. Places are
+    taken in order, and a place is only looked at if its cost lies below the ceiling and below the best
+    way to the end known so far. As each step costs something, few places of a long value are: a value of a
+    million signs takes little longer than one of a hundred."""
+    n, cut, far = len(value), log10(2), float("inf")
     if not n:
         return 0.0
-    far = float("inf")
-    brute, matched = [far] * (n + 1), [far] * (n + 1)
-    matched[0] = -cut
-    found = _matches(value, lexicon(vocabulary))
-    for i in range(n):
-        best = min(brute[i], matched[i])
-        brute[i + 1] = min(brute[i + 1], min(brute[i], matched[i] + cut) + _brute(value[i]))
-        for end, cost in found[i]:
-            if best + cut + cost < matched[end]:
-                matched[end] = best + cut + cost
-    return max(0.0, min(brute[n], matched[n]))
+    parts = _Parts(value, lexicon(vocabulary))
+    brute, matched, bound = {}, {0: -cut}, CEILING
+    places, known = [0], {0}
+    while places:
+        i = heappop(places)
+        loose, tight = brute.pop(i, far), matched.pop(i, far)
+        best = min(loose, tight)
+        if i == n:
+            return max(0.0, min(best, CEILING))
+        if best >= bound:
+            continue
+        steps = [(brute, i + 1, min(loose, tight + cut) + _brute(value[i]))]
+        steps += [(matched, end, best + cut + cost) for end, cost in parts.at(i)]
+        for costs, end, cost in steps:
+            if cost < bound and cost < costs.get(end, far):
+                costs[end] = cost
+                if end == n:
+                    bound = cost
+                if end not in known:
+                    known.add(end)
+                    heappush(places, end)
+    return CEILING
+
+
+#: Costs of short values, which repeat.
+_cost_again = lru_cache(maxsize=1 << 14)(guess_cost)
 
 
 @dataclass(frozen=True)
@@ -194,12 +245,13 @@ def find_secrets(text: str, rules: SecretRules = SecretRules()) -> list[tuple[st
     spans += [(m.start(), 2, m.end(), 0.0) for m in HEX.finditer(text)]
     if any(w in low for w in CONTEXT_WORDS):
         for m in CONTEXT.finditer(text):
-            value = m[2].rstrip(".:!?)]}")
-            if len(value) < 6 or REFERENCE.search(m[2]):
+            group = m.lastindex
+            value = m[group].rstrip(".:!?)]}") if group == 4 else m[group]
+            if len(value) < 6 or REFERENCE.fullmatch(m[group].rstrip(".:!?")):
                 continue
-            cost = guess_cost(value, rules.vocabulary)
+            cost = (_cost_again if len(value) <= 64 else guess_cost)(value, rules.vocabulary)
             if cost >= (rules.prose if m[1] else rules.least):
-                spans.append((m.start(2), 3, m.start(2) + len(value), cost))
+                spans.append((m.start(group), 3, m.start(group) + len(value), cost))
     return [(KINDS[kind], start, end, cost) for start, kind, end, cost in sorted(spans)]
 
 
