@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from veilspan.functions import plugins, policy
 from veilspan.functions import spans as S
-from veilspan.operators import egress, jsonwalk, report, vault
+from veilspan.operators import egress, jsonwalk, leaks, report, vault
 from veilspan.operators.detect import detect
 from veilspan.plans import fixtures
 from veilspan.sources import events
@@ -207,16 +207,40 @@ def test_numbering_in_ranges_equals_one_window(spark):
         assert [got[s, t, b] for _, _, t, b in sorted(r for r in rows if r[0] == s)] == list(range(1, sum(r[0] == s for r in rows) + 1))
 
 
-def test_leaks_by_blocks_equal_a_plain_search(spark):
+def plain_leaks(vaults, texts):
+    found = {}
+    for s, t, x in texts:
+        n = len({w for u, w in vaults if u == s and s is not None and w is not None and len(w) >= 8 and x is not None and w in x})
+        if n:
+            found[s, t] = found.get((s, t), 0) + n
+    return found
+
+
+def test_leaks_equal_a_plain_search(spark, monkeypatch):
     rng = random.Random(8)
-    words = ["".join(rng.choices("abé🙂", k=rng.randrange(6, 14))) for _ in range(300)]
-    vaults = [(rng.choice("st"), w) for w in words]
-    texts = [(rng.choice("stu"), i, " ".join(rng.choices(words, k=5)) if i % 9 else None) for i in range(200)]
+    words = ["".join(rng.choices("abé🙂", k=rng.randrange(6, 14))) for _ in range(300)] + ["https://x.org/" + str(i) * 3 for i in range(9)]
+    words += ["https://", "k" * 200, "k" * 199 + "l", "aaaaaaaa", "aaaaaaaaa", None]
+    vaults = [(rng.choice(["s", "t", None]), w) for w in words for _ in "ab"]
+    texts = [(rng.choice("stu"), i // 2, " ".join(rng.choices([w for w in words if w], k=5)) if i % 9 else None) for i in range(200)]
+    texts += [("s", 500, ""), ("s", 501, "short"), (None, 1, words[0]), ("s", 502, "k" * 5000 + "l" + "a" * 9), ("t", 503, "https://x.org/111 https://x.org/22")]
     v, p = spark.createDataFrame(vaults, "session string, value string"), spark.createDataFrame(texts, "session string, turn long, payload string")
-    want = {(s, t): n for s, t, x in texts if x is not None and (n := len({w for u, w in vaults if u == s and len(w) >= 8 and w in x}))}
-    for sizes in ((50_000, 16 << 20), (20, 500)):
-        assert {(r.session, r.turn): r.n_leaks for r in egress.raw_value_leaks(p, v, values_most=sizes[0], bytes_most=sizes[1]).collect()} == want
-    assert egress.raw_value_leaks(p, v.limit(0)).count() == 0
+    want = plain_leaks(vaults, texts)
+    for piece in (leaks.PIECE, 16):
+        monkeypatch.setattr(leaks, "PIECE", piece)
+        assert {(r.session, r.turn): r.n_leaks for r in leaks.raw_value_leaks(p, v).collect()} == want
+    assert leaks.raw_value_leaks(p, v.limit(0)).count() == 0 and leaks.raw_value_leaks(p.limit(0), v).count() == 0
+
+
+def test_equal_payloads_of_a_hot_session_lie_in_many_tasks(spark):
+    text = "lorem ipsum " * 20 + "value-number-77 end"
+    p = spark.range(6000).select(F.lit("hot").alias("session"), F.col("id").alias("turn"), F.lit(text).alias("payload")).repartition(8)
+    v = spark.createDataFrame([("hot", f"value-number-{i}") for i in range(500)], "session string, value string")
+    found = leaks.raw_value_leaks(p, v)
+    assert found.count() == 6000 and found.agg(F.min("n_leaks"), F.max("n_leaks")).first() == (2, 2)  # number-7 and number-77
+    indexed = leaks.index(v)
+    met = leaks.candidates(p.withColumn("id", F.col("turn")), leaks.bitmap(indexed))
+    assert met.count() < 6000 * 8  # what is shuffled grows with the hits, not with the places
+    assert indexed.groupBy("session", "run").count().agg(F.max("count")).first()[0] < 12
 
 
 def test_placeholders_are_exempt_from_egress_rules(spark):

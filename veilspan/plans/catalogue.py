@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from veilspan.functions import plugins, policy
 from veilspan.functions import spans as S
-from veilspan.operators import chunk, egress, jsonwalk, report, rules, vault
+from veilspan.operators import chunk, egress, jsonwalk, leaks, report, rules, vault
 from veilspan.operators.detect import Detector, detect, detect_routed, exploded, raw_spans
 from veilspan.plans import duck, fixtures
 from veilspan.session import shared_folder, written
@@ -431,7 +431,7 @@ def raw_value_leak(spark, sf_dir):
     found = _found(spark, sf_dir)
     minted = vault.mint(vault.found_values(found, "source", "doc_id"))
     payloads = found.select(F.col("source").alias("session"), F.col("doc_id").alias("turn"), F.col("text").alias("payload"))
-    return egress.raw_value_leaks(payloads, minted)
+    return leaks.raw_value_leaks(payloads, minted)
 
 
 @query(
@@ -443,7 +443,7 @@ def assistant_echoes(spark, sf_dir):
     found = _found(spark, sf_dir)
     minted = vault.mint(vault.found_values(found, "source", "doc_id"))
     role = F.when(F.col("doc_id") % 4 == 1, "assistant").otherwise("user")
-    return egress.assistant_echoes(found.select(F.col("source").alias("session"), F.col("doc_id").alias("turn"), "text", role.alias("role")), minted)
+    return leaks.assistant_echoes(found.select(F.col("source").alias("session"), F.col("doc_id").alias("turn"), "text", role.alias("role")), minted)
 
 
 @query("SELECT conv_id, list(text ORDER BY turn) FILTER (turn % 3 <> 1 AND text IS NOT NULL) AS texts FROM conversations GROUP BY conv_id HAVING count(*) FILTER (turn % 3 <> 1 AND text IS NOT NULL) > 0")
