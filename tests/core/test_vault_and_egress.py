@@ -3,6 +3,8 @@ import random
 import re
 
 import pandas as pd
+from hypothesis import given, settings
+from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from veilspan.functions import plugins, policy
@@ -187,6 +189,77 @@ def test_bodies_of_any_depth_scrub_and_restore(spark):
     assert all(json.loads(back[s, t]) == json.loads(b) for s, t, b in rows[:2]) and back["s", 3] == rows[2][2] and back["t", 2] == rows[5][2]
 
 
+def strings_of(node):
+    """The string values of a parsed body in document order."""
+    out, todo = [], [node]
+    while todo:
+        node = todo.pop()
+        if isinstance(node, str):
+            out.append(node)
+        elif isinstance(node, (dict, list)):
+            todo += reversed(node.values() if isinstance(node, dict) else node)
+    return out
+
+
+ODD_BODIES = [
+    r'{"a":"\ud800 x@y.org"}', r'{"n": 1e400, "m" : -0.0E+1, "k\"": "a@x.io\n\u0062@x.io\ud83d\ude00 c@x.io \/ \\ \"d@x.io\""}', '["a@x.io"', '{"a":"b@x.io","a":"c@x.io"}',
+    '["\u2028 a@x.io", "😀é a@x.io"]', '"a@x.io"', "plain a@x.io", "", "null", '{"bad": "\\x a@x.io"}', '["tab\t a@x.io"]', '{"password": "hunter2hunter2", "e": "\\u0061@x.io"}',
+    "[" * 20_000 + '"a@x.io"' + "]" * 20_000, '{"k":' * 20_000 + '"z a@x.io"' + "}" * 20_000, '["' + "x " * 100_000 + 'a@x.io"]', '["' + "\\n" * 100_000 + 'a@x.io"]', '"' * 100_001,
+]
+
+
+def test_odd_bodies_are_scrubbed_in_place_and_restored(spark):
+    df = spark.createDataFrame([("s", i, b) for i, b in enumerate(ODD_BODIES)], "session string, turn long, body string")
+    names, clean = vault.scrub_bodies(df, "session", "turn")
+    got = {r.turn: r.body for r in clean.collect()}
+    assert got[0] == r'{"a":"\ud800 [[EMAIL_ADDRESS_1]]"}'
+    assert re.sub(r"_\d+\]\]", "]]", got[1]) == r'{"n": 1e400, "m" : -0.0E+1, "k\"": "[[EMAIL_ADDRESS]]\n[[EMAIL_ADDRESS]]\ud83d\ude00 [[EMAIL_ADDRESS]] \/ \\ \"[[EMAIL_ADDRESS]]\""}'
+    assert all("@x.io" not in b and "@y.org" not in b for b in got.values())
+    assert got[7] == "" and got[8] == "null" and got[16] == ODD_BODIES[16] and len(got[12]) == len(ODD_BODIES[12]) + len("[[EMAIL_ADDRESS_2]]") - 6
+    back = {r.turn: r.body for r in vault.rehydrate_bodies(clean, names, "session", "turn").collect()}
+    assert {i for i, b in enumerate(ODD_BODIES) if back[i] != b} <= {1, 11}  # an escaped sign of a value comes back as itself
+    assert all(json.loads(back[i]) == json.loads(ODD_BODIES[i]) for i in (0, 11))
+    assert strings_of(json.loads(back[1])) == strings_of(json.loads(ODD_BODIES[1])) and "1e400" in back[1]
+
+
+JSON_ANY = st.recursive(
+    st.none() | st.booleans() | st.integers() | st.floats(allow_nan=False, allow_infinity=False) | st.text(max_size=8) | st.sampled_from(['"', "\\", "a@x.io", "\ud800", "\udc00x", "\n\t\x7f", "😀", "\\u0041"]),
+    lambda x: st.lists(x, max_size=4) | st.dictionaries(st.text(max_size=4) | st.just('k": "v'), x, max_size=4), max_leaves=12,
+)
+
+
+def test_strings_of_any_json_are_found_and_put_back(spark):
+    made = []
+
+    @settings(max_examples=300, deadline=None, database=None)
+    @given(JSON_ANY, st.booleans(), st.sampled_from([None, 1]))
+    def gather(node, ascii_, indent):
+        text = json.dumps(node, ensure_ascii=ascii_, indent=indent)
+        try:
+            text.encode()
+        except UnicodeEncodeError:
+            text = json.dumps(node, indent=indent)
+        made.append(text)
+
+    gather()
+    df = spark.createDataFrame([("s", i, b) for i, b in enumerate(made)], "session string, turn long, body string")
+    texts = jsonwalk.body_texts(df, "session", "turn")
+    found = {}
+    for r in sorted(texts.collect(), key=lambda r: r.turn.no):
+        found.setdefault(r.turn.turn, []).append(r.text)
+    plain = lambda t: re.sub("[\ud800-\udfff]", "?", t)
+    for i, body in enumerate(made):
+        assert found.get(i, []) == [plain(t) for t in strings_of(json.loads(body))], body
+    none = F.array().cast("array<struct<start:int,end:int,with:string>>")
+    same = jsonwalk.rebuilt(df, texts.select("session", "turn", jsonwalk.rewritten(none).alias("text")), "session", "turn")
+    assert {r.turn: r.body for r in same.collect()} == dict(enumerate(made))
+    first = F.when(F.length("text") > 1, F.array(F.struct(F.lit(0).alias("start"), F.lit(1).alias("end"), F.lit('"\\').alias("with")))).otherwise(none)
+    changed = jsonwalk.rebuilt(df, texts.select("session", "turn", jsonwalk.rewritten(first).alias("text")), "session", "turn")
+    for r in changed.collect():
+        want = ['"\\' + t[1:] if len(t) > 1 else t for t in strings_of(json.loads(made[r.turn]))]
+        assert [plain(t) for t in strings_of(json.loads(r.body))] == [plain(t) for t in want], made[r.turn]
+
+
 def test_closing_and_restoring_a_vault(spark, tmp_path):
     df = spark.createDataFrame([("s", "secret", "A", 1, "[[A_1]]")], "session string, value string, type string, n int, placeholder string")
     key, folder = b"k" * 16, f"{tmp_path}/vault"

@@ -98,6 +98,19 @@ def without_overlaps(spans: Column, safe: Column) -> Column:
     return F.when(F.size(safe) > HELD, many).otherwise(few)
 
 
+def count_below(ordered: Column, value: Column) -> Column:
+    """How many entries of an ordered int array are less than ``value``, by bisection."""
+
+    def halve(ends, _):
+        mid = F.call_function("div", ends["low"] + ends["high"], F.lit(2)).cast("int")
+        low = F.get(ordered, mid) < value
+        closer = F.struct(F.when(low, mid + 1).otherwise(ends["low"]).alias("low"), F.when(low, ends["high"]).otherwise(mid).alias("high"))
+        return F.when(ends["low"] < ends["high"], closer).otherwise(ends)
+
+    zero = F.struct(F.lit(0).alias("low"), F.size(ordered).alias("high"))
+    return F.aggregate(F.sequence(F.lit(1), F.ceil(F.log2(F.size(ordered) + 1)).cast("int") + 1), zero, halve, lambda e: e["low"])
+
+
 def without_values(spans: Column, text: Column, allowed: list[str]) -> Column:
     """Spans whose whole text isn't an allowed value; the comparison is exact."""
     if not allowed:

@@ -7,6 +7,8 @@ text), never from the order in which tasks run.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -129,19 +131,28 @@ def format_preserving(kind: Column, n: Column) -> Column:
     return out.otherwise(bracketed(kind, n))
 
 
-def substitute(detected: DataFrame, vault: DataFrame, session: str, turn: str, text: str = "text", spans: str = "spans") -> DataFrame:
-    """(session, turn, scrubbed): texts with their spans replaced by the session's placeholders.
+def substitute(
+    detected: DataFrame, vault: DataFrame, session: str, turn: str, text: str = "text", spans: str = "spans",
+    write: Callable[[Column], Column] | None = None, helpers: tuple[str, ...] = (),
+) -> DataFrame:
+    """(session, turn, scrubbed): texts with their spans replaced by the session's placeholders. ``write`` puts the
+    replacements (array<struct<start, end, with>>) in, by default into the text; ``helpers`` are columns it needs.
 
     Only the spans' values are shuffled to the vault; placeholders come back to their text as a map.
     A null text stays null, and so does a text whose spans are null: it fails closed."""
     found = found_values(detected, session, turn, text, spans).select("session", "turn", "value").distinct()
     own = found.join(vault.select("session", "value", "placeholder"), ["session", "value"])
     maps = own.groupBy("session", "turn").agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("value", "placeholder")))).alias("names"))
-    rows = detected.select(F.col(session).alias("session"), F.col(turn).alias("turn"), F.col(text).alias("text"), F.col(spans).alias("spans"))
+    rows = detected.select(F.col(session).alias("session"), F.col(turn).alias("turn"), F.col(text).alias("text"), F.col(spans).alias("spans"), *helpers)
     rows = rows.join(maps, ["session", "turn"], "left")
     body = F.col("text")
-    replaced = S.splice(body, F.col("spans"), lambda s: F.coalesce(F.try_element_at(F.col("names"), S.value_of(body, s)), S.value_of(body, s)))
-    return rows.select("session", "turn", F.when(F.size("spans") > 0, replaced).when(F.col("spans").isNotNull(), body).alias("scrubbed"))
+
+    def replacement(s):
+        return F.struct(s["start"].alias("start"), s["end"].alias("end"), S.let(S.value_of(body, s), lambda v: F.coalesce(F.try_element_at(F.col("names"), v), v)).alias("with"))
+
+    filled = F.transform("spans", replacement)
+    replaced = write(filled) if write else F.when(F.size("spans") > 0, S.splice(body, filled, lambda s: s["with"])).otherwise(body)
+    return rows.select("session", "turn", F.when(F.col("spans").isNotNull(), replaced).alias("scrubbed"))
 
 
 def rehydrate(text: Column, names: Column) -> Column:
@@ -154,21 +165,28 @@ def rehydrate(text: Column, names: Column) -> Column:
 
 def scrub_bodies(bodies: DataFrame, session: str, turn: str, body: str = "body", detector=None, prior: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
     """(vault, bodies): the strings of JSON bodies (session, turn, body) scrubbed by the session's vault, which
-    goes on from ``prior``. Strings are seen in document order, and within one from right to left."""
+    goes on from ``prior``. Strings are seen in document order, and within one from right to left. Any body
+    of any depth goes through: what isn't replaced stays as it is written."""
     texts = jsonwalk.body_texts(bodies, session, turn, body)
     found = written(detect(texts, "text", detector or Detector()), "bodies")
     vault = mint(found_values(found, "session", "turn"), prior)
     vault = written(vault, "vault")
-    clean = substitute(found, vault, "session", "turn").select("session", "turn", F.col("scrubbed").alias("text"))
+    clean = substitute(found, vault, "session", "turn", write=jsonwalk.rewritten, helpers=IN_PLACE).select("session", "turn", F.col("scrubbed").alias("text"))
     return vault, jsonwalk.rebuilt(bodies, clean, session, turn, body)
 
 
+#: Columns of body_texts() that tell how a text is written.
+IN_PLACE = ("raw", "json", "at", "more")
+
+
 def rehydrate_bodies(bodies: DataFrame, vault: DataFrame, session: str, turn: str, body: str = "body") -> DataFrame:
     """(session, turn, body): the strings of JSON bodies with their placeholders restored from the session's vault."""
     texts = jsonwalk.body_texts(bodies, session, turn, body)
-    restored_texts = texts.join(names_of(texts, vault), ["session", "turn"], "left")
-    back = restored_texts.select("session", "turn", rehydrate(F.col("text"), F.coalesce("names", F.from_json(F.lit("{}"), "map<string,string>"))).alias("text"))
-    return jsonwalk.rebuilt(bodies, back, session, turn, body)
+    rows = texts.join(names_of(texts, vault), ["session", "turn"], "left").withColumn("marks", S.match_offsets("text", PLACEHOLDER))
+    filled = F.transform(
+        "marks", lambda m: F.struct(m["start"].alias("start"), m["end"].alias("end"), F.coalesce(F.try_element_at(F.col("names"), m["value"]), m["value"]).alias("with"))
+    )
+    return jsonwalk.rebuilt(bodies, rows.select("session", "turn", jsonwalk.rewritten(filled).alias("text")), session, turn, body)
 
 
 def names_of(texts: DataFrame, vault: DataFrame) -> DataFrame:
