@@ -1,6 +1,7 @@
 import json
 import random
 import re
+import time
 
 import pandas as pd
 from hypothesis import given, settings
@@ -71,6 +72,23 @@ def test_egress(spark):
     assert [(r.violations, r.safe) for r in egress.verify(df).collect()] == [([], True), (["AWS_ACCESS_KEY"], False), ([], True), ([], False)]
 
 
+def test_egress_takes_time_in_proportion_and_says_what_the_fixed_patterns_say(spark):
+    rng = random.Random(11)
+    parts = ["[[", "]]", "eyJ", "." , "a" * 12, "-", "_", "AKIA", "ABCDEFGHIJKLMNOP", "ghp_", "b" * 40, "xoxb-", "postgres://", ":", "@", "u", " ", "redis://", "password", "=", "Bearer ", "é", "0" * 31 + "1"]
+    texts = ["".join(rng.choices(parts, k=rng.randrange(1, 14))) for _ in range(3000)]
+    df = spark.createDataFrame([(t,) for t in texts], "payload string")
+    plain = F.array_compact(F.array(*[F.when(F.col("payload").rlike(p) & ~F.regexp_extract("payload", p, 0).rlike(egress.FAKE_FIRST), F.lit(n)) for n, p in egress.EGRESS_RULES]))
+    rows = df.select("payload", plain.alias("want"), egress.violations(F.col("payload")).alias("got")).collect()
+    assert not [r for r in rows if r.want != r.got] and len({v for r in rows for v in r.want}) >= 6
+    n = 1_000_000
+    hostile = ["eyJ" * (n // 3), "postgres://a:" * (n // 13), "eyJaaaaaaaaaaa." * (n // 15), "AKIA" * (n // 4) + "]]", "x" * n, "x" * n + "]]", "token=a " * (n // 8), "-----BEGIN A " * (n // 13), "password" + " " * n, "[[eyJ" * (n // 5), "@" * n, "mysql://" * (n // 8)]
+    for text in hostile:
+        one = spark.createDataFrame([(text,)], "payload string")
+        began = time.perf_counter()
+        one.select(egress.violations(F.col("payload"))).collect()
+        assert time.perf_counter() - began < 6, text[:20]
+
+
 def test_globs_and_paths(spark):
     assert egress.glob_regex("**/*.pem") == r"(?:^|/)(?:.*/)?[^/]*\.pem$"
     df = spark.createDataFrame([(p,) for p in fixtures.PATHS] + [(None,)], "p string")
@@ -127,6 +145,9 @@ def test_policies(tmp_path):
     (tmp_path / "p").write_text('{"allow": []}')
     assert policy.read_policy(tmp_path / "p") == {"allow": []}
     assert policy.load_policy(None, {"allow": ["z"]})["allow"][-1] == "z" and policy.load_policy({"allow": ["q"]}, {"allow": ["q"]})["allow"] == ["q"]
+    assert policy.load_policy({"allow": []}, {"allow": ["127.0.0.1"], "deny_paths": ["z"]}, {"deny_paths": ["z", "p"]}) == {"allow": [], "deny_paths": ["z", "p"], "service": {"fail_open": False}}
+    assert policy.load_policy({}, {"allow": ["a"]}) == {"service": {"fail_open": False}, "allow": []} and policy.load_policy(None, None, {"allow": ["p"]})["allow"][-1] == "p"
+    assert len(policy.load_policy(None, None)["detectors"]["gliner"]["labels"]) == 17 == len(plugins.labels_of(policy.load_policy(None, {"allow": ["z"]})))
 
 
 def test_tightening_and_layers(tmp_path):
