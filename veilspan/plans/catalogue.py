@@ -113,11 +113,17 @@ def audit_events(spark, sf_dir):
     return report.audit_events(exploded(found, "doc_id", "source"), "source")
 
 
-@query(_duck_rows(duck.rules(f"(SELECT * FROM {PLANTED})", "id", "text", rules.DEFAULT_RULES), "id"))
+#: Every document with a planted positive or near miss below its own text, another from document to document.
+CARRIED = f"(SELECT doc_id, d.text || chr(10) || t.text AS text FROM documents d JOIN {PLANTED} ON t.id = d.doc_id % {len(fixtures.PLANTED)})"
+
+
+@query(_duck_rows(duck.rules(CARRIED, "doc_id", "text", rules.DEFAULT_RULES)))
 def detect_planted_secrets(spark, sf_dir):
-    """Every rule on planted positives and near misses."""
-    df = spark.createDataFrame(fixtures.PLANTED, "id int, text string")
-    return _rows(exploded(raw_spans(df, "text", Detector(), "spans"), "id"), "id")
+    """Every rule over documents that each carry a planted positive or near miss."""
+    small = spark.createDataFrame(fixtures.PLANTED, "k int, planted string")
+    docs = _documents(spark, sf_dir).select("doc_id", "text", (F.col("doc_id") % len(fixtures.PLANTED)).cast("int").alias("k"))
+    df = docs.join(F.broadcast(small), "k").select("doc_id", F.concat("text", F.lit("\n"), "planted").alias("text"))
+    return _rows(exploded(raw_spans(df, "text", Detector(), "spans"), "doc_id"), "doc_id")
 
 
 @query(
@@ -131,15 +137,18 @@ def request_metrics(spark, sf_dir):
     return row.select("requests", "withheld", "total_spans", F.array_join(pairs, ",").alias("categories"))
 
 
-def _planted_items(spark):
-    df = spark.createDataFrame(fixtures.RECALL, "category string, item_no int, grp string, text string, value string")
-    found = detect(df, "text")
+def _planted_items(spark, sf_dir):
+    """Documents as items of the evaluation: each carries a planted value of a category."""
+    small = spark.createDataFrame([(k, c, g, t, v) for k, (c, _, g, t, v) in enumerate(fixtures.RECALL)], "k int, category string, grp string, planted string, value string")
+    docs = _documents(spark, sf_dir).select(F.col("doc_id").cast("int").alias("item_no"), "text", (F.col("doc_id") % len(fixtures.RECALL)).cast("int").alias("k"))
+    items = docs.join(F.broadcast(small), "k").select("category", "item_no", "grp", F.concat("text", F.lit("\n"), "planted").alias("text"), "value")
     caught = F.exists("spans", lambda s: S.value_of(F.col("text"), s).contains(F.col("value")))
-    return found.select("category", "item_no", "grp", "text", "value", caught.alias("caught"))
+    return detect(items, "text").select("category", "item_no", "grp", "text", "value", caught.alias("caught"))
 
 
-RECALL_VALUES = ", ".join(f"({duck.quoted(c)}, {n}, {duck.quoted(g)}, {duck.quoted(t)}, {duck.quoted(v)})" for c, n, g, t, v in fixtures.RECALL)
-RECALL_ITEMS = f"""items AS (SELECT *, category || item_no AS id FROM (VALUES {RECALL_VALUES}) AS t(category, item_no, grp, text, value)),
+RECALL_VALUES = ", ".join(f"({k}, {duck.quoted(c)}, {duck.quoted(g)}, {duck.quoted(t)}, {duck.quoted(v)})" for k, (c, _, g, t, v) in enumerate(fixtures.RECALL))
+RECALL_ITEMS = f"""items AS (SELECT doc_id AS id, category, doc_id::INT AS item_no, grp, d.text || chr(10) || t.text AS text, value FROM documents d
+    JOIN (VALUES {RECALL_VALUES}) AS t(k, category, grp, text, value) ON t.k = d.doc_id % {len(fixtures.RECALL)}),
   spans AS ({duck.merged(duck.rules('items', 'id', 'text', rules.DEFAULT_RULES), 'id')}),
   marked AS (SELECT category, item_no, grp, text, value, EXISTS (SELECT 1 FROM spans WHERE spans.id = items.id AND contains(substr(items.text, (s + 1)::INT, (e - s)::INT), items.value)) AS caught FROM items)"""
 
@@ -150,7 +159,7 @@ RECALL_ITEMS = f"""items AS (SELECT *, category || item_no AS id FROM (VALUES {R
       avg(caught::INT) >= CASE arg_min(grp, item_no) WHEN 'pii' THEN 0.95 ELSE 1.0 END AS passed FROM marked GROUP BY category"""
 )
 def recall_by_category(spark, sf_dir):
-    return report.recall(_planted_items(spark))
+    return report.recall(_planted_items(spark, sf_dir))
 
 
 @query(
@@ -158,14 +167,14 @@ def recall_by_category(spark, sf_dir):
     SELECT count(*) AS n, sum(caught::INT)::BIGINT AS caught, avg(caught::INT) AS recall, (SELECT bool_and(passed) FROM gates) AS passed FROM marked"""
 )
 def recall_overall(spark, sf_dir):
-    return report.overall_recall(_planted_items(spark))
+    return report.overall_recall(_planted_items(spark, sf_dir))
 
 
 @query(
     f"""WITH {RECALL_ITEMS} SELECT category, list(left(text, 120) || ' | ' || left(value, 60) ORDER BY item_no)[1:5] AS missed FROM marked WHERE NOT caught GROUP BY category"""
 )
 def recall_misses(spark, sf_dir):
-    return report.missed_samples(_planted_items(spark))
+    return report.missed_samples(_planted_items(spark, sf_dir))
 
 
 # ---- merging -----------------------------------------------------------------------------------
@@ -396,13 +405,15 @@ _SHAPES_SQL = " ".join(f"WHEN '{k}' THEN '{a}' || {f"repeat('0', greatest(0, {w}
 
 
 @query(
-    f"""SELECT type, n, CASE type {_SHAPES_SQL} WHEN 'IP_ADDRESS' THEN '10.0.' || ((n // 256) % 256) || '.' || (n % 256)
+    f"""SELECT doc_id, type, n, CASE type {_SHAPES_SQL} WHEN 'IP_ADDRESS' THEN '10.0.' || ((n // 256) % 256) || '.' || (n % 256)
       WHEN 'DB_CONNECTION_URL' THEN 'postgres://user' || n || ':pass@redacted.example:5432/db' || n ELSE '[[' || type || '_' || n || ']]' END AS fake
-    FROM (SELECT unnest({list(TYPES)}) AS type), (SELECT unnest([1, 7, 12, 255, 256, 12345])::INT AS n)"""
+    FROM (SELECT doc_id, {list(TYPES)}[(doc_id % {len(TYPES)} + 1)::INT] AS type, (doc_id * 7 % 70000 + 1)::INT AS n FROM documents)"""
 )
 def format_preserving(spark, sf_dir):
-    kinds = spark.createDataFrame([(t, n) for t in TYPES for n in (1, 7, 12, 255, 256, 12345)], "type string, n int")
-    return kinds.select("type", "n", vault.format_preserving(F.col("type"), F.col("n")).alias("fake"))
+    """A fake of some type and number for each document."""
+    types = F.array(*[F.lit(t) for t in TYPES])
+    kinds = _documents(spark, sf_dir).select("doc_id", F.get(types, (F.col("doc_id") % len(TYPES)).cast("int")).alias("type"), (F.col("doc_id") * 7 % 70000 + 1).cast("int").alias("n"))
+    return kinds.select("doc_id", "type", "n", vault.format_preserving(F.col("type"), F.col("n")).alias("fake"))
 
 
 # ---- egress ------------------------------------------------------------------------------------
@@ -467,7 +478,10 @@ def hook_actions(spark, sf_dir):
     return rows.groupBy("event_type", egress.action_of(F.col("event_type")).alias("action")).agg(F.count("*").alias("n"))
 
 
-PATHS = f"(VALUES {', '.join(f'({i}, {duck.quoted(p)})' for i, p in enumerate(fixtures.PATHS))}) AS t(id, path)"
+# a page's path on disk: its address below the home folder, a fixed path, or its address with a name that may be denied
+_ENDS = ("", "/.env", "/site.pem", ".bak", "/keys/host.key", "/.netrc", "/id_rsa.p12", "/notes.txt", "/prod.tfstate", "/.env.local", "/vpn.ovpn")
+PATHS = f"""(SELECT page_id, CASE WHEN page_id % 3 = 0 THEN {fixtures.PATHS}[(page_id // 3 % {len(fixtures.PATHS)} + 1)::INT]
+  ELSE CASE WHEN page_id % 2 = 0 THEN '~/' ELSE '{fixtures.HOME}/' END || regexp_replace(url, '^[a-z]+://', '') || {list(_ENDS)}[(page_id % {len(_ENDS)} + 1)::INT] END AS path FROM pages)"""
 
 
 def _denied_sql() -> str:
@@ -479,10 +493,15 @@ def _denied_sql() -> str:
     return " OR ".join(tests)
 
 
-@query(f"SELECT id, path, ({_denied_sql()}) AS denied FROM {PATHS}")
+@query(f"SELECT page_id, path, ({_denied_sql()}) AS denied FROM {PATHS}")
 def path_denylist(spark, sf_dir):
-    df = spark.createDataFrame(list(enumerate(fixtures.PATHS)), "id int, path string")
-    return df.withColumn("denied", egress.is_denied(F.col("path"), fixtures.HOME, ("/srv/keys",)))
+    """Pages as files on disk: which are never read."""
+    among = lambda values, at: F.get(F.array(*[F.lit(v) for v in values]), at.cast("int"))
+    page = F.col("page_id")
+    own = F.concat(F.when(page % 2 == 0, "~/").otherwise(fixtures.HOME + "/"), F.regexp_replace("url", "^[a-z]+://", ""), among(_ENDS, page % len(_ENDS)))
+    path = F.when(page % 3 == 0, among(fixtures.PATHS, F.floor(page / 3) % len(fixtures.PATHS))).otherwise(own)
+    rows = read_table(spark, sf_dir, "pages").select("page_id", path.alias("path"))
+    return rows.withColumn("denied", egress.is_denied(F.col("path"), fixtures.HOME, ("/srv/keys",)))
 
 
 @query(
@@ -591,52 +610,50 @@ def stream_rehydrate(spark, sf_dir):
     return whole.select("stream_id", F.md5(F.col("restored").cast("binary")).alias("md5"))
 
 
-LABELS = (("person", 0.5), ("full_name", 0.99), ("internal hostname", 0.9), ("api_key", 1.0), ("tax-file no", 0.31))
+LABELS = ("person", "full_name", "internal hostname", "api_key", "tax-file no")
 
 
 @query(
-    f"""SELECT label, CASE label WHEN 'person' THEN 'PERSON' WHEN 'full_name' THEN 'PERSON' WHEN 'internal hostname' THEN 'INTERNAL_HOSTNAME' WHEN 'api_key' THEN 'API_KEY'
-    ELSE upper(regexp_replace(label, '[ -]', '_', 'g')) END AS entity, least(round(score * 0.8, 4), 0.79)::DOUBLE AS capped
-    FROM (VALUES {", ".join(f"('{name}', {score}::DOUBLE)" for name, score in LABELS)}) AS t(label, score)"""
+    f"""SELECT doc_id, label, CASE label WHEN 'person' THEN 'PERSON' WHEN 'full_name' THEN 'PERSON' WHEN 'internal hostname' THEN 'INTERNAL_HOSTNAME' WHEN 'api_key' THEN 'API_KEY'
+    ELSE upper(regexp_replace(label, '[ -]', '_', 'g')) END AS entity, least(round(doc_id % 101 / 100.0::DOUBLE * 0.8, 4), 0.79)::DOUBLE AS capped
+    FROM (SELECT doc_id, {list(LABELS)}[(doc_id % {len(LABELS)} + 1)::INT] AS label FROM documents)"""
 )
 def label_map(spark, sf_dir):
-    df = spark.createDataFrame(list(LABELS), "label string, score double")
-    return df.select("label", plugins.entity_of_label(F.col("label")).alias("entity"), plugins.capped(F.col("score")).alias("capped"))
-
-
-# central and local deny-list, allow-list, entropy threshold, model threshold, labels; None where a policy lacks them
-POLICIES = (
-    (["x"], ["y", "x"], ["a", "b"], ["b", "c"], 4.0, 3.0, 0.5, 0.9, ["person"], ["iban", "person"]), (["x"], None, ["a"], None, 4.0, 5.0, 0.5, 0.2, ["person"], None),
-    (None, ["z"], None, ["a"], None, 3.0, None, 0.1, None, ["iban"]), (["p", "q"], ["q", "r", "s"], ["a", "b", "c"], [], 3.5, None, 0.7, 0.7, ["a", "b"], ["c", "b", "d"]),
-)
-
-
-def _policy_of(deny, allow, entropy, model, labels) -> dict:
-    leaves = {("deny_paths",): deny, ("allow",): allow, ("detectors", "entropy", "threshold"): entropy, ("detectors", "gliner", "threshold"): model, ("detectors", "gliner", "labels"): labels}
-    return policy.tree({p: v for p, v in leaves.items() if v is not None} | {("service", "fail_open"): True})
-
-
-def _policy_values() -> str:
-    text = lambda v: "NULL" if v is None else str(v) if isinstance(v, float) else f"{v}::VARCHAR[]"
-    return ", ".join(f"({k}, {', '.join(map(text, p))})" for k, p in enumerate(POLICIES))
+    """A model's label and score for each document, as entity and capped score."""
+    label = F.get(F.array(*[F.lit(x) for x in LABELS]), (F.col("doc_id") % len(LABELS)).cast("int"))
+    rows = _documents(spark, sf_dir).select("doc_id", label.alias("label"), (F.col("doc_id") % 101 / F.lit(100.0)).alias("score"))
+    return rows.select("doc_id", "label", plugins.entity_of_label(F.col("label")).alias("entity"), plugins.capped(F.col("score")).alias("capped"))
 
 
 @query(
-    f"""SELECT n, array_to_string(coalesce(cd, []) || list_filter(coalesce(ld, []), lambda x: NOT list_contains(coalesce(cd, []), x)), ',') AS deny,
-      array_to_string(CASE WHEN la IS NULL THEN coalesce(ca, []) ELSE list_sort(list_intersect(coalesce(ca, []), la)) END, ',') AS allow,
-      CASE WHEN ce IS NOT NULL THEN least(ce, coalesce(le, ce)) ELSE -1 END::DOUBLE AS entropy, CASE WHEN cm IS NOT NULL THEN least(cm, coalesce(lm, cm)) ELSE -1 END::DOUBLE AS model,
-      array_to_string(coalesce(cl, []) || list_filter(coalesce(ll, []), lambda x: NOT list_contains(coalesce(cl, []), x)), ',') AS labels, false AS fail_open
-    FROM (VALUES {_policy_values()}) AS t(n, cd, ld, ca, la, ce, le, cm, lm, cl, ll)"""
+    """WITH central AS (SELECT source, list_sort(list(DISTINCT lang)) AS deny, ['a', 'b', source] AS allow, CASE WHEN length(source) % 2 = 0 THEN 4.0 END::DOUBLE AS entropy,
+        0.5::DOUBLE AS threshold, CASE WHEN length(source) % 3 <> 0 THEN ['person', 'iban'] END AS labels FROM documents GROUP BY source),
+      local AS (SELECT doc_id, source, [lang, 'd' || (doc_id % 3), lang] AS deny, CASE WHEN doc_id % 4 > 0 THEN [source, 'b', 'x'] END AS allow, (doc_id % 7)::DOUBLE AS entropy,
+        CASE WHEN doc_id % 2 = 0 THEN (doc_id % 10) / 10.0 END::DOUBLE AS threshold, CASE WHEN doc_id % 5 > 0 THEN ['iban', 'e' || (doc_id % 5)] END AS labels FROM documents)
+    SELECT doc_id, array_to_string(c.deny || list_filter(CASE WHEN l.deny[1] = l.deny[3] THEN l.deny[1:2] ELSE l.deny END, lambda x: NOT list_contains(c.deny, x)), ',') AS deny,
+      array_to_string(CASE WHEN l.allow IS NULL THEN c.allow ELSE list_sort(list_distinct(list_intersect(c.allow, l.allow))) END, ',') AS allow,
+      CASE WHEN c.entropy IS NOT NULL THEN least(c.entropy, l.entropy) END AS entropy, least(c.threshold, coalesce(l.threshold, c.threshold)) AS threshold,
+      array_to_string(coalesce(c.labels, []) || list_filter(coalesce(l.labels, []), lambda x: NOT list_contains(coalesce(c.labels, []), x)), ',') AS labels, false AS fail_open
+    FROM local l JOIN central c USING (source)"""
 )
 def policy_tighten(spark, sf_dir):
-    """Local policies over central ones, which they may only tighten."""
-    rows = []
-    for n, values in enumerate(POLICIES):
-        leaves = policy.flat(policy.tighten(_policy_of(*values[0::2]), _policy_of(*values[1::2])))
-        joined = lambda *path: ",".join(leaves.get(path) or [])
-        threshold = lambda name: leaves.get(("detectors", name, "threshold"), -1.0)
-        rows.append((n, joined("deny_paths"), joined("allow"), threshold("entropy"), threshold("gliner"), joined("detectors", "gliner", "labels"), leaves["service", "fail_open"]))
-    return spark.createDataFrame(rows, "n int, deny string, allow string, entropy double, model double, labels string, fail_open boolean")
+    """A local policy for each document over a central one for each source, which it may only tighten."""
+    docs = _documents(spark, sf_dir)
+    n, some = F.col("doc_id"), lambda *names: F.array(*[F.lit(x) for x in names])
+    nothing = F.array().cast("array<string>").alias("literals")
+    central = docs.groupBy("source").agg(F.array_sort(F.collect_set("lang")).alias("langs")).select(
+        "source",
+        F.struct(
+            F.col("langs").alias("deny"), nothing, F.when(F.length("source") % 3 != 0, some("person", "iban")).alias("labels"), F.array(F.lit("a"), F.lit("b"), "source").alias("allow"),
+            F.when(F.length("source") % 2 == 0, F.lit(4.0)).alias("entropy"), F.lit(0.5).alias("threshold"),
+        ).alias("central"),
+    )
+    local = F.struct(
+        F.array("lang", F.concat(F.lit("d"), (n % 3).cast("string")), "lang").alias("deny"), nothing, F.when(n % 5 > 0, F.array(F.lit("iban"), F.concat(F.lit("e"), (n % 5).cast("string")))).alias("labels"),
+        F.when(n % 4 > 0, F.array("source", F.lit("b"), F.lit("x"))).alias("allow"), (n % 7).cast("double").alias("entropy"), F.when(n % 2 == 0, n % 10 / F.lit(10.0)).alias("threshold"),
+    )
+    rows = docs.select("doc_id", "source", local.alias("local")).join(central, "source").select("doc_id", policy.tightened(F.col("central"), F.col("local")).alias("p"))
+    return rows.select("doc_id", *[F.array_join(f"p.{c}", ",").alias(c) for c in ("deny", "allow", "labels")], "p.entropy", "p.threshold", "p.fail_open")
 
 
 @query("SELECT conv_id, string_agg(text, '' ORDER BY turn) AS joined FROM conversations GROUP BY conv_id")
@@ -651,22 +668,31 @@ def sse_delta_concat(spark, sf_dir):
 
 # ---- sources -----------------------------------------------------------------------------------
 
-GENERATED = f"items AS (SELECT *, category || ':' || item_no AS id FROM ({corpus.generate_sql()}))"
+GENERATED = f"""made AS (SELECT row_number() OVER (ORDER BY category, item_no) - 1 AS k, * FROM ({corpus.generate_sql()})),
+  items AS (SELECT doc_id AS id, category, made.item_no, grp, d.text || chr(10) || made.text AS text, value FROM documents d JOIN made ON made.k = d.doc_id % (SELECT count(*) FROM made))"""
+
 
+def _generated(spark, sf_dir) -> DataFrame:
+    """Documents that each carry an item of the generated corpus."""
+    made = corpus.generate(spark).withColumn("k", F.row_number().over(Window.orderBy("category", "item_no")) - 1)  # a few hundred items
+    n = sum(c[2] for c in corpus.CATEGORIES)
+    docs = _documents(spark, sf_dir).select("doc_id", F.col("text").alias("own"), (F.col("doc_id") % n).cast("int").alias("k"))
+    return docs.join(F.broadcast(made), "k").select("doc_id", "category", "item_no", "grp", F.concat("own", F.lit("\n"), "text").alias("text"), "value")
 
-@query(f"SELECT category, item_no::INT AS item_no, grp, text, value FROM ({corpus.generate_sql()})")
+
+@query(f"WITH {GENERATED} SELECT id AS doc_id, category, item_no::INT AS item_no, grp, md5(text) AS md5, value FROM items")
 def eval_corpus(spark, sf_dir):
-    return corpus.generate(spark)
+    return _generated(spark, sf_dir).select("doc_id", "category", "item_no", "grp", F.md5(F.col("text").cast("binary")).alias("md5"), "value")
 
 
 @query(
     f"""WITH {GENERATED}, spans AS ({duck.merged(duck.rules('items', 'id', 'text', rules.DEFAULT_RULES), 'id')}),
     marked AS (SELECT category, item_no, grp, EXISTS (SELECT 1 FROM spans WHERE spans.id = items.id AND contains(substr(text, (s + 1)::INT, (e - s)::INT), value)) AS caught FROM items)
-    SELECT category, arg_min(grp, item_no) AS grp, count(*) AS n, sum(caught::INT)::BIGINT AS caught, avg(caught::INT) AS recall,
-      avg(caught::INT) >= CASE arg_min(grp, item_no) WHEN 'pii' THEN 0.95 ELSE 1.0 END AS passed FROM marked GROUP BY category"""
+    SELECT category, min(grp) AS grp, count(*) AS n, sum(caught::INT)::BIGINT AS caught, avg(caught::INT) AS recall,
+      avg(caught::INT) >= CASE min(grp) WHEN 'pii' THEN 0.95 ELSE 1.0 END AS passed FROM marked GROUP BY category"""
 )
 def recall_generated(spark, sf_dir):
-    found = detect(corpus.generate(spark), "text")
+    found = detect(_generated(spark, sf_dir), "text")
     caught = F.exists("spans", lambda s: S.value_of(F.col("text"), s).contains(F.col("value")))
     return report.recall(found.select("category", "item_no", "grp", caught.alias("caught")))
 
