@@ -14,7 +14,7 @@ from veilspan.operators import egress, jsonwalk, leaks, report, vault
 from veilspan.operators.detect import detect
 from veilspan.plans import fixtures
 from veilspan.sources import events
-from veilspan.streaming.rehydrate import hold_back, replay, restore
+from veilspan.streaming.rehydrate import hold_back, restore
 
 
 def detected(spark, rows):
@@ -45,9 +45,19 @@ def test_substitute_and_rehydrate_round_trip_and_rescan_is_clean(spark):
     assert df.select(vault.rehydrate(F.col("t"), names)).first()[0] == "é a@x.io $1 \\ b@x.io [[X_9]]"
 
 
-def test_longer_fakes_are_restored_first(spark):
-    df = spark.createDataFrame([("Org_11 and Org_1", [("Org_1", "Ann"), ("Org_11", "Bob")])], "t string, e array<struct<placeholder:string,value:string>>")
-    assert df.select(vault.rehydrate_formats(F.col("t"), F.col("e"))).first()[0] == "Bob and Ann"
+def test_fakes_are_restored_in_one_pass_the_longest_first(spark):
+    names = {"Org_1": "Ann", "Org_11": "Bob Org_1", "user1@redacted.example": "a@x.io", "10.0.0.7": "1.2.3.4", "[[X_1]]": "$0", "AKIA" + "0" * 15 + "7": "key", "[PRIVATE_KEY_2_REDACTED]": "pem"}
+    texts = {
+        "Org_11 and Org_1": "Bob Org_1 and Ann", "Org_115 Org_2": "Bob Org_15 Org_2", "user1@redacted.example user2@redacted.example": "a@x.io user2@redacted.example",
+        "10.0.0.7 10.0.0.75 10.0.0": "1.2.3.4 1.2.3.45 10.0.0", "[[X_1]][[X_2]]": "$0[[X_2]]", "xAKIA" + "0" * 15 + "7": "xkey", "[PRIVATE_KEY_2_REDACTED]": "pem", "": "",
+        "0" * 200_000: "0" * 200_000,
+    }
+    df = spark.createDataFrame([(t, names) for t in texts], "t string, e map<string,string>")
+    assert [r[0] for r in df.select(vault.rehydrate_formats(F.col("t"), F.col("e"))).collect()] == list(texts.values())
+    vaults = spark.createDataFrame([("s", k, v) for k, v in names.items()], "session string, placeholder string, value string")
+    rows = spark.createDataFrame([("s", i, t) for i, t in enumerate(texts)], "session string, turn int, text string")
+    got = rows.join(vault.fakes_of(rows, vaults), ["session", "turn"]).select("turn", vault.rehydrate_formats(F.col("text"), F.col("names"))).collect()
+    assert {i: t for i, t in got} == {i: t for i, t in enumerate(texts.values()) if list(texts)[i] != t and t}
 
 
 def test_sealed_vaults(spark):
@@ -382,10 +392,3 @@ def test_hold_back():
     assert hold_back("", "hi [[EMAIL") == ("hi ", "[[EMAIL") and hold_back("[[EMAIL", "_1]] x") == ("[[EMAIL_1]] x", "")
     assert hold_back("", "a [") == ("a ", "[") and hold_back("[", "[A_1]]") == ("[[A_1]]", "") and hold_back("", "[[" + "x" * 80)[1] == ""
     assert restore("[[A_1]] [[B_1]]", {"[[A_1]]": "$1"}) == "$1 [[B_1]]"
-
-
-def test_streams_restore_split_placeholders(spark):
-    texts = spark.createDataFrame([("1", "s", "to [[EMAIL_ADDRESS_1]] and [[EMAIL_ADDRESS_12]]!"), ("2", "t", "[[EMAIL_ADDRESS_1]] [[EMAIL"), ("3", "s", "plain")], "stream_id string, session string, text string")
-    vaults = spark.createDataFrame([("s", "[[EMAIL_ADDRESS_1]]", "a@x.io"), ("s", "[[EMAIL_ADDRESS_12]]", "b@x.io")], "session string, placeholder string, value string")
-    got = {r.stream_id: r.restored for r in replay(texts, vaults, 5).collect()}
-    assert got == {"1": "to a@x.io and b@x.io!", "2": "[[EMAIL_ADDRESS_1]] [[EMAIL", "3": "plain"}

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from veilspan.session import written
+
 TTL = 3600
 GATES = {"secrets": 1.0, "pii": 0.95}
 
@@ -76,20 +78,61 @@ def precision(spans: DataFrame, planted: DataFrame) -> DataFrame:
     return rows.groupBy("type").agg(F.count("*").alias("n"), F.sum("hit").alias("hits"), F.avg("hit").alias("precision"))
 
 
+def percentiles(samples: DataFrame, by: str, value: str, shares: tuple[float, ...]) -> DataFrame:
+    """(by, n, p array<double>): exact percentiles of each group, interpolated linearly, by selection instead of
+    gathering: equal values are added up, dealt by ranges, and the counts of the ranges before tell each value's
+    ranks; only the rows that hold a wanted rank go on. Null values don't count; a null group is a group."""
+    same = samples.where(F.col(value).isNotNull()).groupBy(F.col(by).alias("by"), F.col(value).cast("double").alias("v")).agg(F.count("*").alias("c"))
+    parts = written(same.repartitionByRange("by", "v").withColumn("part", F.spark_partition_id()), "percentiles")
+    counts = parts.groupBy("by", "part").agg(F.sum("c").alias("held"))
+    group = Window.partitionBy("by")
+    before = F.coalesce(F.sum("held").over(group.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    starts = counts.select(F.col("by").alias("own"), F.col("part").alias("at"), before.alias("before"), F.sum("held").over(group).alias("n"))  # a row for each part of a group
+    ends = F.sum("c").over(Window.partitionBy("by", "part").orderBy("v").rowsBetween(Window.unboundedPreceding, 0))
+    rows = parts.withColumn("end", ends).join(starts, F.col("by").eqNullSafe(F.col("own")) & (F.col("part") == F.col("at")))
+    rows = rows.withColumn("end", F.col("end") + F.col("before")).withColumn("start", F.col("end") - F.col("c"))
+    holds = lambda rank: (F.col("start") <= rank) & (rank < F.col("end"))
+    spots = [share * (F.col("n") - 1) for share in shares]
+    ends = [[F.max(F.when(holds(near(h)), F.col("v"))) for near in (F.floor, F.ceil)] for h in spots]
+    found = rows.where(_any(holds(near(h)) for h in spots for near in (F.floor, F.ceil)))
+    found = found.groupBy("by", "n").agg(*[x.alias(f"{side}{k}") for k, pair in enumerate(ends) for side, x in zip("lh", pair, strict=True)])
+    lerp = [F.col(f"l{k}") + (F.col(f"h{k}") - F.col(f"l{k}")) * (h - F.floor(h)) for k, h in enumerate(spots)]
+    return found.select(F.col("by").alias(by), "n", F.array(*lerp).alias("p"))
+
+
+def _any(tests) -> Column:
+    found = F.lit(False)
+    for test in tests:
+        found = found | test
+    return found
+
+
 def latency(samples: DataFrame, by: str, ms: str) -> DataFrame:
-    """(by, p50, p95, p99, mean, max): exact percentiles, interpolated linearly."""
-    p = F.percentile(F.col(ms), F.array(F.lit(0.5), F.lit(0.95), F.lit(0.99)))
-    out = samples.groupBy(by).agg(p.alias("p"), F.avg(ms).alias("mean_ms"), F.max(ms).alias("max_ms"))
+    """(by, p50, p95, p99, mean, max): exact percentiles, interpolated linearly. A group without a value has none of them."""
+    p = percentiles(samples, by, ms, (0.5, 0.95, 0.99)).select(F.col(by).alias("own"), "p")
+    out = samples.groupBy(by).agg(F.avg(ms).alias("mean_ms"), F.max(ms).alias("max_ms")).join(p, F.col(by).eqNullSafe(F.col("own")), "left")
     return out.select(by, *[F.round(F.get("p", F.lit(i)), 4).alias(n) for i, n in enumerate(("p50", "p95", "p99"))], F.round("mean_ms", 4).alias("mean_ms"), "max_ms")
 
 
 def sessions(events: DataFrame, user: str, ts: str, tie: str, ttl: int = TTL) -> DataFrame:
-    """Adds session_no: a session ends when the last access lies more than ``ttl`` seconds back."""
-    order = Window.partitionBy(user).orderBy(ts, tie)
+    """Adds session_no: a session ends when the last access lies more than ``ttl`` seconds back.
+
+    Rows are dealt by ranges of user and time, so a user with most events lies in many tasks: each range looks
+    back to the last access of the one before, and adds the sessions that began in those before it."""
     at = lambda c: F.unix_micros(c.cast("timestamp"))
-    gap = at(F.col(ts)) - at(F.lag(ts).over(order))
-    fresh = events.withColumn("__new", F.when(gap > ttl * 1_000_000, 1).otherwise(0))
-    return fresh.withColumn("session_no", F.sum("__new").over(order.rowsBetween(Window.unboundedPreceding, 0)).cast("int")).drop("__new")
+    ranged = written(events.repartitionByRange(user, ts, tie).withColumn("__part", F.spark_partition_id()), "sessions")
+    parts, own = Window.partitionBy(user).orderBy("__part"), Window.partitionBy("__part", user).orderBy(ts, tie)
+    edges = ranged.groupBy(user, "__part").agg(F.max(ts).alias("__last"))
+    edges = edges.select(F.col(user).alias("__user"), F.col("__part").alias("__at"), F.lag("__last").over(parts).alias("__before"))
+    here = F.col(user).eqNullSafe(F.col("__user")) & (F.col("__part") == F.col("__at"))
+    rows = ranged.join(edges, here).drop("__user", "__at")
+    gap = at(F.col(ts)) - at(F.coalesce(F.lag(ts).over(own), "__before"))
+    rows = rows.withColumn("__new", F.when(gap > ttl * 1_000_000, 1).otherwise(0))
+    begun = rows.groupBy(user, "__part").agg(F.sum("__new").alias("__n"))
+    earlier = F.coalesce(F.sum("__n").over(parts.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    begun = begun.select(F.col(user).alias("__user"), F.col("__part").alias("__at"), earlier.alias("__earlier"))
+    number = F.sum("__new").over(own.rowsBetween(Window.unboundedPreceding, 0)) + F.col("__earlier")
+    return rows.join(begun, here).withColumn("session_no", number.cast("int")).select(*events.columns, "session_no")
 
 
 def distinct_chunks(chunks: DataFrame, policy: str) -> DataFrame:

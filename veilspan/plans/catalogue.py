@@ -16,7 +16,7 @@ from veilspan.session import shared_folder, written
 from veilspan.sources import corpus, events
 from veilspan.sources.tables import read_table, spread
 from veilspan.streaming import rehydrate
-from veilspan.streaming.vault import STORE, mint_stream
+from veilspan.streaming.vault import STORE, mint_stream, minted
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -383,6 +383,18 @@ def rehydrate_roundtrip(spark, sf_dir):
     return back.select("doc_id", F.md5(F.col("text").cast("binary")).alias("md5"))
 
 
+@query("SELECT doc_id, md5(text) AS md5 FROM documents")
+def rehydrate_fakes(spark, sf_dir):
+    """Values replaced by fakes of their own shape, and restored in one pass: each gives its document back."""
+    found = _found(spark, sf_dir)
+    minted = vault.mint(vault.found_values(found, "source", "doc_id"))
+    fakes = written(minted.withColumn("placeholder", vault.format_preserving(F.col("type"), F.col("n"))), "fakes")
+    rows = written(vault.substitute(found, fakes, "source", "doc_id").withColumnRenamed("scrubbed", "text"), "faked")
+    none = F.from_json(F.lit("{}"), "map<string,string>")
+    back = rows.join(vault.fakes_of(rows, fakes), ["session", "turn"], "left")
+    return back.select(F.col("turn").alias("doc_id"), F.md5(vault.rehydrate_formats(F.col("text"), F.coalesce("names", none)).cast("binary")).alias("md5"))
+
+
 @query("SELECT source, count(*) AS n_texts, 0::BIGINT AS n_hits, 0::BIGINT AS withheld FROM documents GROUP BY source")
 def rescan_hits(spark, sf_dir):
     """Scrubbed documents scanned again: nothing is found any more."""
@@ -602,12 +614,36 @@ def rehydrate_bodies(spark, sf_dir):
     return _joined_texts(vault.rehydrate_bodies(rows, names, "session", "turn"))
 
 
-@query("SELECT doc_id::VARCHAR AS stream_id, md5(text) AS md5 FROM documents WHERE text <> ''")
+@query(
+    """SELECT doc_id::VARCHAR AS stream_id, md5(text) AS md5, CASE WHEN doc_id % 5 = 0 THEN md5(text) END AS note_md5, (doc_id % 2 + 1)::BIGINT AS n_others
+    FROM documents WHERE text <> ''"""
+)
 def stream_rehydrate(spark, sf_dir):
-    """Scrubbed documents cut into deltas of eleven signs, streamed and restored: each gives its document back."""
+    """Scrubbed documents as replies: event lines of 160 signs each and, for every fifth, one other JSON event with the
+    whole text, dealt to files without order and streamed a file at a time; restored, each gives its document back."""
     minted, rows = _scrubbed(spark, sf_dir)
-    whole = rehydrate.replay(rows.where("scrubbed <> ''").select(F.col("turn").cast("string").alias("stream_id"), F.col("scrubbed").alias("text"), "session"), minted, width=11)
-    return whole.select("stream_id", F.md5(F.col("restored").cast("binary")).alias("md5"))
+    width, n = 160, F.col("turn")
+    texts = rows.where("scrubbed <> ''").select("session", "turn", n.cast("string").alias("stream_id"), F.col("scrubbed").alias("text"))
+    cut = texts.select("*", F.posexplode(F.sequence(F.lit(0), F.length("text") - 1, F.lit(width))).alias("k", "at"))
+    piece = F.substring(F.col("text"), F.col("at") + 1, F.lit(width))
+    one = F.to_json(F.struct(F.array(F.struct(F.struct(piece.alias("content")).alias("delta"))).alias("choices")))
+    event = F.when(n % 2 == 0, one).otherwise(F.to_json(F.struct(F.lit("content_block_delta").alias("type"), F.struct(piece.alias("text")).alias("delta"))))
+    deltas = cut.select("stream_id", "session", F.col("k").cast("long").alias("seq"), F.concat(F.lit("data: "), event).alias("line"))
+    last = F.ceil(F.length("text") / width)
+    note = F.to_json(F.struct(F.struct("text", F.lit(7).alias("n")).alias("usage")))
+    ends = F.array(F.when(n % 5 == 0, F.concat(F.lit("data: "), note)), F.when(n % 2 == 1, ": ping"), F.lit("data: [DONE]"))
+    others = texts.select("stream_id", "session", last.alias("after"), F.posexplode(F.array_compact(ends)).alias("k", "line"))
+    lines = deltas.unionByName(others.select("stream_id", "session", (F.col("after") + F.col("k")).cast("long").alias("seq"), "line"))
+    folder = shared_folder(spark, "stream-rehydrate")
+    lines.repartition(3, F.xxhash64("stream_id", "seq")).write.parquet(f"{folder}/lines")
+    spark.conf.set("spark.sql.streaming.stateStore.providerClass", STORE)
+    stream = spark.readStream.schema(lines.schema).option("maxFilesPerTrigger", 1).parquet(f"{folder}/lines")
+    rehydrate.restore_stream(stream, minted, f"{folder}/out", f"{folder}/state").awaitTermination()
+    back = events.parse_sse(rehydrate.restored(spark, f"{folder}/out").withColumnRenamed("out", "line"))
+    ordered = F.transform(F.array_sort(F.collect_list(F.when(F.col("kind") == "delta", F.struct("seq", "part", "delta")))), lambda x: x["delta"])
+    notes = F.max(F.when(F.col("kind") == "json", F.get_json_object("payload", "$.usage.text")))
+    whole = back.groupBy("stream_id").agg(F.array_join(ordered, "").alias("text"), notes.alias("note"), F.count_if(F.col("kind").isin("done", "other")).alias("n_others"))
+    return whole.select("stream_id", F.md5(F.col("text").cast("binary")).alias("md5"), F.md5(F.col("note").cast("binary")).alias("note_md5"), "n_others")
 
 
 LABELS = ("person", "full_name", "internal hostname", "api_key", "tax-file no")
@@ -726,17 +762,16 @@ def clean_cache_lru(spark, sf_dir):
 
 @query(f"WITH {VAULT} SELECT session, value, type, n, placeholder FROM named")
 def stream_vault(spark, sf_dir):
-    """The vault of vault_mint, minted from a stream of found values."""
-    first = vault.first_sights(vault.found_values(_found(spark, sf_dir), "source", "doc_id"))
-    found = first.select("session", "turn", (-F.col("back")).alias("start"), "type", "value")
+    """The vault of vault_mint, minted from a stream of all found values, whose batches follow the turns."""
+    found = vault.found_values(_found(spark, sf_dir), "source", "doc_id")
     folder = shared_folder(spark, "stream-vault")
-    found.write.parquet(f"{folder}/found")
+    middle = found.agg(F.percentile_approx("turn", 0.5)).first()[0] or 0
     spark.conf.set("spark.sql.streaming.stateStore.providerClass", STORE)
-    stream = spark.readStream.schema(found.schema).parquet(f"{folder}/found")
-    sink = mint_stream(stream).writeStream.format("parquet").option("checkpointLocation", f"{folder}/state")
-    sink.trigger(availableNow=True).start(f"{folder}/out").awaitTermination()
-    out = spark.read.schema("session string, value string, type string, n int, placeholder string").parquet(f"{folder}/out")
-    return out.select("session", "value", "type", "n", "placeholder")
+    for part in (F.col("turn") <= middle, F.col("turn") > middle):  # the second run goes on from the first one's checkpoint
+        found.where(part).write.mode("append").parquet(f"{folder}/found")
+        stream = spark.readStream.schema(found.schema).parquet(f"{folder}/found")
+        mint_stream(stream, f"{folder}/out", f"{folder}/state").awaitTermination()
+    return minted(spark, f"{folder}/out")
 
 
 @query(
