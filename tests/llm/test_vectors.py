@@ -55,6 +55,23 @@ def test_exact_where_the_factor_is_one(spark, monkeypatch):
     assert T.nearest_neighbours(frame(spark, []), 50, 5).count() == 0
 
 
+@pytest.mark.parametrize("shard", [50, 16_384])
+def test_many_vectors_of_one_direction_are_ranked_exactly(spark, monkeypatch, shard):
+    monkeypatch.setattr(V, "SHARD", shard)
+    rng = np.random.default_rng(7)
+    base = rng.normal(0, 1, 8)
+    rows = [(i, (base * rng.uniform(0.1, 9)).tolist(), "") for i in range(60)] + [(60 + i, rng.normal(0, 1, 8).tolist(), "") for i in range(400)]
+    got = sorted(map(tuple, T.nearest_neighbours(frame(spark, rows), 50, 5, factor=1.0).collect()))
+    assert got == brute(usable(rows, True), 50, 5, cosine)
+
+
+def test_products_beyond_doubles_are_told_apart(spark):
+    big = 2.0**19
+    rows = [(i, [big, big, (i * 7 % 40) / 1024, 1.0], "") for i in range(40)] + [(100, [big, big, 1 / 1024, 2.0], ""), (200, [-big, 3.0, 5.0, 1.0], "")]
+    got = sorted(map(tuple, N.top_products(frame(spark, rows), 100, 10).collect()))
+    assert got == brute(usable(rows, False), 100, 10, product)
+
+
 def test_top_products_equal_brute_force(spark, monkeypatch):
     monkeypatch.setattr(V, "SHARD", 300)
     monkeypatch.setattr(V, "BLOCK", 3)

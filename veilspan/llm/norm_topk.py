@@ -19,6 +19,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 
 from veilspan.llm import vector_blocks as V
+from veilspan.session import written
 
 SCALE = 1024.0
 CHUNK = 512
@@ -73,6 +74,7 @@ def search_index(index: NormIndex, q: np.ndarray, k: int) -> V.Best:
     turned = q @ index.basis
     rest = np.sqrt((turned[:, lead:] ** 2).sum(1))
     active = np.arange(len(q))
+    kept: dict[int, list[tuple]] = {}
     for low in range(0, len(index.x), CHUNK):
         high = min(low + CHUNK, len(index.x))
         ceiling = norms[active] * index.norms[low]
@@ -87,11 +89,25 @@ def search_index(index: NormIndex, q: np.ndarray, k: int) -> V.Best:
         if not len(rows):
             continue
         columns = columns + low
-        score = _exact(q[active[rows]], index.x[columns], index.largest).astype(np.float64)
-        best.add(active[rows], score, columns, index.owners[columns, 0])
+        score = _exact(q[active[rows]], index.x[columns], index.largest)
+        if score.dtype == object:
+            _add_integers(best, kept, active[rows], score, columns, index.owners[columns, 0])
+        else:
+            best.add(active[rows], score, columns, index.owners[columns, 0])
     return best
 
 
+def _add_integers(best: V.Best, kept: dict[int, list[tuple]], rows: np.ndarray, score: np.ndarray, columns: np.ndarray, tie: np.ndarray) -> None:
+    """As Best.add, of integers that doubles don't tell apart: ``kept`` holds each query's best as integers. Scores in
+    ``best`` are rounded down, so bounds that are compared with them lose nothing."""
+    k = best.score.shape[1]
+    for row, own in zip(rows.tolist(), score.tolist()):
+        held = sorted([*kept.get(row, []), *((-s, t, c) for s, t, c in zip(own, tie.tolist(), columns.tolist()))])[:k]
+        kept[row] = held
+        best.column[row, : len(held)] = [c for _, _, c in held]
+        best.score[row, : len(held)] = [np.nextafter(float(-s), -np.inf) for s, _, _ in held]
+
+
 def top_products(df: DataFrame, step: int = 100, k: int = 10, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
     """(query_id, rank, vec_id, score long): the k highest integer inner products of every ``step``-th id.
 
@@ -99,7 +115,8 @@ def top_products(df: DataFrame, step: int = 100, k: int = 10, id_col: str = "vec
     Vectors that are null or empty or hold null or non-finite components, and rows with a null id,
     take no part; vectors of another length than the query's aren't its candidates. Zero vectors and
     copies are candidates like any other. An id that repeats gives one list. Scores beyond the range
-    of a long are its ends; those beyond 2**53 are exact but told apart as doubles. An empty table gives an empty table; other columns aren't read."""
+    of a long are its ends; all others are exact integers, and compared as such. An empty table gives an empty
+    table; other columns aren't read."""
     vectors = V.valid_vectors(df, id_col, vector_col, nonzero=False)
     rows = df.count()
     length = lambda x: np.sqrt((np.floor(SCALE * x) ** 2).sum(1))
@@ -130,7 +147,7 @@ def top_products(df: DataFrame, step: int = 100, k: int = 10, id_col: str = "vec
                 score[a : a + 4096] = [int(_exact(x[None], y[None], index.largest)[0, 0]) for x, y in zip(i, j)]
         return row, vec, score
 
-    vectors = V.placed(vectors, place)
+    vectors = written(V.placed(vectors, place), "placed-vectors")
     queries = vectors.where(V.every(vectors, step)).dropDuplicates(["vec_id"])
     return V.search(vectors, queries, -(-rows // step), k, "long", lambda ids, x: build_index(ids, x, k + 1), find, False, reaches)
 

@@ -21,6 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from veilspan.llm import vector_blocks as V
+from veilspan.session import written
 
 LEAF = 128
 #: Chosen on the test tables for a recall above 0.95 of the five nearest; see the README.
@@ -122,6 +123,33 @@ def search_tree(tree: VpTree, q: np.ndarray, k: int, factor: float) -> V.Best:
     return best
 
 
+#: Columns kept beyond the k wanted ones, and the rounding of a product of unit vectors.
+SPARE, ROUNDING = 3, 1e-12
+
+
+def best_exact(tree: VpTree, ids: np.ndarray, q: np.ndarray, k: int, factor: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(query row, id, cosine): candidates among which each query's best k lie, by the exact measure.
+
+    The tree compares rounded products. Where more columns than are kept lie within the rounding of the k-th, as
+    with many vectors of one direction, that query is measured against every column that near, one query
+    at a time, and its best k by cosine and id go on."""
+    best = search_tree(tree, q, k + SPARE, factor)
+    near = best.score[:, k] - ROUNDING  # the query's own vector may be one of them
+    crowded = np.flatnonzero((best.column[:, -1] >= 0) & (best.least() >= near))
+    best.column[crowded] = -1
+    row, column, vec = V.pairs_of(best, tree.owners, ids)
+    found = [(row, vec, cosines(q[row], tree.x[column]))]
+    unit = unit_vectors(q[crowded]) if len(crowded) else q[:0]
+    for one, direction in zip(crowded.tolist(), unit):
+        columns = np.flatnonzero(tree.unit @ direction >= near[one] - ROUNDING)
+        score = cosines(np.broadcast_to(q[one], (len(columns), q.shape[1])), tree.x[columns])
+        at, nth = np.nonzero((tree.owners[columns] >= 0) & (tree.owners[columns] != ids[one]))
+        vec, score = tree.owners[columns[at], nth], score[at]
+        few = np.lexsort((vec, -score))[:k]
+        found.append((np.full(len(few), one), vec[few], score[few]))
+    return tuple(np.concatenate(x) for x in zip(*found, strict=True))
+
+
 def cosines(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     """Row by row in double precision, the same for the same pair wherever it stands."""
     return (a * b).sum(1) / (np.sqrt((a * a).sum(1)) * np.sqrt((b * b).sum(1)))
@@ -160,10 +188,8 @@ def nearest_neighbours(
         return factor * (bound - 1e-7) <= reach + 1e-7
 
     def find(tree, ids, q):
-        best = search_tree(tree, q, k + 3, factor)
-        row, column, vec = V.pairs_of(best, tree.owners, ids)
-        return row, vec, cosines(q[row], tree.x[column])
+        return best_exact(tree, ids, q, k, factor)
 
-    vectors = V.placed(vectors, place)
+    vectors = written(V.placed(vectors, place), "placed-vectors")
     queries = vectors.where(V.every(vectors, step)).dropDuplicates(["vec_id"])
     return V.search(vectors, queries, -(-rows // step), k, "double", lambda ids, x: build_tree(ids, x, k + 1), find, True, reaches)
