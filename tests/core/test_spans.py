@@ -181,3 +181,31 @@ def test_ipv6(spark):
     df = spark.createDataFrame([("fe80::1 2001:db8:0:0:0:0:0:1 1:2:3:4:5:6:7:8:9 12:30:45 a::b::c ::1",)], "text string")
     got = [r.text[r.start : r.end] for r in exploded(raw_spans(df, "text", Detector(), "spans"), "text").collect() if r.type == "IP_ADDRESS"]
     assert got == ["fe80::1", "2001:db8:0:0:0:0:0:1", "::1"]
+
+
+def test_many_spans_of_a_long_text_take_time_in_proportion(spark):
+    text = "é😀x " * 100_000
+    spans = F.transform(F.sequence(F.lit(0), F.lit(99_999)), lambda i: F.struct((i * 4).cast("int").alias("start"), (i * 4 + 2).cast("int").alias("end")))
+    df = spark.createDataFrame([(text,)], "t string").withColumn("s", spans)
+    began = time.perf_counter()
+    values, spliced = df.select(S.pieces(F.col("t"), F.col("s")), S.splice(F.col("t"), F.col("s"), lambda s: F.lit("#"))).first()
+    assert set(values) == {"é😀"} and len(values) == 100_000 and spliced == "#x " * 100_000 and time.perf_counter() - began < 20
+    few = df.withColumn("s", F.slice("s", 1, 3))
+    assert few.select(S.pieces(F.col("t"), F.col("s")), F.left(S.splice(F.col("t"), F.col("s"), lambda s: F.lit("#")), F.lit(10))).first() == (["é😀"] * 3, "#x #x #x é")
+
+
+def test_chunks_of_a_long_text_take_time_in_proportion(spark):
+    from veilspan.operators.chunk import newline_chunks
+
+    texts = ["ab\n" * 400_000, "x" * 1_000_000, "\n" * 300_000, "é😀" * 200_000 + "\nend", "", "\n", "a" * 10 + "\n" + "b" * 3]
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, t string")
+    began = time.perf_counter()
+    rows = {r.i: r.c for r in df.select("i", newline_chunks(F.col("t"), 10).alias("c")).collect()}
+    assert time.perf_counter() - began < 40
+    for i, text in enumerate(texts):
+        assert "".join(c.chunk for c in rows[i]) == text
+        at = 0
+        for c in rows[i][:2000]:
+            assert c.offset == at and text[at : at + len(c.chunk)] == c.chunk
+            at += len(c.chunk)
+    assert [c.chunk for c in rows[6]] == ["a" * 10 + "\n", "bbb"] and max(len(c.chunk) for c in rows[0]) <= 11

@@ -115,13 +115,24 @@ def without_values(spans: Column, text: Column, allowed: list[str]) -> Column:
     """Spans whose whole text isn't an allowed value; the comparison is exact."""
     if not allowed:
         return spans
-    return F.filter(spans, lambda s: ~value_of(text, s).isin(*allowed))
+    valued = F.zip_with(spans, pieces(text, spans), lambda s, v: F.struct(s.alias("s"), v.alias("v")))
+    return F.transform(F.filter(valued, lambda x: ~x["v"].isin(*allowed)), lambda x: x["s"])
 
 
 def value_of(text: Column, s: Column) -> Column:
     return F.substring(text, s["start"] + 1, s["end"] - s["start"])
 
 
+def pieces(text: Column, ends: Column) -> Column:
+    """array<string>: the stretches of a text (array<struct<start, end>>).
+
+    A substring of UTF-8 is sought from the text's beginning, so many of them are taken from a form of four bytes for
+    each sign, where a place is found at once."""
+    few = lambda e: F.transform(e, lambda s: F.substring(text, s["start"] + 1, s["end"] - s["start"]))
+    wide = lambda w, e: F.transform(e, lambda s: F.decode(F.substring(w, s["start"] * 4 + 1, (s["end"] - s["start"]) * 4), "UTF-32"))
+    return let(ends, lambda e: F.when(F.size(e) > HELD, let(F.encode(text, "UTF-32"), lambda w: wide(w, e))).otherwise(few(e)))
+
+
 def at_least(spans: Column, score: float) -> Column:
     return F.filter(spans, lambda s: s["score"] >= score)
 
@@ -181,14 +192,14 @@ def add_only(spans: Column, more: Column) -> Column:
 
 def splice(text: Column, spans: Column, replacement) -> Column:
     """The text with each of the disjoint, ordered spans replaced by replacement(span)."""
-    ends = F.transform(spans, lambda s: s["end"])
-
-    def piece(s, i):
-        at = F.when(i > 0, F.get(ends, i - 1)).otherwise(F.lit(0))
-        return F.concat(F.substring(text, at + 1, s["start"] - at), replacement(s))
-
-    rest = F.substring(text, F.coalesce(F.get(ends, F.size(ends) - 1), F.lit(0)) + 1, F.length(text))
-    return F.concat(F.array_join(F.transform(spans, piece), ""), rest)
+    def cut(ends):
+        n = F.size(ends)
+        starts = F.concat(F.array(F.lit(0)), F.slice(ends, F.lit(1), F.greatest(n - 1, F.lit(0))))
+        gaps = F.zip_with(F.slice(starts, F.lit(1), n), spans, lambda at, s: F.struct(at.alias("start"), s["start"].alias("end")))
+        rest = F.substring(text, F.coalesce(F.get(ends, n - 1), F.lit(0)) + 1, F.length(text))
+        return F.concat(F.array_join(F.zip_with(pieces(text, gaps), spans, lambda g, s: F.concat(g, replacement(s))), ""), rest)
+
+    return let(F.transform(spans, lambda s: s["end"]), cut)
 
 
 def shannon_entropy(value: Column) -> Column:

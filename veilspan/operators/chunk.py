@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from veilspan.functions import spans as S
+
 TARGET = 2048
 WINDOW, OVERLAP = 4096, 256
 
@@ -14,21 +16,16 @@ def newline_chunks(text: Column, target: int = TARGET) -> Column:
     the window's start, else after ``target`` signs. The newline may be the sign after the window, so a
     chunk may have one sign more. Chunks are disjoint and cover the text; an empty text has none.
 
-    Two chunks in a row cover more than a window, which bounds their number."""
-    size = F.length(text)
-    most = F.ceil(size / target) * 2 + 2
-    zero = F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<offset:int,chunk:string>>").alias("out"))
-
-    def step(acc, _):
-        at = acc["at"]
-        window = F.substring(text, at + 1, F.lit(target + 1))
-        back = F.locate("\n", F.reverse(window))
-        newline = F.length(window) - back  # place of the last newline in the window
-        end = F.when(at + target >= size, size - at).when((back > 0) & (newline > 0), newline + 1).otherwise(F.lit(target))
-        here = F.struct(at.alias("offset"), F.substring(text, at + 1, end).alias("chunk"))
-        return F.when(at < size, F.struct((at + end).cast("int").alias("at"), F.concat(acc["out"], F.array(here)).alias("out"))).otherwise(acc)
-
-    return F.aggregate(F.sequence(F.lit(1), most.cast("int")), zero, step, lambda acc: acc["out"])
+    A chunk is what one pattern takes from where the last one ended: the rest, or up to the last newline
+    that is near enough, or ``target`` signs; so a text is cut in one pass."""
+    cut = rf"(?s).{{1,{target}}}\z|.{{1,{target}}}\n|.{{{target}}}"
+    chunks = F.regexp_extract_all(text, F.lit(cut), F.lit(0))
+
+    def placed(chunks):
+        lengths = F.transform(chunks, lambda c: F.length(c))
+        return F.zip_with(S.running_totals(lengths), chunks, lambda end, c: F.struct((end - F.length(c)).alias("offset"), c.alias("chunk")))
+
+    return S.let(chunks, placed)
 
 
 def overlapping_windows(text: Column, size: int = WINDOW, overlap: int = OVERLAP) -> Column:

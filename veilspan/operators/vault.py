@@ -23,8 +23,9 @@ from veilspan.session import dropped, written
 
 def found_values(detected: DataFrame, session: str, turn: str, text: str = "text", spans: str = "spans") -> DataFrame:
     """(session, turn, start, end, type, value) for each span with a value that isn't empty."""
-    rows = detected.select(F.col(session).alias("session"), F.col(turn).alias("turn"), F.col(text).alias("text"), F.explode_outer(spans).alias("s"))
-    out = rows.select("session", "turn", "s.start", "s.end", "s.type", S.value_of(F.col("text"), F.col("s")).alias("value"))
+    valued = F.zip_with(spans, S.pieces(F.col(text), F.col(spans)), lambda s, v: F.struct(s["start"].alias("start"), s["end"].alias("end"), s["type"].alias("type"), v.alias("value")))
+    rows = detected.select(F.col(session).alias("session"), F.col(turn).alias("turn"), F.explode_outer(valued).alias("s"))
+    out = rows.select("session", "turn", "s.start", "s.end", "s.type", "s.value")
     return out.where("value <> ''")  # the outer explode keeps the spans from being computed twice, for a filter below
 
 
@@ -148,10 +149,8 @@ def substitute(
     rows = rows.join(maps, ["session", "turn"], "left")
     body = F.col("text")
 
-    def replacement(s):
-        return F.struct(s["start"].alias("start"), s["end"].alias("end"), S.let(S.value_of(body, s), lambda v: F.coalesce(F.try_element_at(F.col("names"), v), v)).alias("with"))
-
-    filled = F.transform("spans", replacement)
+    named = lambda s, v: F.struct(s["start"].alias("start"), s["end"].alias("end"), F.coalesce(F.try_element_at(F.col("names"), v), v).alias("with"))
+    filled = F.zip_with("spans", S.pieces(body, F.col("spans")), named)
     replaced = write(filled) if write else F.when(F.size("spans") > 0, S.splice(body, filled, lambda s: s["with"])).otherwise(body)
     return rows.select("session", "turn", F.when(F.col("spans").isNotNull(), replaced).alias("scrubbed"))
 
