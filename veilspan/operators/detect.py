@@ -6,6 +6,7 @@ literals that any match must contain; guards never lose a match.
 
 from __future__ import annotations
 
+import re
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
@@ -55,12 +56,20 @@ def confirmed_sql(check: str, value: str, entropy: float) -> str:
     return "true"
 
 
+def sought(rule: Rule) -> str:
+    """A rule's pattern with the signs that begin any match tested before all else."""
+    if not rule.first:
+        return rule.pattern
+    flags, rest = re.match(r"(\(\?[a-z]+\))?(.*)", rule.pattern, re.DOTALL).groups()
+    return f"{flags or ''}(?=[{rule.first}]){rest}"
+
+
 def rule_sql(text: str, low: str, rule: Rule, entropy: float) -> str:
     """SQL for the spans of one rule; ``low`` is the text in lower case."""
     searched = text
     if rule.tail:  # no start is searched for an end that isn't there
         searched = f"left({text}, length({text}) - length(element_at(split({text}, {S.quoted(rule.tail)}, -1), -1)))"
-    found = S.match_offsets_sql(searched, rule.pattern, rule.group)
+    found = S.match_offsets_sql(searched, sought(rule), rule.group)
     if rule.check:
         found = f"filter({found}, m -> {confirmed_sql(rule.check, 'm.value', entropy)})"
     made = f"""struct(m.start AS start, m.end AS end, {S.quoted(rule.entity)} AS type,
@@ -68,7 +77,7 @@ def rule_sql(text: str, low: str, rule: Rule, entropy: float) -> str:
     tests = [" OR ".join(f"contains({low if rule.fold else text}, {S.quoted(g)})" for g in rule.guard)] if rule.guard else []
     if rule.digits:
         tests.insert(0, "digits")
-    tests.append(f"{text} RLIKE {S.quoted(rule.tail or rule.pattern)}")  # one search; offsets are only made where it holds
+    tests.append(f"{text} RLIKE {S.quoted(rule.tail or sought(rule))}")  # one search; offsets are only made where it holds
     return f"CASE WHEN {' AND '.join(f'({t})' for t in tests)} THEN transform({found}, m -> {made}) ELSE CAST(array() AS {S.SPANS}) END"
 
 
