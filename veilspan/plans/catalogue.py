@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from veilspan.functions import plugins, policy
 from veilspan.functions import spans as S
-from veilspan.operators import chunk, egress, jsonwalk, leaks, report, rules, vault
+from veilspan.operators import chunk, egress, hooks, jsonwalk, leaks, report, rules, vault
 from veilspan.operators.detect import Detector, detect, detect_routed, exploded, raw_spans
 from veilspan.plans import duck, fixtures
 from veilspan.session import shared_folder, written
@@ -479,17 +479,6 @@ def block_filter(spark, sf_dir):
     return blocks.select("conv_id", texts.alias("texts")).where(F.size("texts") > 0)
 
 
-@query(
-    "SELECT event_type, CASE event_type " + " ".join(f"WHEN '{k}' THEN '{v}'" for k, v in egress.ACTIONS.items()) + """ ELSE 'pass' END AS action, count(*) AS n
-    FROM (SELECT CASE event_id % 3 WHEN 0 THEN 'input' WHEN 1 THEN 'tool_call' ELSE event_type END AS event_type FROM events) GROUP BY ALL"""
-)
-def hook_actions(spark, sf_dir):
-    """Events of an agent's life and the steps that handle them."""
-    k = F.col("event_id") % 3
-    rows = read_table(spark, sf_dir, "events").select(F.when(k == 0, "input").when(k == 1, "tool_call").otherwise(F.col("event_type")).alias("event_type"))
-    return rows.groupBy("event_type", egress.action_of(F.col("event_type")).alias("action")).agg(F.count("*").alias("n"))
-
-
 # a page's path on disk: its address below the home folder, a fixed path, or its address with a name that may be denied
 _ENDS = ("", "/.env", "/site.pem", ".bak", "/keys/host.key", "/.netrc", "/id_rsa.p12", "/notes.txt", "/prod.tfstate", "/.env.local", "/vpn.ovpn")
 PATHS = f"""(SELECT page_id, CASE WHEN page_id % 3 = 0 THEN {fixtures.PATHS}[(page_id // 3 % {len(fixtures.PATHS)} + 1)::INT]
@@ -516,6 +505,35 @@ def path_denylist(spark, sf_dir):
     return rows.withColumn("denied", egress.is_denied(F.col("path"), fixtures.HOME, ("/srv/keys",)))
 
 
+_EVENTS = ("input", "tool_result", "tool_call", "before_provider_request", "message_end", "turn_start")
+_ARGS = """'{"file_path": "' || path || '", "note": "for [[IP_ADDRESS_1]]"}'"""
+
+
+@query(
+    f"""WITH every AS (SELECT *, {list(_EVENTS)}[(doc_id % {len(_EVENTS)} + 1)::INT] AS event, {fixtures.PATHS}[(doc_id % {len(fixtures.PATHS)} + 1)::INT] AS path FROM documents),
+      documents AS (SELECT * FROM every WHERE event IN ('input', 'tool_result')), {SCRUBBED.removeprefix("WITH ")},
+      leaked AS (SELECT d.doc_id, count(DISTINCT v.value) AS n FROM every d JOIN named v ON v.session = d.source WHERE event = 'message_end' AND length(v.value) >= 8 AND contains(d.text, v.value) GROUP BY 1),
+      counted AS (SELECT doc_id, count(*) AS n FROM spans GROUP BY 1),
+      hits AS (SELECT doc_id, array_to_string(list_filter([{_HITS}], lambda x: x IS NOT NULL), ',') AS broken FROM every),
+      made AS (SELECT e.doc_id, e.event, CASE e.event WHEN 'tool_call' THEN CASE WHEN {_denied_sql().replace("path", "e.path")} THEN 'blocked' ELSE 'ok' END
+          WHEN 'before_provider_request' THEN CASE WHEN h.broken <> '' THEN 'blocked' ELSE 'ok' END WHEN 'message_end' THEN CASE WHEN l.n > 0 THEN 'flagged' ELSE 'ok' END ELSE 'ok' END AS verdict,
+        CASE WHEN e.event IN ('input', 'tool_result') THEN s.scrubbed WHEN e.event = 'tool_call' THEN replace({_ARGS.replace("path ", "e.path ")}, '[[IP_ADDRESS_1]]', coalesce(v.value, '[[IP_ADDRESS_1]]')) ELSE e.text END AS result,
+        CASE e.event WHEN 'message_end' THEN l.n::VARCHAR WHEN 'before_provider_request' THEN nullif(h.broken, '') WHEN 'tool_call' THEN e.path WHEN 'turn_start' THEN NULL ELSE coalesce(c.n, 0)::VARCHAR END AS note
+        FROM every e LEFT JOIN scrubbed s USING (doc_id) LEFT JOIN leaked l USING (doc_id) LEFT JOIN hits h USING (doc_id) LEFT JOIN counted c ON c.doc_id = e.doc_id
+        LEFT JOIN named v ON v.session = e.source AND v.placeholder = '[[IP_ADDRESS_1]]')
+    SELECT doc_id, event, verdict, CASE WHEN verdict <> 'blocked' THEN md5(result) END AS md5, CASE WHEN event <> 'tool_call' OR verdict = 'blocked' THEN note END AS note FROM made"""
+)
+def hook_actions(spark, sf_dir):
+    """Documents as events of an agent's life (sessions are sources), each handled by its step."""
+    n = F.col("doc_id")
+    among = lambda values: F.get(F.array(*[F.lit(v) for v in values]), (n % len(values)).cast("int"))
+    event = among(_EVENTS)
+    args = F.concat(F.lit('{"file_path": "'), among(fixtures.PATHS), F.lit('", "note": "for [[IP_ADDRESS_1]]"}'))
+    rows = _documents(spark, sf_dir).select(F.col("source").alias("session"), n.alias("seq"), event.alias("event"), F.lit("read").alias("tool"), F.when(event == "tool_call", args).otherwise(F.col("text")).alias("payload"))
+    _, out = hooks.handled(rows, fixtures.HOME, extra=("/srv/keys",))
+    return out.select(F.col("seq").alias("doc_id"), "event", "verdict", F.md5(F.col("result").cast("binary")).alias("md5"), "note")
+
+
 @query(
     f"""{SCRUBBED} SELECT d.doc_id, md5(CASE WHEN d.doc_id % 5 = 0 THEN '{egress.POLICY_WITHHELD}' WHEN d.doc_id % 7 = 0 THEN '{egress.WITHHELD}' ELSE s.scrubbed END) AS md5
     FROM documents d JOIN scrubbed s USING (doc_id)"""
@@ -668,7 +686,7 @@ def label_map(spark, sf_dir):
         CASE WHEN doc_id % 2 = 0 THEN (doc_id % 10) / 10.0 END::DOUBLE AS threshold, CASE WHEN doc_id % 5 > 0 THEN ['iban', 'e' || (doc_id % 5)] END AS labels FROM documents)
     SELECT doc_id, array_to_string(c.deny || list_filter(CASE WHEN l.deny[1] = l.deny[3] THEN l.deny[1:2] ELSE l.deny END, lambda x: NOT list_contains(c.deny, x)), ',') AS deny,
       array_to_string(CASE WHEN l.allow IS NULL THEN c.allow ELSE list_sort(list_distinct(list_intersect(c.allow, l.allow))) END, ',') AS allow,
-      CASE WHEN c.entropy IS NOT NULL THEN least(c.entropy, l.entropy) END AS entropy, least(c.threshold, coalesce(l.threshold, c.threshold)) AS threshold,
+      CASE WHEN c.entropy IS NOT NULL THEN least(c.entropy, l.entropy) ELSE -1 END::DOUBLE AS entropy, least(c.threshold, coalesce(l.threshold, c.threshold)) AS threshold,
       array_to_string(coalesce(c.labels, []) || list_filter(coalesce(l.labels, []), lambda x: NOT list_contains(coalesce(c.labels, []), x)), ',') AS labels, false AS fail_open
     FROM local l JOIN central c USING (source)"""
 )
@@ -689,7 +707,7 @@ def policy_tighten(spark, sf_dir):
         F.when(n % 4 > 0, F.array("source", F.lit("b"), F.lit("x"))).alias("allow"), (n % 7).cast("double").alias("entropy"), F.when(n % 2 == 0, n % 10 / F.lit(10.0)).alias("threshold"),
     )
     rows = docs.select("doc_id", "source", local.alias("local")).join(central, "source").select("doc_id", policy.tightened(F.col("central"), F.col("local")).alias("p"))
-    return rows.select("doc_id", *[F.array_join(f"p.{c}", ",").alias(c) for c in ("deny", "allow", "labels")], "p.entropy", "p.threshold", "p.fail_open")
+    return rows.select("doc_id", *[F.array_join(f"p.{c}", ",").alias(c) for c in ("deny", "allow", "labels")], F.coalesce("p.entropy", F.lit(-1.0)).alias("entropy"), "p.threshold", "p.fail_open")
 
 
 @query("SELECT conv_id, string_agg(text, '' ORDER BY turn) AS joined FROM conversations GROUP BY conv_id")
