@@ -76,17 +76,22 @@ def rule_sql(text: str, low: str, rule: Rule, entropy: float) -> str:
       {float(rule.score)}D AS score, {S.quoted(rule.layer)} AS detector)"""
     tests = [" OR ".join(f"contains({low if rule.fold else text}, {S.quoted(g)})" for g in rule.guard)] if rule.guard else []
     if rule.digits:
-        tests.insert(0, "digits")
+        tests.insert(0, "__digits")
     tests.append(f"{text} RLIKE {S.quoted(rule.tail or sought(rule))}")  # one search; offsets are only made where it holds
     return f"CASE WHEN {' AND '.join(f'({t})' for t in tests)} THEN transform({found}, m -> {made}) ELSE CAST(array() AS {S.SPANS}) END"
 
 
+def _others(df: DataFrame, out: str) -> list[Column]:
+    """The columns of a frame but ``out``; each step over a scan is analysed with all its rules, so they are few."""
+    return [F.col("`" + c.replace("`", "``") + "`") for c in df.columns if c != out]
+
+
 def raw_spans(df: DataFrame, text_col: str, detector: Detector, out: str) -> DataFrame:
     """Adds the spans of all rules, in rule order; null for a null text."""
     name = f"`{text_col}`"
-    helped = df.withColumn("low", F.lower(F.col(text_col))).withColumn("digits", F.col(text_col).rlike("[0-9]"))
-    parts = ",\n".join(rule_sql(name, "low", r, detector.entropy) for r in detector.rules)
-    return helped.withColumn(out, F.expr(f"CASE WHEN {name} IS NOT NULL THEN flatten(array({parts})) END")).drop("low", "digits")
+    helped = df.withColumns({"__low": F.lower(F.col(text_col)), "__digits": F.col(text_col).rlike("[0-9]")})
+    parts = ",\n".join(rule_sql(name, "__low", r, detector.entropy) for r in detector.rules)
+    return helped.select(*_others(df, out), F.expr(f"CASE WHEN {name} IS NOT NULL THEN flatten(array({parts})) END").alias(out))
 
 
 def suppressed(text_col: str, spans: Column, detector: Detector) -> Column:
@@ -99,8 +104,8 @@ def suppressed(text_col: str, spans: Column, detector: Detector) -> Column:
 def detect(df: DataFrame, text_col: str = "text", detector: Detector = Detector(), out: str = "spans") -> DataFrame:
     """Adds the merged spans of each text; null texts have null spans, which fail closed downstream."""
     raw = raw_spans(df, text_col, detector, "__raw")
-    kept = raw.withColumn("__kept", F.when(F.size("__raw") > 0, suppressed(text_col, F.col("__raw"), detector)).otherwise(F.col("__raw")))
-    return kept.withColumn(out, S.merge_extending(F.col("__kept"))).drop("__raw", "__kept")
+    kept = raw.withColumn("__raw", F.when(F.size("__raw") > 0, suppressed(text_col, F.col("__raw"), detector)).otherwise(F.col("__raw")))
+    return kept.select(*_others(df, out), S.merge_extending(F.col("__raw")).alias(out))
 
 
 def detect_routed(

@@ -780,15 +780,13 @@ def clean_cache_lru(spark, sf_dir):
 
 @query(f"WITH {VAULT} SELECT session, value, type, n, placeholder FROM named")
 def stream_vault(spark, sf_dir):
-    """The vault of vault_mint, minted from a stream of all found values, whose batches follow the turns."""
+    """The vault of vault_mint, minted from a stream of all found values."""
     found = vault.found_values(_found(spark, sf_dir), "source", "doc_id")
     folder = shared_folder(spark, "stream-vault")
-    middle = found.agg(F.percentile_approx("turn", 0.5)).first()[0] or 0
+    found.write.parquet(f"{folder}/found")
     spark.conf.set("spark.sql.streaming.stateStore.providerClass", STORE)
-    for part in (F.col("turn") <= middle, F.col("turn") > middle):  # the second run goes on from the first one's checkpoint
-        found.where(part).write.mode("append").parquet(f"{folder}/found")
-        stream = spark.readStream.schema(found.schema).parquet(f"{folder}/found")
-        mint_stream(stream, f"{folder}/out", f"{folder}/state").awaitTermination()
+    stream = spark.readStream.schema(found.schema).parquet(f"{folder}/found")
+    mint_stream(stream, f"{folder}/out", f"{folder}/state").awaitTermination()
     return minted(spark, f"{folder}/out")
 
 

@@ -12,6 +12,7 @@ SETTINGS = {
     "spark.sql.session.timeZone": "UTC",
     "spark.sql.adaptive.enabled": "true",
     "spark.sql.adaptive.skewJoin.enabled": "true",
+    "spark.sql.adaptive.coalescePartitions.minPartitionSize": "64k",  # scans take a second a MB, so small tables stay dealt out
     "spark.sql.execution.arrow.pyspark.enabled": "true",
     "spark.sql.cteRecursionLevelLimit": "100000",
     "spark.sql.streaming.stateStore.providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
