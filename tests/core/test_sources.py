@@ -7,7 +7,7 @@ from veilspan.operators import report, vault
 from veilspan.operators.detect import detect
 from veilspan.functions import spans as S
 from veilspan.sources import corpus, events
-from veilspan.streaming.vault import mint_stream
+from veilspan.streaming.vault import mint_stream, minted
 
 
 def test_generated_corpus_is_recalled_whole_and_is_reproducible(spark):
@@ -62,9 +62,9 @@ def test_streamed_vault_goes_on_from_its_state(spark, tmp_path):
     batches = [[("s", 1, 0, "E", "a"), ("s", 1, 5, "E", "b"), ("t", 1, 0, "E", "a")], [("s", 2, 0, "E", "c"), ("s", 2, 4, "E", "a"), ("s", 2, 9, "P", "x")]]
     for rows in batches:
         spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").parquet(f"{tmp_path}/in")
-        stream = mint_stream(spark.readStream.schema(schema).parquet(f"{tmp_path}/in"))
-        stream.writeStream.format("parquet").option("checkpointLocation", f"{tmp_path}/ck").trigger(availableNow=True).start(f"{tmp_path}/out").awaitTermination()
-    got = {(r.session, r.value): r.placeholder for r in spark.read.parquet(f"{tmp_path}/out").collect()}
+        stream = spark.readStream.schema(schema).parquet(f"{tmp_path}/in")
+        mint_stream(stream, f"{tmp_path}/out", f"{tmp_path}/ck").awaitTermination()
+    got = {(r.session, r.value): r.placeholder for r in minted(spark, f"{tmp_path}/out").collect()}
     everything = spark.createDataFrame([r for b in batches for r in b], schema)
     want = {(r.session, r.value): r.placeholder for r in vault.mint(everything.withColumn("end", F.col("start") + 1)).collect()}
     assert got == want and got[("s", "a")] == "[[E_2]]" and got[("s", "c")] == "[[E_3]]"
