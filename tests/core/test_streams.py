@@ -1,5 +1,6 @@
 """Streams: lines in any order over any batches, held text, idle streams, numbering, and batches that run again."""
 
+import hashlib
 import json
 import random
 import time
@@ -9,7 +10,7 @@ from pyspark.sql import functions as F
 
 from veilspan.operators import report, vault
 from veilspan.sources import events
-from veilspan.streaming import rehydrate, sinks
+from veilspan.streaming import clean, rehydrate, sinks
 from veilspan.streaming import vault as streamed
 
 NAMES = [("s", "[[A_1]]", "Ann"), ("s", "[[A_2]]", "x[[A_1]]"), ("t", "[[A_1]]", "Tom")]
@@ -127,3 +128,46 @@ def test_percentiles_by_selection_equal_sorting(spark):
         want = [held[int(h)] + (held[min(int(h) + 1, len(held) - 1)] - held[int(h)]) * (h - int(h)) for h in spots]
         assert got[key][0] == len(held) and all(abs(a - b) < 1e-9 for a, b in zip(got[key][1], want))
     assert "none" not in got and {r.k for r in report.latency(df, "k", "v").collect()} == {r[0] for r in rows}
+
+
+def scan_at(df):
+    return df.withColumn("spans", F.when(F.col("text").contains("@"), F.array(F.lit(1))).otherwise(F.array().cast("array<int>")))
+
+
+def plain_cache(batches, age, most, renew):
+    """Batch by batch as a dict: (whether each row is skipped, the cache in the end)."""
+    cache, skips = {}, []
+    for batch in batches:
+        marks = {}
+        for text, ts in batch:
+            skipped = text in cache and ts - cache[text] <= age
+            skips.append((text, ts, skipped))
+            if text is not None and "@" not in text and (renew or not skipped):
+                marks[text] = max(marks.get(text, ts), ts)
+        now = max([ts for _, ts in batch] + list(cache.values()))
+        cache = {t: max(a for a in (cache.get(t), marks.get(t)) if a is not None) for t in {*cache, *marks}}
+        cache = {t: a for t, a in cache.items() if now - a <= age}
+        keep = sorted(cache, key=lambda t: (-cache[t], hashlib.sha256(f"p{t}".encode()).hexdigest()))[:most]
+        cache = {t: cache[t] for t in keep}
+    return skips, cache
+
+
+@pytest.mark.parametrize("renew", [False, True])
+def test_clean_cache_of_a_stream_equals_a_plain_one_and_loses_no_finding(spark, tmp_path, renew):
+    rng = random.Random(9)
+    texts = ["", "a@b", None, *(f"c{i}" for i in range(6))]
+    batches = [[("hot" if rng.random() < 0.4 else rng.choice(texts), 10 * k + rng.randrange(15)) for _ in range(12)] for k in range(4)]
+    schema = "text string, t long, extra string"
+    for batch in batches:
+        rows = spark.createDataFrame([(text, t, "x") for text, t in batch], schema).withColumn("ts", F.timestamp_seconds("t"))
+        rows.coalesce(1).write.mode("append").parquet(f"{tmp_path}/in")
+        stream = spark.readStream.schema(rows.schema).parquet(f"{tmp_path}/in")
+        go = clean.scan_stream(stream, scan_at, f"{tmp_path}/out", f"{tmp_path}/state", "p", age=12, most=4, renew=renew)
+        go.awaitTermination()
+    skips, held = plain_cache(batches, 12, 4, renew)
+    got = clean.scanned_chunks(spark, f"{tmp_path}/out").collect()
+    name = {hashlib.sha256(f"p{t}".encode()).hexdigest(): t for t in [*texts, "hot"] if t is not None}
+    assert sorted((str(name.get(r.key)), r.t, r.skipped) for r in got) == sorted((str(t), s, k) for t, s, k in skips)
+    assert all(r.spans is None if r.key is None else r.spans == ([1] if name[r.key] == "a@b" else []) for r in got)
+    at = F.unix_timestamp("at").alias("at")
+    assert {name[r.key]: r.at for r in clean.cached(spark, f"{tmp_path}/out").select("key", at).collect()} == held

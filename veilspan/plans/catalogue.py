@@ -16,6 +16,7 @@ from veilspan.session import shared_folder, written
 from veilspan.sources import corpus, events
 from veilspan.sources.tables import read_table, spread
 from veilspan.streaming import rehydrate
+from veilspan.streaming.clean import cached, scan_stream, scanned_chunks
 from veilspan.streaming.vault import STORE, mint_stream, minted
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -778,6 +779,28 @@ def clean_cache_lru(spark, sf_dir):
     return events.recent(rows, "user_id", "ts", now, age=86_400)
 
 
+@query(
+    f"""WITH counted AS (SELECT doc_id, count(*) AS n FROM ({MERGED_ALL}) GROUP BY doc_id),
+    rows AS (SELECT d.doc_id, sha256('policy-1' || d.text) AS key, CASE WHEN d.text IS NOT NULL THEN coalesce(n, 0) END AS n FROM documents d LEFT JOIN counted USING (doc_id)),
+    clean AS (SELECT key, max(doc_id) AS last FROM rows WHERE n = 0 GROUP BY key),
+    held AS (SELECT key FROM clean WHERE (SELECT max(doc_id) FROM documents) - last <= 150 ORDER BY last DESC, key LIMIT 64)
+    SELECT doc_id, n AS n_found, coalesce(key IN (SELECT key FROM held), false) AS cached FROM rows"""
+)
+def stream_clean_cache(spark, sf_dir):
+    """Documents as a stream of three batches, one a second by their id: what each holds, and whether a cache of 64 entries
+    and 150 seconds, renewed by hits, holds its text at the end. What is passed over is clean, so nothing is lost."""
+    cores = spark.sparkContext.defaultParallelism
+    rows = read_table(spark, sf_dir, "documents").select("doc_id", "text", F.timestamp_seconds("doc_id").alias("ts"))
+    folder = shared_folder(spark, "stream-clean")
+    rows.repartition(3 * cores).write.parquet(f"{folder}/in")
+    stream = spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", cores).parquet(f"{folder}/in")
+    scan_stream(stream, lambda df: detect(df, "text"), f"{folder}/out", f"{folder}/state", "policy-1", 150, 64, renew=True).awaitTermination()
+    held = cached(spark, f"{folder}/out").select("key", F.lit(True).alias("held"))
+    found = scanned_chunks(spark, f"{folder}/out").join(held, "key", "left")
+    n = F.when(F.col("spans").isNotNull(), F.size("spans")).cast("long")
+    return found.select("doc_id", n.alias("n_found"), F.coalesce("held", F.lit(False)).alias("cached"))
+
+
 @query(f"WITH {VAULT} SELECT session, value, type, n, placeholder FROM named")
 def stream_vault(spark, sf_dir):
     """The vault of vault_mint, minted from a stream of all found values."""
