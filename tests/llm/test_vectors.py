@@ -93,7 +93,7 @@ def test_table(spark):
     assert len(near) >= 0.95 * len(want)
 
 
-@pytest.mark.parametrize("factor, least", [(1.0, 1.0), (T.FACTOR, 0.95)])
+@pytest.mark.parametrize("factor, least", [(1.0, 1.0), (1.5, 0.95)])
 def test_recall_of_a_large_tree(factor, least):
     rng = np.random.default_rng(4)
     centres = rng.normal(0, 1, (40, 16))
@@ -136,3 +136,29 @@ def test_later_cells_are_visited_only_where_they_may_help(spark, monkeypatch):
     got = sorted(map(tuple, N.top_products(frame(spark, rows), 100, 10).collect()))
     assert got == brute(usable(rows, False), 100, 10, product)
     assert seen[0] + seen[1] < 16 * 16 / 2
+
+
+def test_the_factor_follows_the_measured_recall(spark, monkeypatch):
+    """Recalls are those of whole searches; where no factor but one reaches the wanted recall, search is exact."""
+    monkeypatch.setattr(V, "SHARD", 100)
+    rng = np.random.default_rng(8)
+    rows = [(i, rng.normal(0, 1, 8).tolist(), "") for i in range(1500)] + [(2000, [1.0, 2.0], "short"), (2050, [2.0, 1.0], "short")]
+    want, measured = brute(usable(rows, True), 50, 5, cosine), []
+    whole = T.recalls
+
+    def kept(*args):
+        measured.append(whole(*args))
+        return measured[-1]
+
+    monkeypatch.setattr(T, "recalls", kept)
+    chosen = sorted(map(tuple, T.nearest_neighbours(frame(spark, rows), 50, 5).collect()))
+    pairs = {(w[0], w[2]) for w in want}
+    share = lambda got: len(pairs & {(g[0], g[2]) for g in got}) / len(pairs)
+    assert share(chosen) >= T.WANTED and measured[0][1.0] == 1.0
+    for factor in (2.0, 6.0):
+        assert abs(share(T.nearest_neighbours(frame(spark, rows), 50, 5, factor=factor).collect()) - measured[0][factor]) < 1e-9
+    assert measured[0][6.0] < measured[0][2.0]
+    monkeypatch.setattr(T, "FACTORS", (1.0, 6.0))
+    monkeypatch.setattr(T, "recalls", lambda *args: whole(*args, factors=(1.0, 6.0)))
+    assert measured[0][6.0] < T.WANTED
+    assert sorted(map(tuple, T.nearest_neighbours(frame(spark, rows), 50, 5).collect())) == want

@@ -149,7 +149,8 @@ def top_products(df: DataFrame, step: int = 100, k: int = 10, id_col: str = "vec
 
     vectors = written(V.placed(vectors, place), "placed-vectors")
     queries = vectors.where(V.every(vectors, step)).dropDuplicates(["vec_id"])
-    return V.search(vectors, queries, -(-rows // step), k, "long", lambda ids, x: build_index(ids, x, k + 1), find, False, reaches)
+    index, cells = V.indexed(vectors, lambda ids, x: build_index(ids, x, k + 1))
+    return V.search(index, cells, queries, -(-rows // step), k, "long", find, False, reaches)
 
 
 def oracle(step: int = 100, k: int = 10) -> str:

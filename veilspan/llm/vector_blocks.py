@@ -15,7 +15,7 @@ from collections.abc import Callable
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from veilspan.llm.arrow import arrow_schema
@@ -147,16 +147,28 @@ def cells_of(vectors: DataFrame) -> list:
 
 
 def build(vectors: DataFrame, cells: DataFrame, make_index: Callable[[np.ndarray, np.ndarray], object]) -> DataFrame:
-    """(shard, index binary): make_index(ids, matrix) of each shard, pickled; every vector is in one."""
-    schema = arrow_schema("shard int, index binary")
+    """(shard, cell, index binary): make_index(ids, matrix) of each shard, pickled; every vector is in one."""
+    names = "shard int, cell int, index binary"
+    schema = arrow_schema(names)
 
     def one(table: pa.Table) -> pa.Table:
         index = make_index(table["vec_id"].to_numpy(), matrix(table["v"], table["dim"][0].as_py()))
-        return pa.table([[table["shard"][0].as_py()], [pickle.dumps(index, protocol=5)]], schema=schema)
+        return pa.table([[table["shard"][0].as_py()], [table["cell"][0].as_py()], [pickle.dumps(index, protocol=5)]], schema=schema)
 
     dealt = vectors.join(F.broadcast(cells), ["dim", "cell"])
-    dealt = dealt.select("vec_id", "dim", "v", (F.col("first") + F.pmod(F.xxhash64("vec_id"), F.col("k"))).cast("int").alias("shard"))
-    return dealt.groupBy("shard").applyInArrow(one, "shard int, index binary")
+    dealt = dealt.select("vec_id", "dim", "cell", "v", (F.col("first") + F.pmod(F.xxhash64("vec_id"), F.col("k"))).cast("int").alias("shard"))
+    return dealt.groupBy("shard").applyInArrow(one, names)
+
+
+def cell_frame(spark: SparkSession, rows: list) -> DataFrame:
+    """cells_of() as a table."""
+    return spark.createDataFrame(rows, "dim int, cell int, low double, high double, first int, k int")
+
+
+def indexed(vectors: DataFrame, make_index: Callable[[np.ndarray, np.ndarray], object]) -> tuple[DataFrame, list]:
+    """(build()'s index of placed() vectors, cells_of() them); the index is written once."""
+    rows = cells_of(vectors)
+    return materialize(build(vectors, cell_frame(vectors.sparkSession, rows), make_index)), rows
 
 
 def visit(index: DataFrame, visits: DataFrame, blocks: int, k: int, score_type: str, find) -> DataFrame:
@@ -187,18 +199,16 @@ def ranked(found: DataFrame, k: int) -> DataFrame:
 
 
 def search(
-    vectors: DataFrame, queries: DataFrame, n_queries: int, k: int, score_type: str, make_index: Callable[[np.ndarray, np.ndarray], object],
+    index: DataFrame, rows: list, queries: DataFrame, n_queries: int, k: int, score_type: str,
     find: Callable[[object, np.ndarray, np.ndarray], tuple[np.ndarray, np.ndarray, np.ndarray]], own: bool,
     reaches: Callable[[np.ndarray, float, int, np.ndarray, np.ndarray, np.ndarray], np.ndarray],
 ) -> DataFrame:
-    """(query_id, rank, vec_id, score) of placed() vectors and queries: find(index, query ids, matrix) gives (query row, id, score).
+    """(query_id, rank, vec_id, score) of indexed() vectors and placed() queries: find(index, query ids, matrix) gives (query row, id, score).
 
     A query visits its own cell first, or without ``own`` the first one of its length. Then it visits each
     other cell for which reaches(vector, k-th score so far or nan, dim, cells, lows, highs) says that it
     may hold one as good."""
-    spark, rows = vectors.sparkSession, cells_of(vectors)
-    cells = spark.createDataFrame(rows, "dim int, cell int, low double, high double, first int, k int")
-    index = materialize(build(vectors, cells, make_index))
+    cells = cell_frame(index.sparkSession, rows)
     blocks = max(1, -(-n_queries // BLOCK))
     shards = F.explode(F.sequence(F.col("first"), F.col("first") + F.col("k") - 1)).alias("shard")
     firsts = cells.groupBy("dim").agg(F.min("cell").alias("start"))

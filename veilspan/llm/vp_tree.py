@@ -13,19 +13,22 @@ cell to those only that the same relaxed bound doesn't rule out.
 
 from __future__ import annotations
 
+import pickle
 from dataclasses import dataclass
-from functools import cached_property
+from functools import cached_property, partial
 
 import numpy as np
-from pyspark.sql import DataFrame
+import pyarrow as pa
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from veilspan.llm import vector_blocks as V
-from veilspan.session import written
+from veilspan.llm.arrow import arrow_schema
+from veilspan.session import materialize, written
 
 LEAF = 128
-#: Chosen on the test tables for a recall above 0.95 of the five nearest; see the README.
-FACTOR = 1.5
+#: Factors that are tried, the first one exact; queries they are tried on at most; the recall that the chosen one must reach there.
+FACTORS, SAMPLE, WANTED = (1.0, 1.5, 2.0, 2.5, 3.0, 4.0, 6.0), 100, 0.98
 
 
 @dataclass
@@ -156,10 +159,13 @@ def cosines(a: np.ndarray, b: np.ndarray) -> np.ndarray:
 
 
 def nearest_neighbours(
-    df: DataFrame, step: int = 50, k: int = 5, factor: float = FACTOR, id_col: str = "vec_id", vector_col: str = "embedding"
+    df: DataFrame, step: int = 50, k: int = 5, factor: float | None = None, id_col: str = "vec_id", vector_col: str = "embedding"
 ) -> DataFrame:
     """(query_id, rank, vec_id, score): the k nearest found of every ``step``-th id, itself apart.
 
+    Without a ``factor`` the greatest of FACTORS is taken whose recall, measured against exact search with SAMPLE of
+    the queries, is WANTED or more; so how much is passed over follows the vectors, and no recall is promised unmeasured.
+
     Ties go to the smaller id. Vectors that are null, empty or zero, or hold null or non-finite
     components, and rows with a null id, take no part, neither as queries nor as candidates; vectors
     of another length than the query's aren't its candidates. Copies of a vector are all candidates.
@@ -179,7 +185,7 @@ def nearest_neighbours(
         cosine = unit_vectors(x) @ pivots[dim].T
         return cosine.argmax(1), _chord(cosine.max(1))
 
-    def reaches(q, least, dim, cells, low, high):
+    def reaches(factor, q, least, dim, cells, low, high):
         if dim not in pivots:
             return np.zeros(len(cells), bool)
         far = _chord(unit_vectors(q[None]) @ pivots[dim][cells].T)[0]
@@ -187,9 +193,60 @@ def nearest_neighbours(
         reach = np.inf if np.isnan(least) else float(_chord(np.maximum(least, -1)))
         return factor * (bound - 1e-7) <= reach + 1e-7
 
+    vectors = written(V.placed(vectors, place), "placed-vectors")
+    queries = vectors.where(V.every(vectors, step)).dropDuplicates(["vec_id"])
+    index, cells = V.indexed(vectors, lambda ids, x: build_tree(ids, x, k + 1))
+    if factor is None:
+        shares = recalls(index, cells, queries, k, reaches)
+        factor = max(f for f in FACTORS if shares[f] >= WANTED)
+
     def find(tree, ids, q):
         return best_exact(tree, ids, q, k, factor)
 
-    vectors = written(V.placed(vectors, place), "placed-vectors")
-    queries = vectors.where(V.every(vectors, step)).dropDuplicates(["vec_id"])
-    return V.search(vectors, queries, -(-rows // step), k, "double", lambda ids, x: build_tree(ids, x, k + 1), find, True, reaches)
+    return V.search(index, cells, queries, -(-rows // step), k, "double", find, True, partial(reaches, factor))
+
+
+def recalls(index: DataFrame, cells: list, queries: DataFrame, k: int, reaches, factors: tuple[float, ...] = FACTORS) -> dict[float, float]:
+    """The recall of each factor over SAMPLE queries, against the first one, which is exact search of all shards.
+
+    The sample, a hundred vectors, goes to every shard; a shard's tree is searched once for each factor. What a query
+    finds in its own cell then tells which other cells it would have visited, so the measure is that of the search."""
+    spark = index.sparkSession
+    drawn = queries.orderBy(F.xxhash64("vec_id", F.lit(6)), "vec_id").limit(SAMPLE).collect()
+    held: dict[int, tuple[np.ndarray, np.ndarray]] = {}
+    for dim in {r.dim for r in drawn}:
+        own = [r for r in drawn if r.dim == dim]
+        held[dim] = np.array([r.vec_id for r in own]), np.frombuffer(b"".join(bytes(r.v) for r in own), np.float64).reshape(-1, dim)
+    schema = "query_id long, turn int, cell int, vec_id long, score double"
+    out = arrow_schema(schema)
+
+    def tried(batches):
+        for batch in batches:
+            for cell, raw in zip(batch.column(0).to_pylist(), batch.column(1)):
+                tree = pickle.loads(raw.as_py())
+                if tree.x.shape[1] not in held:
+                    continue
+                ids, q = held[tree.x.shape[1]]
+                for turn, factor in enumerate(factors):
+                    row, vec, score = best_exact(tree, ids, q, k, factor)
+                    same = lambda v: np.full(len(row), v)  # noqa: E731, B023
+                    yield pa.RecordBatch.from_arrays([pa.array(x, f.type) for x, f in zip((ids[row], same(turn), same(cell), vec, score), out)], schema=out)
+
+    seen = materialize(index.select("cell", "index").mapInArrow(tried, schema))
+    group = Window.partitionBy("query_id", "turn").orderBy(F.col("score").desc(), "vec_id")
+    first = lambda df: df.withColumn("rank", F.row_number().over(group)).where(F.col("rank") <= k)
+    homes = spark.createDataFrame([(r.vec_id, r.cell) for r in drawn], "query_id long, cell int")
+    least = {(r.query_id, r.turn): r.least for r in first(seen.join(homes, ["query_id", "cell"])).groupBy("query_id", "turn")
+             .agg(F.when(F.count("*") >= k, F.min("score")).alias("least")).collect()}
+    table, visits = {d: np.array([c[1:4] for c in cells if c[0] == d]) for d in held}, []
+    for r in drawn:
+        cell, low, high = table[r.dim].T
+        for turn, factor in enumerate(factors):
+            worst = least.get((r.vec_id, turn))
+            yes = reaches(factor, np.frombuffer(bytes(r.v), np.float64), np.nan if worst is None else worst, r.dim, cell.astype(np.int64), low, high)
+            visits += [(r.vec_id, turn, c) for c in cell[yes | (cell == r.cell)].astype(int).tolist()]
+    allowed = spark.createDataFrame(visits, "query_id long, turn int, cell int")
+    exact = first(seen.where("turn = 0")).select("query_id", "vec_id")
+    found = first(seen.join(allowed, ["query_id", "turn", "cell"])).join(exact, ["query_id", "vec_id"])
+    hits, n = {r.turn: r.n for r in found.groupBy("turn").agg(F.count("*").alias("n")).collect()}, exact.count()
+    return {f: 1.0 if turn == 0 or n == 0 else hits.get(turn, 0) / n for turn, f in enumerate(factors)}
