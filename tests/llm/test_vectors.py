@@ -99,7 +99,9 @@ def test_recall_of_a_large_tree(factor, least):
     centres = rng.normal(0, 1, (40, 16))
     x = centres[rng.integers(40, size=6000)] + rng.normal(0, 0.25, (6000, 16))
     ids = np.arange(len(x))
-    best = T.search_tree(T.build_tree(ids, x, 6), x[::50], 8, factor)
+    best = T.search_tree(T.build_tree(ids, x, 6), x[::50], 8, factor)[0]
+    alone, beside = best, T.search_tree(T.build_tree(ids, x, 6), x[::50], 8, 1.0, factor)[1]
+    assert (alone.column == beside.column).all() and np.abs(alone.score - beside.score).max() < 1e-12  # rounding follows the size of a block
     tree = T.build_tree(ids, x, 6)
     row, column, vec = V.pairs_of(best, tree.owners, ids[::50])
     unit = x / np.linalg.norm(x, axis=1, keepdims=True)

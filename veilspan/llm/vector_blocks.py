@@ -79,6 +79,11 @@ class Best:
     def least(self) -> np.ndarray:
         return self.score[:, -1]
 
+    def take(self, rows: np.ndarray, other: Best) -> None:
+        """What another holds of some queries."""
+        for mine, own in ((self.score, other.score), (self.column, other.column), (self.tie, other.tie)):
+            mine[rows] = own[rows]
+
     def add(self, rows: np.ndarray, score: np.ndarray, column: np.ndarray, tie: np.ndarray) -> None:
         """Scores of rows x columns; -inf takes no part."""
         better = (score >= self.score[rows, -1][:, None]) & (score > -np.inf)

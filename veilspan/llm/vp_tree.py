@@ -28,7 +28,7 @@ from veilspan.session import materialize, written
 
 LEAF = 128
 #: Factors that are tried, the first one exact; queries they are tried on at most; the recall that the chosen one must reach there.
-FACTORS, SAMPLE, WANTED = (1.0, 1.5, 2.0, 2.5, 3.0, 4.0, 6.0), 100, 0.98
+FACTORS, SAMPLE, WANTED = (1.0, 1.5, 2.0, 3.0, 4.0, 6.0, 8.0, 12.0, 16.0), 100, 0.97
 
 
 @dataclass
@@ -91,8 +91,11 @@ def _chord(cosine: np.ndarray) -> np.ndarray:
     return np.sqrt(np.maximum(0, 2 - 2 * cosine))
 
 
-def search_tree(tree: VpTree, q: np.ndarray, k: int, factor: float) -> V.Best:
-    """The best k distinct vectors of each row of ``q``."""
+def search_tree(tree: VpTree, q: np.ndarray, k: int, *factors: float) -> list[V.Best]:
+    """The best k distinct vectors of each row of ``q`` for each of some rising factors.
+
+    The order in which a query visits leaves doesn't depend on the factor, only where it stops. So one search by the
+    first factor passes the places where the others stop, and their results are set aside there."""
     unit = unit_vectors(q)
     best, everyone = V.Best(len(q), k), np.arange(len(q))
     bound = np.zeros((len(q), len(tree.leaves)))
@@ -110,12 +113,18 @@ def search_tree(tree: VpTree, q: np.ndarray, k: int, factor: float) -> V.Best:
                     bound[:, -1 - son] = low
     order = np.argsort(bound, axis=1, kind="stable")
     slack = 1e-7  # of a chord distance: roots of rounded differences
-    active = everyone
+    active, stopped = everyone, [best, *(V.Best(len(q), k) for _ in factors[1:])]
+    going = np.ones((len(factors), len(q)), bool)
     for turn in range(len(tree.leaves)):
         leaf = order[active, turn]
         reach = _chord(np.maximum(best.least()[active], -1))
         reach[best.least()[active] == -np.inf] = np.inf
-        active, leaf = (a[factor * (bound[active, leaf] - slack) <= reach + slack] for a in (active, leaf))
+        low = bound[active, leaf] - slack
+        for nth, factor in enumerate(factors[1:], 1):
+            ends = active[going[nth, active] & (factor * low > reach + slack)]
+            stopped[nth].take(ends, best)
+            going[nth, ends] = False
+        active, leaf = (a[factors[0] * low <= reach + slack] for a in (active, leaf))
         if not len(active):
             break
         by = np.argsort(leaf, kind="stable")
@@ -123,20 +132,25 @@ def search_tree(tree: VpTree, q: np.ndarray, k: int, factor: float) -> V.Best:
         for a, b in zip(cuts.tolist(), [*cuts[1:].tolist(), len(by)]):
             rows, (low, high) = active[by[a:b]], tree.leaves[leaf[by[a]]]
             best.add(rows, unit[rows] @ tree.unit[low:high].T, np.arange(low, high), tree.owners[low:high, 0])
-    return best
+    for nth in range(1, len(factors)):
+        stopped[nth].take(np.flatnonzero(going[nth]), best)
+    return stopped
 
 
 #: Columns kept beyond the k wanted ones, and the rounding of a product of unit vectors.
 SPARE, ROUNDING = 3, 1e-12
 
 
-def best_exact(tree: VpTree, ids: np.ndarray, q: np.ndarray, k: int, factor: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(query row, id, cosine): candidates among which each query's best k lie, by the exact measure.
+def best_exact(tree: VpTree, ids: np.ndarray, q: np.ndarray, k: int, *factors: float) -> list[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """(query row, id, cosine) for each of some rising factors: candidates among which each query's best k lie, by the exact measure.
 
     The tree compares rounded products. Where more columns than are kept lie within the rounding of the k-th, as
     with many vectors of one direction, that query is measured against every column that near, one query
     at a time, and its best k by cosine and id go on."""
-    best = search_tree(tree, q, k + SPARE, factor)
+    return [_measured(tree, ids, q, k, best) for best in search_tree(tree, q, k + SPARE, *factors)]
+
+
+def _measured(tree: VpTree, ids: np.ndarray, q: np.ndarray, k: int, best: V.Best) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     near = best.score[:, k] - ROUNDING  # the query's own vector may be one of them
     crowded = np.flatnonzero((best.column[:, -1] >= 0) & (best.least() >= near))
     best.column[crowded] = -1
@@ -201,7 +215,7 @@ def nearest_neighbours(
         factor = max(f for f in FACTORS if shares[f] >= WANTED)
 
     def find(tree, ids, q):
-        return best_exact(tree, ids, q, k, factor)
+        return best_exact(tree, ids, q, k, factor)[0]
 
     return V.search(index, cells, queries, -(-rows // step), k, "double", find, True, partial(reaches, factor))
 
@@ -209,7 +223,7 @@ def nearest_neighbours(
 def recalls(index: DataFrame, cells: list, queries: DataFrame, k: int, reaches, factors: tuple[float, ...] = FACTORS) -> dict[float, float]:
     """The recall of each factor over SAMPLE queries, against the first one, which is exact search of all shards.
 
-    The sample, a hundred vectors, goes to every shard; a shard's tree is searched once for each factor. What a query
+    The sample, a hundred vectors, goes to every shard; a shard's tree is searched once for all factors. What a query
     finds in its own cell then tells which other cells it would have visited, so the measure is that of the search."""
     spark = index.sparkSession
     drawn = queries.orderBy(F.xxhash64("vec_id", F.lit(6)), "vec_id").limit(SAMPLE).collect()
@@ -227,8 +241,7 @@ def recalls(index: DataFrame, cells: list, queries: DataFrame, k: int, reaches,
                 if tree.x.shape[1] not in held:
                     continue
                 ids, q = held[tree.x.shape[1]]
-                for turn, factor in enumerate(factors):
-                    row, vec, score = best_exact(tree, ids, q, k, factor)
+                for turn, (row, vec, score) in enumerate(best_exact(tree, ids, q, k, *factors)):
                     same = lambda v: np.full(len(row), v)  # noqa: E731, B023
                     yield pa.RecordBatch.from_arrays([pa.array(x, f.type) for x, f in zip((ids[row], same(turn), same(cell), vec, score), out)], schema=out)
 
