@@ -17,6 +17,12 @@ def let(value: Column, body) -> Column:
     return F.element_at(F.transform(F.array(value), body), 1)
 
 
+def let_sql(value: Column, name: str, body: str) -> Column:
+    """The SQL ``body``, in which ``name`` is the value, computed once. Long bodies are parsed at once this way; built call by
+    call they take longer than a scan of a small table."""
+    return F.element_at(F.call_function("transform", F.array(value), F.expr(f"{name} -> {body}")), 1)
+
+
 def no_spans() -> Column:
     return F.array().cast(SPANS)
 
@@ -64,7 +70,12 @@ def match_offsets_sql(text: str, pattern: str, group: int = 0) -> str:
     p = quoted(pattern)
     whole = f"regexp_extract_all({text}, {p}, 0)"
     value = f"regexp_extract_all({text}, {p}, {group})" if group else whole
-    steps = f"""filter(zip_with(split({text}, {p}, -1), zip_with({whole}, {value}, (w, v) -> struct(length(w) AS long, v AS value)),
+    return offsets_sql(f"split({text}, {p}, -1)", whole, value)
+
+
+def offsets_sql(gaps: str, whole: str, value: str) -> str:
+    """SQL for array<struct<start, end, value>> from the stretches between matches, the matches and their values."""
+    steps = f"""filter(zip_with({gaps}, zip_with({whole}, {value}, (w, v) -> struct(length(w) AS long, v AS value)),
         (g, s) -> struct(length(g) + s.long AS long, s.value AS value)), s -> s.long IS NOT NULL)"""
     return f"""transform(array({steps}), steps -> zip_with(steps, {running_totals_sql('transform(steps, s -> s.long)')},
       (s, e) -> struct(e - length(s.value) AS start, e AS end, s.value AS value)))[0]"""
@@ -74,28 +85,22 @@ def match_offsets(text: str, pattern: str, group: int = 0) -> Column:
     return F.expr(match_offsets_sql(text, pattern, group))
 
 
-def overlaps(a: Column, b: Column) -> Column:
-    return (a["start"] < b["end"]) & (a["end"] > b["start"])
-
-
-def without_overlaps(spans: Column, safe: Column) -> Column:
-    """Spans that overlap none of ``safe``, which are disjoint and in order: the interval anti join, within the row.
+def without_overlaps_sql(spans: str, safe: str) -> str:
+    """SQL for the spans that overlap none of ``safe``, which are disjoint and in order: the interval anti join, within the row.
 
     Few safe stretches are tried one by one, many by bisection for the first that ends after the span's start."""
+    meets = "s.start < z.end AND s.end > z.start"
+    halve = f"""transform(array(CAST((e.low + e.high) DIV 2 AS int)), mid -> CASE WHEN get({safe}, mid).end > s.start
+        THEN struct(e.low AS low, mid AS high) ELSE struct(mid + 1 AS low, e.high AS high) END)[0]"""
+    first_after = f"""aggregate(sequence(1, CAST(ceil(log2(size({safe}) + 1)) AS int) + 1), struct(0 AS low, size({safe}) AS high),
+        (e, k) -> CASE WHEN e.low < e.high THEN {halve} ELSE e END, e -> get({safe}, e.low))"""
+    return f"""CASE WHEN size({safe}) > {HELD} THEN filter({spans}, s -> NOT coalesce(transform(array({first_after}), z -> {meets})[0], false))
+      ELSE filter({spans}, s -> NOT exists({safe}, z -> {meets})) END"""
 
-    def first_after(s):
-        def halve(ends, _):
-            mid = F.call_function("div", ends["low"] + ends["high"], F.lit(2)).cast("int")
-            later = F.get(safe, mid)["end"] > s["start"]
-            closer = F.struct(F.when(later, ends["low"]).otherwise(mid + 1).alias("low"), F.when(later, mid).otherwise(ends["high"]).alias("high"))
-            return F.when(ends["low"] < ends["high"], closer).otherwise(ends)
-
-        zero = F.struct(F.lit(0).alias("low"), F.size(safe).alias("high"))
-        return F.aggregate(F.sequence(F.lit(1), F.ceil(F.log2(F.size(safe) + 1)).cast("int") + 1), zero, halve, lambda e: F.get(safe, e["low"]))
 
-    few = F.filter(spans, lambda s: ~F.exists(safe, lambda z: overlaps(s, z)))
-    many = F.filter(spans, lambda s: ~F.coalesce(let(first_after(s), lambda z: overlaps(s, z)), F.lit(False)))
-    return F.when(F.size(safe) > HELD, many).otherwise(few)
+def without_overlaps(spans: Column, safe: Column) -> Column:
+    """As without_overlaps_sql, of columns."""
+    return let_sql(F.struct(spans.alias("spans"), safe.alias("safe")), "v", without_overlaps_sql("v.spans", "v.safe"))
 
 
 def count_below(ordered: Column, value: Column) -> Column:
@@ -133,44 +138,25 @@ def pieces(text: Column, ends: Column) -> Column:
     return let(ends, lambda e: F.when(F.size(e) > HELD, let(F.encode(text, "UTF-32"), lambda w: wide(w, e))).otherwise(few(e)))
 
 
-def at_least(spans: Column, score: float) -> Column:
-    return F.filter(spans, lambda s: s["score"] >= score)
-
-
 def _fold(spans: Column, keys: tuple[str, ...], extend: bool) -> Column:
-    ordered = F.array_sort(
-        F.transform(spans, lambda s, i: F.struct(*[s[k].alias(f"by_{k}") for k in keys], i.alias("ord"), s.alias("s")))
-    )
-
-    def step(acc, x):
-        new, last = x["s"], F.element_at(acc, -1)
-        head = F.slice(acc, 1, F.size(acc) - 1)
-        wins = (new["score"] > last["score"]) | (
-            (new["score"] == last["score"]) & (new["end"] - new["start"] > last["end"] - last["start"])
-        )
-        longer = F.struct(last["start"].alias("start"), new["end"].alias("end"), *[last[k].alias(k) for k in ("type", "score", "detector")])
-        kept = F.when(new["end"] > last["end"], F.concat(head, F.array(longer))).otherwise(acc) if extend else acc
-        return (
-            F.when((F.size(acc) == 0) | (new["start"] >= F.coalesce(last["end"], F.lit(0))), F.concat(acc, F.array(new)))
-            .when(wins, F.concat(head, F.array(new)))
-            .otherwise(kept)
-        )
-
-    def held(acc, x):
-        """As step, over the spans at hand; all but the last are set aside first when there are many."""
-        now, many = acc["now"], F.size(acc["now"]) > HELD
-        done = F.when(many, F.concat(acc["done"], F.array(F.slice(now, F.lit(1), F.size(now) - 1)))).otherwise(acc["done"])
-        return F.struct(done.alias("done"), step(F.when(many, F.slice(now, -1, 1)).otherwise(now), x).alias("now"))
-
-    zero = F.struct(F.array().cast(f"array<{SPANS}>").alias("done"), no_spans().alias("now"))
-    def apart(spans):
-        """Whether no span begins before the one before it ends: then there is nothing to merge."""
-        n = F.size(spans) - 1
-        gaps = F.zip_with(F.slice(spans, F.lit(1), n), F.slice(spans, F.lit(2), n), lambda a, b: b["s"]["start"] >= a["s"]["end"])
-        return (n < 1) | F.forall(gaps, lambda g: g)
-
-    folded = lambda spans: F.aggregate(spans, zero, held, lambda acc: F.concat(F.flatten(acc["done"]), acc["now"]))
-    return let(ordered, lambda spans: F.when(apart(spans), F.transform(spans, lambda x: x["s"])).otherwise(folded(spans)))
+    """The ordered fold of both merges; spans of which none begins before the one before it ends are only put in order.
+
+    ``now`` has the spans at hand; all but the last of them are set aside in ``done`` when there are many."""
+    last, head = "element_at(a, -1)", "slice(a, 1, size(a) - 1)"
+    longer = f"struct({last}.start AS start, x.s.end AS end, {last}.type AS type, {last}.score AS score, {last}.detector AS detector)"
+    kept = f"CASE WHEN x.s.end > {last}.end THEN concat({head}, array({longer})) ELSE a END" if extend else "a"
+    wins = f"x.s.score > {last}.score OR (x.s.score = {last}.score AND x.s.end - x.s.start > {last}.end - {last}.start)"
+    step = f"""CASE WHEN size(a) = 0 OR x.s.start >= coalesce({last}.end, 0) THEN concat(a, array(x.s))
+        WHEN {wins} THEN concat({head}, array(x.s)) ELSE {kept} END"""
+    many = f"size(acc.now) > {HELD}"
+    held = f"""struct(CASE WHEN {many} THEN concat(acc.done, array(slice(acc.now, 1, size(acc.now) - 1))) ELSE acc.done END AS done,
+        transform(array(CASE WHEN {many} THEN slice(acc.now, -1, 1) ELSE acc.now END), a -> {step})[0] AS now)"""
+    folded = f"""aggregate(o, struct(CAST(array() AS array<{SPANS}>) AS done, CAST(array() AS {SPANS}) AS now), (acc, x) -> {held},
+        acc -> concat(flatten(acc.done), acc.now))"""
+    apart = "size(o) < 2 OR forall(zip_with(slice(o, 1, size(o) - 1), slice(o, 2, size(o) - 1), (a, b) -> b.s.start >= a.s.end), g -> g)"
+    by = ", ".join(f"s.{k} AS by_{k}" for k in keys)
+    ordered = f"array_sort(transform(spans, (s, i) -> struct({by}, i AS ord, s AS s)))"
+    return let_sql(spans, "spans", f"transform(array({ordered}), o -> CASE WHEN {apart} THEN transform(o, x -> x.s) ELSE {folded} END)[0]")
 
 
 def merge_extending(spans: Column) -> Column:

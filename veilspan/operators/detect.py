@@ -32,10 +32,13 @@ class Detector:
     entropy: float = 4.0
     floor: float = FLOOR
 
-    def safe(self, text_col: str) -> Column:
-        """Spans of placeholders, and of fakes where they are in use."""
+    def safe_sql(self, text_col: str) -> str:
+        """SQL for the spans of placeholders, and of fakes where they are in use."""
         pattern = "(?:" + "|".join((PLACEHOLDER, *(FAKES if self.fakes else ()))) + ")"
-        return S.match_offsets(f"`{text_col}`", pattern)
+        return S.match_offsets_sql(f"`{text_col}`", pattern)
+
+    def safe(self, text_col: str) -> Column:
+        return F.expr(self.safe_sql(text_col))
 
 
 def confirmed_sql(check: str, value: str, entropy: float) -> str:
@@ -64,21 +67,40 @@ def sought(rule: Rule) -> str:
     return f"{flags or ''}(?=[{rule.first}]){rest}"
 
 
-def rule_sql(text: str, low: str, rule: Rule, entropy: float) -> str:
-    """SQL for the spans of one rule; ``low`` is the text in lower case."""
+def sign_column(signs: str) -> str:
+    """The name of the column that says whether a text holds one of the signs."""
+    return "__" + "_".join(f"{ord(c):x}" for c in signs)
+
+
+def rule_sql(text: str, low: str, rule: Rule) -> str:
+    """SQL for what one rule's pattern finds, before its check: struct<type, score, detector, check, gaps, whole, value> with
+    the stretches between matches, the matches and the values of a group; null where a test rules it out. ``low`` is
+    the text in lower case."""
     searched = text
     if rule.tail:  # no start is searched for an end that isn't there
         searched = f"left({text}, length({text}) - length(element_at(split({text}, {S.quoted(rule.tail)}, -1), -1)))"
-    found = S.match_offsets_sql(searched, sought(rule), rule.group)
-    if rule.check:
-        found = f"filter({found}, m -> {confirmed_sql(rule.check, 'm.value', entropy)})"
-    made = f"""struct(m.start AS start, m.end AS end, {S.quoted(rule.entity)} AS type,
-      {float(rule.score)}D AS score, {S.quoted(rule.layer)} AS detector)"""
+    pattern = S.quoted(sought(rule))
+    value = f"regexp_extract_all({searched}, {pattern}, {rule.group})" if rule.group else "CAST(NULL AS array<string>)"
+    made = f"""struct({S.quoted(rule.entity)} AS type, {float(rule.score)}D AS score, {S.quoted(rule.layer)} AS detector, {S.quoted(rule.check)} AS check,
+      split({searched}, {pattern}, -1) AS gaps, regexp_extract_all({searched}, {pattern}, 0) AS whole, {value} AS value)"""
     tests = [" OR ".join(f"contains({low if rule.fold else text}, {S.quoted(g)})" for g in rule.guard)] if rule.guard else []
+    if rule.signs:
+        tests.insert(0, sign_column(rule.signs))
     if rule.digits:
         tests.insert(0, "__digits")
-    tests.append(f"{text} RLIKE {S.quoted(rule.tail or sought(rule))}")  # one search; offsets are only made where it holds
-    return f"CASE WHEN {' AND '.join(f'({t})' for t in tests)} THEN transform({found}, m -> {made}) ELSE CAST(array() AS {S.SPANS}) END"
+    tests.append(f"{text} RLIKE {S.quoted(rule.tail) if rule.tail else pattern}")  # one search; offsets are only made where it holds
+    return f"CASE WHEN {' AND '.join(f'({t})' for t in tests)} THEN {made} END"
+
+
+def found_sql(rules: list[str], entropy: float) -> str:
+    """SQL for the spans of all rules, from rule_sql() of each. Offsets and checks are written down once, for whichever
+    rules found something: a plan's cost grows with its expressions, and most rules find nothing in most texts."""
+    checks = " ".join(f"WHEN '{c}' THEN {confirmed_sql(c, 'm.value', entropy)}" for c in ("luhn", "iban", "ip", "entropy"))
+    offsets = S.offsets_sql("r.gaps", "r.whole", "coalesce(r.value, r.whole)")
+    sure = f"filter({offsets}, m -> CASE r.check WHEN '' THEN true {checks} END)"
+    made = "struct(m.start AS start, m.end AS end, r.type AS type, r.score AS score, r.detector AS detector)"
+    each = f"transform({sure}, m -> {made})"
+    return f"flatten(transform(filter(array({', '.join(rules)}), r -> r IS NOT NULL), r -> {each}))"
 
 
 def _others(df: DataFrame, out: str) -> list[Column]:
@@ -89,22 +111,27 @@ def _others(df: DataFrame, out: str) -> list[Column]:
 def raw_spans(df: DataFrame, text_col: str, detector: Detector, out: str) -> DataFrame:
     """Adds the spans of all rules, in rule order; null for a null text."""
     name = f"`{text_col}`"
-    helped = df.withColumns({"__low": F.lower(F.col(text_col)), "__digits": F.col(text_col).rlike("[0-9]")})
-    parts = ",\n".join(rule_sql(name, "__low", r, detector.entropy) for r in detector.rules)
-    return helped.select(*_others(df, out), F.expr(f"CASE WHEN {name} IS NOT NULL THEN flatten(array({parts})) END").alias(out))
+    if not detector.rules:
+        return df.select(*_others(df, out), F.when(F.col(text_col).isNotNull(), S.no_spans()).alias(out))
+    tests = {"__low": F.lower(F.col(text_col)), "__digits": F.col(text_col).rlike("[0-9]")}
+    for signs in sorted({r.signs for r in detector.rules if r.signs}):
+        tests[sign_column(signs)] = F.expr(" OR ".join(f"contains({name}, {S.quoted(c)})" for c in signs))
+    helped = df.withColumns(tests)
+    parts = found_sql([rule_sql(name, "__low", r) for r in detector.rules], detector.entropy)
+    return helped.select(*_others(df, out), F.expr(f"CASE WHEN {name} IS NOT NULL THEN {parts} END").alias(out))
 
 
-def suppressed(text_col: str, spans: Column, detector: Detector) -> Column:
-    """Spans above the floor, off the safe stretches, and not on the allow-list."""
-    spans = S.at_least(spans, detector.floor)
-    spans = S.let(detector.safe(text_col), lambda safe: S.without_overlaps(spans, safe))
-    return S.without_values(spans, F.col(text_col), list(detector.allow))
+def suppressed(text_col: str, spans: str, detector: Detector) -> Column:
+    """Spans (a column's name) above the floor, off the safe stretches, and not on the allow-list."""
+    high = f"filter({spans}, s -> s.score >= {float(detector.floor)}D)"
+    kept = F.expr(f"transform(array({detector.safe_sql(text_col)}), safe -> {S.without_overlaps_sql(high, 'safe')})[0]")
+    return S.without_values(kept, F.col(text_col), list(detector.allow))
 
 
 def detect(df: DataFrame, text_col: str = "text", detector: Detector = Detector(), out: str = "spans") -> DataFrame:
     """Adds the merged spans of each text; null texts have null spans, which fail closed downstream."""
     raw = raw_spans(df, text_col, detector, "__raw")
-    kept = raw.withColumn("__raw", F.when(F.size("__raw") > 0, suppressed(text_col, F.col("__raw"), detector)).otherwise(F.col("__raw")))
+    kept = raw.withColumn("__raw", F.when(F.size("__raw") > 0, suppressed(text_col, "__raw", detector)).otherwise(F.col("__raw")))
     return kept.select(*_others(df, out), S.merge_extending(F.col("__raw")).alias(out))
 
 
