@@ -1,6 +1,7 @@
 import random
 import re
 import time
+from dataclasses import replace
 
 import duckdb
 import pytest
@@ -10,6 +11,7 @@ from veilspan.functions import spans as S
 from veilspan.operators import chunk, rules
 from veilspan.operators.detect import Detector, detect, detect_routed, exploded, raw_spans
 from veilspan.plans import duck, fixtures
+from veilspan.sources import corpus
 
 
 def fold(spans, extend):
@@ -209,3 +211,17 @@ def test_chunks_of_a_long_text_take_time_in_proportion(spark):
             assert c.offset == at and text[at : at + len(c.chunk)] == c.chunk
             at += len(c.chunk)
     assert [c.chunk for c in rows[6]] == ["a" * 10 + "\n", "bbb"] and max(len(c.chunk) for c in rows[0]) <= 11
+
+
+def test_tests_before_rules_lose_nothing(spark):
+    """Signs, digits, guards and first signs only pass texts over: rules without them find the same."""
+    bare = tuple(replace(r, guard=(), digits=False, signs="", first="") for r in rules.DEFAULT_RULES)
+    rng, pieces = random.Random(3), [r.text for r in corpus.generate(spark).select("text").collect()]
+    texts = pieces + ["".join(p[a : a + rng.randrange(60)] for p in rng.sample(pieces, 6) for a in [rng.randrange(len(p))]) for _ in range(300)]
+    texts += ["", None, "xapp-1-a-2-b", "ghı", "a" * 3000, "Q~" * 50, "-----BEGIN PRIVATE KEY-----"]
+    df = spark.createDataFrame(list(enumerate(texts)), "k int, text string")
+    plain = {r.k: r.spans for r in detect(df, "text", Detector(rules=bare)).select("k", "spans").collect()}
+    found = {r.k: r.spans for r in detect(df, "text").select("k", "spans").collect()}
+    assert found == plain and sum(len(v) for v in found.values() if v) > 300
+    none = detect(df, "text", Detector(rules=())).select("k", "spans").collect()
+    assert all(r.spans == (None if texts[r.k] is None else []) for r in none)
