@@ -5,6 +5,7 @@ import json
 import random
 import time
 
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -171,3 +172,53 @@ def test_clean_cache_of_a_stream_equals_a_plain_one_and_loses_no_finding(spark,
     assert all(r.spans is None if r.key is None else r.spans == ([1] if name[r.key] == "a@b" else []) for r in got)
     at = F.unix_timestamp("at").alias("at")
     assert {name[r.key]: r.at for r in clean.cached(spark, f"{tmp_path}/out").select("key", at).collect()} == held
+
+
+class CountedMap(dict):
+    """A map state that counts what crosses to the store."""
+
+    calls = 0
+
+    def getValue(self, key):
+        CountedMap.calls += 1
+        return self.get(key)
+
+    def updateValue(self, key, value):
+        CountedMap.calls += 1
+        self[key] = value
+
+    def removeKey(self, key):
+        CountedMap.calls += 1
+        del self[key]
+
+    def iterator(self):
+        return iter(list(self.items()))
+
+
+class CountedHandle:
+    def __init__(self):
+        self.states = []
+
+    def getMapState(self, *_):
+        self.states.append(CountedMap())
+        return self.states[-1]
+
+
+def test_state_is_read_by_the_stream_and_not_by_the_line():
+    """A frame holds many streams, whose lines come in two batches without order; calls of the state don't grow with lines."""
+    rng, n, lines = random.Random(5), 40, 200
+    rows = [(f"s{k}", "s", i, "delta" if i < lines - 1 else "done", "l", '{"choices": 1}' if i < lines - 1 else "[DONE]", f"{k}.{i} " if i < lines - 1 else None) for k in range(n) for i in range(lines)]
+    rng.shuffle(rows)
+    made, handle, got = rehydrate.Reassemble(), CountedHandle(), {}
+    made.init(handle)
+    CountedMap.calls = 0
+    for half in (rows[::2], rows[1::2]):
+        frame = pd.DataFrame(half, columns=["stream_id", "session", "seq", "kind", "line", "payload", "delta"])
+        for out in made.handleInputRows((0,), iter([frame[:3000], frame[3000:]]), None):
+            for r in out.itertuples():
+                got.setdefault(r.stream_id, []).append(r)
+    for k in range(n):
+        assert [r.seq for r in got[f"s{k}"]] == list(range(lines))
+        assert "".join(r.delta for r in got[f"s{k}"][:-1]) == "".join(f"{k}.{i} " for i in range(lines - 1))
+    assert CountedMap.calls < 40 * n  # of 200 lines each
+    assert not any(handle.states)
