@@ -407,3 +407,17 @@ def test_hold_back():
     assert hold_back("", "hi [[EMAIL") == ("hi ", "[[EMAIL") and hold_back("[[EMAIL", "_1]] x") == ("[[EMAIL_1]] x", "")
     assert hold_back("", "a [") == ("a ", "[") and hold_back("[", "[A_1]]") == ("[[A_1]]", "") and hold_back("", "[[" + "x" * 80)[1] == ""
     assert restore("[[A_1]] [[B_1]]", {"[[A_1]]": "$1"}) == "$1 [[B_1]]"
+
+
+def test_what_a_second_scan_finds_is_scrubbed_too(spark):
+    """The digits of an address hide the card behind it from the first scan; null sessions and turns are scrubbed as others."""
+    texts = [("s", 1, "von [x] 10.20.30.41 4080166431094600 Erauver"), (None, None, "10.20.30.41 4080166431094600"), ("s", 2, "plain"), ("s", 3, None), ("s", 4, "write to a@ex.org")]
+    found = detect(spark.createDataFrame(texts, "session string, turn long, text string"))
+    once = detect(vault.substitute(found, vault.mint(vault.found_values(found, "session", "turn")), "session", "turn").withColumnRenamed("scrubbed", "text"))
+    assert report.rescan_hits(once.where("turn = 1"), "session").first().n_hits == 1
+    names, rows = vault.scrub_until_clean(found, "session", "turn")
+    got = {(r.session, r.turn): r for r in rows.collect()}
+    assert len(got) == 5 and all(r.spans == [] for r in got.values() if r.text is not None)
+    assert got["s", 1].text == "von [x] [[IP_ADDRESS_1]] [[CREDIT_CARD_1]] Erauver" and got[None, None].text == "[[IP_ADDRESS_1]] [[CREDIT_CARD_1]]"
+    assert got["s", 2].text == "plain" and got["s", 3].text is None and got["s", 3].spans is None and got["s", 4].text == "write to [[EMAIL_ADDRESS_1]]"
+    assert {(r.session, r.value) for r in names.collect()} == {(s, v) for s in ("s", None) for v in ("10.20.30.41", "4080166431094600")} | {("s", "a@ex.org")}

@@ -155,6 +155,28 @@ def substitute(
     return rows.select("session", "turn", F.when(F.col("spans").isNotNull(), replaced).alias("scrubbed"))
 
 
+def scrub_until_clean(detected: DataFrame, session: str, turn: str, text: str = "text", spans: str = "spans", detector: Detector = Detector()) -> tuple[DataFrame, DataFrame]:
+    """(vault, rows (session, turn, text, spans)): texts scrubbed, scanned again, and those in which something is still
+    found scrubbed again by the same vault, until a scan finds nothing; ``spans`` is what a text's last scan found.
+
+    A match that fails its check uses up the signs it ran over, such as a card number behind the last part of an
+    address: once the address is replaced the number is found. Each round replaces signs that are no
+    placeholder's, so there is an end. A text that wasn't scanned stays null: it fails closed.
+    Keys are wrapped, so that null ones meet too."""
+    rows = detected.select(F.struct(F.col(session).alias("key")).alias("session"), F.struct(F.col(turn).alias("key")).alias("turn"), F.col(text).alias("text"), F.col(spans).alias("spans"))
+    vault, done = None, None
+    while True:
+        vault = written(mint(found_values(rows, "session", "turn"), vault), "vault")
+        clean = substitute(rows, vault, "session", "turn").select("session", "turn", F.col("scrubbed").alias("text"))
+        scanned = written(detect(clean, "text", detector), "scanned")
+        rows = scanned.where(F.size("spans") > 0)
+        own = scanned.where(F.coalesce(F.size("spans") <= 0, F.lit(True)))
+        done = own if done is None else done.unionByName(own)
+        if rows.isEmpty():
+            keys = (F.col("session.key").alias("session"), F.col("turn.key").alias("turn"))
+            return vault.withColumn("session", F.col("session.key")), done.select(*keys, "text", "spans")
+
+
 def rehydrate(text: Column, names: Column) -> Column:
     """The text with each known placeholder replaced by its value; unknown ones stay. names: map."""
     gaps = F.split(text, PLACEHOLDER, -1)
