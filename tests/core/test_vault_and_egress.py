@@ -421,3 +421,12 @@ def test_what_a_second_scan_finds_is_scrubbed_too(spark):
     assert got["s", 1].text == "von [x] [[IP_ADDRESS_1]] [[CREDIT_CARD_1]] Erauver" and got[None, None].text == "[[IP_ADDRESS_1]] [[CREDIT_CARD_1]]"
     assert got["s", 2].text == "plain" and got["s", 3].text is None and got["s", 3].spans is None and got["s", 4].text == "write to [[EMAIL_ADDRESS_1]]"
     assert {(r.session, r.value) for r in names.collect()} == {(s, v) for s in ("s", None) for v in ("10.20.30.41", "4080166431094600")} | {("s", "a@ex.org")}
+
+
+def test_the_walk_reads_its_bodies_once(spark):
+    """Whatever made the bodies isn't made again for each level, and no task reads every level's copy of them."""
+    rows = spark.range(40).selectExpr("id % 4 AS id", "id AS n").groupBy("id").agg(F.to_json(F.struct(F.transform(F.array_sort(F.collect_list("n")), lambda n: F.struct(n.cast("string").alias("x"))).alias("m"))).alias("b"))
+    leaves = jsonwalk.string_leaves(rows, "id", "b", depth=4)
+    plan = leaves._jdf.queryExecution().optimizedPlan().toString()
+    assert "Aggregate" not in plan and "Union" not in plan and plan.count("Relation") == 1
+    assert {(r.id, r.path, r.value) for r in leaves.collect()} == {(n % 4, f"$.m[{n // 4}].x", str(n)) for n in range(40)}
