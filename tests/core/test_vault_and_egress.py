@@ -430,3 +430,15 @@ def test_the_walk_reads_its_bodies_once(spark):
     plan = leaves._jdf.queryExecution().optimizedPlan().toString()
     assert "Aggregate" not in plan and "Union" not in plan and plan.count("Relation") == 1
     assert {(r.id, r.path, r.value) for r in leaves.collect()} == {(n % 4, f"$.m[{n // 4}].x", str(n)) for n in range(40)}
+
+
+def test_missed_items_are_scanned_once(spark):
+    """A filter on what was caught isn't pushed below the scan, where each use of its spans would be a scan of its own."""
+    texts = [("c", 1, "pii", "write to a@ex.org", "a@ex.org"), ("c", 2, "pii", "nothing here", "here"), ("c", 3, "pii", None, "x"), ("d", 1, "pii", "more", "more")]
+    items = detect(spark.createDataFrame(texts, "category string, item_no int, grp string, text string, value string"))
+    items = items.withColumn("caught", F.exists("spans", lambda s: S.value_of(F.col("text"), s).contains(F.col("value"))))
+    missed = report.missed_samples(items)
+    plan = missed._jdf.queryExecution().optimizedPlan().toString()
+    below = [x for x in plan.splitlines() if "Filter" in x]
+    assert not any("regexp_extract_all" in x or "RLIKE" in x for x in below)
+    assert {r.category: r.missed for r in missed.collect()} == {"c": ["nothing here | here"], "d": ["more | more"]}

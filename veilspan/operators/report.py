@@ -149,7 +149,9 @@ def chunk_key(chunk: Column, policy: str) -> Column:
 def missed_samples(items: DataFrame, most: int = 5) -> DataFrame:
     """(category, missed): up to five missed items of each category in item order, 120 signs of the text and 60 of the value."""
     shown = F.concat_ws(" | ", F.left("text", F.lit(120)), F.left("value", F.lit(60)))
-    missed = items.where(~F.col("caught")).select("category", "item_no", shown.alias("v"))
+    # an outer explode keeps the filter above it: pushed below, it would scan each text once more for each use of the spans
+    marked = items.select("category", "item_no", shown.alias("v"), F.explode_outer(F.array("caught")).alias("caught"))
+    missed = marked.where(~F.col("caught")).drop("caught")
     first = Window.partitionBy("category").orderBy("item_no")
     few = missed.withColumn("nth", F.row_number().over(first)).where(F.col("nth") <= most)
     return few.groupBy("category").agg(F.transform(F.array_sort(F.collect_list(F.struct("nth", "v"))), lambda x: x["v"]).alias("missed"))
