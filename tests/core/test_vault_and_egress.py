@@ -442,3 +442,14 @@ def test_missed_items_are_scanned_once(spark):
     below = [x for x in plan.splitlines() if "Filter" in x]
     assert not any("regexp_extract_all" in x or "RLIKE" in x for x in below)
     assert {r.category: r.missed for r in missed.collect()} == {"c": ["nothing here | here"], "d": ["more | more"]}
+
+
+def test_fakes_are_sought_where_one_may_begin():
+    """The test of the first sign loses no fake, and lets few places of a plain text through."""
+    first, plain = re.fullmatch(r"\(\?=(\[.*?\])\)\(\?:(.*)\)", vault.FAKE, re.DOTALL).groups()
+    made = [f"{a}{7:0{w}d}{z}" for a, w, z in vault.SHAPES.values()] + ["10.0.3.7", "postgres://user7:pass@redacted.example:5432/db7", "[[A_7]]"]
+    rng = random.Random(3)
+    for _ in range(300):
+        text = "".join(rng.choice([*made, "user", "Org_", "12", "[", "x ", "the rain in Spain "]) for _ in range(12))
+        assert [(m.start(), m[0]) for m in re.finditer(vault.FAKE, text)] == [(m.start(), m[0]) for m in re.finditer(plain, text)]
+    assert all(re.fullmatch(vault.FAKE, x) for x in made) and len(re.findall(first, "the rain in Spain falls mainly on the plain")) < 12

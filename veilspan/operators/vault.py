@@ -222,11 +222,13 @@ def _literal(text: str) -> str:
     return re.sub(r"([^A-Za-z0-9_ /@-])", r"\\\1", text)
 
 
+#: The signs that begin a fake or a placeholder, which are tested before all else.
+_FIRST = "".join(sorted({"p", *"0123456789", *(before[0] for before, _, _ in SHAPES.values() if before and before[0] != "[")}))
 #: Any fake or placeholder, with whatever digits follow: one pattern takes a text apart in one pass.
-FAKE = "|".join((
+FAKE = rf"(?=[\[{_FIRST}])(?:" + "|".join((
     PLACEHOLDER, r"postgres://user[0-9]++:pass@redacted\.example:5432/db[0-9]++", r"10\.0\.[0-9]{1,3}+\.[0-9]++",
     *((_literal(before) if before else "(?<![0-9])") + "[0-9]++" + _literal(after) for before, _, after in SHAPES.values()),
-))
+)) + ")"
 
 
 def rehydrate_formats(text: Column, names: Column) -> Column:
@@ -239,7 +241,8 @@ def rehydrate_formats(text: Column, names: Column) -> Column:
         longest = F.when(F.map_contains_key(names, mark), F.length(mark)).otherwise(F.get(known, F.lit(0)))
         return S.let(longest, lambda n: F.when(n.isNull(), mark).otherwise(F.concat(F.try_element_at(names, F.left(mark, n)), F.substring(mark, n + 1, F.length(mark)))))
 
-    return F.array_join(F.zip_with(gaps, F.transform(marks, value), lambda g, v: F.concat(g, F.coalesce(v, F.lit("")))), "")
+    whole = F.array_join(F.zip_with(gaps, F.transform(marks, value), lambda g, v: F.concat(g, F.coalesce(v, F.lit("")))), "")
+    return F.when(F.size(names) == 0, text).otherwise(whole)  # without names every fake stays
 
 
 def fakes_of(texts: DataFrame, vault: DataFrame) -> DataFrame:
