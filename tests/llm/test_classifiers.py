@@ -186,3 +186,21 @@ def test_non_negative_risk_by_brute_force():
     grid = np.linspace(-4, 4, 161)
     cut = grid[np.argmin(np.abs(network.logit(x(grid))))]
     assert abs(prior - 0.6) < 0.1 and abs(cut - best) < 0.7
+
+
+def test_rows_beyond_the_sample_are_learnt(spark):
+    """A sign of toxicity that the start's sample hardly holds counts, and the cut is that of all rows set aside."""
+    rng = np.random.default_rng(1)
+    rows = [(i, " ".join(rng.choice(["one", "two", "three", "four"], 12)) + (f" vile{i % 40}" if i % 4 == 0 else "")) for i in range(3000)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    labels = spark.createDataFrame([(i, 0, int(i % 4 == 0)) for i in range(3000)], "doc_id long, quality int, toxic int")
+    seen, kept = [], T._cut
+    try:
+        T._cut = lambda model, rows: seen.append(rows.count()) or kept(model, rows)
+        model = T.fit(docs, labels, T.CnnSettings(positives=30, negatives=60, epochs=2))
+    finally:
+        T._cut = kept
+    assert 450 < seen[0] < 750  # a quarter of the learning folds' rows
+    pairs = held(T.score(docs, model).collect(), labels, "toxic")
+    toxic = pairs[:, 1] == 1
+    assert pairs[toxic, 0].mean() > 0.8 and pairs[~toxic, 0].mean() < 0.1

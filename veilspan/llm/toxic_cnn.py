@@ -14,13 +14,15 @@ table rows.
 
 from __future__ import annotations
 
+import copy
 import re
 import zlib
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark import TaskContext
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from veilspan.llm import samples
@@ -29,6 +31,8 @@ from veilspan.llm.arrow import arrow_schema, map_columns, slices
 WORD = re.compile(r"[^\W\d_]+")
 #: Texts that are convolved together, in bytes, and words that a task remembers.
 STRETCH_BYTES, REMEMBERED = 2 << 20, 300_000
+#: Bytes of text that one shard learns from, pieces in which parameters are averaged, and steps of a logit that are told apart.
+SHARD_BYTES, PIECES, GRID = 16 << 20, 64, 64
 # Frequent words by which a text's language is guessed.
 FUNCTION_WORDS = {
     "en": "the of and to in is that for with was are on it be".split(),
@@ -41,7 +45,7 @@ LANGUAGES = (*FUNCTION_WORDS, "other")
 
 @dataclass(frozen=True)
 class CnnSettings:
-    """positives, negatives: bounds of the training samples in rows, bytes: of each in bytes of text (both in
+    """positives, negatives: bounds of the samples a start is fitted on in rows, bytes: of each in bytes of text (both in
     expectation; texts of any length are drawn alike). aside: share of the sample that isn't fitted
     but stops the training and gives the cuts. words, prefixes: log2 of buckets, 16 at most. prefix: letters of a word's start. size: of an embedding. widths, filters: of the convolutions."""
 
@@ -242,18 +246,36 @@ def _packed(texts: list, vocabulary: Vocabulary) -> tuple[list[np.ndarray], np.n
 
 
 def fit(documents: DataFrame, labels: DataFrame, s: CnnSettings = CnnSettings()) -> Cnn:
-    """Fits on bounded samples of the learning folds' labelled rows; held-out rows take no part."""
+    """Fits on the learning folds' labelled rows; held-out rows take no part.
+
+    A start is fitted on a bounded sample. Where that isn't every labelled row, refined() goes on from it over all of
+    them, and the cuts are those of all rows that were set aside."""
     docs = documents.select(documents["doc_id"].cast("long").alias("doc_id"), documents["text"].alias("text"))
-    rows = None
+    drawn, n_rows, n_bytes = {}, {}, 0
     for value, bound in ((1, s.positives), (0, s.negatives)):
-        wanted = samples.labelled(labels, "toxic", value)
-        sizes = docs.select("doc_id", F.octet_length("text").alias("n")).join(wanted, "doc_id")
-        n_rows, n_bytes = sizes.agg(F.count("*"), F.coalesce(F.sum("n"), F.lit(0))).first()
-        share = min(1.0, bound / max(1, n_rows), s.bytes / max(1, n_bytes))
-        drawn = samples.uniform(F.col("doc_id"), s.seed) < share  # on both sides, so that few texts are shuffled
-        own = docs.where(drawn).join(wanted.where(drawn), "doc_id").withColumn("label", F.lit(value))
+        sizes = docs.select("doc_id", F.octet_length("text").alias("n")).join(samples.labelled(labels, "toxic", value), "doc_id")
+        n_rows[value], size = sizes.agg(F.count("*"), F.coalesce(F.sum("n"), F.lit(0))).first()
+        drawn[value] = min(1.0, bound / max(1, n_rows[value]), s.bytes / max(1, size))
+        n_bytes += size
+    more, rows = min(drawn.values()) < 1 and min(n_rows.values()) > 0, None
+    for value, share in drawn.items():
+        own = samples.uniform(F.col("doc_id"), s.seed) < share  # on both sides, so that few texts are shuffled
+        own = own & ~_aside(s) if more else own
+        own = docs.where(own).join(samples.labelled(labels, "toxic", value).where(own), "doc_id").withColumn("label", F.lit(value))
         rows = own if rows is None else rows.unionByName(own)
+    got = map_columns(rows, [rows["doc_id"], rows["label"], rows["text"]], "doc_id long, label int, tongue int, ids binary", _packer(s)).toArrow()
+    got = got.sort_by([("doc_id", "ascending"), ("label", "ascending")])
+    ids = [np.frombuffer(x, np.uint32) for x in got["ids"].to_pylist()]
+    model = train(ids, got["label"].to_numpy().astype(np.float64), got["tongue"].to_numpy(), s)
+    return refined(docs, labels, model, n_rows, -(-n_bytes // SHARD_BYTES)) if more else model
+
 
+def _aside(s: CnnSettings) -> Column:
+    """Whether a row is set aside from all fitting, for the cuts."""
+    return samples.uniform(F.col("doc_id"), s.seed + 1) < s.aside
+
+
+def _packer(s: CnnSettings):
     def make():
         vocabulary = Vocabulary(s)
 
@@ -263,11 +285,92 @@ def fit(documents: DataFrame, labels: DataFrame, s: CnnSettings = CnnSettings())
 
         return apply
 
-    columns = [rows["doc_id"], rows["label"], rows["text"]]
-    got = map_columns(rows, columns, "doc_id long, label int, tongue int, ids binary", make).toArrow()
-    got = got.sort_by([("doc_id", "ascending"), ("label", "ascending")])
-    ids = [np.frombuffer(x, np.uint32) for x in got["ids"].to_pylist()]
-    return train(ids, got["label"].to_numpy().astype(np.float64), got["tongue"].to_numpy(), s)
+    return make
+
+
+def _labelled_rows(docs: DataFrame, labels: DataFrame, which: Column, shards: int, s: CnnSettings) -> DataFrame:
+    """(doc_id, tongue, ids, label) of all labelled rows of a condition on doc_id, dealt to shards by doc_id."""
+    wanted = samples.labelled(labels, "toxic", 1).withColumn("label", F.lit(1)).unionByName(samples.labelled(labels, "toxic", 0).withColumn("label", F.lit(0)))
+    own = docs.where((samples.remainder(F.col("doc_id")) != 0) & which)
+    packed = map_columns(own, [own["doc_id"], F.lit(0), own["text"]], "doc_id long, mark int, tongue int, ids binary", _packer(s)).drop("mark")
+    return packed.repartition(shards, "doc_id").join(wanted.where(which).repartition(shards, "doc_id"), "doc_id")
+
+
+def _parameters(model: Cnn) -> list[np.ndarray]:
+    return [model.word, model.start, *model.filters, *model.bias, model.out]
+
+
+def refined(docs: DataFrame, labels: DataFrame, model: Cnn, n_rows: dict[int, int], shards: int) -> Cnn:
+    """The model after one pass over all labelled rows, but those set aside: each shard goes on from the model by itself,
+    and the parameters are averaged, by the shards' rows. The cuts are then taken from all rows set aside."""
+    s, total = model.s, sum(n_rows.values())
+    shared = docs.sparkSession.sparkContext.broadcast(model)
+
+    def learn(batches):
+        own, rng, n = copy.deepcopy(shared.value), np.random.default_rng(s.seed), 0
+        for batch in batches:
+            ids = [np.frombuffer(x, np.uint32) for x in batch.column(0).to_pylist()]
+            y = batch.column(1).to_numpy().astype(np.float64)
+            weight, order = np.where(y == 1, 0.5 / n_rows[1], 0.5 / n_rows[0]) * total, rng.permutation(len(y))
+            for k in range(0, len(order), s.batch):
+                b = order[k : k + s.batch]
+                own.step([ids[i] for i in b], y[b], weight[b] / s.batch, s.rate * 10 / (1 + s.epochs))
+            n += len(y)
+        if n:
+            flat = np.concatenate([*(x.ravel() for x in _parameters(own)), [own.base]]).astype(np.float32)
+            for part, piece in enumerate(np.array_split(flat, PIECES)):
+                yield pa.RecordBatch.from_pydict({"part": [part], "shard": [TaskContext.get().partitionId()], "n": [n], "w": [piece.tobytes()]}, schema=out)
+
+    def mean(table):
+        table = table.sort_by("shard")
+        n = table["n"].to_pylist()
+        flat = sum(np.frombuffer(w, np.float32).astype(np.float64) * (k / sum(n)) for k, w in zip(n, table["w"].to_pylist()))
+        return pa.Table.from_pydict({"part": table["part"][:1], "w": [flat.astype(np.float32).tobytes()]}, schema=averaged)
+
+    form = "part int, shard int, n long, w binary"
+    out, averaged = arrow_schema(form), arrow_schema("part int, w binary")
+    rows = _labelled_rows(docs, labels, ~_aside(s), shards, s).select("ids", "label")
+    pieces = rows.mapInArrow(learn, form).groupBy("part").applyInArrow(mean, "part int, w binary").collect()
+    made = copy.deepcopy(model)
+    if pieces:
+        flat, at = np.concatenate([np.frombuffer(r.w, np.float32) for r in sorted(pieces, key=lambda r: r.part)]), 0
+        for x in _parameters(made):
+            x[...] = flat[at : at + x.size].reshape(x.shape)
+            at += x.size
+        made.base = flat[-1]
+    _cut(made, _labelled_rows(docs, labels, _aside(s), shards, s))
+    return made
+
+
+def _cut(model: Cnn, rows: DataFrame) -> None:
+    """Sets the cuts of languages from rows that weren't fitted; logits are counted in steps of 1 / GRID."""
+    shared = rows.sparkSession.sparkContext.broadcast(model)
+
+    def make():
+        def apply(tongues, ids, marks):
+            z = _in_parts(shared.value, [np.frombuffer(x, np.uint32) for x in ids])
+            return tongues, np.rint(np.clip(z, -60, 60) * GRID).astype(int).tolist(), marks
+
+        return apply
+
+    got = map_columns(rows, [rows["tongue"], rows["ids"], rows["label"]], "tongue int, z int, label int", make)
+    got = got.groupBy("tongue", "z").agg(F.sum("label").alias("hits"), F.count("*").alias("n")).toArrow()  # bounded by the grid
+    tongues, z, hits, n = (got[c].to_numpy() for c in ("tongue", "z", "hits", "n"))
+    if not hits.sum():
+        return
+
+    def best(own):
+        steps, at = np.unique(-z[own], return_inverse=True)
+        h, all_ = np.bincount(at, hits[own]), np.bincount(at, n[own])
+        k = int(np.argmax(2 * np.cumsum(h) / (np.cumsum(all_) + h.sum())))
+        return -(steps[k] + (steps[k + 1] if k + 1 < len(steps) else steps[k] + 2 * GRID)) / 2 / GRID
+
+    everywhere = best(tongues >= 0)
+    for t in range(len(LANGUAGES)):
+        own = tongues == t
+        k = int(hits[own].sum())
+        # a language with few positives leans on the cut of all
+        model.shift[t] = (k * best(own) + 10 * everywhere) / (k + 10) if k else everywhere
 
 
 def score(documents: DataFrame, model: Cnn, threshold: float = 0.5) -> DataFrame:
