@@ -204,3 +204,61 @@ def test_rows_beyond_the_sample_are_learnt(spark):
     pairs = held(T.score(docs, model).collect(), labels, "toxic")
     toxic = pairs[:, 1] == 1
     assert pairs[toxic, 0].mean() > 0.8 and pairs[~toxic, 0].mean() < 0.1
+
+
+def shuffled_bytes(spark, act):
+    """Bytes that the stages of an action write for shuffles, and the action's result."""
+    sc, jvm = spark.sparkContext._jsc.sc(), spark.sparkContext._jvm
+
+    def stages():
+        sc.listenerBus().waitUntilEmpty()
+        found = sc.statusStore().stageList(jvm.java.util.ArrayList(), False, False, spark.sparkContext._gateway.new_array(jvm.double, 0), jvm.java.util.ArrayList())
+        return {(x.stageId(), x.attemptId()): x.shuffleWriteBytes() for x in (found.apply(i) for i in range(found.size()))}
+
+    before, result = stages(), act()
+    return sum(n for k, n in stages().items() if k not in before), result
+
+
+def labelled_in_part(spark):
+    """2,000 documents, an eighth of them labelled, and the number of their words."""
+    rng = np.random.default_rng(2)
+    words = np.array(["".join(rng.choice(list("abcdefghij"), 6)) for _ in range(5000)])
+    rows = [(i, " ".join(rng.choice(words, 300)) + (" vile" if i % 32 == 0 else "")) for i in range(2000)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    return docs, spark.createDataFrame([(i, 0, int(i % 32 == 0)) for i in range(0, 2000, 8)], "doc_id long, quality int, toxic int"), 2000 * 300
+
+
+def test_fitting_shuffles_labelled_texts_alone(spark):
+    """Neither unlabelled texts nor parameters that a shard left as they were are shuffled."""
+    docs, labels, words = labelled_in_part(spark)
+    docs = docs.localCheckpoint()
+    kept = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    try:
+        for threshold in (kept, "-1"):  # labels that are broadcast or shuffled
+            spark.conf.set("spark.sql.autoBroadcastJoinThreshold", threshold)
+            n, _ = shuffled_bytes(spark, lambda: T.fit(docs, labels, T.CnnSettings(positives=10, negatives=20, epochs=1)))
+            assert 0 < n < 0.5 * 4 * words  # a word is packed into four bytes
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", kept)
+
+
+def test_a_bitmap_of_ids_loses_no_row(spark):
+    ids = [0, 1, -1, 7, 1 << 40, -(1 << 62), (1 << 63) - 1, 32767, 32768, 1 << 26]
+    rows = spark.createDataFrame([(i, n) for n, i in enumerate([*ids, 7, None, *range(100_000, 101_000)])], "doc_id long, n int")
+    wanted = spark.createDataFrame([(i,) for i in [*ids, 7, None, 5]], "doc_id long")
+    got = T.samples.among(rows, wanted)
+    assert got.columns == rows.columns and sorted(r.n for r in got.collect() if r.doc_id in ids) == list(range(11))
+    assert got.count() <= 13
+    assert T.samples.among(rows, wanted.limit(0)).count() == 0 == T.samples.among(rows.limit(0), wanted).count()
+
+
+def test_a_full_bitmap_gives_the_same_model(spark):
+    docs, labels, _ = labelled_in_part(spark)
+    s, kept, models = T.CnnSettings(positives=10, negatives=20, epochs=1), T.samples.SLOTS, []
+    try:
+        for slots in (kept, 1):
+            T.samples.SLOTS = slots
+            models.append(T.fit(docs, labels, s))
+    finally:
+        T.samples.SLOTS = kept
+    assert all(np.allclose(a, b, atol=1e-6) for a, b in zip(*map(T._parameters, models))) and np.allclose(models[0].shift, models[1].shift)

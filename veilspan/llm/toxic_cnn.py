@@ -251,23 +251,23 @@ def fit(documents: DataFrame, labels: DataFrame, s: CnnSettings = CnnSettings())
     A start is fitted on a bounded sample. Where that isn't every labelled row, refined() goes on from it over all of
     them, and the cuts are those of all rows that were set aside."""
     docs = documents.select(documents["doc_id"].cast("long").alias("doc_id"), documents["text"].alias("text"))
+    docs = docs.where(samples.remainder(F.col("doc_id")) != 0)
+    wanted = samples.labelled(labels, "toxic", 1).withColumn("label", F.lit(1)).unionByName(samples.labelled(labels, "toxic", 0).withColumn("label", F.lit(0)))
+    sizes = samples.among(docs, wanted).select("doc_id", F.octet_length("text").alias("n")).join(wanted, "doc_id")
+    found = {r.label: (r.rows, r.bytes) for r in sizes.groupBy("label").agg(F.count("*").alias("rows"), F.coalesce(F.sum("n"), F.lit(0)).alias("bytes")).collect()}
     drawn, n_rows, n_bytes = {}, {}, 0
     for value, bound in ((1, s.positives), (0, s.negatives)):
-        sizes = docs.select("doc_id", F.octet_length("text").alias("n")).join(samples.labelled(labels, "toxic", value), "doc_id")
-        n_rows[value], size = sizes.agg(F.count("*"), F.coalesce(F.sum("n"), F.lit(0))).first()
+        n_rows[value], size = found.get(value, (0, 0))
         drawn[value] = min(1.0, bound / max(1, n_rows[value]), s.bytes / max(1, size))
         n_bytes += size
-    more, rows = min(drawn.values()) < 1 and min(n_rows.values()) > 0, None
-    for value, share in drawn.items():
-        own = samples.uniform(F.col("doc_id"), s.seed) < share  # on both sides, so that few texts are shuffled
-        own = own & ~_aside(s) if more else own
-        own = docs.where(own).join(samples.labelled(labels, "toxic", value).where(own), "doc_id").withColumn("label", F.lit(value))
-        rows = own if rows is None else rows.unionByName(own)
-    got = map_columns(rows, [rows["doc_id"], rows["label"], rows["text"]], "doc_id long, label int, tongue int, ids binary", _packer(s)).toArrow()
+    more = min(drawn.values()) < 1 and min(n_rows.values()) > 0
+    own = samples.uniform(F.col("doc_id"), s.seed) < F.when(F.col("label") == 1, drawn[1]).otherwise(drawn[0])
+    own = wanted.where(own & ~_aside(s) if more else own)
+    got = _packed_rows(docs, own, s).join(own, "doc_id").toArrow()
     got = got.sort_by([("doc_id", "ascending"), ("label", "ascending")])
     ids = [np.frombuffer(x, np.uint32) for x in got["ids"].to_pylist()]
     model = train(ids, got["label"].to_numpy().astype(np.float64), got["tongue"].to_numpy(), s)
-    return refined(docs, labels, model, n_rows, -(-n_bytes // SHARD_BYTES)) if more else model
+    return refined(docs, wanted, model, n_rows, -(-n_bytes // SHARD_BYTES)) if more else model
 
 
 def _aside(s: CnnSettings) -> Column:
@@ -275,34 +275,35 @@ def _aside(s: CnnSettings) -> Column:
     return samples.uniform(F.col("doc_id"), s.seed + 1) < s.aside
 
 
-def _packer(s: CnnSettings):
+def _packed_rows(docs: DataFrame, wanted: DataFrame, s: CnnSettings) -> DataFrame:
+    """(doc_id, tongue, ids) of the rows that may be wanted; texts of others are neither packed nor shuffled."""
+
     def make():
         vocabulary = Vocabulary(s)
 
-        def apply(keys, marks, texts):
+        def apply(keys, texts):
             ids, tongues = _packed(texts, vocabulary)
-            return keys, marks, tongues.tolist(), [x.tobytes() for x in ids]
+            return keys, tongues.tolist(), [x.tobytes() for x in ids]
 
         return apply
 
-    return make
-
-
-def _labelled_rows(docs: DataFrame, labels: DataFrame, which: Column, shards: int, s: CnnSettings) -> DataFrame:
-    """(doc_id, tongue, ids, label) of all labelled rows of a condition on doc_id, dealt to shards by doc_id."""
-    wanted = samples.labelled(labels, "toxic", 1).withColumn("label", F.lit(1)).unionByName(samples.labelled(labels, "toxic", 0).withColumn("label", F.lit(0)))
-    own = docs.where((samples.remainder(F.col("doc_id")) != 0) & which)
-    packed = map_columns(own, [own["doc_id"], F.lit(0), own["text"]], "doc_id long, mark int, tongue int, ids binary", _packer(s)).drop("mark")
-    return packed.repartition(shards, "doc_id").join(wanted.where(which).repartition(shards, "doc_id"), "doc_id")
+    own = samples.among(docs, wanted)
+    return map_columns(own, [own["doc_id"], own["text"]], "doc_id long, tongue int, ids binary", make)
 
 
 def _parameters(model: Cnn) -> list[np.ndarray]:
     return [model.word, model.start, *model.filters, *model.bias, model.out]
 
 
-def refined(docs: DataFrame, labels: DataFrame, model: Cnn, n_rows: dict[int, int], shards: int) -> Cnn:
+def _flat_parameters(model: Cnn) -> np.ndarray:
+    return np.concatenate([*(x.ravel() for x in _parameters(model)), [model.base]]).astype(np.float32)
+
+
+def refined(docs: DataFrame, wanted: DataFrame, model: Cnn, n_rows: dict[int, int], shards: int) -> Cnn:
     """The model after one pass over all labelled rows, but those set aside: each shard goes on from the model by itself,
-    and the parameters are averaged, by the shards' rows. The cuts are then taken from all rows set aside."""
+    and the parameters are averaged, by the shards' rows. The cuts are then taken from all rows set aside.
+
+    A shard hands on its changes, most of them zero, so that what is shuffled follows its texts, not the number of shards."""
     s, total = model.s, sum(n_rows.values())
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
@@ -317,8 +318,7 @@ def refined(docs: DataFrame, labels: DataFrame, model: Cnn, n_rows: dict[int, in
                 own.step([ids[i] for i in b], y[b], weight[b] / s.batch, s.rate * 10 / (1 + s.epochs))
             n += len(y)
         if n:
-            flat = np.concatenate([*(x.ravel() for x in _parameters(own)), [own.base]]).astype(np.float32)
-            for part, piece in enumerate(np.array_split(flat, PIECES)):
+            for part, piece in enumerate(np.array_split(_flat_parameters(own) - _flat_parameters(shared.value), PIECES)):
                 yield pa.RecordBatch.from_pydict({"part": [part], "shard": [TaskContext.get().partitionId()], "n": [n], "w": [piece.tobytes()]}, schema=out)
 
     def mean(table):
@@ -329,32 +329,42 @@ def refined(docs: DataFrame, labels: DataFrame, model: Cnn, n_rows: dict[int, in
 
     form = "part int, shard int, n long, w binary"
     out, averaged = arrow_schema(form), arrow_schema("part int, w binary")
-    rows = _labelled_rows(docs, labels, ~_aside(s), shards, s).select("ids", "label")
+    own = wanted.where(~_aside(s))
+    rows = _packed_rows(docs.where(~_aside(s)), own, s).repartition(shards, "doc_id").join(own.repartition(shards, "doc_id"), "doc_id")
+    rows = rows.sortWithinPartitions("doc_id", "label").select("ids", "label")
     pieces = rows.mapInArrow(learn, form).groupBy("part").applyInArrow(mean, "part int, w binary").collect()
     made = copy.deepcopy(model)
     if pieces:
-        flat, at = np.concatenate([np.frombuffer(r.w, np.float32) for r in sorted(pieces, key=lambda r: r.part)]), 0
+        flat, at = _flat_parameters(model) + np.concatenate([np.frombuffer(r.w, np.float32) for r in sorted(pieces, key=lambda r: r.part)]), 0
         for x in _parameters(made):
             x[...] = flat[at : at + x.size].reshape(x.shape)
             at += x.size
         made.base = flat[-1]
-    _cut(made, _labelled_rows(docs, labels, _aside(s), shards, s))
+    aside = wanted.where(_aside(s))
+    _cut(made, _logits_of(samples.among(docs.where(_aside(s)), aside), made).join(aside, "doc_id"))
     return made
 
 
-def _cut(model: Cnn, rows: DataFrame) -> None:
-    """Sets the cuts of languages from rows that weren't fitted; logits are counted in steps of 1 / GRID."""
-    shared = rows.sparkSession.sparkContext.broadcast(model)
+def _logits_of(docs: DataFrame, model: Cnn) -> DataFrame:
+    """(doc_id, tongue, z): a row's language and logit in steps of 1 / GRID, before any cut; so no text is shuffled."""
+    shared = docs.sparkSession.sparkContext.broadcast(model)
+    schema = "doc_id long, tongue int, z int"
+    out = arrow_schema(schema)
 
-    def make():
-        def apply(tongues, ids, marks):
-            z = _in_parts(shared.value, [np.frombuffer(x, np.uint32) for x in ids])
-            return tongues, np.rint(np.clip(z, -60, 60) * GRID).astype(int).tolist(), marks
+    def run(batches):
+        vocabulary = Vocabulary(shared.value.s)
+        for batch in batches:
+            for part in slices(batch, STRETCH_BYTES):
+                ids, tongues = _packed(part.column(1).to_pylist(), vocabulary)
+                z = np.rint(np.clip(shared.value.logits(ids), -60, 60) * GRID)
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(tongues.astype(np.int32)), pa.array(z.astype(np.int32))], schema=out)
 
-        return apply
+    return docs.select("doc_id", "text").mapInArrow(run, schema)
 
-    got = map_columns(rows, [rows["tongue"], rows["ids"], rows["label"]], "tongue int, z int, label int", make)
-    got = got.groupBy("tongue", "z").agg(F.sum("label").alias("hits"), F.count("*").alias("n")).toArrow()  # bounded by the grid
+
+def _cut(model: Cnn, rows: DataFrame) -> None:
+    """Sets the cuts of languages from rows (tongue, z, label) that weren't fitted."""
+    got = rows.groupBy("tongue", "z").agg(F.sum("label").alias("hits"), F.count("*").alias("n")).toArrow()  # bounded by the grid
     tongues, z, hits, n = (got[c].to_numpy() for c in ("tongue", "z", "hits", "n"))
     if not hits.sum():
         return
