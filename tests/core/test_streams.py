@@ -222,3 +222,68 @@ def test_state_is_read_by_the_stream_and_not_by_the_line():
         assert "".join(r.delta for r in got[f"s{k}"][:-1]) == "".join(f"{k}.{i} " for i in range(lines - 1))
     assert CountedMap.calls < 40 * n  # of 200 lines each
     assert not any(handle.states)
+
+
+def handled(made, batches):
+    """Rows that a processor gives for batches of (stream_id, session, seq, kind, line, delta), by stream, and the length of its longest frame."""
+    got, longest = {}, 0
+    for batch in batches:
+        frame = pd.DataFrame(batch, columns=["stream_id", "session", "seq", "kind", "line", "delta"]).assign(payload='{"choices": 1}')
+        for out in made.handleInputRows((0,), iter([frame[:700], frame[700:]]), None):
+            longest = max(longest, len(out))
+            for r in out.itertuples():
+                got.setdefault(r.stream_id, []).append(r)
+    return got, longest
+
+
+def test_state_is_read_by_the_part_and_not_by_the_stream():
+    """Calls of the state don't grow with streams, few lines as each may have."""
+    rng, n, lines = random.Random(8), 600, 5
+    rows = [(f"s{k}", "s", i, "delta" if i < lines - 1 else "done", "l", f"{k}.{i} " if i < lines - 1 else None) for k in range(n) for i in range(lines)]
+    rng.shuffle(rows)
+    made, handle = rehydrate.Reassemble(), CountedHandle()
+    made.init(handle)
+    CountedMap.calls = 0
+    got, _ = handled(made, [rows[k::3] for k in range(3)])
+    for k in range(n):
+        assert [r.seq for r in got[f"s{k}"]] == list(range(lines)) and [r.delta for r in got[f"s{k}"][:-1]] == [f"{k}.{i} " for i in range(lines - 1)]
+    assert CountedMap.calls < n and not any(handle.states)
+
+
+def test_a_long_stream_is_never_held_whole(monkeypatch):
+    """The first line comes last: lines wait in blocks, of which few are at hand, and go out in frames of bounded length."""
+    monkeypatch.setattr(rehydrate, "MOST", 200)
+    monkeypatch.setattr(rehydrate, "FRAME", 50)
+    rng, lines, most = random.Random(9), 3000, 0
+    rows = [("s", "s", i, "delta", "l", f"{i} ") for i in range(1, lines)]
+    rng.shuffle(rows)
+
+    class Watched(rehydrate.Reassemble):
+        def _take(self, seq):
+            nonlocal most
+            most = max(most, sum(len(own) for block in self.blocks.values() for own in block.values()))
+            return super()._take(seq)
+
+    made, handle = Watched(), CountedHandle()
+    made.init(handle)
+    got, longest = handled(made, [rows[:1000], rows[1000:], [("s", "s", 0, "delta", "l", "0 "), ("s", "s", lines, "done", "l", None)]])
+    assert [r.seq for r in got["s"]] == list(range(lines + 1)) and longest <= 50 and most < 200 + rehydrate.BLOCK
+    assert not any(handle.states)
+
+
+def test_only_lines_that_change_are_written_anew(spark):
+    """Lines without a placeholder go on sign for sign; brackets written as escapes are seen, and texts that were cut are put in."""
+    plain = 'data: {"choices":[{"delta":{"content":"a [1]"}}],  "n":1e400}'
+    rows = [
+        ("p", "s", 0, 1, "delta", plain, "a [1]", True), ("p", "s", 1, 1, "delta", delta("to [[A_1]]", True), "to [[A_1]]", True),
+        ("p", "s", 2, 1, "delta", delta("b [", False), "b ", False), ("p", "s", 3, 1, "delta", delta("[[B_9]]", False), "[[B_9]]", True),
+        ("p", "s", 4, 1, "json", r'data: {"u": "[[A_1]] é"}', None, True), ("p", "s", 5, 1, "json", 'data: {"u":  [1]}', None, True),
+        ("p", "t", 6, 1, "json", 'data: {"u": "[[A_1]]"}', None, True), ("p", "s", 7, 1, "other", ": [[A_1]]", None, True), ("p", "s", 8, 1, "done", "data: [DONE]", None, True),
+    ]
+    names = spark.createDataFrame(NAMES, "session string, placeholder string, value string")
+    pieces = spark.createDataFrame(rows, rehydrate.PIECES)
+    got = {r.seq: r.out for r in rehydrate.restored_lines(pieces, names).collect()}
+    own = {k: got.pop(k) for k in (1, 2, 3)}
+    assert texts_of([type("Row", (), {"stream_id": "p", "out": own[k]}) for k in (1, 2, 3)], "p") == "to Annb [[B_9]]"
+    assert got == {0: plain, 4: r'data: {"u": "Ann é"}', 5: rows[5][5], 6: 'data: {"u": "Tom"}', 7: rows[7][5], 8: rows[8][5]}
+    assert pieces.where(rehydrate.changing()).count() == 5
